@@ -247,7 +247,8 @@ def test_pipeline_stages(spark):
         if name == "toxicity":
             toxic = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r["toxic"] == 1}
             gone = {r["doc_id"] for r in before.collect()} - {r["doc_id"] for r in kept.collect()}
-            assert len(toxic & {r["doc_id"] for r in before.collect()} - gone) <= 3
+            english = {r["doc_id"] for r in before.collect() if r["lang"] == "en"}
+            assert not toxic & english - gone
         if name == "near_duplicates":
             want = {r[2] for r in components_by_pairs([(r["doc_id"], r["text"]) for r in before.collect()])}
             assert {r["doc_id"] for r in kept.collect()} == want and kept.count() == len(want)
