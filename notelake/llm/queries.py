@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, simhash, toxicity
+from . import bpe, langid, licenses, merkle, packing, quality, simhash, topk, toxicity, warc
 from .common import id_split, table
 
 
@@ -15,6 +17,32 @@ def held_out(parts: int, rest: int):
     return F.coalesce(id_split("doc_id", parts) == rest, F.lit(False)).alias("held_out")
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digests: bpe.Derived = {
+        "n_tokens": ("long", pa.int64(), lambda ids, _: len(ids) // 4),
+        "ids_sha256": ("string", pa.string(), lambda ids, _: hashlib.sha256(ids).hexdigest()),
+        "decoded_sha256": ("string", pa.string(), lambda ids, codec: hashlib.sha256(codec.decode(ids)).hexdigest()),
+    }
+    return bpe.encode(table(spark, sf_dir, "documents"), digests)
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.with_edited(table(spark, sf_dir, "documents"))
+    near = lambda other: F.round(merkle.likeness(F.col("fingerprint"), F.col(other)), 6)
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        near("edited_fingerprint").alias("near_edited"), near("next_fingerprint").alias("near_next"),
+    )
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
@@ -24,6 +52,17 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(spark, table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = quality.score_quality(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out(5, 0), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(docs, langid.learn_rows()))
@@ -43,11 +82,36 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk": op1_topk,
+    "op2_bpe": op2_bpe,
+    "op3_licenses": op3_licenses,
+    "op4_fingerprints": op4_fingerprints,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
+    "op7_warc": op7_warc,
+    "op8_quality": op8_quality,
     "op9_language": op9_language,
     "op10_toxicity": op10_toxicity,
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    # Exact, from the definitions; the other queries are held against brute force in the tests.
+    "op1_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS c FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(list_zip(q.c, v.c), p -> p[1] * p[2])) AS BIGINT) AS score
+            FROM v q JOIN v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id
+        ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+        SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 10""",
+    "op7_warc": """
+        WITH p AS (
+            SELECT page_id, encode(coalesce(html, '')) AS b, sha256(coalesce(html, '')) AS d FROM pages
+        ), f AS (SELECT d, min(page_id) AS first_id FROM p WHERE octet_length(b) >= 100 GROUP BY d)
+        SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+               CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+        FROM p LEFT JOIN f ON p.d = f.d""",
+}
