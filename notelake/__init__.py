@@ -1,0 +1 @@
+"""Analytics over large collections of Markdown notes, as Spark DataFrames."""
