@@ -24,7 +24,7 @@ def _struct(**fields: S.DataType) -> S.StructType:
 
 
 TEXT, TEXTS = S.StringType(), S.ArrayType(S.StringType())
-ATTRIBUTES = _struct(title=TEXT, attributes=S.ArrayType(_struct(key=TEXT, ord=S.IntegerType(), value=TEXT, vtype=TEXT, is_array=S.BooleanType())))
+ATTRIBUTES = _struct(title=TEXT, created=TEXT, updated=TEXT, changed=TEXT, modified=TEXT, labels=TEXTS, attributes=S.ArrayType(_struct(key=TEXT, ord=S.IntegerType(), value=TEXT, vtype=TEXT, is_array=S.BooleanType())))
 
 _PLAIN = re.compile(r"^([A-Za-z0-9_][A-Za-z0-9_.-]*):(?:\s+(.*?))?\s*$")
 _ITEM = re.compile(r"^\s*-\s+(.*?)\s*$")
@@ -137,14 +137,15 @@ def read_front(front: str | None) -> list[tuple]:
 
 @F.pandas_udf(ATTRIBUTES)
 def front_attributes(fields: pd.Series, plain: pd.Series) -> pd.DataFrame:
-    """Attributes of ``fields`` (hash prefixes stripped) and the title of ``plain`` (not stripped)."""
-    titles, attributes = [], []
+    """Attributes of ``fields`` (hash prefixes stripped), the text ones that times and links come from, and the title of ``plain`` (not stripped)."""
+    rows = []
     for f, p in zip(fields, plain, strict=True):
         own = read_front(f)
+        single = {k: v for k, _, v, kind, many in own if kind == "string" and not many}
         other = own if f == p else read_front(p)
-        titles.append(next((v for k, _, v, t, many in other if k == "title" and t == "string" and not many), None))
-        attributes.append([dict(zip(("key", "ord", "value", "vtype", "is_array"), x, strict=True)) for x in own])
-    return pd.DataFrame({"title": pd.Series(titles, dtype=object), "attributes": attributes})
+        title = next((v for k, _, v, kind, many in other if k == "title" and kind == "string" and not many), None)
+        rows.append((title, *[single.get(k) for k in ("created", "updated", "changed", "modified")], [v.lower() for k, _, v, kind, _ in own if k == "labels" and kind == "string"], [dict(zip(("key", "ord", "value", "vtype", "is_array"), x, strict=True)) for x in own]))
+    return pd.DataFrame(rows, columns=[f.name for f in ATTRIBUTES.fields])
 
 
 def jaro_winkler_text(a: str, b: str) -> float:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Patterns of the note format: fixed values.
 TODO = r"^- \[([ xX])\] (.*)$"
+TODO_LINES = r"(?dm)^- \[[ xX]\] .*$"
 PRIORITY = r"priority:\s*([A-Z])"
 DUE = r"due:\s*(\d{4}-\d{2}-\d{2}|\d{8})"
 TAG = r"(?U)(?:^|\s)#([A-Za-zäöüÄÖÜß][A-Za-zäöüÄÖÜß/_]*)"
@@ -117,11 +118,10 @@ def raw_tags(text: Column | str) -> Column:
 def with_parents(tags: Column) -> Column:
     """``a/b/c`` also gives ``a`` and ``a/b``; first occurrences."""
 
-    def parents(tag: Column) -> Column:
-        parts = F.split(tag, "/")
-        return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(F.split(tag, "/"), F.lit(1), n), "/"))
+    def parents(parts: Column) -> Column:
+        return F.transform(parts, lambda _, n: F.array_join(F.slice(parts, F.lit(1), n + 1), "/"))
 
-    return F.array_distinct(F.flatten(F.transform(tags, parents)))
+    return F.array_distinct(F.flatten(F.transform(F.transform(tags, lambda tag: F.split(tag, "/")), parents)))
 
 
 def transliterate(s: Column) -> Column:

@@ -45,51 +45,49 @@ def strip_hashes(front: Column) -> Column:
 
 
 def parse(raw: DataFrame) -> DataFrame:
-    """One row for each note: ``filename, mtime, body, front_lines, front, front_links, title, attributes, todos``."""
+    """One row for each note, with its body, title, attributes, links, tags and times."""
     front = split_front(raw.select("filename", "content", F.col("mtime").cast("timestamp").alias("mtime")))
     plain = F.replace(F.replace("front", F.lit("[["), F.lit("")), F.lit("]]"), F.lit(""))
     read = (
         front.withColumn("body", T.strip_query_blocks("body")).withColumn("__plain", plain).withColumn("__fields", strip_hashes(F.col("__plain")))
-        .withColumn("__read", front_attributes("__fields", "__plain"))
+        .withColumn("read", front_attributes("__fields", "__plain")).drop("__plain", "__fields")
     )
-    named = read.withColumn("attributes", F.col("__read.attributes")).withColumn("title", F.coalesce("__read.title", T.title_of("filename")))
-    first = lambda key: F.try_element_at(F.transform(F.filter("attributes", lambda a: (a["key"] == key) & (a["vtype"] == "string") & ~a["is_array"]), lambda a: a["value"]), F.lit(1))
-    dates = F.filter(F.array(*[T.date_part(first(k)) for k in ("created", "changed", "modified")]), lambda d: d.isNotNull())
-    labels = F.transform(F.filter("attributes", lambda a: (a["key"] == "labels") & (a["vtype"] == "string")), lambda a: F.lower(a["value"]))
+    dates = F.filter(F.array(*[T.date_part(F.col(f"read.{k}")) for k in ("created", "changed", "modified")]), lambda d: d.isNotNull())
     own = F.coalesce(F.regexp_extract_all("front", F.lit(T.WIKI_LINK), F.lit(1)), F.array().cast("array<string>"))
-    with_links = named.withColumn("front_links", F.array_distinct(F.concat(own, dates, labels))).withColumn("note_updated", T.epoch_of_field(first("updated"))).withColumn("note_created", T.epoch_of_field(first("created")))
-    links = F.array_distinct(F.concat(T.links_of(T.link_dates("body")), F.col("front_links")))
-    return with_links.withColumn("links", links).withColumn("todos", _todos()).withColumn(
-        "tags", F.array_sort(F.array_distinct(F.concat(F.flatten(F.transform("todos", lambda t: t["tags"])), T.with_parents(T.raw_tags("body")))))
-    ).select(
-        "filename", "mtime", "front", "front_lines", "body", "title", "attributes", "front_links", "links", "tags", "todos",
+    # tag words count in todos only; a todo's hash tags are among the body's
+    words = F.flatten(F.transform(F.regexp_extract_all("body", F.lit(T.TODO_LINES), F.lit(0)), lambda line: F.regexp_extract_all(line, F.lit(T.TAG_WORD), F.lit(1))))
+    with_links = read.select(
+        "filename", "mtime", "front", "front_lines", "body", F.coalesce("read.title", T.title_of("filename")).alias("title"), F.col("read.attributes").alias("attributes"),
+        F.array_distinct(F.concat(own, dates, F.col("read.labels"))).alias("front_links"),
+        T.epoch_of_field(F.col("read.created")).alias("note_created"), T.epoch_of_field(F.col("read.updated")).alias("note_updated"),
+        F.regexp_count("body", F.lit(T.TODO_LINES)).alias("todo_count"),
+        F.array_sort(F.array_distinct(F.concat(words, T.with_parents(T.raw_tags("body"))))).alias("tags"),
+    )
+    return with_links.select(
+        "*", F.array_distinct(F.concat(T.links_of(T.link_dates("body")), F.col("front_links"))).alias("links"),
         F.coalesce("note_created", F.unix_seconds("mtime"), "note_updated").alias("created"), F.coalesce("note_updated", F.unix_seconds("mtime"), F.lit(0)).alias("updated"),
     )
 
 
-def _todos() -> Column:
-    """Todo structs of ``body``, in order."""
-
-    def todo(x: Column) -> Column:
-        content = T.trim(F.regexp_extract(x["line"], T.TODO, 2))
-        priority, due = F.regexp_extract(content, T.PRIORITY, 1), T.compact_date(F.regexp_extract(content, T.DUE, 1))
-        due = F.when(due != "", due)
-        day = lambda s: T.epoch_of_compact(T.compact_date(s))
-        wiki = F.regexp_extract(content, T.WIKI_DATE, 1)
-        bare = F.filter(F.transform(F.regexp_extract_all(content, F.lit(T.BARE_DATE), F.lit(1)), day), lambda t: t.isNotNull())
-        return F.struct(
-            (F.lower(F.regexp_extract(x["line"], T.TODO, 1)) == "x").alias("closed"),
-            F.when(priority != "", priority).alias("priority"),
-            due.alias("due"),
-            content.alias("text"),
-            F.concat(T.raw_tags(content), F.regexp_extract_all(content, F.lit(T.TAG_WORD), F.lit(1))).alias("tags"),
-            T.links_of(content).alias("links"),
-            (x["n"] + F.col("front_lines")).cast("int").alias("line_number"),
-            F.coalesce(T.epoch_of_compact(due), F.when(wiki != "", day(wiki)), F.try_element_at(bare, F.lit(1)), F.col("note_updated"), F.col("note_created"), F.lit(0)).cast("long").alias("updated"),
-        )
-
-    numbered = F.transform(T.lines("body"), lambda line, n: F.struct(line.alias("line"), (n + 1).alias("n")))
-    return F.transform(F.filter(numbered, lambda x: x["line"].rlike(T.TODO)), todo)
+def todos(parsed: DataFrame) -> DataFrame:
+    """A row for each todo line of each body."""
+    lines = parsed.select("filename", "front_lines", "note_created", "note_updated", F.posexplode(T.lines("body")).alias("n", "line")).filter(F.col("line").rlike(T.TODO))
+    content = lines.select(
+        "filename", (F.col("n") + 1 + F.col("front_lines")).cast("int").alias("line_number"), "note_created", "note_updated",
+        (F.lower(F.regexp_extract("line", T.TODO, 1)) == "x").alias("closed"), T.trim(F.regexp_extract("line", T.TODO, 2)).alias("text"),
+    )
+    found = lambda pattern: F.nullif(F.regexp_extract("text", pattern, 1), F.lit(""))
+    day = lambda s: T.epoch_of_compact(T.compact_date(s))
+    bare = F.filter(F.transform(F.regexp_extract_all("text", F.lit(T.BARE_DATE), F.lit(1)), day), lambda t: t.isNotNull())
+    fields = content.select(
+        "*", found(T.PRIORITY).alias("priority"), T.compact_date(found(T.DUE)).alias("due"),
+        F.concat(T.raw_tags("text"), F.regexp_extract_all("text", F.lit(T.TAG_WORD), F.lit(1))).alias("tags"), T.links_of("text").alias("links"),
+        F.coalesce(day(found(T.WIKI_DATE)), F.try_element_at(bare, F.lit(1))).alias("__date"),
+    )
+    return fields.select(
+        F.concat_ws("#", "filename", F.col("line_number").cast("string")).alias("todo_id"), "filename", "closed", "priority", "due", F.to_date(F.try_to_timestamp("due", F.lit("yyyyMMdd"))).alias("due_date"),
+        "text", "tags", "links", "line_number", F.coalesce(T.epoch_of_compact(F.col("due")), "__date", "note_updated", "note_created", F.lit(0)).cast("long").alias("updated"),
+    )
 
 
 # --- tables ----------------------------------------------------------------------------------------
@@ -230,9 +228,7 @@ class Index:
 
 def build_index(raw: DataFrame, mapping: dict[str, str] | None = MAPPING) -> Index:
     parsed = parse(raw)
-    notes = parsed.select("filename", "created", "updated", "title", F.size("todos").alias("todo_count"), F.size("links").alias("link_count"), "links", "body", "tags")
-    todos = parsed.select("filename", F.explode("todos").alias("t")).select(
-        F.concat_ws("#", "filename", F.col("t.line_number").cast("string")).alias("todo_id"), "filename", "t.closed", "t.priority", "t.due", F.to_date(F.try_to_timestamp("t.due", F.lit("yyyyMMdd"))).alias("due_date"), "t.text", "t.tags", "t.links", "t.line_number", "t.updated"
-    )
+    notes = parsed.select("filename", "created", "updated", "title", "todo_count", F.size("links").alias("link_count"), "links", "body", "tags")
+    rows = todos(parsed)
     flat = lambda df, key, column, name: df.select(key, F.explode(F.array_distinct(column)).alias(name))
-    return Index(parsed, notes, todos, flat(notes, "filename", "tags", "tag"), flat(notes, "filename", "links", "link"), flat(todos, "todo_id", "tags", "tag"), flat(todos, "todo_id", "links", "link"), mapping)
+    return Index(parsed, notes, rows, flat(notes, "filename", "tags", "tag"), flat(notes, "filename", "links", "link"), flat(rows, "todo_id", "tags", "tag"), flat(rows, "todo_id", "links", "link"), mapping)

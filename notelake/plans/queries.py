@@ -311,18 +311,22 @@ def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.notes_raw(spark, sf_dir).select("filename", "mtime")
 
 
-_KEY = F.regexp_extract("filename", r"(\d+)\.md$", 1).cast("long")
+def _key() -> F.Column:
+    """The number in a generated filename."""
+    return F.regexp_extract("filename", r"(\d+)\.md$", 1).cast("long")
+
+
 _KEYED = "(SELECT filename, CAST(regexp_extract(filename, '(\\d+)\\.md$', 1) AS BIGINT) AS k FROM n) x"
 on_tables("incremental_changed", f"SELECT filename FROM {_KEYED} WHERE k % 5 <> 1", True)(
-    lambda s, d: maintenance.changed(_listing(s, d), _listing(s, d).filter(_KEY % 5 < 4).withColumn("mtime", F.when(_KEY % 5 == 1, F.col("mtime")).when(_KEY % 5 == 2, F.lit(None)).otherwise(F.col("mtime") - F.expr("interval 1 hour"))).filter(_KEY % 5 > 0)).select("filename")
+    lambda s, d: maintenance.changed(_listing(s, d), _listing(s, d).filter(_key() % 5 < 4).withColumn("mtime", F.when(_key() % 5 == 1, F.col("mtime")).when(_key() % 5 == 2, F.lit(None)).otherwise(F.col("mtime") - F.expr("interval 1 hour"))).filter(_key() % 5 > 0)).select("filename")
 )
 register("upsert_notes", f"SELECT filename, CASE WHEN k % 10 = 0 THEN 'new' ELSE 'old' END AS state FROM {_KEYED}")(
-    lambda x: maintenance.upsert(x.notes.select("filename", F.lit("old").alias("state")), x.notes.filter(_KEY % 10 == 0).select("filename", F.lit("new").alias("state")))
+    lambda x: maintenance.upsert(x.notes.select("filename", F.lit("old").alias("state")), x.notes.filter(_key() % 10 == 0).select("filename", F.lit("new").alias("state")))
 )
-register("orphans", f"SELECT filename FROM {_KEYED} WHERE k % 7 = 0")(lambda x: maintenance.orphans(x.note_tags.select("filename").unionByName(x.notes.select("filename")), x.notes.filter(_KEY % 7 != 0)))
-register("pruned_tags", "SELECT filename, tag FROM g WHERE CAST(regexp_extract(filename, '(\\d+)\\.md$', 1) AS BIGINT) % 7 <> 0")(lambda x: maintenance.prune(x.note_tags, x.notes.filter(_KEY % 7 != 0).select("filename")))
+register("orphans", f"SELECT filename FROM {_KEYED} WHERE k % 7 = 0")(lambda x: maintenance.orphans(x.note_tags.select("filename").unionByName(x.notes.select("filename")), x.notes.filter(_key() % 7 != 0)))
+register("pruned_tags", "SELECT filename, tag FROM g WHERE CAST(regexp_extract(filename, '(\\d+)\\.md$', 1) AS BIGINT) % 7 <> 0")(lambda x: maintenance.prune(x.note_tags, x.notes.filter(_key() % 7 != 0).select("filename")))
 on_tables("refresh_summary", f"SELECT CASE WHEN k % 3 = 0 THEN 'removed' WHEN k % 11 = 1 THEN 'error' ELSE 'updated' END AS action, count(*) AS n FROM {_KEYED} WHERE k % 2 = 0 GROUP BY 1", True)(
-    lambda s, d: maintenance.summary(maintenance.refresh_actions(_listing(s, d).filter(_KEY % 2 == 0), _listing(s, d).filter(_KEY % 3 != 0), _listing(s, d).filter((_KEY % 11 == 1) & (_KEY % 3 != 0))))
+    lambda s, d: maintenance.summary(maintenance.refresh_actions(_listing(s, d).filter(_key() % 2 == 0), _listing(s, d).filter(_key() % 3 != 0), _listing(s, d).filter((_key() % 11 == 1) & (_key() % 3 != 0))))
 )
 register("backfill_note_tags", "SELECT filename, tag FROM g")(lambda x: maintenance.backfill(x.notes.select("filename", F.to_json("tags").alias("tags_json")), "tags_json", "tag"))
 
