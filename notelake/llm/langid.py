@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from .common import id_split, keep_rows, pick_rows, sample_ids
 
 #: Most documents that the model is fitted on, over all languages.
-SAMPLE_DOCS = 4096
+SAMPLE_DOCS = 2048
 #: Most languages that are learned, the commonest first.
 MAX_LANGS = 64
-BUCKETS = 1 << 13
+BUCKETS = 1 << 12
 DIM = 16
 UNKNOWN = "und"
 
@@ -146,12 +146,14 @@ def fit(docs: DataFrame, learn=None) -> LangModel:
         part = sample_ids(rows.filter(F.col("lang") == lang).select("doc_id"), "doc_id", SAMPLE_DOCS // len(langs))
         ids = part if ids is None else ids.unionByName(part)
     sample = pick_rows(rows.filter(F.col("lang").isin(langs)).select("doc_id", "text", "lang"), ids, "doc_id")
-    got = sample.select("text", "lang").limit(SAMPLE_DOCS).mapInArrow(_features, "lang string, x binary").collect()
-    got.sort(key=lambda r: (bytes(r["x"][:64]), r["lang"]))
-    rng = np.random.default_rng(3)
-    got = [got[i] for i in rng.permutation(len(got))]
-    x = np.stack([np.frombuffer(r["x"], np.float32) for r in got])
-    y = np.array([langs.index(r["lang"]) for r in got])
+    got = sample.select("text", "lang").limit(SAMPLE_DOCS).mapInArrow(_features, "lang string, x binary").toArrow()
+    x = np.empty((len(got), BUCKETS), np.float32)
+    for k, cell in enumerate(got.column("x")):
+        x[k] = np.frombuffer(cell.as_buffer(), np.float32)
+    y = np.array([langs.index(k) for k in got.column("lang").to_pylist()], np.int64)
+    # rows come in any order: sort, then mix
+    order = np.random.default_rng(3).permutation(np.lexsort((x[:, 1], x[:, 0], x.argmax(axis=1), y)))
+    x, y = x[order], y[order]
     return fit_arrays(x, y, langs)
 
 
