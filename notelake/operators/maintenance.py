@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 def changed(listing: DataFrame, state: DataFrame) -> DataFrame:
     """Files of ``listing`` (``filename, mtime``) that ``state`` doesn't have with that time."""
-    last = state.select("filename", F.col("mtime").alias("__last"))
-    return listing.join(last, "filename", "left").filter(~F.col("mtime").eqNullSafe(F.col("__last"))).drop("__last")
+    last = state.select("filename", F.col("mtime").alias("__last"), F.lit(True).alias("__known"))
+    return listing.join(last, "filename", "left").filter(F.col("__known").isNull() | ~F.col("mtime").eqNullSafe(F.col("__last"))).drop("__last", "__known")
 
 
 def upsert(table: DataFrame, batch: DataFrame, key: str = "filename") -> DataFrame:

@@ -51,7 +51,9 @@ def index_of(spark: SparkSession, sf_dir: str) -> Index:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # times without a zone are UTC
+    return rows.withColumns({c: F.col(c).cast("timestamp") for c, kind in rows.dtypes if kind == "timestamp_ntz"})
 
 
 def joined(column: str, name: str | None = None) -> F.Column:
@@ -459,7 +461,9 @@ on_tables("history_notes", """SELECT strftime(make_timestamp(vts * 1000000), '%Y
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet")
+    """The events as a stream of files; the table is a file or a folder of files."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @on_tables("stream_latest_note", "SELECT 'u/' || user_id || '.md' AS filename, max(event_id) AS version FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS r FROM events) x WHERE r = 1 AND event_type <> 'error' GROUP BY 1")

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming import StreamingQuery
 
@@ -27,13 +28,9 @@ def latest_versions(versions: DataFrame) -> DataFrame:
     return last.filter(~F.coalesce("v.deleted", F.lit(False))).select("filename", "v.content", "v.mtime")
 
 
-def visit_windows(visits: DataFrame, window: str = WINDOW, late: str = LATE) -> DataFrame:
-    """Visits by browser in tumbling windows; ``ts`` is a timestamp."""
-    return visits.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "browser").agg(F.count("*").alias("n_visits"), F.approx_count_distinct("url").alias("n_urls")).select(F.col("w.start").alias("window_start"), "browser", "n_visits", "n_urls")
-
-
 def visit_counts(visits: DataFrame, window: str = WINDOW, late: str = LATE) -> DataFrame:
-    return visit_windows(visits, window, late).drop("n_urls")
+    """Visits by browser in tumbling windows; ``ts`` is a timestamp."""
+    return visits.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "browser").agg(F.count("*").alias("n_visits")).select(F.col("w.start").alias("window_start"), "browser", "n_visits")
 
 
 def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
@@ -49,7 +46,7 @@ def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
 
         query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema if mode == "append" else stream.schema.add("__batch", "int")).option("recursiveFileLookup", "true").parquet(out)
+    return spark.read.schema(stream.schema if mode == "append" else S.StructType([*stream.schema.fields, S.StructField("__batch", S.IntegerType())])).option("recursiveFileLookup", "true").parquet(out)
 
 
 def latest_of_updates(updates: DataFrame, key: str) -> DataFrame:
