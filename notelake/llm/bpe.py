@@ -161,9 +161,9 @@ class Codec:
         found = dict(zip(words, self.merge([w.encode() for w in words]), strict=True))
         return [b"".join([found[w] for w in parts]) for parts in split]
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return self.known.ids(text or "")
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        return self.known.ids([t or "" for t in texts])
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -192,8 +192,7 @@ def encode(docs: DataFrame, derive: Derived = IDS, path: str | None = None, patt
         own = codec(path, pattern)
         for batch in batches:
             rows: list[list] = [[] for _ in derive]
-            for text in batch.column("text"):
-                ids = own.encode(text.as_py())
+            for ids in own.encode(batch.column("text").to_pylist()):
                 for values, (_, _, make) in zip(rows, derive.values(), strict=True):
                     values.append(make(ids, own))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {k: pa.array(v, kind) for v, (k, (_, kind, _)) in zip(rows, derive.items(), strict=True)})

@@ -69,8 +69,9 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                ids = known.ids(text.as_py() or "") + end
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for doc_id, ids in zip(batch.column("doc_id"), known.ids(texts), strict=True):
+                ids += end
                 for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     part = ids[4 * start : 4 * (start + length)]
                     for name, v in zip(out, (doc_id.as_py(), k, start, length, zlib.crc32(part), np.frombuffer(part, "<u4").astype(np.int32) if with_ids else None), strict=True):

@@ -49,16 +49,31 @@ def units(text: str) -> list[str]:
 class UnitTable:
     """``unit -> ids`` (little-endian unsigned 32-bit) of a bounded number of units; ``encode`` gives ids of new ones."""
 
-    def __init__(self, encode, most: int = 300_000):
+    #: Characters of text whose new units are encoded together.
+    TOGETHER = 2_000_000
+
+    def __init__(self, encode, most: int = 800_000):
         self.encode, self.most, self.known = encode, most, {}
 
-    def ids(self, text: str) -> bytes:
-        parts = units(text)
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            size, end = 0, at
+            while end < len(texts) and (end == at or size + len(texts[end]) <= self.TOGETHER):
+                size += len(texts[end])
+                end += 1
+            out += self._together([units(t) for t in texts[at:end]])
+            at = end
+        return out
+
+    def _together(self, split: list[list[str]]) -> list[bytes]:
         known = self.known
-        if new := set(parts).difference(known):
-            if len(known) + len(new) > self.most:
-                known.clear()
-                new = set(parts)
+        seen = set().union(*split)
+        if new := seen.difference(known):
+            if len(known) + len(new) > self.most:  # units of these texts are those most likely to come again
+                known = self.known = {u: known[u] for u in seen if u in known}
             new = list(new)
             known.update(zip(new, self.encode(new), strict=True))
-        return b"".join(map(known.__getitem__, parts))
+        return [b"".join(map(known.__getitem__, parts)) for parts in split]

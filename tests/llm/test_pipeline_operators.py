@@ -123,7 +123,7 @@ def test_units_encode_as_the_whole_text(text):
     assert "".join(units(text)) == text
     whole = Tokenizer.from_file(packing.default_vocabulary()) if not hasattr(test_units_encode_as_the_whole_text, "t") else test_units_encode_as_the_whole_text.t
     test_units_encode_as_the_whole_text.t = whole
-    ids = np.frombuffer(packing.unit_table(packing.default_vocabulary()).ids(text), "<u4").tolist()
+    ids = np.frombuffer(packing.unit_table(packing.default_vocabulary()).ids([text])[0], "<u4").tolist()
     assert ids == whole.encode(text, add_special_tokens=False).ids
 
 
