@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +48,23 @@ def unit_table(path: str) -> UnitTable:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
+        def split_at(found, starts: list[int]) -> list[bytes]:
+            """Ids of the parts of a text that begin at ``starts``."""
+            ids = np.array(found.ids, "<u4").tobytes()
+            at = np.searchsorted(np.fromiter((o[0] for o in found.offsets), np.int64, len(found.offsets)), starts) * 4
+            return [ids[x:y] for x, y in zip(at.tolist(), [*at[1:].tolist(), len(ids)], strict=True)]
+
         def encode(new: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(new, add_special_tokens=False)]
+            # words with the space or line feed before them are encoded as one text: it is split before each of them
+            follows = [u for u in new if u[0] in " \n" and not u.isspace()]
+            known: dict[str, bytes] = {}
+            for at in range(0, len(follows), 4096):
+                part = follows[at : at + 4096]
+                starts = [0, *accumulate(map(len, part[:-1]))]
+                known.update(zip(part, split_at(tokenizer.encode("".join(part), add_special_tokens=False), starts), strict=True))
+            rest = [u for u in new if u not in known]
+            known.update((u, np.array(e.ids, "<u4").tobytes()) for u, e in zip(rest, tokenizer.encode_batch(rest, add_special_tokens=False), strict=True))
+            return [known[u] for u in new]
 
         _TABLES[path] = UnitTable(encode)
     return _TABLES[path]

@@ -52,7 +52,7 @@ class UnitTable:
     #: Characters of text whose new units are encoded together.
     TOGETHER = 2_000_000
 
-    def __init__(self, encode, most: int = 800_000):
+    def __init__(self, encode, most: int = 1_000_000):
         self.encode, self.most, self.known = encode, most, {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -74,6 +74,13 @@ class UnitTable:
         if new := seen.difference(known):
             if len(known) + len(new) > self.most:  # units of these texts are those most likely to come again
                 known = self.known = {u: known[u] for u in seen if u in known}
-            new = list(new)
-            known.update(zip(new, self.encode(new), strict=True))
+            self._learn(new)
         return [b"".join(map(known.__getitem__, parts)) for parts in split]
+
+    def _learn(self, new: set[str]) -> None:
+        """Encodes new units; a comma or full stop after a letter is a match of its own, so the word is looked up without it."""
+        known = self.known
+        bare = {u: u[:-1] for u in new if len(u) > 2 and u[-1] in ",." and "a" <= u[-2] <= "z"}
+        fresh = [u for u in new.difference(bare).union(bare.values(), (",", ".")) if u not in known]
+        known.update(zip(fresh, self.encode(fresh), strict=True))
+        known.update((u, known[word] + known[u[-1]]) for u, word in bare.items())
