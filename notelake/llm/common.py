@@ -2,42 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_ROOT: dict[str, str] = {}
+from ..scratch import scratch_path, stash
 
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_ROOT:
-        _OWN_ROOT[app] = "file://" + tempfile.mkdtemp(prefix="spark-notelake-")
-    return _OWN_ROOT[app]
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path for a table or a folder in the shared scratch folder."""
-    return f"{scratch_root(spark)}/notelake-{name}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared scratch folder and reads it again.
-
-    This cuts the lineage: what was computed once is not computed again for a second use or
-    after an executor is lost.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["id_split", "keep_rows", "pick_rows", "sample_ids", "scratch_path", "stash", "table"]
 
 
 def id_split(column: str, parts: int) -> Column:
