@@ -18,6 +18,9 @@ from ..functions.python import front_attributes
 MAPPING = {"participant": "people", "participants": "people"}
 MIN_ISSUE_WORDS = 20
 
+# marked so that conditions on its result don't run it once more below
+_FRONT = front_attributes.asNondeterministic()
+
 
 def split_front(raw: DataFrame) -> DataFrame:
     """Adds ``front`` (null without frontmatter), ``body`` and ``front_lines``."""
@@ -50,7 +53,7 @@ def parse(raw: DataFrame) -> DataFrame:
     plain = F.replace(F.replace("front", F.lit("[["), F.lit("")), F.lit("]]"), F.lit(""))
     read = (
         front.withColumn("body", T.strip_query_blocks("body")).withColumn("__plain", plain).withColumn("__fields", strip_hashes(F.col("__plain")))
-        .withColumn("read", front_attributes("__fields", "__plain")).drop("__plain", "__fields")
+        .withColumn("read", _FRONT("__fields", "__plain")).drop("__plain", "__fields")
     )
     dates = F.filter(F.array(*[T.date_part(F.col(f"read.{k}")) for k in ("created", "changed", "modified")]), lambda d: d.isNotNull())
     own = F.coalesce(F.regexp_extract_all("front", F.lit(T.WIKI_LINK), F.lit(1)), F.array().cast("array<string>"))
@@ -150,7 +153,7 @@ def body_attributes(parsed: DataFrame) -> DataFrame:
 
 def merge_attributes(parsed: DataFrame, mapping: dict[str, str] | None = None, from_body: bool = True, to_ascii: bool = True) -> DataFrame:
     """``filename, key, ord, value, vtype, is_array`` of frontmatter and body, renamed by ``mapping``, without repeats."""
-    front = parsed.select("filename", F.explode("attributes").alias("a")).select("filename", F.col("a.key").alias("key"), F.lit(0).alias("source"), F.col("a.ord").alias("ord"), F.col("a.value").alias("value"), F.col("a.vtype").alias("vtype"), F.col("a.is_array").alias("is_array"))
+    front = parsed.select("filename", F.explode_outer("attributes").alias("a")).filter("a is not null").select("filename", F.col("a.key").alias("key"), F.lit(0).alias("source"), F.col("a.ord").alias("ord"), F.col("a.value").alias("value"), F.col("a.vtype").alias("vtype"), F.col("a.is_array").alias("is_array"))
     rows = front
     if from_body:
         rows = front.unionByName(body_attributes(parsed).select("filename", "key", F.lit(1).alias("source"), "ord", "value", F.lit("string").alias("vtype"), F.lit(True).alias("is_array")))
@@ -230,5 +233,6 @@ def build_index(raw: DataFrame, mapping: dict[str, str] | None = MAPPING) -> Ind
     parsed = parse(raw)
     notes = parsed.select("filename", "created", "updated", "title", "todo_count", F.size("links").alias("link_count"), "links", "body", "tags")
     rows = todos(parsed)
-    flat = lambda df, key, column, name: df.select(key, F.explode(F.array_distinct(column)).alias(name))
+    # the outer form: else Spark computes the array once more, to drop empty ones below
+    flat = lambda df, key, column, name: df.select(key, F.explode_outer(F.array_distinct(column)).alias(name)).filter(F.col(name).isNotNull())
     return Index(parsed, notes, rows, flat(notes, "filename", "tags", "tag"), flat(notes, "filename", "links", "link"), flat(rows, "todo_id", "tags", "tag"), flat(rows, "todo_id", "links", "link"), mapping)
