@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notelake.llm import langid, packing, simhash, toxicity
+from notelake.llm import jaccard, langid, packing, toxicity
 from notelake.llm.common import stash, table
 
 
@@ -19,8 +19,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    return simhash.keep_one(docs)
+    """The document with the smallest id of each group of near duplicates: 5-word shingles, Jaccard 0.8 or more."""
+    return jaccard.keep_one(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
