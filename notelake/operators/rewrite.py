@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Most words of an entity name that is looked for.
+#: Words of an entity's name that it meets notes by.
 MAX_NAME_WORDS = 6
 
 _LINKED = re.compile(r"\[\[.*?\]\]|\[[^\]]*\]\([^)]*\)", re.S)
@@ -24,11 +24,12 @@ def _words(s: Column) -> Column:
 
 
 def candidates(notes: DataFrame, names: DataFrame) -> DataFrame:
-    """``filename, names``: the entity names whose words stand one after another in a note's text.
+    """``filename, names``: the entity names whose first ``MAX_NAME_WORDS`` words stand one after another in a note's text.
 
     Notes and names meet on runs of words, so no note is held against all names.
     """
-    asked = names.select("name", F.array_join(_words(F.col("name")), " ").alias("run"), F.size(_words(F.col("name"))).alias("n")).filter(F.col("n").between(1, MAX_NAME_WORDS)).distinct()
+    first = F.slice(_words(F.col("name")), 1, MAX_NAME_WORDS)
+    asked = names.select("name", F.array_join(first, " ").alias("run"), F.size(first).alias("n")).filter("n > 0").distinct()
     lengths = sorted(r["n"] for r in asked.select("n").distinct().collect()) or [1]  # at most MAX_NAME_WORDS
     words = notes.select("filename", _words(F.col("body")).alias("w"))
     runs = F.flatten(F.transform(F.array(*map(F.lit, lengths)), lambda n: F.transform(F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>")), lambda k: F.array_join(F.slice("w", k, n), " "))))

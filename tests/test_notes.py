@@ -156,6 +156,20 @@ def test_linker():
     assert rewrite.link_text("nothing", ["a b"]) == ("nothing", 0)
 
 
+def linked(spark, rows, names):
+    """Notes of ``link_entities``, and of the matcher on every note with every name."""
+    notes = spark.createDataFrame(rows, "filename string, body string")
+    got = {(r["filename"], r["body"], r["n_links"]) for r in rewrite.link_entities(notes, spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    return got, {(f, *rewrite.link_text(b, names)) for f, b in rows if rewrite.link_text(b, names)[1]}
+
+
+def test_linker_long_names(spark):
+    names = ["one two three four five six seven", "One_two-three four five six eight nine", "one two"]
+    rows = [("a", "on one two three four five six seven, again"), ("b", "one two three four five six Eight_nine"), ("c", "one two three four five six"), ("d", "two three")]
+    got, want = linked(spark, rows, names)
+    assert got == want and {f for f, _, _ in got} == {"a", "b", "c"} and all("[[one two three four five six seven]]" in b for f, b, _ in got if f == "a")
+
+
 def test_rewrites(spark):
     rows = spark.createDataFrame([("f", "---\nupdated: old\n---\n- [ ] a\n- [ ] b ✅ x\n## Yournal\n- old"), ("g", "no front")], "filename string, content string")
     stamped = {r[0]: r[1] for r in rows.select("filename", rewrite.stamp_updated("content", "now")).collect()}
