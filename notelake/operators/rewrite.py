@@ -20,7 +20,8 @@ _EDGE = r"[0-9A-Za-z_\-]"
 
 
 def _words(s: Column) -> Column:
-    return F.filter(F.split(T.ascii_lower(s), r"[^0-9a-z\x{80}-\x{10FFFF}]+"), lambda w: w != "")
+    """ASCII words, and each other character from U+0080 up by itself: the matcher allows an edge beside those."""
+    return F.regexp_extract_all(T.ascii_lower(s), F.lit(r"[0-9a-z]+|[\x{80}-\x{10FFFF}]"), F.lit(0))
 
 
 def candidates(notes: DataFrame, names: DataFrame) -> DataFrame:

@@ -170,6 +170,13 @@ def test_linker_long_names(spark):
     assert got == want and {f for f, _, _ in got} == {"a", "b", "c"} and all("[[one two three four five six seven]]" in b for f, b, _ in got if f == "a")
 
 
+def test_linker_beside_other_characters(spark):
+    rows = [("a", "in “Orchard” now"), ("b", "会议在Orchard举行"), ("c", "plan—Orchard Farm…"), ("d", "an Orchards"), ("e", "Café Nord, 😀Ann"), ("f", "xCafé Nord"), ("g", None)]
+    got, want = linked(spark, rows[:-1], ["Orchard", "Orchard Farm", "Café Nord", "Ann", "会议"])
+    assert got == want and {f for f, _, _ in got} == {"a", "b", "c", "e"}
+    assert rewrite.link_entities(spark.createDataFrame(rows, "filename string, body string"), spark.createDataFrame([("Ann",)], "name string")).count() == 1
+
+
 def test_rewrites(spark):
     rows = spark.createDataFrame([("f", "---\nupdated: old\n---\n- [ ] a\n- [ ] b ✅ x\n## Yournal\n- old"), ("g", "no front")], "filename string, content string")
     stamped = {r[0]: r[1] for r in rows.select("filename", rewrite.stamp_updated("content", "now")).collect()}
