@@ -221,6 +221,21 @@ def test_html_mail_and_word(spark, tmp_path):
     assert got["a"] == ("Head", "## Head\n\ntext") and got["b"][1] == ""
 
 
+def test_mail_body_on_all_documents(spark, sf_dir):
+    style = ("@font-face", "font-family", "font-size", "mso-", "panose-1", "{", "}", "p.mso", "div.mso", "span.", "@page", "@list", "/*", "*/", "<!--", "-->")
+
+    def plain(text):
+        rows = [x for x in text.replace("\r\n", "\n").split("\n") if not x.strip(" \t\r").lower().startswith(style)]
+        rows = [re.sub(r"\\([\\`*_{}\[\]()#+\-.!>])", r"\1", x) for x in rows]
+        return "\n".join(re.sub(r"[ \t]*\*+[ \t]*$", "", x) for x in rows)
+
+    odd = ["a\\_b \\* **\n{x}\n  Font-Size: 3\ny * z *", "<!-- a\n@page b\r\n\\\\*\n**", "span.x\nP.Mso\nfont\n\\q"]
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null").collect()] + [(-1 - k, t) for k, t in enumerate(odd)]
+    assert any(set("\\*@{}<") & set(t) for i, t in rows if i >= 0)
+    got = {r["doc_id"]: r["cleaned"] for r in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", ingest.clean_mail_body(F.col("text")).alias("cleaned")).collect()}
+    assert [i for i, t in rows if got[i] != plain(t)] == []
+
+
 def test_threads(spark):
     posts = [("t", "1", None, "t1", "a", "one", 0), ("t", "2", "1", "t1", "b", "[deleted]", 0), ("t", "3", "2", "t1", "c", "three", 0), ("t", "4", None, "t1", "d", "four", 1), ("t", "5", None, "more", "", "x", 2)]
     got = ingest.flatten_thread(spark.createDataFrame(posts, "thread string, id string, parent string, kind string, author string, text string, ord int")).orderBy("number").collect()
