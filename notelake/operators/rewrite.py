@@ -98,11 +98,12 @@ def journal_entry(text: Column, as_todo: Column, day: str) -> Column:
 
 def journal_append(notes: DataFrame, entries: DataFrame) -> DataFrame:
     """``filename, content`` with each file's entries (``filename, ts, line``) under the journal heading, newest first; lines that are there stay single."""
-    new = entries.groupBy("filename").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "line")), asc=False), lambda x: x["line"]).alias("__new"))
+    single = entries.groupBy("filename", "line").agg(F.max("ts").alias("ts"))
+    new = single.groupBy("filename").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "line")), asc=False), lambda x: x["line"]).alias("__new"))
     joined = notes.join(new, "filename")
     base = F.when(F.array_contains(F.split("content", "\n"), JOURNAL), F.col("content")).otherwise(F.concat(F.regexp_replace("content", r"\n*$", ""), F.lit(f"\n\n{JOURNAL}\n")))
     rows = joined.select("filename", "__new", F.split(base, "\n").alias("__rows")).withColumn("__at", F.array_position("__rows", JOURNAL).cast("int"))
-    fresh = F.filter(F.array_distinct("__new"), lambda x: ~F.array_contains("__rows", x))
+    fresh = F.filter("__new", lambda x: ~F.array_contains("__rows", x))
     return rows.select("filename", F.array_join(F.concat(F.slice("__rows", F.lit(1), F.col("__at")), fresh, F.slice("__rows", F.col("__at") + 1, F.size("__rows"))), "\n").alias("content"))
 
 

@@ -188,6 +188,15 @@ def test_rewrites(spark):
     assert journal["f"].endswith("## Yournal\n- newer\n- new\n- old") and journal["g"] == "no front\n\n## Yournal\n- e\n"
 
 
+def test_journal_gathers_single_lines(spark, capsys):
+    entries = spark.range(3000).selectExpr("'f' as filename", "id as ts", "concat('- ', id % 3) as line")
+    rows = spark.createDataFrame([("f", "# f\n")], "filename string, content string")
+    journal = rewrite.journal_append(rows, entries)
+    assert journal.collect()[0]["content"].endswith("## Yournal\n- 2\n- 1\n- 0\n")
+    journal.explain()
+    assert "max(ts" in capsys.readouterr().out
+
+
 def test_maintenance(spark):
     listing = spark.createDataFrame([("a", 1), ("b", 2), ("c", None)], "filename string, mtime int")
     state = spark.createDataFrame([("a", 1), ("b", 1)], "filename string, mtime int")
