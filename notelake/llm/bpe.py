@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .units import UnitTable
+from .units import Ids, UnitTable, filled, gathered
 
 _NONE = np.int64(1) << 40
 #: Bytes up to which matches are merged together.
@@ -155,15 +155,23 @@ class Codec:
                     out[k] = ids
         return out
 
-    def _encode_units(self, new: list[str]) -> list[bytes]:
-        split = [self.pattern.findall(u) for u in new]
+    def _encode_units(self, new: pa.StringArray) -> Ids:
+        split = [self.pattern.findall(u) for u in new.to_pylist()]
         words = list({w for parts in split for w in parts})
         found = dict(zip(words, self.merge([w.encode() for w in words]), strict=True))
-        return [b"".join([found[w] for w in parts]) for parts in split]
+        own = [b"".join([found[w] for w in parts]) for parts in split]
+        return np.frombuffer(b"".join(own), "<u4"), np.array([len(x) // 4 for x in own], np.int32)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        return self.known.ids([t or "" for t in texts])
+        return [ids for _, ids in self.encoded(pa.array(texts, pa.string()))]
+
+    def encoded(self, texts: pa.Array) -> Iterator[tuple[int, bytes]]:
+        """Number and ids of each text, in order."""
+        for first, ids, ends in self.known.groups(filled(texts)):
+            raw = ids.astype("<u4", copy=False).tobytes()
+            for k, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+                yield first + k, raw[4 * a : 4 * b]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -190,9 +198,9 @@ def encode(docs: DataFrame, derive: Derived = IDS, path: str | None = None, patt
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in batches:
+        for batch in gathered(batches, "text"):
             rows: list[list] = [[] for _ in derive]
-            for ids in own.encode(batch.column("text").to_pylist()):
+            for _, ids in own.encoded(batch.column("text")):
                 for values, (_, _, make) in zip(rows, derive.values(), strict=True):
                     values.append(make(ids, own))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {k: pa.array(v, kind) for v, (k, (_, kind, _)) in zip(rows, derive.items(), strict=True)})

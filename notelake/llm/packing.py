@@ -17,18 +17,20 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stash
-from .units import UnitTable
+from .units import Ids, UnitTable, expand, filled, gathered
 
 CAPACITY = 1024
 END_ID = 2
+#: Units that begin a match whatever stands before them, and that nothing after them joins.
+FOLLOWS = r"\A[ \n][^ \n\t\x0b\x0c\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 _TABLES: dict[str, UnitTable] = {}
 
@@ -48,52 +50,62 @@ def unit_table(path: str) -> UnitTable:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
-        def split_at(found, starts: list[int]) -> list[bytes]:
-            """Ids of the parts of a text that begin at ``starts``."""
-            ids = np.array(found.ids, "<u4").tobytes()
-            at = np.searchsorted(np.fromiter((o[0] for o in found.offsets), np.int64, len(found.offsets)), starts) * 4
-            return [ids[x:y] for x, y in zip(at.tolist(), [*at[1:].tolist(), len(ids)], strict=True)]
-
-        def encode(new: list[str]) -> list[bytes]:
-            # words with the space or line feed before them are encoded as one text: it is split before each of them
-            follows = [u for u in new if u[0] in " \n" and not u.isspace()]
-            known: dict[str, bytes] = {}
-            for at in range(0, len(follows), 4096):
-                part = follows[at : at + 4096]
-                starts = [0, *accumulate(map(len, part[:-1]))]
-                known.update(zip(part, split_at(tokenizer.encode("".join(part), add_special_tokens=False), starts), strict=True))
-            rest = [u for u in new if u not in known]
-            known.update((u, np.array(e.ids, "<u4").tobytes()) for u, e in zip(rest, tokenizer.encode_batch(rest, add_special_tokens=False), strict=True))
-            return [known[u] for u in new]
+        size = np.zeros(tokenizer.get_vocab_size(), np.int64)  # bytes of each token: a character of its name for each
+        for name, k in tokenizer.get_vocab().items():
+            size[k] = len(name)
+        batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)  # without offsets, which aren't needed
+
+        def encode(new: pa.StringArray) -> Ids:
+            # words with the space or line feed before them are encoded as one text: its ids are dealt out by their bytes
+            follows = pc.match_substring_regex(new, FOLLOWS).to_numpy(zero_copy_only=False)
+            words = new.filter(pa.array(follows)).to_pylist()
+            together = ["".join(words[at : at + 1024]) for at in range(0, len(words), 1024)]
+            one = np.array([i for e in batch(together, add_special_tokens=False) for i in e.ids], np.uint32)
+            ends = np.cumsum(pc.binary_length(new.filter(pa.array(follows))).to_numpy(zero_copy_only=False), dtype=np.int64)
+            at = np.concatenate([[0], np.searchsorted(np.cumsum(size[one]), ends, side="left") + 1]) if len(words) else np.zeros(1, np.int64)
+            if len(words) and (at[-1] != len(one) or not np.array_equal(np.cumsum(size[one])[at[1:] - 1], ends)):
+                raise ValueError(f"tokens of {path} don't end where words do")
+            rest = [e.ids for e in batch(new.filter(pa.array(~follows)).to_pylist(), add_special_tokens=False)]
+            lengths = np.zeros(len(new), np.int32)
+            lengths[follows], lengths[~follows] = np.diff(at), [len(x) for x in rest]
+            ids = np.concatenate([one, np.array([i for x in rest for i in x], np.uint32)])
+            place = np.concatenate([at[:-1], len(one) + np.cumsum([0, *map(len, rest)])[:-1]])
+            order = np.empty(len(new), np.int64)
+            order[np.concatenate([np.flatnonzero(follows), np.flatnonzero(~follows)])] = place
+            return expand(ids, order, lengths), lengths
 
         _TABLES[path] = UnitTable(encode)
     return _TABLES[path]
 
 
-def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
-    """``(start, length)`` of a document's pieces: all are full but the first."""
-    head = (n - 1) % capacity + 1
-    return [(0, head), *[(s, capacity) for s in range(head, n, capacity)]]
-
-
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` and, if asked for, ``ids`` of every piece of every document."""
     path = path or default_vocabulary()
 
+    kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = unit_table(path)
-        end = np.array([END_ID], "<u4").tobytes()
-        for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc_id, ids in zip(batch.column("doc_id"), known.ids(texts), strict=True):
-                ids += end
-                for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                    part = ids[4 * start : 4 * (start + length)]
-                    for name, v in zip(out, (doc_id.as_py(), k, start, length, zlib.crc32(part), np.frombuffer(part, "<u4").astype(np.int32) if with_ids else None), strict=True):
-                        out[name].append(v)
-            kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "ids": pa.list_(pa.int32())}
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds[k]) for k, v in out.items() if k != "ids" or with_ids})
+        last = np.array([END_ID], "<u4")
+        for batch in gathered(batches, "text"):
+            doc_ids = batch.column("doc_id")
+            for first, ids, ends in known.groups(filled(batch.column("text"))):
+                # every document's end token goes behind its ids
+                ids = np.insert(ids.astype("<u4", copy=False), ends, last)
+                ends = ends + np.arange(1, len(ends) + 1)
+                sizes = np.diff(ends, prepend=0)
+                many = -(-sizes // capacity)
+                piece = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                head = np.repeat((sizes - 1) % capacity + 1, many)
+                start = np.where(piece == 0, 0, head + (piece - 1) * capacity)
+                length = np.where(piece == 0, head, capacity)
+                at = np.repeat(ends - sizes, many) + start
+                raw = memoryview(ids).cast("B")
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
+                columns = [doc_ids.take(pa.array(np.repeat(np.arange(first, first + len(sizes)), many))), *(pa.array(x, kind) for x, kind in zip((piece, start, length, crc), list(kinds.values())[1:], strict=True))]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(ids.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names=[*kinds, *(["ids"] if with_ids else [])])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
@@ -196,14 +208,20 @@ class Placement:
 
 
 def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, choose: Callable = plan) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to rows with ``doc_id, piece, start, length, ids_crc32`` (a written table, as it is read three times)."""
+    """Adds ``sequence_id`` and ``offset`` to rows with ``doc_id, piece, start, length, ids_crc32``, a written table, as it is read four times.
+
+    Full pieces are sequences of their own, with negative numbers, and need neither plan nor shuffle.
+    """
     spark = cut_pieces.sparkSession
-    found = {r["length"]: r["count"] for r in cut_pieces.groupBy("length").count().collect()}
+    # the numbers depend on the files' order only, so that a task that is run again gives the same ones
+    full = cut_pieces.filter(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    parts = cut_pieces.filter(F.col("length") < capacity)
+    found = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}
     # at most `capacity` rows came back
     placed = spark.sparkContext.broadcast(Placement(choose(found, capacity)))
     salts = max(256, sum(found.values()) // 5000)
     order = ["doc_id", "piece", "start", "ids_crc32"]
-    salted = cut_pieces.withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    salted = parts.withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
     sums = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = sums.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     ranked = salted.withColumn("own", F.row_number().over(Window.partitionBy("length", "salt").orderBy(*order)) - 1)
@@ -215,7 +233,7 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, choose: Callable = pla
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut_pieces.schema.fields)
-    return joined.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    return joined.mapInArrow(run, f"{schema}, sequence_id long, offset long").unionByName(full)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

@@ -3,8 +3,10 @@
 import bisect
 import zlib
 from collections import Counter
+from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -12,7 +14,7 @@ from hypothesis import strategies as st
 
 from notelake.llm import langid, packing, simhash, toxicity
 from notelake.llm.queries import QUERIES
-from notelake.llm.units import units
+from notelake.llm.units import UnitTable, split
 
 SF = "/root/testdata/sf0.01"
 
@@ -115,23 +117,44 @@ def test_long_chain_is_one_component(spark):
     assert {r["u"] for r in found} == set(chain) - {0} and {r["v"] for r in found} == {0}
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("ab 'sé1.\n\t\r  \x1c中")), max_size=24))
-def test_units_encode_as_the_whole_text(text):
+@cache
+def whole_tokenizer():
     from tokenizers import Tokenizer
 
-    assert "".join(units(text)) == text
-    whole = Tokenizer.from_file(packing.default_vocabulary()) if not hasattr(test_units_encode_as_the_whole_text, "t") else test_units_encode_as_the_whole_text.t
-    test_units_encode_as_the_whole_text.t = whole
-    ids = np.frombuffer(packing.unit_table(packing.default_vocabulary()).ids([text])[0], "<u4").tolist()
-    assert ids == whole.encode(text, add_special_tokens=False).ids
+    whole = Tokenizer.from_file(packing.default_vocabulary())
+    whole.encode_special_tokens = True
+    return whole
 
 
-def check_packing(got, texts, capacity=1024):
-    from tokenizers import Tokenizer
+def ids_by_units(table, texts):
+    out = []
+    for first, ids, ends in table.groups(pa.array(texts, pa.string())):
+        assert first == len(out)
+        out += [x.tolist() for x in np.split(ids, ends[:-1])]
+    return out
 
-    whole = Tokenizer.from_file(packing.default_vocabulary())
-    whole.encode_special_tokens = True
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("ab 'sé1.,\n\t\r  \x1c\x85\0中")), max_size=24), min_size=1, max_size=9))
+def test_units_encode_as_the_whole_texts(texts):
+    flat, counts = split(pa.array(texts, pa.string()))
+    assert ["".join(x) for x in np.split(np.array([*flat.to_pylist(), ""], object)[:-1], np.cumsum(counts)[:-1])] == texts
+    assert ids_by_units(packing.unit_table(packing.default_vocabulary()), texts) == [whole_tokenizer().encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_unit_table_forgets_but_stays_right(monkeypatch):
+    monkeypatch.setattr(UnitTable, "MOST_UNITS", 50)
+    monkeypatch.setattr(UnitTable, "TOGETHER", 300)
+    table = UnitTable(packing.unit_table(packing.default_vocabulary()).encode)
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        texts = [" ".join(rng.choice(["of", "the,", "tree.", "x" * 60, *[f"w{rng.integers(500)}" for _ in range(20)]], 30)) for _ in range(12)] + ["", "  odd  text "]
+        assert ids_by_units(table, texts) == [whole_tokenizer().encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(table.known) <= 50 and len(table.ids) == table.lengths.sum()
+
+
+def check_packing(got, texts, capacity=1024):
+    whole = whole_tokenizer()
     want = Counter()
     for i, t in texts:
         ids = whole.encode(t or "", add_special_tokens=False).ids + [2]
