@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import scratch_path, stash
+from ..scratch import discard, scratch_path, stash
 
-__all__ = ["id_split", "keep_rows", "pick_rows", "sample_ids", "scratch_path", "stash", "table"]
+__all__ = ["discard", "id_split", "keep_rows", "labelled_texts", "sample_ids", "scratch_path", "stash", "table", "unused"]
 
 
 def id_split(column: str, parts: int) -> Column:
@@ -27,9 +27,15 @@ def sample_ids(df: DataFrame, id_column: str, rows: int) -> DataFrame:
     return df.orderBy(F.xxhash64(id_column, F.lit("sample")), id_column).limit(rows)
 
 
-def pick_rows(df: DataFrame, ids: DataFrame, id_column: str) -> DataFrame:
-    """The rows of ``df`` whose id is in ``ids``, a sample of bounded size (so it may be broadcast)."""
-    return df.join(F.broadcast(ids.select(id_column).distinct()), id_column, "left_semi")
+def labelled_texts(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
+    """``doc_id, text, <label>``, written: one text for each row of ``ids``, a sample of bounded size (so it may be broadcast).
+
+    Of rows that share an id, that whose text has the least hash counts, so the result is bounded as ``ids`` are.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = rows.join(F.broadcast(ids.select(F.col("doc_id").cast("long").alias("doc_id"), label)), "doc_id")
+    one = found.groupBy("doc_id", label).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return stash(one.select("doc_id", "text", label).repartition(32), "sample")
 
 
 def keep_rows(docs: DataFrame, model, keep) -> DataFrame:
@@ -42,3 +48,11 @@ def keep_rows(docs: DataFrame, model, keep) -> DataFrame:
             yield batch.filter(pa.array([keep(m, t.as_py()) for t in batch.column("text")], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import discard, stash
 
 SHINGLE = 3
 SEED = 42
@@ -151,8 +151,12 @@ def link_shard(points: np.ndarray, bits: int = BITS, leaf: int = LEAF) -> np.nda
     return np.array([find(k) for k in range(len(points))], np.int64)
 
 
-def _edges(nodes: DataFrame, bits: int) -> DataFrame:
-    """``u, v`` with u > v: each node of a linked group of a shard, and the group's smallest node."""
+def edges(nodes: DataFrame, bits: int = BITS) -> DataFrame:
+    """``u, v`` with u > v: each fingerprint of a linked group of a shard, and the group's smallest; ``nodes`` has distinct ``fp``.
+
+    Beyond ``MAX_SHARDS`` times ``SHARD_NODES`` nodes shards grow instead of their number: at 10^10 nodes
+    one has about a million fingerprints of eight bytes.
+    """
     spark = nodes.sparkSession
     count = nodes.count()
     shards = 1
@@ -192,7 +196,9 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = stash(both.join(least, F.col("u") == F.col("k")).filter("v > u").select(F.col("v").alias("u"), F.col("w").alias("v")).distinct(), "large")
         low = stash(large.groupBy("u").agg(F.min("v").alias("w")).withColumnRenamed("u", "k"), "low")
         small = large.join(low, F.col("u") == F.col("k")).filter("v <> w").select(F.col("v").alias("u"), F.col("w").alias("v"))
-        now = stash(small.unionByName(low.select(F.col("k").alias("u"), F.col("w").alias("v"))).distinct(), "edges")
+        after = stash(small.unionByName(low.select(F.col("k").alias("u"), F.col("w").alias("v"))).distinct(), "edges")
+        discard(now, least, large, low)
+        now = after
     raise RuntimeError(f"components didn't settle in {rounds} rounds")
 
 
@@ -200,27 +206,8 @@ def components(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """``doc_id, fp, root, component_id`` of each document; root is the component's smallest fingerprint."""
     prints = stash(with_fingerprints(docs), "prints")
     nodes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    roots = connected(_edges(nodes, bits)).select(F.col("u").alias("k"), F.col("v").alias("root"))
+    roots = connected(edges(nodes, bits)).select(F.col("u").alias("k"), F.col("v").alias("root"))
     rooted = stash(nodes.join(roots, F.col("fp") == F.col("k"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "rooted")
     firsts = stash(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")).withColumnRenamed("root", "r"), "firsts")
     known = stash(rooted.join(firsts, F.col("root") == F.col("r")).select(F.col("fp").alias("k"), "root", "component_id"), "known")
     return prints.join(known, F.col("fp") == F.col("k")).select("doc_id", "fp", "root", "component_id")
-
-
-def keep_one(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest id, with all its columns."""
-    found = components(docs, bits)
-    stay = stash(found.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct(), "stay")
-    kept = docs.join(stay, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    # groups in which no document has an id: one of them stays
-    bare = docs.filter(F.col("doc_id").isNull())
-    lone = found.filter("component_id is null").select("fp", "root").distinct()
-    tagged = bare.withColumn("__fp", F.lit(None).cast("long"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.array([fingerprint(t.as_py()) for t in batch.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps)], names=batch.schema.names)
-
-    bare = tagged.mapInArrow(run, tagged.schema).join(lone.select(F.col("fp").alias("__k"), F.col("root").alias("__root")), F.col("__fp") == F.col("__k")).dropDuplicates(["__root"]).select(docs.columns)
-    return kept.unionByName(bare)

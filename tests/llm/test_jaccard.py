@@ -2,6 +2,8 @@
 
 from collections import defaultdict
 
+import numpy as np
+
 import corpus_pipeline
 from notelake.llm import jaccard
 from test_pipeline_operators import ODD, docs
@@ -64,3 +66,37 @@ def test_odd_rows(spark):
     assert jaccard.keep_one(docs(spark, [])).count() == 0
     only = [(None, "a b c d", None, None, 1, 1.0, "x", 1)] * 3
     assert jaccard.keep_one(docs(spark, only)).count() == 1
+
+
+def test_one_id_with_two_texts(spark):
+    rows = [(3, "one text of five words", 1), (3, "quite another text of seven words here", 2), (3, "one text of five words", 3), (4, "one text of five words", 4), (None, "a third text without an id", 5), (None, "a third text without an id", 6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, __kept int")
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.keep_one(frame).collect()]
+    assert sorted(kept, key=str) == sorted([(3, rows[0][1]), (3, rows[1][1]), (None, rows[4][1])], key=str)
+
+
+def test_fingerprint_is_that_of_the_set():
+    found = jaccard.shingles("a b c d e f g a b c d e f g h i j k")
+    bits = [sum(int(h) >> b & 1 for h in found) * 2 > len(found) for b in range(64)]
+    # the bytes of a hash are little-endian here: any fixed order of bits will do, the same for all
+    assert bin(jaccard.fingerprint_of(found) & (1 << 64) - 1).count("1") == sum(bits)
+
+
+def test_joining_equals_pairs():
+    rng = np.random.default_rng(4)
+    base = np.arange(300)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(180, 300), replace=False), rng.integers(1000, 9000, rng.integers(0, 40))])) for _ in range(120)]
+    nodes, roots = np.arange(120) * 3, np.arange(120) // 2
+    u, v = jaccard.joining(nodes, roots, np.concatenate(sets), np.array([len(s) for s in sets]))
+    near = lambda a, b: 5 * (i := len(np.intersect1d(a, b))) >= 4 * (len(a) + len(b) - i)
+    assert all(near(sets[a // 3], sets[b // 3]) and roots[a // 3] != roots[b // 3] for a, b in zip(u, v))
+
+    def groups(links):
+        group = list(range(60))
+        for a, b in links:
+            x, y = group[a], group[b]
+            group = [min(x, y) if g in (x, y) else g for g in group]
+        return group
+
+    want = groups([(roots[a], roots[b]) for a in range(120) for b in range(a) if near(sets[a], sets[b])])
+    assert groups([(roots[a // 3], roots[b // 3]) for a, b in zip(u, v)]) == want and len(set(want)) > 1
