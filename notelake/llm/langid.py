@@ -4,7 +4,7 @@ A text is lower-cased, everything but letters becomes a space, and its byte 3- a
 mark word ends) are hashed to buckets. Each bucket has an embedding; a text is the average of its
 buckets' embeddings, and a linear layer with a softmax gives a probability for each language.
 Embeddings and the layer are trained together by stochastic gradient descent in numpy on a bounded
-sample. A temperature fitted on a part of that sample that took no part in the descent calibrates
+sample, whose rows stay sparse until they are in a step's batch. A temperature fitted on a part of that sample that took no part in the descent calibrates
 the probability, and the same part gives the score below which a text is rejected.
 
 Defined results: a null text, an empty one and one without a letter are ``und`` with score 0. Repeated
@@ -17,16 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_split, keep_rows, pick_rows, sample_ids
+from .common import discard, id_split, keep_rows, stash
 
-#: Most documents that the model is fitted on, over all languages.
-SAMPLE_DOCS = 2048
-#: Most languages that are learned, the commonest first.
-MAX_LANGS = 64
-BUCKETS = 1 << 12
+#: Documents that the model is fitted on, over all languages, and of each language at least, if there are so many.
+SAMPLE_DOCS, LEAST_OF_EACH = 4096, 64
+BUCKETS = 1 << 13
 DIM = 16
 UNKNOWN = "und"
 
@@ -83,7 +81,23 @@ class LangModel:
         return lang != UNKNOWN and score >= self.reject_below
 
 
-def fit_arrays(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 30, seed: int = 7) -> LangModel:
+class Sparse:
+    """Rows of average bucket counts, of which only those that aren't zero are kept."""
+
+    def __init__(self, buckets: list[np.ndarray], shares: list[np.ndarray]):
+        self.buckets, self.shares = buckets, shares
+
+    def __len__(self) -> int:
+        return len(self.buckets)
+
+    def dense(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), BUCKETS), np.float32)
+        for k, row in enumerate(rows):
+            out[k, self.buckets[row]] = self.shares[row]
+        return out
+
+
+def fit_arrays(x: Sparse, y: np.ndarray, langs: list[str], epochs: int = 16, seed: int = 7) -> LangModel:
     """Stochastic gradient descent over rows of average bucket counts; every fifth row only calibrates."""
     n, c = len(x), len(langs)
     rng = np.random.default_rng(seed)
@@ -104,7 +118,7 @@ def fit_arrays(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 30,
             rows = order[at : at + 16]
             rate = np.float32(1.0 * (1 - step / (steps + 1)) + 0.02)
             step += 1
-            xb = x[rows]
+            xb = x.dense(rows)
             h = xb @ emb
             g = _softmax(h @ out + bias)
             g[np.arange(len(rows)), y[rows]] -= 1
@@ -114,9 +128,9 @@ def fit_arrays(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 30,
             bias -= rate * g.sum(axis=0)
             emb -= (rate * 40) * (xb.T @ back)  # averages of many buckets give small gradients
     logits = emb @ out
-    z = x @ logits + bias
-    check = held if held.any() else ~held
-    zc, yc = z[check], y[check]
+    check = np.flatnonzero(held if held.any() else ~held)
+    zc = np.concatenate([x.dense(check[at : at + 256]) @ logits + bias for at in range(0, len(check), 256)])
+    yc = y[check]
     best = min(np.geomspace(0.2, 5, 33), key=lambda t: -np.log(_softmax(zc / t)[np.arange(len(yc)), yc] + 1e-9).mean())
     p = _softmax(zc / best)
     right = p.max(axis=1)[p.argmax(axis=1) == yc]
@@ -126,35 +140,47 @@ def fit_arrays(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 30,
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets that a text hits and their shares of all hits."""
     for batch in batches:
-        d = batch.to_pydict()
-        counts = [bucket_counts(normalise(t)) for t in d["text"]]
-        yield pa.RecordBatch.from_pydict({"lang": pa.array(d["lang"], pa.string()), "x": pa.array([(c / c.sum()).astype(np.float32).tobytes() for c in counts], pa.binary())})
+        buckets, shares = [], []
+        for t in batch.column("text"):
+            counts = bucket_counts(normalise(t.as_py()))
+            buckets.append(np.flatnonzero(counts).astype("<u2").tobytes())
+            shares.append((counts[counts > 0] / counts.sum()).astype("<f4").tobytes())
+        yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "place": batch.column("place"), "buckets": pa.array(buckets, pa.binary()), "shares": pa.array(shares, pa.binary())})
 
 
 def fit(docs: DataFrame, learn=None) -> LangModel:
-    """Fits on at most ``SAMPLE_DOCS`` documents with a ``lang``; ``learn`` is a condition on usable rows."""
+    """Fits on about ``SAMPLE_DOCS`` documents with a ``lang``, as many of each; ``learn`` is a condition on usable rows.
+
+    Every language is learned. The sample is found in one pass over ids and hashes, by rank within the
+    language, and a second pass fetches its texts; rows that repeat an id and a text count once.
+    """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if learn is not None:
         rows = rows.filter(learn)
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    langs = sorted(r["lang"] for r in found)
+    rows = rows.select("doc_id", F.col("text").cast("string").alias("text"), "lang").withColumn("mark", F.xxhash64("doc_id", "text"))
+    # a row for each language; with the number of its different documents, those with the least hashes are few from the start
+    there = {r["lang"]: r["many"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("mark").alias("many")).collect()}
+    langs = sorted(there)
     if not langs:
         return LangModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
-    ids = None
-    for lang in langs:
-        part = sample_ids(rows.filter(F.col("lang") == lang).select("doc_id"), "doc_id", SAMPLE_DOCS // len(langs))
-        ids = part if ids is None else ids.unionByName(part)
-    sample = pick_rows(rows.filter(F.col("lang").isin(langs)).select("doc_id", "text", "lang"), ids, "doc_id")
-    got = sample.select("text", "lang").limit(SAMPLE_DOCS).mapInArrow(_features, "lang string, x binary").toArrow()
-    x = np.empty((len(got), BUCKETS), np.float32)
-    for k, cell in enumerate(got.column("x")):
-        x[k] = np.frombuffer(cell.as_buffer(), np.float32)
-    y = np.array([langs.index(k) for k in got.column("lang").to_pylist()], np.int64)
+    quota = max(LEAST_OF_EACH, SAMPLE_DOCS // len(langs))
+    least = [(lang, min(2**63 - 1, int(2**64 * min(1.0, 2 * quota / max(1, many))) - 2**63)) for lang, many in there.items()]
+    below = docs.sparkSession.createDataFrame(least, "lang string, below long")
+    few = rows.select("lang", "mark", F.xxhash64("mark", F.lit("sample")).alias("h")).join(F.broadcast(below), "lang").filter(F.col("h") <= F.col("below")).select("lang", "h", "mark").distinct()
+    marks = stash(few.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h", "mark"))).filter(F.col("place") <= quota), "marks")
+    sample = rows.join(F.broadcast(marks.select("lang", "mark", "place")), ["lang", "mark"])
+    one = sample.groupBy("lang", "place").agg(F.first("text").alias("text"))  # equal marks: equal texts
+    got = one.repartition(16).mapInArrow(_features, "lang string, place int, buckets binary, shares binary").toArrow()
+    discard(marks)
+    number = {lang: k for k, lang in enumerate(langs)}
+    y, place = np.array([number[k] for k in got.column("lang").to_pylist()], np.int64), got.column("place").to_numpy()
     # rows come in any order: sort, then mix
-    order = np.random.default_rng(3).permutation(np.lexsort((x[:, 1], x[:, 0], x.argmax(axis=1), y)))
-    x, y = x[order], y[order]
-    return fit_arrays(x, y, langs)
+    mixed = np.random.default_rng(3).permutation(np.lexsort((place, y)))
+    cells = [(got.column(name).to_pylist(), kind) for name, kind in (("buckets", "<u2"), ("shares", "<f4"))]
+    buckets, shares = ([np.frombuffer(values[k], kind) for k in mixed] for values, kind in cells)
+    return fit_arrays(Sparse(buckets, shares), y[mixed], langs)
 
 
 def identify(docs: DataFrame, model: LangModel) -> DataFrame:

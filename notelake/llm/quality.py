@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_split, sample_ids
+from .common import discard, id_split, labelled_texts, sample_ids
 
 #: Most labelled documents of each class that the model is fitted on.
 SAMPLE_ROWS = 4000
@@ -161,13 +161,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Gam:
     labelled = usable.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     counts = {r["quality"]: r["count"] for r in labelled.groupBy("quality").count().collect()}
     ids = sample_ids(labelled.filter("quality = 1"), "doc_id", SAMPLE_ROWS).unionByName(sample_ids(labelled.filter("quality = 0"), "doc_id", SAMPLE_ROWS))
-    sample = _source(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "quality")
+    sample = labelled_texts(docs, ids, "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "x": pa.array([features(t.as_py()) for t in batch.column("text")], pa.list_(pa.float64())), "quality": batch.column("quality")})
 
+    # at most two times SAMPLE_ROWS short rows come back
     got = sorted(sample.mapInArrow(run, "doc_id long, x array<double>, quality int").collect(), key=lambda r: (r["doc_id"], r["x"]))
+    discard(sample)
     x = np.array([r["x"] for r in got], float).reshape(-1, len(FEATURES))
     y = np.array([r["quality"] for r in got], float)
     # a class that was cut to the sample's bound weighs as much as it would have uncut

@@ -21,16 +21,16 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_split, keep_rows, sample_ids
+from .common import discard, id_split, keep_rows, labelled_texts, sample_ids, stash
 
 #: Most labelled documents of each class that lexicon and score are fitted on.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
-#: Most terms that are learned, by significance.
-MAX_TERMS = 2000
 MIN_STEM, MAX_STEM = 4, 14
+#: Toxic documents of the sample that a term occurs in at least, and how many times commoner it is there.
+LEAST_TOXIC, TIMES = 4, 20
 #: Harmless phrases that contain words used as insults.
 EXCEPTIONS = (
     "class clown", "clown car", "clown fish", "loser bracket", "pathetic fallacy", "pond scum",
@@ -150,24 +150,21 @@ def _counted(seen) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"stem": pa.array(keys, pa.string()), "p": pa.array([seen[1][k] for k in keys], pa.int64()), "n": pa.array([seen[0][k] for k in keys], pa.int64())})
 
 
-def _ratio(p: int, n: int, pos: int, neg: int) -> float:
+def _ratio(p: Column, n: Column, pos: int, neg: int) -> Column:
     """Log likelihood ratio of a term's counts against equal rates in both classes."""
     t, total = p + n, pos + neg
-    g = lambda a, b: a * math.log(a / b) if a else 0.0
-    return 2 * (g(p, t * pos / total) + g(n, t * neg / total) + g(pos - p, (total - t) * pos / total) + g(neg - n, (total - t) * neg / total))
+    part = lambda a, b: F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
+    rest = F.lit(total) - t
+    return 2 * (part(p, t * (pos / total)) + part(n, t * (neg / total)) + part(F.lit(pos) - p, rest * (pos / total)) + part(F.lit(neg) - n, rest * (neg / total)))
 
 
-def choose_terms(counts: list[tuple[str, int, int]], pos: int, neg: int) -> dict[str, float]:
-    """Significant word starts; of nested ones, the longest that is about as common as the shortest."""
-    if not pos or not neg:
-        return {}
-    limit = 2 * math.log(max(2, len(counts))) + 4
-    good = {s: (p, n) for s, p, n in counts if p / pos > 20 * (n + 0.5) / neg and _ratio(p, n, pos, neg) >= limit}
+def choose_terms(good: dict[str, tuple[int, int]], pos: int, neg: int) -> dict[str, float]:
+    """Weights of significant word starts; of nested ones, the longest that is about as common as the shortest."""
     longer: dict[str, list[str]] = {}
-    for stem in good:
+    for stem in sorted(good):
         longer.setdefault(stem[:-1], []).append(stem)
     terms: dict[str, float] = {}
-    for stem in good:
+    for stem in sorted(good):
         if any(stem[:k] in good for k in range(MIN_STEM, len(stem))):
             continue
         best, step = "", stem
@@ -175,7 +172,7 @@ def choose_terms(counts: list[tuple[str, int, int]], pos: int, neg: int) -> dict
             best, step = step, next((s for s in longer.get(step, ()) if good[s][0] >= 0.95 * good[stem][0]), "")
         p, n = good[best]
         terms[best] = math.log((p + 0.5) / (pos + 1)) - math.log((n + 0.5) / (neg + 1))
-    return dict(sorted(terms.items(), key=lambda x: -x[1])[:MAX_TERMS])
+    return terms
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -194,13 +191,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.coalesce(id_split("doc_id", 4) != 2, F.lit(False)))
     labelled = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = sample_ids(labelled.filter("toxic = 1"), "doc_id", SAMPLE_TOXIC).unionByName(sample_ids(labelled.filter("toxic = 0"), "doc_id", SAMPLE_CLEAN))
-    sample = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    sample = labelled_texts(docs, ids, "toxic").select("text", F.col("toxic").cast("int").alias("toxic"))
     size = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     pos, neg = size.get(1, 0), size.get(0, 0)
-    counted = sample.mapInArrow(_starts, "stem string, p long, n long").groupBy("stem").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    # at most a thousandth as many word starts as pass here are kept; the rest can't be significant
-    common = counted.filter((F.col("p") >= 4) & (F.col("p") * neg > F.col("n") * pos * 20)).orderBy(F.desc("p"), "stem").limit(100_000)
-    terms = choose_terms([(r["stem"], r["p"], r["n"]) for r in common.collect()], pos, neg)
+    terms: dict[str, float] = {}
+    if pos and neg:
+        counted = sample.mapInArrow(_starts, "stem string, p long, n long").groupBy("stem").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+        tested = stash(counted.filter((F.col("p") >= LEAST_TOXIC) & (F.col("p") * neg > F.col("n") * pos * TIMES)), "stems")
+        # the more word starts are tested, the more significant each has to be; those that are, all come back
+        limit = 2 * math.log(max(2, tested.count())) + 4
+        good = tested.filter((F.col("p") * neg > (F.col("n") + 0.5) * pos * TIMES) & (_ratio(F.col("p"), F.col("n"), pos, neg) >= limit))
+        terms = choose_terms({r["stem"]: (r["p"], r["n"]) for r in good.collect()}, pos, neg)
+        discard(tested)
     model = ToxicModel(terms, (0.0, 0.0, 0.0))
     if not terms:
         return model
@@ -211,7 +213,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
             f = [shared.value.features(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in f], pa.float64()), "b": pa.array([x[1] for x in f], pa.float64()), "toxic": batch.column("toxic")})
 
-    got = sample.mapInArrow(run, "a double, b double, toxic int").collect()
+    # three numbers for each document of the sample
+    got = sorted(sample.mapInArrow(run, "a double, b double, toxic int").collect())
     model.logistic = _fit_logistic(np.array([(r["a"], r["b"]) for r in got]), np.array([r["toxic"] for r in got], float))
     return model
 

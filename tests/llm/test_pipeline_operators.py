@@ -11,12 +11,16 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from notelake.llm import langid, packing, simhash, toxicity
 from notelake.llm.queries import QUERIES
 from notelake.llm.units import UnitTable, split
 
 SF = "/root/testdata/sf0.01"
+#: Labelled toxic documents of that table in which the model finds no mark: three English ones without a marking word,
+#: and fifteen in other languages, of which there are two to four each to learn from.
+MISSED_HERE = 18
 
 
 def docs(spark, rows):
@@ -72,11 +76,7 @@ def test_simhash_equals_all_pairs(spark):
 def test_simhash_odd_rows(spark):
     got = simhash.components(docs(spark, ODD)).select("doc_id", simhash.hex_of("fp"), "component_id").collect()
     assert sorted((tuple(r) for r in got), key=str) == components_by_pairs([r[:2] for r in ODD])
-    kept = [tuple(r)[:2] for r in simhash.keep_one(docs(spark, ODD)).collect()]
-    assert sorted((i for i, _ in kept), key=str) == [1, 3, 5, 6, None]
-    assert simhash.keep_one(docs(spark, [])).count() == 0
-    only = [(None, "a b c d", None, None, 1, 1.0, "x", 1)] * 3
-    assert simhash.keep_one(docs(spark, only)).count() == 1
+    assert simhash.components(docs(spark, [])).count() == 0
 
 
 @pytest.mark.parametrize("n,flips", [(3000, 3), (900, 1), (2, 0)])
@@ -225,19 +225,48 @@ def test_language_odd_rows(spark):
     model = langid.fit(docs(spark, ODD), None)
     got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs(spark, ODD), model).collect() if r["doc_id"]}
     assert got[1] == got[2] == got[5] == "und" and got[6] == "de"
+    assert langid.identify(docs(spark, []), model).count() == langid.keep_identified(docs(spark, []), model).count() == 0
     empty = langid.fit(docs(spark, []), langid.learn_rows())
     assert {r["lang_pred"] for r in langid.identify(docs(spark, ODD), empty).collect()} == {"und"}
     assert langid.keep_identified(docs(spark, ODD), model).schema == docs(spark, ODD).schema
 
 
+def test_many_languages(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(70):
+        own = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 9))) for _ in range(12)]
+        rows += [(100 * k + j, " ".join(rng.choice(own, 60)), f"l{k}", "s", 1, 1.0, "x", 1) for j in range(12)]
+    frame = docs(spark, rows)
+    model = langid.fit(frame, F.col("doc_id") % 3 != 0)
+    assert len(model.langs) == 70
+    truth = {r[0]: r[2] for r in rows}
+    got = [r for r in langid.identify(frame, model).collect() if r["doc_id"] % 3 == 0]
+    assert np.mean([truth[r["doc_id"]] == r["lang_pred"] for r in got]) > 0.95
+
+
+def test_language_sample_of_repeated_ids(spark):
+    """Rows of one id, with one text or with several, don't crowd out the others."""
+    known = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 300").collect()]
+    rows = [(*r, "s", 1, 1.0, "x", 1) for r in [*known, *[(7, "the of and to in is it that", "en")] * 3000]]
+    model = langid.fit(docs(spark, rows))
+    right = [model.predict(t)[0] == g for _, t, g in known if t and g]
+    assert np.mean(right) > 0.98
+
+
 def test_toxicity_on_held_out_documents(spark):
-    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    got = QUERIES["op10_toxicity"](spark, SF).collect()
-    held = [r for r in got if r["held_out"] and r["doc_id"] in truth]
-    # of the other languages this small table has two to four toxic documents to learn from
-    english = {r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").filter("lang = 'en'").collect()}
-    assert len(held) > 60 and all(r["predicted"] == truth[r["doc_id"]] for r in held if r["doc_id"] in english)
-    assert all(r["predicted"] == (r["score"] >= 0.3) for r in got)
+    """All languages: there are enough toxic documents of each in this table."""
+    sf = "/root/testdata/sf0.1"
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    got = QUERIES["op10_toxicity"](spark, sf).collect()
+    assert len(got) == len(lang) and all(r["predicted"] == (r["score"] >= 0.3) for r in got)
+    held = [(lang[r["doc_id"]], truth[r["doc_id"]], r["predicted"]) for r in got if r["held_out"] and r["doc_id"] in truth]
+    for some in (("en",), ("de", "es", "fr")):
+        toxic = [p for g, t, p in held if g in some and t == 1]
+        clean = [p for g, t, p in held if g in some and t == 0]
+        assert len(toxic) > 40 and np.mean(toxic) >= 0.9
+        assert len(clean) > 300 and np.mean(clean) <= 0.035
 
 
 def test_toxicity_folds_and_spares():
@@ -256,10 +285,28 @@ def test_toxicity_odd_rows(spark):
     model = toxicity.fit(docs(spark, ODD), labels)
     assert {r["score"] for r in toxicity.score_toxicity(docs(spark, ODD), model).collect()} == {0.0}
     assert toxicity.keep_clean(docs(spark, ODD), model).count() == len(ODD)
+    # the same rows and toxic ones among them, by a lexicon that was learned
+    real = toxicity.fit(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    word = max(real.terms, key=real.terms.get)
+    insults = [(20, f"{word} " * 5, "en", "a", 1, 1.0, "x", 1), (None, f"you {word}! " * 3000, None, None, 1, 1.0, "x", 1), (20, f"{word} " * 5, "en", "a", 1, 1.0, "x", 1)]
+    both = docs(spark, [*ODD, *insults])
+    got = [(r["doc_id"], r["score"]) for r in toxicity.score_toxicity(both, real).collect()]
+    assert len(got) == len(ODD) + 3 and sum(s >= 0.3 for _, s in got) == 3 and all(0 <= s <= 1 for _, s in got)
+    low = {s for i, s in got if i in (1, 2, 3, 4, 5, 6)}
+    assert len(low) == 1 and min(s for _, s in got) in low
+    assert by_text(toxicity.keep_clean(both, real)) == by_text(docs(spark, ODD))
+    assert {r["doc_id"] for r in toxicity.toxic_spans(both, real).collect()} == {20, None}
+    empty = docs(spark, [])
+    assert toxicity.score_toxicity(empty, real).count() == toxicity.keep_clean(empty, real).count() == toxicity.toxic_spans(empty, real).count() == 0
+
+
+def by_text(frame):
+    return sorted(map(str, frame.collect()))
 
 
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
+    from test_jaccard import kept_by_pairs
 
     kept = spark.read.parquet(f"{SF}/documents.parquet")
     names = kept.columns
@@ -268,16 +315,33 @@ def test_pipeline_stages(spark):
         kept = spark.createDataFrame(stage(spark, kept, SF).collect(), before.schema)
         assert kept.columns == names
         if name == "toxicity":
-            toxic = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r["toxic"] == 1}
+            labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
             gone = {r["doc_id"] for r in before.collect()} - {r["doc_id"] for r in kept.collect()}
-            english = {r["doc_id"] for r in before.collect() if r["lang"] == "en"}
-            # three English documents here are labelled toxic but have none of the words that mark all the others
-            assert len(toxic & english - gone) <= 3 < 30 < len(toxic & english & gone)
-            clean = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r["toxic"] == 0}
-            assert not clean & gone
+            missed = [r["doc_id"] for r in kept.collect() if labels.get(r["doc_id"]) == 1]
+            assert len(missed) <= MISSED_HERE < 30 < sum(labels.get(i) == 1 for i in gone)
+            assert not any(labels.get(i) == 0 for i in gone)
         if name == "near_duplicates":
-            want = {r[2] for r in components_by_pairs([(r["doc_id"], r["text"]) for r in before.collect()])}
-            assert {r["doc_id"] for r in kept.collect()} == want and kept.count() == len(want)
+            ids = [r["doc_id"] for r in kept.collect()]
+            assert len(ids) == len(set(ids)) and set(ids) == kept_by_pairs([(r["doc_id"], r["text"]) for r in before.collect()])
     rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
     check_packing(p.STAGES[-1][1](spark, kept, SF).collect(), rows)
     check_packing(QUERIES["pipeline"](spark, SF).collect(), rows)
+
+
+def test_pipeline_odd_tables(spark):
+    """Nulls, empty and very long texts, repeated rows and ids, and columns named as the stages' own ones."""
+    import corpus_pipeline as p
+
+    names = ["node", "own_id", "name", "whose", "root", "fp", "length", "sequence_id", "__kept"]
+    known = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(200).collect()]
+    rows = [(i, t, g, "s", 1, *[k] * len(names)) for k, (i, t, g) in enumerate([*known, *[r[:3] for r in ODD], (3, "another text under the same id, of other words", "en")])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    for table in (frame, frame.limit(0)):
+        kept = table
+        for _, stage in p.STAGES[:-1]:
+            before = kept.collect()
+            kept = spark.createDataFrame(stage(spark, kept, SF).collect(), frame.schema)
+            assert not Counter(kept.collect()) - Counter(before)
+        packed = p.STAGES[-1][1](spark, kept, SF).collect()
+        check_packing(packed, [(r["doc_id"], r["text"]) for r in kept.collect()])
+    assert not packed
