@@ -13,7 +13,7 @@ from pyspark.sql import types as S
 
 try:
     import yaml
-except ImportError:  # only flat frontmatter is read then
+except ImportError:  # reading frontmatter fails then
     yaml = None
 
 
@@ -110,7 +110,7 @@ def _typed(value) -> tuple[str | None, str]:
 
 def _nested(front: str) -> list[tuple]:
     if yaml is None:
-        return []
+        raise ModuleNotFoundError("frontmatter needs PyYAML", name="yaml")
     if not _LOADER:
         _LOADER.append(_loader())
     try:
@@ -251,39 +251,51 @@ def _find(node, kind: str, want: str):
     return None
 
 
-def _markdown(node, out: list[str]) -> None:
-    for child in node[2]:
-        if isinstance(child, str):
-            out.append(re.sub(r"\s+", " ", child))
-            continue
-        tag = child[0]
-        if tag in _SKIP:
+def _markdown(root) -> str:
+    """The tree as Markdown; a stack of open nodes, so depth has no bound. An entry: children left, output, what to do with it at the end."""
+    out: list[str] = []
+    stack = [(iter(root[2]), out, None)]
+
+    def enter(node, into, close=None):
+        stack.append((iter(node[2]), into, close))
+
+    while stack:
+        children, into, close = stack[-1]
+        child = next(children, None)
+        if child is None:
+            stack.pop()
+            if close:
+                close()
+        elif isinstance(child, str):
+            into.append(re.sub(r"\s+", " ", child))
+        elif (tag := child[0]) in _SKIP:
             continue
-        if tag == "br":
-            out.append("\n")
+        elif tag == "br":
+            into.append("\n")
         elif len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
-            out.append(f"\n\n{'#' * int(tag[1])} ")
-            _markdown(child, out)
-            out.append("\n\n")
+            into.append(f"\n\n{'#' * int(tag[1])} ")
+            enter(child, into, lambda into=into: into.append("\n\n"))
         elif tag in ("b", "strong", "i", "em", "code"):
             mark = {"b": "**", "strong": "**", "code": "`"}.get(tag, "*")
             inner: list[str] = []
-            _markdown(child, inner)
-            text = "".join(inner)
-            out.append(f"{mark}{text.strip()}{mark}" if text.strip() and "\n" not in text else text)
+
+            def emphasise(inner=inner, into=into, mark=mark):
+                text = "".join(inner)
+                into.append(f"{mark}{text.strip()}{mark}" if text.strip() and "\n" not in text else text)
+
+            enter(child, inner, emphasise)
         elif tag == "a" and child[1].get("href"):
             inner = []
-            _markdown(child, inner)
-            out.append(f"[{''.join(inner).strip()}]({child[1]['href']})")
+            enter(child, inner, lambda inner=inner, into=into, href=child[1]["href"]: into.append(f"[{''.join(inner).strip()}]({href})"))
         elif tag == "li":
-            out.append("\n- ")
-            _markdown(child, out)
+            into.append("\n- ")
+            enter(child, into)
         elif tag in _BLOCK:
-            out.append("\n\n")
-            _markdown(child, out)
-            out.append("\n\n")
+            into.append("\n\n")
+            enter(child, into, lambda into=into: into.append("\n\n"))
         else:
-            _markdown(child, out)
+            enter(child, into)
+    return "".join(out)
 
 
 def html_to_markdown(html: str | None) -> str:
@@ -292,12 +304,7 @@ def html_to_markdown(html: str | None) -> str:
     tree.feed(html or "")
     tree.close()
     node = next((n for kind, want in CONTENT if (n := _find(tree.root, kind, want))), tree.root)
-    out: list[str] = []
-    try:
-        _markdown(node, out)
-    except RecursionError:  # too deeply nested: the plain text
-        out = [re.sub(r"<[^>]*>", " ", html or "")]
-    text = re.sub(r"[ \t]*\n[ \t]*", "\n", "".join(out))
+    text = re.sub(r"[ \t]*\n[ \t]*", "\n", _markdown(node))
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
@@ -308,27 +315,38 @@ def page_markdown(html: pd.Series) -> pd.Series:
 
 # --- mail and Word ---------------------------------------------------------------------------------
 
-MAIL = _struct(subject=TEXT, sender=TEXT, recipients=TEXTS, cc=TEXT, date=TEXT, message_id=TEXT, body=TEXT, attachments=TEXTS)
+MAIL = _struct(subject=TEXT, sender=TEXT, recipients=TEXTS, cc=TEXT, date=TEXT, created=TEXT, message_id=TEXT, body=TEXT, attachments=TEXTS)
+
+
+def person(name: str, address: str) -> str:
+    """A person's name, or a link made of the local part of the address."""
+    return name or (f"[[{address.split('@')[0].replace('.', '_')}]]" if address else "(unknown)")
 
 
 def read_mail(raw: bytes | None) -> dict:
     from email import message_from_bytes, policy
-    from email.utils import getaddresses
+    from email.utils import getaddresses, parsedate_to_datetime
 
     m = message_from_bytes(bytes(raw or b""), policy=policy.default)
     part = m.get_body(("html", "plain")) if raw else None
     text = part.get_content() if part is not None else ""
     html = part is not None and part.get_content_type() == "text/html"
+    people = lambda name: [person(n, a) for n, a in getaddresses([str(m[name] or "")]) if n or a]
+    try:
+        when = parsedate_to_datetime(str(m["date"])) if m["date"] else None
+    except ValueError:
+        when = None
     return {
-        "subject": str(m["subject"] or ""), "sender": str(m["from"] or ""), "recipients": [a for _, a in getaddresses([str(m["to"] or "")]) if a], "cc": str(m["cc"] or ""),
-        "date": str(m["date"] or ""), "message_id": str(m["message-id"] or ""), "body": html_to_markdown(text) if html else text.strip(),
+        "subject": str(m["subject"]) if m["subject"] is not None else None, "sender": ", ".join(people("from")) or None, "recipients": people("to"), "cc": str(m["cc"] or ""),
+        "date": when and (when.isoformat() if when.utcoffset() else when.strftime("%Y-%m-%dT%H:%M:%SZ")), "created": when and when.strftime("%Y-%m-%d %H:%M"),
+        "message_id": str(m["message-id"] or ""), "body": html_to_markdown(text) if html else text.strip(),
         "attachments": [a.get_filename() or "" for a in m.iter_attachments()] if m.is_multipart() else [],
     }
 
 
 @F.pandas_udf(MAIL)
 def mail_fields(content: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([read_mail(c) for c in content], columns="subject sender recipients cc date message_id body attachments".split())
+    return pd.DataFrame([read_mail(c) for c in content], columns="subject sender recipients cc date created message_id body attachments".split())
 
 
 def read_docx(raw: bytes) -> list[tuple[str, str]]:

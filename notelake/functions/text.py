@@ -36,8 +36,13 @@ def norm(s: Column | str) -> Column:
     return ascii_lower(F.replace(_c(s), F.lit("_"), F.lit(" ")))
 
 
+def fold_text(s: str) -> str:
+    """A needle as ``ascii_lower`` makes the text it is looked for in: other letters keep their case."""
+    return s.translate(str.maketrans(UPPER, LOWER))
+
+
 def norm_text(s: str) -> str:
-    return s.replace("_", " ").translate(str.maketrans(UPPER, LOWER))
+    return fold_text(s.replace("_", " "))
 
 
 def ascii_lower(s: Column | str) -> Column:
@@ -46,7 +51,7 @@ def ascii_lower(s: Column | str) -> Column:
 
 def like(s: Column | str, needle: str) -> Column:
     """Substring match, ASCII case-insensitive; ``%`` and ``_`` in the needle are wildcards."""
-    return ascii_lower(s).like(f"%{needle.lower()}%")
+    return ascii_lower(s).like(f"%{fold_text(needle)}%")
 
 
 def stem(filename: Column | str) -> Column:

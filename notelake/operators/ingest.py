@@ -2,36 +2,55 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.python import docx_paragraphs, mail_fields, page_markdown
-
-NOTE_DATE = "2024-01-31"
+from ..scratch import stash
 
 
 def quoted(s: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(s, F.lit('"'), F.lit('\\"')), F.lit('"'))
 
 
-def front(fields: dict[str, Column], lists: dict[str, Column] | None = None) -> Column:
-    """Frontmatter of quoted values and lists; null values are left out."""
-    rows = [F.concat(F.lit(f"{k}: "), v) for k, v in fields.items()]
-    many = [F.when(F.size(v) > 0, F.concat(F.lit(f"{k}:\n"), F.array_join(F.transform(v, lambda x: F.concat(F.lit("  - "), quoted(x))), "\n"))) for k, v in (lists or {}).items()]
-    return F.concat(F.lit("---\n"), F.array_join(F.filter(F.array(*rows, *many), lambda x: x.isNotNull()), "\n"), F.lit("\n---\n\n"))
+def note_front(created: Column, kind: Column, source: Column, title: Column | None = None, sender: Column | None = None, to: Column | None = None, mail_date: Column | None = None) -> Column:
+    """Frontmatter of a converted note: ``created, type, source, title, from, to, mail_date``; what is null (or no recipient) is left out."""
+    line = lambda name, v: F.lit(None).cast("string") if v is None else F.concat(F.lit(f"{name}: "), quoted(v))
+    many = F.lit(None).cast("string") if to is None else F.when(F.size(to) > 0, F.concat(F.lit("to:\n"), F.array_join(F.transform(to, lambda x: F.concat(F.lit("  - "), quoted(x))), "\n")))
+    rows = F.array(F.concat(F.lit("created: "), created), F.concat(F.lit("type: "), kind), line("source", F.coalesce(source, F.lit(""))), line("title", title), line("from", sender), many, line("mail_date", mail_date))
+    return F.concat(F.lit("---\n"), F.array_join(F.filter(rows, lambda x: x.isNotNull()), "\n"), F.lit("\n---\n\n"))
+
+
+#: Folders by type of note; other types go to ``notes``.
+FOLDERS = {"web": "web", "reddit": "web", "document": "documents", "mail": "mail"}
+
 
+def note_name(kind: Column, source: Column) -> Column:
+    """A file name from a source: the last part of an address's path, or a file's name without its extension."""
+    path = F.regexp_extract(source, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    part = F.replace(T.trim(F.regexp_extract(path, r"([^/]*)$", 1)), F.lit(" "), F.lit("%20"))
+    file = F.regexp_extract(F.regexp_replace(source, r"/+$", ""), r"([^/]*)$", 1)
+    own = F.when(kind.isin("web", "reddit"), part).when(kind.isin("document", "mail"), F.regexp_replace(file, r"(?s)(?<=.)\.[^.]*$", "")).otherwise("")
+    return F.translate(F.when(F.coalesce(own, F.lit("")) == "", "unnamed").otherwise(own), " /\\", "___")
 
-def note_path(folder: str, kind: Column, day: Column, name: Column) -> Column:
-    """``<folder>/<kind>/yyyy/Mon/<kind>-<date>-<name>.md``."""
-    safe = F.regexp_replace(F.regexp_replace(F.lower(name), r"[^0-9a-zäöüß]+", "-"), "^-+|-+$", "")
-    return F.concat_ws("/", F.lit(folder), kind, F.date_format(day, "yyyy"), F.date_format(day, "MMM"), F.concat(F.concat_ws("-", kind, F.date_format(day, "yyyy-MM-dd"), safe), F.lit(".md")))
+
+def note_path(kind: Column, source: Column, now: Column, mail_day: Column | None = None) -> Column:
+    """``<folder>/yyyy/Mon/<type>-<date>-<name>.md``; mail by its own day if it has one, and types without a folder in ``notes``."""
+    day = now if mail_day is None else F.when(kind == "mail", F.coalesce(mail_day, now)).otherwise(now)
+    folder = F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in FOLDERS.items()])
+    below = F.when(folder.isNull(), "notes").otherwise(F.concat_ws("/", folder, F.date_format(day, "yyyy"), F.date_format(day, "MMM")))
+    return F.concat_ws("/", below, F.concat(F.concat_ws("-", kind, F.date_format(day, "yyyy-MM-dd"), note_name(kind, source)), F.lit(".md")))
 
 
 def write_notes(notes: DataFrame, folder: str) -> None:
-    """A table of ``filename, content`` by kind, year and month of the path."""
+    """A table of ``filename, content`` by the folder, year and month of the path; null where a path has none."""
     parts = F.split("filename", "/")
-    notes.select("filename", "content", F.element_at(parts, -4).alias("type"), F.element_at(parts, -3).alias("year"), F.element_at(parts, -2).alias("mon")).write.partitionBy("type", "year", "mon").parquet(folder)
+    dated = F.size(parts) >= 4
+    part = lambda k: F.when(dated, F.element_at(F.when(dated, parts).otherwise(F.array_repeat(F.lit(""), 4)), k))
+    notes.select("filename", "content", F.when(dated, part(-4)).otherwise(F.get(parts, F.lit(0))).alias("type"), part(-3).alias("year"), part(-2).alias("mon")).write.partitionBy("type", "year", "mon").parquet(folder)
 
 
 def write_results(rows: DataFrame, folder: str) -> None:
@@ -49,10 +68,13 @@ def page_title(html: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def pages_to_notes(pages: DataFrame) -> DataFrame:
-    """``page_id, title, content`` of HTML pages."""
+def pages_to_notes(pages: DataFrame, now: Column | None = None) -> DataFrame:
+    """``page_id, title, filename, content`` of HTML pages; ``now`` is when they are converted."""
+    now = F.current_timestamp() if now is None else now
+    kind = F.when(F.coalesce("url", F.lit("")).rlike(r"reddit\.com|redd\.it"), "reddit").otherwise("web")
     title = page_title(F.coalesce("html", F.lit("")))
-    return pages.select("page_id", title.alias("title"), F.concat(front({"type": F.lit("website"), "source": quoted(F.coalesce("url", F.lit(""))), "title": quoted(title)}), page_markdown("html"), F.lit("\n")).alias("content"))
+    head = note_front(F.date_format(now, "yyyy-MM-dd HH:mm"), kind, F.col("url"), title)
+    return pages.select("page_id", title.alias("title"), note_path(kind, F.coalesce("url", F.lit("")), now).alias("filename"), F.concat(head, F.lit("\n"), page_markdown("html")).alias("content"))
 
 
 def route_source(url: Column) -> Column:
@@ -94,16 +116,21 @@ def threads_to_notes(turns: DataFrame) -> DataFrame:
     )
 
 
-def flatten_thread(posts: DataFrame, depth: int = 12) -> DataFrame:
-    """Comment trees depth first: ``thread, number, author, text`` from ``thread, id, parent, kind, author, text, ord``; only kind ``t1`` is kept."""
+def flatten_thread(posts: DataFrame) -> DataFrame:
+    """Comment trees of any depth, depth first: ``thread, number, author, text`` from ``thread, id, parent, kind, author, text, ord``.
+
+    Only kind ``t1`` is kept; what hangs below another kind or below no comment isn't reached. One join a level, each written.
+    """
     own = posts.filter("kind = 't1'")
-    level = own.filter("parent is null").select("*", F.array(F.struct("ord", "id")).alias("path"))
-    found = level
-    for _ in range(depth - 1):
+    level = stash(own.filter("parent is null").select("*", F.array(F.struct("ord", "id")).alias("path")), "thread-level")
+    found = [level]
+    while not level.isEmpty():
         above = level.select("thread", F.col("id").alias("parent"), F.col("path").alias("__above"))
-        level = own.join(above, ["thread", "parent"]).withColumn("path", F.concat("__above", F.array(F.struct("ord", "id")))).drop("__above").select(found.columns)
-        found = found.unionByName(level)
-    return found.withColumn("number", F.row_number().over(Window.partitionBy("thread").orderBy("path"))).filter(~T.trim(F.coalesce("text", F.lit(""))).isin("", "[deleted]", "[removed]")).select("thread", "number", "author", "text")
+        step = own.join(above, ["thread", "parent"]).withColumn("path", F.concat("__above", F.array(F.struct("ord", "id")))).drop("__above").select(level.columns)
+        level = stash(step, "thread-level")
+        found.append(level)
+    rows = reduce(DataFrame.unionByName, found)
+    return rows.withColumn("number", F.row_number().over(Window.partitionBy("thread").orderBy("path"))).filter(~T.trim(F.coalesce("text", F.lit(""))).isin("", "[deleted]", "[removed]")).select("thread", "number", "author", "text")
 
 
 ISSUE = (
@@ -113,21 +140,31 @@ ISSUE = (
 
 
 def comment_header(author: Column, created: Column) -> Column:
-    """``### [[author]] writes on [[date]] at time``; a time stamp of another form stays as it is."""
-    day, clock = F.regexp_extract(created, r"^(\d{4}-\d{2}-\d{2})T", 1), F.regexp_extract(created, r"T(\d{2}:\d{2})", 1)
-    return F.when((day != "") & (clock != ""), F.concat(F.lit("### [["), author, F.lit("]] writes on [["), day, F.lit("]] at "), clock)).otherwise(F.concat(F.lit("### [["), author, F.lit("]] writes on "), created))
+    """``### [[author]] writes on [[date]] at time and zone``, or with a time stamp of another form, that stamp in brackets."""
+    who = F.concat(F.lit("### [["), F.lower(author), F.lit("]]"))
+    clock = F.substring(created, F.instr(created, "T") + 1, F.length(created))
+    # up to the first sign, or to a final Z; fractions of a second go
+    time, zone = (F.regexp_extract(clock, r"(?s)^([^+-]*?)([+-].*|Z?)$", k) for k in (1, 2))
+    dated = F.concat(who, F.lit(" writes on [["), F.substring_index(created, "T", 1), F.lit("]] at "), F.substring_index(time, ".", 1), zone)
+    return F.when(F.contains(created, F.lit("T")), dated).otherwise(F.concat(who, F.lit(" ("), created, F.lit(")")))
 
 
 def issues_to_notes(issues: DataFrame) -> DataFrame:
-    """``filename, content`` of issue records (schema ``ISSUE``)."""
+    """``filename, content`` of issue records (schema ``ISSUE``); values stand as they are, between quotes."""
     f = lambda name: F.col(f"fields.{name}")
-    head = front(
-        {"type": F.lit("issue"), "key": F.col("key"), "status": f("status.name"), "issuetype": f("issuetype.name"), "priority": f("priority.name"), "assignee": quoted(f("assignee.displayName")), "reporter": quoted(f("reporter.displayName")), "created": F.substring(f("created"), 1, 10), "updated": F.substring(f("updated"), 1, 10), "resolved": F.substring(f("resolutiondate"), 1, 10)},
-        {"labels": F.coalesce(f("labels"), F.array().cast("array<string>"))},
-    )
-    comments = F.transform(F.coalesce(f("comment.comments"), F.array().cast("array<struct<author:struct<displayName:string>,created:string,body:string>>")), lambda c: F.concat(comment_header(F.coalesce(c["author"]["displayName"], F.lit("unknown")), F.coalesce(c["created"], F.lit(""))), F.lit("\n\n"), F.coalesce(c["body"], F.lit("")), F.lit("\n")))
-    body = F.concat(F.lit("# "), F.col("key"), F.lit(" - "), F.coalesce(f("summary"), F.lit("")), F.lit("\n\n## Description\n\n"), F.coalesce(f("description"), F.lit("")), F.lit("\n"), F.when(F.size(comments) > 0, F.concat(F.lit("\n## Comments\n\n"), F.array_join(comments, "\n"))).otherwise(""))
-    return issues.select(F.concat(F.lit("jira/"), F.col("key"), F.lit(".md")).alias("filename"), F.concat(head, body).alias("content"))
+    line = lambda name, v: F.concat(F.lit(f'{name}: "'), v, F.lit('"\n'))
+    if_there = lambda v: F.coalesce(v, F.lit(""))
+    named = {
+        "status": f("status.name"), "issuetype": f("issuetype.name"), "priority": f("priority.name"), "assignee": f("assignee.displayName"), "reporter": f("reporter.displayName"),
+        "jira_created": f("created"), "jira_updated": f("updated"), "jira_resolutiondate": f("resolutiondate"),
+    }
+    labels = F.when(F.size(f("labels")) > 0, F.concat(F.lit("labels:\n"), F.array_join(F.transform(f("labels"), lambda x: F.concat(F.lit('  - "'), x, F.lit('"\n'))), "")))
+    head = F.concat(F.lit("---\n"), line("key", F.col("key")), F.lit("type: jira\n"), *[if_there(line(name, v)) for name, v in named.items()], if_there(labels), F.lit("---\n\n"))
+    title = F.concat(F.lit("# "), F.col("key"), F.lit(" - "), if_there(f("summary")), F.lit("\n\n"))
+    text = F.when(if_there(f("description")) != "", F.concat(F.lit("## Description\n\n"), f("description"), F.lit("\n\n")))
+    comment = lambda c: F.concat(comment_header(F.coalesce(c["author"]["displayName"], F.lit("Unknown")), if_there(c["created"])), F.lit("\n\n"), if_there(c["body"]), F.lit("\n\n"))
+    comments = F.when(F.size(f("comment.comments")) > 0, F.concat(F.lit("## Comments\n\n"), F.array_join(F.transform(f("comment.comments"), comment), "")))
+    return issues.select(F.concat(F.lit("jira/"), F.col("key"), F.lit(".md")).alias("filename"), F.concat(head, title, if_there(text), if_there(comments)).alias("content"))
 
 
 # --- mail and Word files ---------------------------------------------------------------------------
@@ -138,20 +175,28 @@ def person_link(address: Column) -> Column:
     return F.concat(F.lit("[["), F.replace(F.get(F.split(address, "@"), F.lit(0)), F.lit("."), F.lit("_")), F.lit("]]"))
 
 
+# Starts of lines that mail programs leave of their style sheets: fixed values.
+STYLE_LINES = ("Times New Roman", "Arial", "Calibri", "font-family:", "font-size:", "font-style:", "font-weight:", "color:", "background-color:", "mso-", "@")
+
+
 def clean_mail_body(text: Column) -> Column:
-    """Without style lines and escapes, and without stars at line ends."""
-    rows = F.filter(F.split(text, "\r?\n"), lambda x: ~F.lower(T.trim(x)).rlike(r"^(@font-face|font-family|font-size|mso-|panose-1|\{|\}|p\.mso|div\.mso|span\.|@page|@list|/\*|\*/|<!--|-->)"))
-    plain = F.transform(rows, lambda x: F.regexp_replace(F.regexp_replace(x, r"\\([\\`*_{}\[\]()#+\-.!>])", "$1"), r"[ \t]*\*+[ \t]*$", ""))
-    return F.array_join(plain, "\n")
+    """Without style lines, escapes, and blanks and stars at line ends; an empty last line goes."""
+    rows = F.filter(T.lines(text), lambda x: ~T.trim(x).rlike("^(?:" + "|".join(STYLE_LINES) + ")"))
+    rows = F.when(F.element_at(F.concat(F.array(F.lit("x")), rows), -1) == "", F.slice(rows, F.lit(1), F.greatest(F.size(rows) - 1, F.lit(0)))).otherwise(rows)
+    plain = lambda x: F.replace(F.regexp_replace(x, r"\\([*_\[\](){}#+\-.!|])", "$1"), F.lit("\\\\"), F.lit("\\"))
+    return F.array_join(F.transform(rows, lambda x: F.regexp_replace(F.regexp_replace(plain(x), r"[\s\p{Z}]+\z", ""), r"\*+\z", "")), "\n")
 
 
-def mails_to_notes(files: DataFrame) -> DataFrame:
-    """``path, subject, content`` of messages (``path, content``)."""
+def mails_to_notes(files: DataFrame, now: Column | None = None) -> DataFrame:
+    """``path, subject, filename, content`` of messages (``path, content``); ``now`` stands for the date of those that have none."""
+    now = F.current_timestamp() if now is None else now
     read = files.select("path", mail_fields("content").alias("m"))
-    people = F.transform(F.col("m.recipients"), person_link)
-    head = front({"type": F.lit("mail"), "title": quoted(F.col("m.subject")), "from": quoted(F.col("m.sender")), "mail_date": quoted(F.col("m.date"))}, {"to": people})
+    m = lambda name: F.col(f"m.{name}")
+    subject = F.coalesce(m("subject"), F.lit("(No Subject)"))
+    head = note_front(F.coalesce(m("created"), F.date_format(now, "yyyy-MM-dd HH:mm")), F.lit("mail"), F.col("path"), subject, m("sender"), m("recipients"), m("date"))
     attached = F.when(F.size("m.attachments") > 0, F.concat(F.lit("\n\n## Attachments\n\n- "), F.array_join("m.attachments", "\n- "))).otherwise("")
-    return read.select("path", F.col("m.subject").alias("subject"), F.concat(head, F.lit("# "), F.col("m.subject"), F.lit("\n\n"), clean_mail_body(F.col("m.body")), attached, F.lit("\n")).alias("content"))
+    path = note_path(F.lit("mail"), F.col("path"), now, F.to_date(F.substring(m("created"), 1, 10)))
+    return read.select("path", subject.alias("subject"), path.alias("filename"), F.concat(head, F.lit("\n# "), subject, F.lit("\n\n"), clean_mail_body(m("body")), attached, F.lit("\n")).alias("content"))
 
 
 def heading_level(style: Column) -> Column:
@@ -172,7 +217,8 @@ def reconvert(notes: DataFrame, fresh: DataFrame) -> DataFrame:
     """``filename, status, content``: notes (``filename, front, body, source``) against fresh bodies (``source, new_body``, null if that failed)."""
     base = lambda c: F.regexp_extract(c, r"([^/]*)$", 1)
     mine = notes.withColumn("__base", base(F.col("source")))
-    theirs = fresh.select(base(F.col("source")).alias("__base"), "new_body", F.lit(True).alias("__there")).dropDuplicates(["__base"])
+    # of sources that share a name, the first by its whole path
+    theirs = fresh.groupBy(base(F.col("source")).alias("__base")).agg(F.min_by(F.struct("new_body"), "source").alias("__new")).select("__base", "__new.new_body", F.lit(True).alias("__there"))
     joined = mine.join(theirs, "__base", "left")
     status = F.when(F.col("source").isNull() | F.col("__there").isNull(), "skipped").when(F.col("new_body").isNull(), "failed").when(F.col("new_body") == F.col("body"), "unchanged").otherwise("reconverted")
     return joined.select("filename", status.alias("status"), F.concat(F.lit("---\n"), "front", F.lit("\n---\n"), F.when(status == "reconverted", F.col("new_body")).otherwise(F.col("body"))).alias("content"))

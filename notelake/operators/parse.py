@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.python import front_attributes
+from ..scratch import stash
 
 #: Attribute names that mean another attribute.
 MAPPING = {"participant": "people", "participants": "people"}
@@ -198,10 +199,17 @@ class Index:
     todo_tags: DataFrame
     todo_links: DataFrame
     mapping: dict[str, str] | None = None
+    merged: DataFrame | None = None
+
+    def stored(self) -> Index:
+        """The same index with notes parsed and attributes merged once, into tables that everything else reads."""
+        parsed = stash(self.parsed, "parsed")
+        merged = stash(merge_attributes(parsed, self.mapping), "attributes")
+        return index_from(parsed, self.mapping, merged)
 
     @property
     def attributes(self) -> DataFrame:
-        return merge_attributes(self.parsed, self.mapping)
+        return self.merged if self.merged is not None else merge_attributes(self.parsed, self.mapping)
 
     @property
     def headers(self) -> DataFrame:
@@ -230,9 +238,13 @@ class Index:
 
 
 def build_index(raw: DataFrame, mapping: dict[str, str] | None = MAPPING) -> Index:
-    parsed = parse(raw)
+    return index_from(parse(raw), mapping)
+
+
+def index_from(parsed: DataFrame, mapping: dict[str, str] | None = MAPPING, merged: DataFrame | None = None) -> Index:
+    """An index over notes as ``parse`` gives them."""
     notes = parsed.select("filename", "created", "updated", "title", "todo_count", F.size("links").alias("link_count"), "links", "body", "tags")
     rows = todos(parsed)
     # the outer form: else Spark computes the array once more, to drop empty ones below
     flat = lambda df, key, column, name: df.select(key, F.explode_outer(F.array_distinct(column)).alias(name)).filter(F.col(name).isNotNull())
-    return Index(parsed, notes, rows, flat(notes, "filename", "tags", "tag"), flat(notes, "filename", "links", "link"), flat(rows, "todo_id", "tags", "tag"), flat(rows, "todo_id", "links", "link"), mapping)
+    return Index(parsed, notes, rows, flat(notes, "filename", "tags", "tag"), flat(notes, "filename", "links", "link"), flat(rows, "todo_id", "tags", "tag"), flat(rows, "todo_id", "links", "link"), mapping, merged)

@@ -118,8 +118,7 @@ def agenda_for_note(index: Index, filename: str, kind: str = "project") -> DataF
     own = groups.filter(F.col("group_file") == filename)
     names = index.note_links.filter(F.col("filename") == filename).select(T.norm("link").alias("name")).distinct()
     linked = groups.withColumn("name", T.norm("group_name")).join(names, "name", "left_semi").drop("name")
-    some = own.withColumn("direct", F.lit(1)).unionByName(linked.withColumn("direct", F.lit(0)))
-    best = some.withColumn("__any", F.max("direct").over(Window.partitionBy())).filter("direct = __any").drop("direct", "__any")
+    best = linked if own.isEmpty() else own
     return _links_to(index, best).join(open_todos(index), "filename").select("group_name", "filename", "line_number", "text", "priority", "due")
 
 

@@ -190,7 +190,7 @@ def search_notes(index: Index, tags: Sequence[str] = (), links: Sequence[str] =
     """Notes that pass every given filter."""
     rows = index.notes
     if body:
-        rows = rows.filter(T.ascii_lower("body").contains(body.lower()))
+        rows = rows.filter(T.ascii_lower("body").contains(T.fold_text(body)))
     for t in tags:
         rows = rows.join(with_tag(index.note_tags, t), "filename", "left_semi")
     for x in links:
@@ -242,7 +242,7 @@ def search_todos(index: Index, tags: Sequence[str] = (), links: Sequence[str] =
         rows = where(index, "todos", rows, Link(x))
     rows = _by_attributes(index, rows, attributes, (), ())
     if body:
-        rows = rows.join(index.notes.filter(T.ascii_lower("body").contains(body.lower())).select("filename"), "filename", "left_semi")
+        rows = rows.join(index.notes.filter(T.ascii_lower("body").contains(T.fold_text(body))).select("filename"), "filename", "left_semi")
     if text:
         rows = where_text(index, rows, text, T.like("text", text))
     if preset:
@@ -388,7 +388,7 @@ def resolve_names(notes: DataFrame, names: DataFrame) -> DataFrame:
 def name_lookup(notes: DataFrame, part: str, limit: int = 500) -> DataFrame:
     """Names that contain a text, the latest notes first."""
     named = notes.select(T.stem("filename").alias("name"), "filename", "updated")
-    return named.filter(T.ascii_lower("name").contains(part.lower())).orderBy(F.desc("updated"), "filename").limit(limit)
+    return named.filter(T.ascii_lower("name").contains(T.fold_text(part))).orderBy(F.desc("updated"), "filename").limit(limit)
 
 
 def term_table(index: Index) -> DataFrame:

@@ -22,11 +22,15 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Queries that read several of an index's tables: their notes are parsed once, into written tables.
+STORED = ("query_and_or", "agenda_", "linker_", "graph_", "ego_network", "segment_tags", "segment_links", "segment_attributes", "note_info", "note_view")
+
+
 def register(name: str, select: str | None = None, plain: bool = False):
     """Adds a query over the index of the corpus, with SQL over the facts (or, if ``plain``, over the tables)."""
 
     def add(f: Callable[[Index], DataFrame]) -> Callable:
-        QUERIES[name] = lambda spark, sf_dir: f(index_of(spark, sf_dir))
+        QUERIES[name] = (lambda spark, sf_dir: f(index_of(spark, sf_dir).stored())) if name.startswith(STORED) else (lambda spark, sf_dir: f(index_of(spark, sf_dir)))
         if select:
             ORACLES[name] = select if plain else with_facts(select)
         return f
@@ -165,6 +169,10 @@ register("notes_updated_on", "SELECT filename FROM n WHERE updated >= CAST(epoch
 register("notes_created_on", "SELECT filename FROM n WHERE created >= CAST(epoch(TIMESTAMP '1998-03-02') AS BIGINT) AND created < CAST(epoch(TIMESTAMP '1998-03-03') AS BIGINT)")(lambda x: search.search_notes(x, attributes={"created": "1998-03-02"}).select("filename"))
 register("todos_text", "SELECT filename, line_number FROM t JOIN h USING (filename) WHERE lower(text) LIKE '%red%widget%' OR lower(header) LIKE '%red%widget%'")(lambda x: search.search_todos(x, text="RED%widget").select("filename", "line_number"))
 register("notes_text", "SELECT filename FROM n JOIN h USING (filename) WHERE lower(title) LIKE '%nation_7%' OR lower(header) LIKE '%nation_7%'")(lambda x: search.search_notes(x, text="Nation_7").select("filename"))
+register("notes_text_umlaut", "SELECT filename FROM c")(lambda x: search.search_notes(x, text="KOELN").select("filename"))
+on_tables("body_umlaut", """SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%für%' AS lower_case, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%fÜr%' AS upper_case FROM documents""")(
+    lambda s, d: table(s, d, "documents").select("doc_id", T.like("text", "FüR").alias("lower_case"), T.like("text", "FÜR").alias("upper_case"))
+)
 register("notes_body", "SELECT filename FROM b WHERE lower(body) LIKE '%priority: e due: 1998%'")(lambda x: search.search_notes(x, body="Priority: E due: 1998").select("filename"))
 register("notes_word", "SELECT filename FROM n JOIN h USING (filename) JOIN b USING (filename) WHERE lower(title) LIKE '%furniture%' OR lower(header) LIKE '%furniture%' OR lower(body) LIKE '%furniture%'")(
     lambda x: search.search_notes(x, predicate=search.Text("furniture")).select("filename")
@@ -248,7 +256,7 @@ register("agenda_due", f"SELECT group_name, t.filename, line_number, text, prior
 register("agenda_unmatched", f"SELECT t.filename, line_number FROM t LEFT JOIN {_FIRST} f USING (filename) WHERE NOT closed AND due <= '19980615' AND group_name IS NULL")(
     lambda x: reports.agenda_by_due(x, TODAY, "department").filter("group_name is null").join(reports._links_to(x, reports.typed_notes(x, "project")), "filename", "left_anti").select("filename", "line_number")
 )
-register("agenda_for_note", "SELECT group_name, t.filename, line_number, text, priority, due FROM ag JOIN t USING (filename) WHERE NOT closed AND group_file IN (SELECT target FROM back WHERE source = 'meeting/order_1.md')")(
+register("agenda_for_note", "SELECT group_name, t.filename, line_number, text, priority, due FROM ag JOIN t USING (filename) WHERE NOT closed AND group_name IN (SELECT link FROM l WHERE filename = 'meeting/order_1.md')")(
     lambda x: reports.agenda_for_note(x, "meeting/order_1.md")
 )
 register("agenda_sorted", "SELECT group_name, t.filename, line_number, due FROM ag JOIN t USING (filename) WHERE NOT closed AND due <= '19970101'")(lambda x: reports.agenda_order(reports.agenda(x, "project", "1997-01-01")).select("group_name", "filename", "line_number", "due"))
@@ -378,19 +386,37 @@ on_tables("template_fill", "SELECT doc_id, '1998-06-15 08:30 Monday, 15 June 199
 on_tables("page_titles", "SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages")(
     lambda s, d: table(s, d, "pages").select("page_id", ingest.page_title(F.coalesce("html", F.lit(""))).alias("title"))
 )
-on_tables("page_to_note")(lambda s, d: ingest.pages_to_notes(table(s, d, "pages")))
+_NOW = F.lit("2024-01-31 08:05:00").cast("timestamp")
+# the page's title as in page_titles; a url's last path part, or unnamed
+_TITLE = "trim(regexp_replace(replace(replace(replace(replace(regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+_WEB_NAME = "translate(coalesce(nullif(trim(regexp_extract(regexp_extract(coalesce(url, ''), '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '([^/]*)$', 1)), ''), 'unnamed'), ' ', '_')"
+on_tables("page_to_note", f"""SELECT page_id, 'web/2024/Jan/web-2024-01-31-' || {_WEB_NAME} || '.md' AS filename,
+    '---' || chr(10) || 'created: 2024-01-31 08:05' || chr(10) || 'type: web' || chr(10) || 'source: "' || replace(coalesce(url, ''), '"', '\\"') || '"' || chr(10)
+    || 'title: "' || replace({_TITLE}, '"', '\\"') || '"' || chr(10) || '---' || chr(10) || chr(10) || chr(10) AS head FROM pages""")(
+    lambda s, d: ingest.pages_to_notes(table(s, d, "pages"), _NOW).select("page_id", "filename", F.regexp_extract("content", r"(?s)^(---\n.*?\n---\n\n\n)", 1).alias("head"))
+)
+on_tables("page_bodies")(lambda s, d: ingest.pages_to_notes(table(s, d, "pages"), _NOW).select("page_id", "content"))
 on_tables("text_to_note", "SELECT doc_id, trim(string_split(coalesce(text, ''), chr(10))[1]) AS title, array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10) || chr(10)) AS body FROM documents")(
     lambda s, d: ingest.texts_to_notes(table(s, d, "documents"))
 )
 on_tables("thread_to_note", """SELECT conv_id, count(CASE WHEN turn > 0 AND trim(coalesce(text, '')) <> '' THEN 1 END) AS n_comments,
     string_agg(CASE WHEN turn = 0 THEN '# Conversation ' || conv_id ELSE '## Comment ' || turn || ' by ' || coalesce(role, '') END || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS content
     FROM conversations WHERE trim(coalesce(text, '')) NOT IN ('', '[deleted]', '[removed]') GROUP BY conv_id""")(lambda s, d: ingest.threads_to_notes(table(s, d, "conversations")))
-on_tables("frontmatter_render", """SELECT doc_id, '---' || chr(10) || 'type: text' || chr(10) || 'source: "' || replace(source, '"', '\\"') || '"' || chr(10) || 'to:' || chr(10) || '  - "' || lang || '"' || chr(10) || '---' || chr(10) || chr(10) AS front FROM documents""")(
-    lambda s, d: table(s, d, "documents").select("doc_id", ingest.front({"type": F.lit("text"), "source": ingest.quoted(F.col("source"))}, {"to": F.array("lang")}).alias("front"))
-)
-on_tables("route_note_path", "SELECT o_orderkey, 'notes/order/' || strftime(o_orderdate, '%Y/%b') || '/order-' || strftime(o_orderdate, '%Y-%m-%d') || '-' || replace(lower(substr(o_orderpriority, 3)), ' ', '-') || '.md' AS path FROM orders")(
-    lambda s, d: table(s, d, "orders").select("o_orderkey", ingest.note_path("notes", F.lit("order"), F.col("o_orderdate"), F.substring("o_orderpriority", 3, 30)).alias("path"))
-)
+on_tables("frontmatter_render", """SELECT doc_id, '---' || chr(10) || 'created: 2024-01-31 08:05' || chr(10) || 'type: mail' || chr(10) || 'source: "' || coalesce(source, '') || '"' || chr(10)
+    || coalesce('title: "say \\"' || lang || '\\""' || chr(10), '') || 'from: "' || doc_id || '"' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'to:' || chr(10) || '  - "[[a]]"' || chr(10) || '  - "b"' || chr(10) ELSE '' END
+    || 'mail_date: "2024-01-30T10:00:00Z"' || chr(10) || '---' || chr(10) || chr(10) AS front FROM documents""")(
+    lambda s, d: table(s, d, "documents").select("doc_id", ingest.note_front(
+        F.date_format(_NOW, "yyyy-MM-dd HH:mm"), F.lit("mail"), F.col("source"), F.concat(F.lit('say "'), "lang", F.lit('"')), F.col("doc_id").cast("string"),
+        F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("[[a]]"), F.lit("b"))).otherwise(F.array().cast("array<string>")), F.lit("2024-01-30T10:00:00Z"),
+    ).alias("front"))
+)
+on_tables("route_note_path", f"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'web/2024/Jan/web-2024-01-31-' || {_WEB_NAME} || '.md' WHEN 1 THEN 'documents/2024/Jan/document-2024-01-31-My_file_' || page_id || '.tar.md'
+    WHEN 2 THEN 'mail/2023/Dec/mail-2023-12-0' || (1 + page_id % 9) || '-in' || page_id || '.md' ELSE 'notes/issue-2024-01-31-unnamed.md' END AS path FROM pages""")(
+    lambda s, d: table(s, d, "pages").withColumn("kind", F.get(F.array(*map(F.lit, ("web", "document", "mail", "issue"))), (F.col("page_id") % 4).cast("int"))).select("page_id", ingest.note_path(
+        F.col("kind"), F.when(F.col("kind") == "web", F.coalesce("url", F.lit(""))).when(F.col("kind") == "document", F.concat(F.lit("a dir/My file "), F.col("page_id").cast("string"), F.lit(".tar.gz"))).otherwise(F.concat(F.lit("/m/in"), F.col("page_id").cast("string"), F.lit(".eml"))),
+        _NOW, F.date_add(F.lit("2023-12-01").cast("date"), (F.col("page_id") % 9).cast("int")),
+    ).alias("path"))
+)
 on_tables("email_person_link", "SELECT c_custkey, '[[' || replace(lower(c_mktsegment), '.', '_') || '_' || c_custkey || ']]' AS link FROM customer")(
     lambda s, d: table(s, d, "customer").select("c_custkey", ingest.person_link(F.concat(F.lower("c_mktsegment"), F.lit("."), F.col("c_custkey").cast("string"), F.lit("@example.com"))).alias("link"))
 )
@@ -403,25 +429,43 @@ on_tables("route_sources", "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'reddit
 on_tables("github_raw_url", "SELECT page_id, 'https://raw.githubusercontent.com/own/r' || page_id || CASE page_id % 4 WHEN 0 THEN '/main/docs/a.md' WHEN 1 THEN '/main/docs/README.md' WHEN 2 THEN '/dev/src/README.md' ELSE '/HEAD/README.md' END AS raw FROM pages")(
     lambda s, d: table(s, d, "pages").select("page_id", ingest.github_raw_url(F.concat(F.lit("https://github.com/own/r"), F.col("page_id").cast("string"), F.get(F.array(*map(F.lit, ("/blob/main/docs/a.md", "/blob/main/docs", "/tree/dev/src/", ""))), (F.col("page_id") % 4).cast("int")))).alias("raw"))
 )
-on_tables("issue_comment_header", "SELECT event_id, '### [[u' || user_id || ']] writes on [[' || strftime(ts, '%Y-%m-%d') || ']] at ' || strftime(ts, '%H:%M') AS header FROM events")(
-    lambda s, d: table(s, d, "events").select("event_id", ingest.comment_header(F.concat(F.lit("u"), F.col("user_id").cast("string")), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'+0000'")).alias("header"))
-)
-on_tables("mail_body_clean", "SELECT doc_id, replace(coalesce(text, ''), chr(13), '') AS cleaned FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[\\\\*@{}<]|font-')")(
-    lambda s, d: table(s, d, "documents").filter(~F.coalesce("text", F.lit("")).rlike(r"[\\*@{}<]|font-")).select("doc_id", ingest.clean_mail_body(F.concat(F.lit("@font-face x\n"), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("**\r\n")))).alias("cleaned"))
-)
+on_tables("issue_comment_header", """SELECT event_id, '### [[anna u' || user_id || ']]' || CASE event_id % 4
+    WHEN 0 THEN ' writes on [[' || strftime(ts, '%Y-%m-%d') || ']] at ' || strftime(ts, '%H:%M:%S') || '+0000' WHEN 1 THEN ' writes on [[' || strftime(ts, '%Y-%m-%d') || ']] at ' || strftime(ts, '%H:%M:%S') || 'Z'
+    WHEN 2 THEN ' writes on [[' || strftime(ts, '%Y-%m-%d') || ']] at ' || strftime(ts, '%H:%M') ELSE ' (' || strftime(ts, '%Y-%m-%d %H:%M') || ')' END AS header FROM events""")(
+    lambda s, d: table(s, d, "events").select("event_id", ingest.comment_header(F.concat(F.lit("Anna U"), F.col("user_id").cast("string")), F.when(F.col("event_id") % 4 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'.123+0000'"))
+        .when(F.col("event_id") % 4 == 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'.9Z'")).when(F.col("event_id") % 4 == 2, F.date_format("ts", "yyyy-MM-dd'T'HH:mm")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm"))).alias("header"))
+)
+_STYLED = F.concat(F.lit("Calibri 11\n  color: red\nfont-face\n"), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" **\r\n")), F.lit("\n@page x\n\\_done\\* \\\\ {} <b> *x* \\q** \n\n"))
+on_tables("mail_body_clean", r"""WITH i AS (SELECT doc_id, 'Calibri 11' || chr(10) || '  color: red' || chr(10) || 'font-face' || chr(10) || replace(coalesce(text, ''), chr(10), ' **' || chr(13) || chr(10)) || chr(10) || '@page x' || chr(10) || '\_done\* \\ {} <b> *x* \q** ' || chr(10) AS t FROM documents),
+    k AS (SELECT doc_id, list_filter(string_split(replace(t, chr(13) || chr(10), chr(10)), chr(10)), lambda x: NOT regexp_matches(x, '^[\s\p{Z}]*(Times New Roman|Arial|Calibri|font-family:|font-size:|font-style:|font-weight:|color:|background-color:|mso-|@)')) AS w FROM i)
+    SELECT doc_id, array_to_string(list_transform(list_slice(w, 1, len(w) - 1), lambda x: regexp_replace(regexp_replace(replace(regexp_replace(x, '\\([*_\[\](){}#+\-.!|])', '\1', 'g'), '\\', '\'), '[\s\p{Z}]+$', ''), '[*]+$', '')), chr(10)) AS cleaned FROM k""".replace("\\", "\\"))(
+    lambda s, d: table(s, d, "documents").select("doc_id", ingest.clean_mail_body(_STYLED).alias("cleaned"))
+)
 
 
-@on_tables("issues_to_notes", "SELECT 'jira/ISS-' || o_orderkey || '.md' AS filename, '# ISS-' || o_orderkey || ' - Order of ' || o_custkey AS heading, 'labels:' || chr(10) || '  - \"' || o_orderpriority || '\"' AS labels FROM orders")
+@on_tables("issues_to_notes", """SELECT 'jira/ISS-' || o_orderkey || '.md' AS filename, '---' || chr(10) || 'key: "ISS-' || o_orderkey || '"' || chr(10) || 'type: jira' || chr(10) || 'status: "' || o_orderstatus || '"' || chr(10)
+    || 'issuetype: "Order"' || chr(10) || CASE WHEN o_orderkey % 2 = 0 THEN 'assignee: "A \\B"' || chr(10) ELSE '' END || 'jira_created: "' || strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00.000+0000"' || chr(10)
+    || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'labels:' || chr(10) || '  - "' || o_orderpriority || '"' || chr(10) || '  - "x"' || chr(10) END || '---' || chr(10) || chr(10)
+    || '# ISS-' || o_orderkey || ' - Order of ' || o_custkey || chr(10) || chr(10) || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE '## Description' || chr(10) || chr(10) || 'Text of ' || o_orderkey || chr(10) || chr(10) END
+    || CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE '## Comments' || chr(10) || chr(10) || '### [[clerk ' || o_custkey || ']] writes on [[' || strftime(o_orderdate, '%Y-%m-%d') || ']] at 09:29:05+0000' || chr(10) || chr(10) || 'done' || chr(10) || chr(10)
+    || '### [[unknown]] (later)' || chr(10) || chr(10) || 'again' || chr(10) || chr(10) END AS content FROM orders""")
 def issues_to_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as issue records, through JSON."""
     o = table(spark, sf_dir, "orders")
-    name = lambda c: F.struct(c.alias("name"))
+    key, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    name = lambda c, field="name": F.struct(c.alias(field))
+    comment = lambda author, when, body: F.struct(author.alias("author"), when.alias("created"), F.lit(body).alias("body"))
+    clerk = comment(name(F.concat(F.lit("Clerk "), F.col("o_custkey").cast("string")), "displayName"), F.concat(day, F.lit("T09:29:05.000+0000")), "done")
+    nobody = comment(F.lit(None).cast("struct<displayName:string>"), F.lit("later"), "again")
     record = F.to_json(F.struct(
-        F.concat(F.lit("ISS-"), F.col("o_orderkey").cast("string")).alias("key"),
-        F.struct(F.concat(F.lit("Order of "), F.col("o_custkey").cast("string")).alias("summary"), name(F.col("o_orderstatus")).alias("status"), F.array("o_orderpriority").alias("labels"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("created")).alias("fields"),
+        F.concat(F.lit("ISS-"), key.cast("string")).alias("key"),
+        F.struct(
+            F.concat(F.lit("Order of "), F.col("o_custkey").cast("string")).alias("summary"), F.when(key % 5 == 0, "").otherwise(F.concat(F.lit("Text of "), key.cast("string"))).alias("description"),
+            name(F.col("o_orderstatus")).alias("status"), name(F.lit("Order")).alias("issuetype"), F.when(key % 2 == 0, name(F.lit("A \\B"), "displayName")).alias("assignee"), F.concat(day, F.lit("T00:00:00.000+0000")).alias("created"),
+            F.when(key % 3 != 0, F.array("o_orderpriority", F.lit("x"))).alias("labels"), F.when(key % 7 != 0, F.struct(F.array(clerk, nobody).alias("comments"))).alias("comment"),
+        ).alias("fields"),
     ))
-    notes = ingest.issues_to_notes(o.select(F.from_json(record, ingest.ISSUE).alias("i")).select("i.*"))
-    return notes.select("filename", F.regexp_extract("content", r"(?m)^(# ISS-.*)$", 1).alias("heading"), F.regexp_extract("content", r'(labels:\n  - "[^"]*")', 1).alias("labels"))
+    return ingest.issues_to_notes(o.select(F.from_json(record, ingest.ISSUE).alias("i")).select("i.*"))
 
 
 @on_tables("reconvert_status", "SELECT status, count(*) AS n FROM (SELECT CASE doc_id % 4 WHEN 0 THEN 'skipped' WHEN 1 THEN 'failed' WHEN 2 THEN 'unchanged' ELSE 'reconverted' END AS status FROM documents WHERE text IS NOT NULL) x GROUP BY status")
@@ -478,7 +522,7 @@ def stream_latest_note(spark: SparkSession, sf_dir: str) -> DataFrame:
 @on_tables("history_windows", "SELECT strftime(time_bucket(INTERVAL 8 HOUR, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M') AS window_start, browser, count(*) AS n_visits FROM v GROUP BY 1, 2", True)
 def history_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     visits = _event_stream(spark, sf_dir).select("ts", F.get(F.array(*map(F.lit, ("safari", "vivaldi", "firefox"))), (F.col("event_id") % 3).cast("int")).alias("browser"))
-    done = streams.run_once(streams.visit_counts(visits), scratch_path(spark, "windows"), "complete")
+    done = streams.run_once(streams.visit_counts(visits), scratch_path(spark, "windows"), "update")
     return streams.latest_of_updates(done.withColumn("key", F.concat_ws("|", F.date_format("window_start", "yyyy-MM-dd HH:mm"), "browser")), "key").select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "browser", "n_visits")
 
 

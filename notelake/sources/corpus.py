@@ -58,7 +58,7 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     key = _key("s_suppkey")
     word = F.lower(F.replace("r_name", F.lit(" "), F.lit("_")))
-    return _table(spark, sf_dir, "supplier").join(F.broadcast(nation.limit(10_000)), F.col("s_nationkey") == F.col("n_nationkey")).select(
+    return _table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
         *_note(
             "s_suppkey", F.concat(F.lit("project/Supplier_"), key, F.lit(".md")),
             "---\ntitle: Supplier ", key, "\ntype: project\nlabels: [", F.col("n_name"), "]\ntags: [supply]\ncreated: ", F.date_format(F.date_add(F.lit("1998-01-01").cast("date"), (F.col("s_suppkey") % 200).cast("int")), "yyyy-MM-dd"), "\n---\n",

@@ -1,21 +1,22 @@
-"""Structured Streaming over note versions and visits.
+"""Structured Streaming over note versions and visits, and polls of a folder of notes.
 
 Note versions arrive as rows ``filename, content, mtime, deleted``: a changed file is a new row, a removed one a
-tombstone. The file source forgets nothing, so rewritten files must come as versions (``VersionSource``
-lists a folder and gives each file whose mtime is past the last offset).
+tombstone. Spark's file source takes each file once and sees no removal, so a folder whose files are
+rewritten is polled: its listing is joined with what was seen before (``poll``, ``watch_folder``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.maintenance import upsert
+from ..scratch import discard, stash
 
 #: How late a visit may come before its window is closed.
 LATE, WINDOW = "1 hour", "8 hours"
@@ -72,64 +73,50 @@ def apply_versions(table: DataFrame, last: DataFrame, rows: DataFrame) -> DataFr
     return upsert(keep, rows)
 
 
-class _Files(InputPartition):
-    def __init__(self, paths: list[tuple[str, float]]):
-        super().__init__(0)
-        self.paths = paths
-
-
-class _VersionReader(DataSourceStreamReader):
-    """Offsets are modification times; a partition is a bounded list of files."""
-
-    PER_PARTITION = 500
-
-    def __init__(self, options: dict):
-        self.folder = options["path"]
-
-    def _files(self) -> list[tuple[str, float]]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(self.folder if "://" in self.folder or self.folder.startswith("file:") else f"file://{self.folder}")
-        found = store.get_file_info(fs.FileSelector(root, recursive=True))
-        return sorted((f.path, f.mtime_ns / 1e9) for f in found if f.is_file and f.path.endswith(".md"))
-
-    def initialOffset(self) -> dict:  # noqa: N802  names of the interface
-        return {"mtime": 0.0}
-
-    def latestOffset(self) -> dict:  # noqa: N802
-        return {"mtime": max((t for _, t in self._files()), default=0.0)}
-
-    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        new = [f for f in self._files() if start["mtime"] < f[1] <= end["mtime"]]
-        return [_Files(new[k : k + self.PER_PARTITION]) for k in range(0, len(new), self.PER_PARTITION)]
-
-    def read(self, partition: _Files) -> Iterator[tuple]:
-        import datetime as dt
-
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(self.folder if "://" in self.folder or self.folder.startswith("file:") else f"file://{self.folder}")
-        for path, mtime in partition.paths:
-            with store.open_input_stream(path) as f:
-                yield path[len(root.rstrip("/")) + 1 :], f.read().decode("utf-8", "replace"), dt.datetime.fromtimestamp(mtime, dt.timezone.utc), False
-
-    def commit(self, end: dict) -> None:
-        pass
-
-
-class VersionSource(DataSource):
-    """``spark.readStream.format("note_versions").load(folder)``: a row for each new or changed ``.md`` file."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "note_versions"
-
-    def schema(self) -> str:
-        return VERSION
-
-    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
-        return _VersionReader(self.options)
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(VersionSource)
+def changed_versions(listing: DataFrame, state: DataFrame) -> DataFrame:
+    """``filename, mtime, deleted`` of what differs between a listing and what was seen (both ``filename, mtime``).
+
+    Any other time counts as a change, an older one too; what was seen and is gone is a tombstone.
+    """
+    seen = state.select("filename", F.col("mtime").alias("__seen"))
+    both = listing.select("filename", "mtime").join(seen, "filename", "full")
+    return both.filter(~F.col("mtime").eqNullSafe(F.col("__seen"))).select("filename", F.coalesce("mtime", "__seen").alias("mtime"), F.col("mtime").isNull().alias("deleted"))
+
+
+def listing_of(spark: SparkSession, folder: str) -> DataFrame:
+    """``filename, mtime, path`` of the ``.md`` files below a folder; Spark lists them and opens none."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    base = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/") + "/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(folder)
+    return files.select(F.substring("path", len(base) + 1, 1 << 20).alias("filename"), F.col("modificationTime").alias("mtime"), "path")
+
+
+def poll(spark: SparkSession, folder: str, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Versions (``VERSION``) of what changed below a folder since ``state``, and the next state, both written tables.
+
+    A round is a batch of its own: it is complete whatever time a file has and in whatever order files
+    come, and a round that fails is done again from the state before it.
+    """
+    listing = stash(listing_of(spark, folder), "listing")
+    changes = stash(changed_versions(listing, state), "changes")
+    paths = listing.join(changes.filter("not deleted").select("filename"), "filename", "left_semi")
+    texts = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(folder)
+    content = paths.select("filename", "path").join(texts.select("path", F.decode("content", "UTF-8").alias("content")), "path")
+    versions = changes.join(content.select("filename", "content"), "filename", "left").select("filename", "content", "mtime", "deleted")
+    # a file that went between listing and reading stays as it was seen, and is a tombstone of the next round
+    return stash(versions.filter("deleted or content is not null"), "versions"), listing.select("filename", "mtime")
+
+
+def watch_folder(spark: SparkSession, folder: str, refresh: Callable[[DataFrame, int], None], every: float = 60.0, rounds: int | None = None, state: DataFrame | None = None) -> DataFrame:
+    """Polls a folder and calls ``refresh(versions, round)`` where something changed; returns the state after the last round."""
+    state = state if state is not None else spark.createDataFrame([], "filename string, mtime timestamp")
+    number = 0
+    while rounds is None or number < rounds:
+        versions, after = poll(spark, folder, state)
+        if not versions.isEmpty():
+            refresh(versions, number)
+        discard(versions)
+        state, number = after, number + 1
+        if rounds is None or number < rounds:
+            time.sleep(every)
+    return state

@@ -219,9 +219,16 @@ def test_html_mail_and_word(spark, tmp_path):
     page = "<html><head><title>T</title></head><body><nav>no</nav><main><h2>H</h2><p>One <b>two</b><p>three <a href='u'>l</a><ul><li>i<li>j</ul><script>x</script></main></body>"
     assert P.html_to_markdown(page) == "## H\n\nOne **two**\n\nthree [l](u)\n\n- i\n- j"
     assert P.html_to_markdown(None) == "" and P.html_to_markdown("plain") == "plain"
-    mail = b"From: A <a@b.c>\r\nTo: ann.lee@x.y\r\nSubject: Hi\r\nMessage-ID: <1>\r\n\r\nbody\\_text **\r\n"
-    note = ingest.mails_to_notes(spark.createDataFrame([("p", bytearray(mail))], "path string, content binary")).collect()[0]
-    assert note["subject"] == "Hi" and '  - "[[ann_lee]]"' in note["content"] and "body_text\n" in note["content"]
+    deep = "<div>" * 3000 + "<script>no</script><b>x</b> y" + "</div>" * 3000
+    assert P.html_to_markdown(deep) == "**x** y"
+    mail = b"From: A <a@b.c>\r\nTo: ann.lee@x.y, Bo <b@x.y>\r\nSubject: Hi \"x\"\r\nDate: Mon, 15 Jan 2024 10:30:00 +0100\r\nMessage-ID: <1>\r\n\r\nbody\\_text **\r\n"
+    bare = b"From: c.d@b.c\r\n\r\nx\r\n"
+    rows = spark.createDataFrame([("in/a b.eml", bytearray(mail)), ("in/bare.eml", bytearray(bare))], "path string, content binary")
+    note, plain = ingest.mails_to_notes(rows, F.lit("2024-02-01 08:00:00").cast("timestamp")).orderBy("path").collect()
+    assert note["filename"] == "mail/2024/Jan/mail-2024-01-15-a_b.md" and note["subject"] == 'Hi "x"'
+    head = ["created: 2024-01-15 10:30", "type: mail", 'source: "in/a b.eml"', 'title: "Hi \\"x\\""', 'from: "A"', "to:", '  - "[[ann_lee]]"', '  - "Bo"', 'mail_date: "2024-01-15T10:30:00+01:00"']
+    assert note["content"].startswith("---\n" + "\n".join(head) + '\n---\n\n\n# Hi "x"\n\nbody_text \n')
+    assert plain["filename"] == "mail/2024/Feb/mail-2024-02-01-bare.md" and plain["content"].startswith('---\ncreated: 2024-02-01 08:00\ntype: mail\nsource: "in/bare.eml"\ntitle: "(No Subject)"\nfrom: "[[c_d]]"\n---\n')
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
         z.writestr("word/document.xml", f'<w:document {w}><w:body><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Head</w:t></w:r></w:p><w:p><w:r><w:t>te</w:t></w:r><w:r><w:t>xt</w:t></w:r></w:p></w:body></w:document>')
@@ -231,18 +238,58 @@ def test_html_mail_and_word(spark, tmp_path):
 
 
 def test_mail_body_on_all_documents(spark, sf_dir):
-    style = ("@font-face", "font-family", "font-size", "mso-", "panose-1", "{", "}", "p.mso", "div.mso", "span.", "@page", "@list", "/*", "*/", "<!--", "-->")
+    starts = ("Times New Roman", "Arial", "Calibri", "font-family:", "font-size:", "font-style:", "font-weight:", "color:", "background-color:", "mso-", "@")
+
+    def lines(text):
+        found = [x.removesuffix("\r") for x in text.split("\n")[:-1]] + [text.split("\n")[-1]]
+        return found[:-1] if found[-1] == "" else found
 
     def plain(text):
-        rows = [x for x in text.replace("\r\n", "\n").split("\n") if not x.strip(" \t\r").lower().startswith(style)]
-        rows = [re.sub(r"\\([\\`*_{}\[\]()#+\-.!>])", r"\1", x) for x in rows]
-        return "\n".join(re.sub(r"[ \t]*\*+[ \t]*$", "", x) for x in rows)
+        kept = "\n".join(x for x in lines(text) if not x.strip().startswith(starts))
+        for c in "*_[](){}#+-.!|\\":
+            kept = kept.replace("\\" + c, c)
+        return "\n".join(x.rstrip().rstrip("*") for x in lines(kept))
 
-    odd = ["a\\_b \\* **\n{x}\n  Font-Size: 3\ny * z *", "<!-- a\n@page b\r\n\\\\*\n**", "span.x\nP.Mso\nfont\n\\q"]
+    odd = ["a\\_b \\* **\n{x}\n  Font-Size: 3\n font-size: 3\ny * z *", "<!-- a\n@page b\r\n\\\\*\n**", "span.x\nArial 3\n\n\n", "", "\n", "a\\|b \\\\ \\q** * \u3000\n"]
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null").collect()] + [(-1 - k, t) for k, t in enumerate(odd)]
     assert any(set("\\*@{}<") & set(t) for i, t in rows if i >= 0)
     got = {r["doc_id"]: r["cleaned"] for r in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", ingest.clean_mail_body(F.col("text")).alias("cleaned")).collect()}
-    assert [i for i, t in rows if got[i] != plain(t)] == []
+    assert [(i, got[i], plain(t)) for i, t in rows if got[i] != plain(t)] == []
+
+
+def test_needles_with_other_letters(spark):
+    rows = spark.createDataFrame([("Die ÖKO Seite",), ("die öko seite",), (None,)], "s string")
+    assert [r[0] for r in rows.select(T.like("s", "ÖkO")).collect()] == [True, False, None]
+    assert [r[0] for r in rows.select(T.like("s", "die ö_O")).collect()] == [False, True, None]
+
+
+def test_comment_headers_and_issues(spark):
+    cases = {
+        ("Stefan Harbeck", "2024-06-14T09:29:05.000+0000"): "### [[stefan harbeck]] writes on [[2024-06-14]] at 09:29:05+0000",
+        ("ÄNNE", "2024-06-14T09:29:05Z"): "### [[änne]] writes on [[2024-06-14]] at 09:29:05Z",
+        ("A", "2024-06-14T09:29:05.123-0700"): "### [[a]] writes on [[2024-06-14]] at 09:29:05-0700",
+        ("A", "2024-06-14T09:29"): "### [[a]] writes on [[2024-06-14]] at 09:29",
+        ("A", "yesterday"): "### [[a]] (yesterday)",
+    }
+    rows = spark.createDataFrame(list(cases), "a string, c string")
+    assert {(r["a"], r["c"]): r["h"] for r in rows.select("a", "c", ingest.comment_header(F.col("a"), F.col("c")).alias("h")).collect()} == cases
+    issue = '{"key":"P-1","fields":{"summary":"S","description":"","status":{"name":"Open"},"labels":[],"comment":{"comments":[]}}}'
+    note = ingest.issues_to_notes(spark.createDataFrame([(issue,)], "j string").select(F.from_json("j", ingest.ISSUE).alias("i")).select("i.*")).first()
+    assert tuple(note) == ("jira/P-1.md", '---\nkey: "P-1"\ntype: jira\nstatus: "Open"\n---\n\n# P-1 - S\n\n')
+
+
+def test_deep_thread(spark):
+    posts = [("t", str(k), str(k - 1) if k else None, "t1", "a", f"c{k}", 0) for k in range(40)]
+    got = ingest.flatten_thread(spark.createDataFrame(posts, "thread string, id string, parent string, kind string, author string, text string, ord int")).orderBy("number").collect()
+    assert [(r["number"], r["text"]) for r in got] == [(k + 1, f"c{k}") for k in range(40)]
+
+
+def test_note_folders(spark, tmp_path):
+    rows = spark.createDataFrame([("v/web/2024/Jan/web-2024-01-31-a.md", "x"), ("notes/b.md", "y")], "filename string, content string")
+    ingest.write_notes(rows, str(tmp_path / "out"))
+    assert sorted((r["filename"], r["type"], r["year"], r["mon"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("notes/b.md", "notes", None, None), ("v/web/2024/Jan/web-2024-01-31-a.md", "web", 2024, "Jan")]
+    ingest.write_results(rows, str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == 2
 
 
 def test_threads(spark):
@@ -262,27 +309,31 @@ def test_cosine_edges(spark):
 def test_watching_a_folder(spark, tmp_path):
     import os
 
-    vault, state = tmp_path / "vault", tmp_path / "state"
+    vault = tmp_path / "vault"
     vault.mkdir()
-    streams.register(spark)
     seen = []
 
-    def refresh(last, number):
-        seen.append(sorted((r["filename"], r["content"]) for r in last.collect()))
+    def refresh(versions, number):
+        seen.append(sorted((r["filename"], r["content"], r["deleted"]) for r in versions.collect()))
 
-    def run():
-        streams.watch(spark.readStream.format("note_versions").load(str(vault)), refresh, str(state), once=True).awaitTermination()
+    def run(state=None):
+        return streams.watch_folder(spark, str(vault), refresh, rounds=1, state=state)
 
     (vault / "a.md").write_text("one")
-    os.utime(vault / "a.md", (1000, 1000))
-    run()
-    (vault / "a.md").write_text("two")
-    (vault / "b.md").write_text("new")
     os.utime(vault / "a.md", (2000, 2000))
-    os.utime(vault / "b.md", (3000, 3000))
-    run()
-    run()
-    assert [s for s in seen if s] == [[("a.md", "one")], [("a.md", "two"), ("b.md", "new")]]
+    state = run()
+    (vault / "sub dir").mkdir()
+    (vault / "sub dir" / "b.md").write_text("late, and older than what was read")
+    os.utime(vault / "sub dir" / "b.md", (1000, 1000))
+    (vault / "a.md").write_text("two")
+    os.utime(vault / "a.md", (1500, 1500))
+    state = run(run(state))
+    (vault / "a.md").unlink()
+    state = run(state)
+    assert seen == [[("a.md", "one", False)], [("a.md", "two", False), ("sub dir/b.md", "late, and older than what was read", False)], [("a.md", None, True)]]
+    table = spark.createDataFrame([("a.md", 1), ("sub dir/b.md", 2)], "filename string, n int")
+    gone = spark.createDataFrame([("a.md", True)], "filename string, deleted boolean")
+    assert [r["filename"] for r in streams.apply_versions(table, gone, table.limit(0)).collect()] == ["sub dir/b.md"]
 
 
 def test_presets():
