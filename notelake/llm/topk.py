@@ -1,10 +1,13 @@
 """Exact top-k search: columnar branch-and-bound over integer inner products.
 
-Candidates lie in blocks of columns (a row for each dimension). A task holds a block of queries and
-walks over its blocks of candidates: it adds up products dimension block by dimension block, and after
-each drops the candidates that can't reach any query's k-th best so far, even if what is left of both
-vectors pointed the same way (Cauchy-Schwarz on the remaining mass). What survives is scored in
-full, so results are exact. The k-th best only rises while a task goes on.
+Candidates lie in blocks of columns (a row for each dimension). A query adds up products dimension block
+by dimension block, its heaviest dimensions first, and after each block compacts the candidates to those
+that could still reach its k-th best so far if what is left of both vectors pointed the same way
+(Cauchy-Schwarz on the remaining mass). What survives all blocks has its exact score. The k-th best
+starts from a bounded sample of all vectors that each query is scored against, and only rises.
+
+Candidates and queries meet in a grid: a cell of it has one lane of candidates and one group of queries,
+both of bounded size; the numbers of lanes and groups grow with the rows.
 
 Components are floor(scale * x), x as double. Scores are added in double precision where every sum
 is below 2^53, and in 64-bit integers otherwise (they must fit).
@@ -12,7 +15,7 @@ is below 2^53, and in 64-bit integers otherwise (they must fit).
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do rows
 without an id. Vectors meet those of their own length only. Ties go to the smaller id. Rows that
 repeat an id are candidates each, but none is a candidate for its own id; as a query such an id has
-the least of its vectors.
+the least of its vectors. An empty table, or one without queries, gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,21 +28,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vectors in a block of candidates, of queries; dimensions that are added up between two tests.
-CANDIDATES, QUERIES, DIMENSIONS = 8192, 512, 16
-#: Groups of candidate blocks that each block of queries is sent to.
-LANES = 48
+CANDIDATES, QUERIES, DIMENSIONS = 2048, 512, 8
+#: Candidates of a lane and queries of a group, as dealt; lanes that are made at least if there are blocks enough.
+LANE, GROUP, LANES = 1 << 16, 1 << 11, 48
+#: Vectors that every query is scored against first.
+SEEDS = 4096
+
+
+def _cells(rows: list, dim: int) -> tuple[np.ndarray, bool]:
+    """A row for each dimension; 32-bit integers where they are enough."""
+    cells = np.ascontiguousarray(np.array(rows, np.int64).reshape(len(rows), dim).T)
+    narrow = not cells.size or -(2**31) <= cells.min() and cells.max() < 2**31
+    return (cells.astype(np.int32), True) if narrow else (cells, False)
 
 
 def blocks(vectors: DataFrame, size: int) -> DataFrame:
-    """``dim, n, ids, cells``: up to ``size`` vectors of a partition with one length, dimension by dimension."""
+    """``dim, n, ids, narrow, cells``: up to ``size`` vectors of a partition with one length, dimension by dimension."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[int, tuple[list, list]] = {}
 
         def close(dim: int) -> pa.RecordBatch:
             ids, rows = open_.pop(dim)
-            cells = np.ascontiguousarray(np.array(rows, np.int64).reshape(len(ids), dim).T)
-            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "n": pa.array([len(ids)], pa.int32()), "ids": pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), "cells": pa.array([cells.tobytes()], pa.binary())})
+            cells, narrow = _cells(rows, dim)
+            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "n": pa.array([len(ids)], pa.int32()), "ids": pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), "narrow": pa.array([narrow]), "cells": pa.array([cells.tobytes()], pa.binary())})
 
         for batch in batches:
             for vec_id, v in zip(batch.column("vec_id").to_pylist(), batch.column("v"), strict=True):
@@ -52,7 +64,13 @@ def blocks(vectors: DataFrame, size: int) -> DataFrame:
         for dim in list(open_):
             yield close(dim)
 
-    return vectors.select("vec_id", "v").mapInArrow(run, "dim int, n int, ids binary, cells binary")
+    return vectors.select("vec_id", "v").mapInArrow(run, "dim int, n int, ids binary, narrow boolean, cells binary")
+
+
+def unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and cells of a block."""
+    ids = np.frombuffer(row["ids"], np.int64)
+    return ids, np.frombuffer(row["cells"], np.int32 if row["narrow"] else np.int64).reshape(row["dim"], len(ids)).astype(np.int64)
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,84 +83,116 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
 
 class Search:
-    """Best candidates so far for a block of queries."""
+    """Best candidates so far for a block of queries; ``tested[j]`` counts the candidates that dimension block j was added for."""
 
-    def __init__(self, ids: np.ndarray, cells: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, cells: np.ndarray, k: int, least: np.ndarray | None = None):
         self.ids, self.cells, self.k = ids, cells, k
-        self.least = np.full(len(ids), -np.inf)
+        #: Scores that the k-th best reaches at least.
+        self.least = np.full(len(ids), -np.inf) if least is None else least.copy()
         self.found = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in ids]
-
-    @staticmethod
-    def mass(cells: np.ndarray, starts: list[int]) -> list[np.ndarray]:
-        """Length of what is left of each vector from each of ``starts`` on."""
-        squares = cells.astype(float) ** 2
-        return [np.sqrt(squares[s:].sum(axis=0)) for s in starts]
-
-    def add(self, ids: np.ndarray, cells: np.ndarray, tile: int = 64) -> None:
-        dim = len(cells)
-        most = float(np.abs(self.cells).max(initial=0)) * float(np.abs(cells).max(initial=0)) * dim
-        kind = np.float64 if most < 2**53 else np.int64
+        self.order = np.argsort(-np.abs(cells), axis=0, kind="stable")
+        ordered = np.take_along_axis(cells, self.order, axis=0).astype(float) ** 2
+        self.ends = list(range(DIMENSIONS, len(cells), DIMENSIONS)) + [len(cells)]
+        #: Length of what is left of each query behind each end.
+        self.left = np.array([np.sqrt(ordered[e:].sum(axis=0)) for e in self.ends]).reshape(len(self.ends), len(ids))
+        self.tested = np.zeros(len(self.ends), np.int64)
+
+    def exact_kind(self, cells: np.ndarray) -> type:
+        most = float(np.abs(self.cells).max(initial=0)) * float(np.abs(cells).max(initial=0)) * len(cells)
+        return np.float64 if most < 2**53 else np.int64
+
+    def add(self, ids: np.ndarray, cells: np.ndarray) -> None:
+        kind = self.exact_kind(cells)
         ours, theirs = self.cells.astype(kind), cells.astype(kind)
-        ends = list(range(DIMENSIONS, dim, DIMENSIONS)) + [dim]
-        left, right = self.mass(self.cells, ends), self.mass(cells, ends)
-        for q in range(0, len(self.ids), tile):
-            at = slice(q, min(q + tile, len(self.ids)))
-            alive = np.arange(len(ids))
-            total = np.zeros((at.stop - q, len(ids)), kind)
+        real = cells.astype(float)
+        mass = np.einsum("ij,ij->j", real, real)
+        for k in range(len(self.ids)):
+            order, least = self.order[:, k], self.least[k]
+            alive = np.flatnonzero(ids != self.ids[k])
+            whole = len(alive) == len(ids)
+            total, rest, all_mass = np.zeros(len(alive), kind), mass[alive], mass[alive]
             begin = 0
-            for end, mine, other in zip(ends, left, right, strict=True):
-                total += ours[begin:end, at].T @ theirs[begin:end, alive]
+            for j, end in enumerate(self.ends):
+                rows = order[begin:end]
+                part = theirs[rows] if whole else theirs[rows[:, None], alive]
+                self.tested[j] += len(alive)
+                total = total + ours[rows, k] @ part
                 begin = end
-                if end == dim:
+                if end == len(cells):
                     break
-                # rounding of the bound is far below one unit of score
-                reach = total + mine[at, None] * other[alive][None, :] * (1 + 1e-9) + 1
-                stay = (reach >= self.least[at, None]).any(axis=0)
+                part = part.astype(float, copy=False)
+                rest = rest - np.einsum("ij,ij->j", part, part)
+                # what rounding may have taken away is added again
+                reach = total + self.left[j, k] * np.sqrt(np.maximum(rest, 0) + 1e-9 * all_mass) * (1 + 1e-9) + 1
+                stay = reach >= least
                 if not stay.all():
-                    alive, total = alive[stay], total[:, stay]
-            for row, k in enumerate(range(q, at.stop)):
-                ok = (total[row] >= self.least[k]) & (ids[alive] != self.ids[k])
-                if ok.any():
-                    old_ids, old = self.found[k]
-                    self.found[k] = got = _best(np.concatenate([old_ids, ids[alive[ok]]]), np.concatenate([old, total[row, ok].astype(np.int64)]), self.k)
-                    if len(got[0]) == self.k:
-                        self.least[k] = got[1][-1]
+                    alive, total, rest, all_mass, whole = alive[stay], total[stay], rest[stay], all_mass[stay], False
+                    if not len(alive):
+                        break
+            ok = total >= least
+            if len(alive) and ok.any():
+                old_ids, old = self.found[k]
+                self.found[k] = got = _best(np.concatenate([old_ids, ids[alive[ok]]]), np.concatenate([old, total[ok].astype(np.int64)]), self.k)
+                if len(got[0]) == self.k:
+                    self.least[k] = max(self.least[k], got[1][-1])
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.repeat(self.ids, [len(i) for i, _ in self.found]), np.concatenate([i for i, _ in self.found]), np.concatenate([s for _, s in self.found])
 
 
+def seeded(ids: np.ndarray, cells: np.ndarray, seeds: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
+    """For each query the k-th best score among the sample, its own id left out; minus infinity if the sample is too small."""
+    least = np.full(len(ids), -np.inf)
+    if len(cells) not in seeds:
+        return least
+    seed_ids, seed_cells = seeds[len(cells)]
+    kind = Search(ids[:0], cells[:, :0], k).exact_kind(seed_cells) if not len(ids) else Search(ids, cells, k).exact_kind(seed_cells)
+    scores = cells.T.astype(kind) @ seed_cells.astype(kind)
+    for q in range(len(ids)):
+        own = scores[q, seed_ids != ids[q]]
+        if len(own) >= k:
+            least[q] = np.partition(own, len(own) - k)[len(own) - k]
+    return least
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024.0) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` candidates with the highest inner products for each query."""
+    spark = vectors.sparkSession
     usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x")).filter(
         F.col("vec_id").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     )
     whole = usable.select("vec_id", F.transform("x", lambda c: F.floor(c * scale)).alias("v"))
-    theirs = blocks(whole, CANDIDATES).withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(LANES).cast("long")))
-    asked = whole.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    ours = blocks(asked, QUERIES).select("dim", F.col("ids").alias("query_ids"), F.col("cells").alias("query_cells"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LANES - 1).cast("long"))).alias("lane"))
-    pairs = theirs.join(ours, ["lane", "dim"]).sortWithinPartitions("lane", "dim", "query_ids")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, key = None, None
+    size = whole.agg(F.count("*").alias("all"), F.count_if(is_query).alias("asked")).first()
+    lanes = max(-(-size["all"] // LANE), min(-(-size["all"] // CANDIDATES), LANES), 1)
+    groups = max(-(-size["asked"] // GROUP), 1)
+    # a sample of bounded size, a few rows of each length that occurs in it
+    sample: dict[int, tuple[list, list]] = {}
+    for r in whole.orderBy(F.xxhash64("vec_id", F.lit("seed")), "vec_id", "v").limit(SEEDS).collect():
+        ids, rows = sample.setdefault(len(r["v"]), ([], []))
+        ids.append(r["vec_id"])
+        rows.append(r["v"])
+    seeds = spark.sparkContext.broadcast({dim: (np.array(ids, np.int64), _cells(rows, dim)[0]) for dim, (ids, rows) in sample.items()})
+
+    def numbers(n: int) -> Column:
+        return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
 
-        def close() -> pa.RecordBatch:
-            q, v, s = now.rows()
-            return pa.RecordBatch.from_pydict({"query_id": pa.array(q), "vec_id": pa.array(v), "score": pa.array(s)})
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                if key != (row["dim"], row["query_ids"]):
-                    if now:
-                        yield close()
-                    key = (row["dim"], row["query_ids"])
-                    ids = np.frombuffer(row["query_ids"], np.int64)
-                    now = Search(ids, np.frombuffer(row["query_cells"], np.int64).reshape(row["dim"], len(ids)), k)
-                ids = np.frombuffer(row["ids"], np.int64)
-                now.add(ids, np.frombuffer(row["cells"], np.int64).reshape(row["dim"], len(ids)))
-        if now:
-            yield close()
-
-    found = pairs.select("dim", "ids", "cells", "query_ids", "query_cells").mapInArrow(run, "query_id long, vec_id long, score long")
+    asked = whole.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    theirs = blocks(whole, CANDIDATES).select("dim", "n", "ids", "narrow", "cells", F.pmod(F.xxhash64("ids", "cells"), F.lit(lanes)).alias("lane"), F.explode(numbers(groups)).alias("group"))
+    ours = blocks(asked, QUERIES).select("dim", "n", "ids", "narrow", "cells", F.pmod(F.xxhash64("ids"), F.lit(groups)).alias("group"), F.explode(numbers(lanes)).alias("lane"))
+
+    def cell(candidates: pa.Table, queries: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for query in queries.to_pylist():
+            ids, cells = unpack(query)
+            now = Search(ids, cells, k, seeded(ids, cells, seeds.value, k))
+            for batch in candidates.to_batches():
+                for n in range(batch.num_rows):
+                    now.add(*unpack(batch.slice(n, 1).to_pylist()[0]))
+            out.append(now.rows())
+        columns = [np.concatenate([x[j] for x in out]) if out else np.zeros(0, np.int64) for j in range(3)]
+        return pa.table({name: pa.array(x, pa.int64()) for name, x in zip(("query_id", "vec_id", "score"), columns, strict=True)})
+
+    key = ["lane", "group", "dim"]
+    found = theirs.groupBy(*key).cogroup(ours.groupBy(*key)).applyInArrow(cell, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

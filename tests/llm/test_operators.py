@@ -75,12 +75,28 @@ def test_topk_odd_vectors(spark):
 
 def test_branch_and_bound_in_many_blocks():
     rng = np.random.default_rng(1)
-    vectors = rng.integers(-500, 500, (3000, 64)) * rng.integers(1, 4, (3000, 1))
-    ids = np.arange(3000)
-    s = topk.Search(ids[::100], np.ascontiguousarray(vectors[::100].T), 10)
-    for at in range(0, 3000, 700):
-        s.add(ids[at : at + 700], np.ascontiguousarray(vectors[at : at + 700].T))
-    assert sorted(zip(*map(list, s.rows()))) == sorted((q, i, int(x)) for q in ids[::100].tolist() for x, i in sorted((-int(vectors[q] @ vectors[i]), i) for i in range(3000) if i != q)[:10] for x in [-x])
+    for vectors, most in ((rng.integers(-500, 500, (3000, 64)) * rng.integers(1, 4, (3000, 1)), 1.0), (np.floor(1024 * rng.normal(0, 1, (6000, 64)) * np.geomspace(1, 0.02, 64)).astype(np.int64), 0.3)):
+        ids = np.arange(len(vectors))
+        queries, cells = ids[::100], np.ascontiguousarray(vectors[::100].T)
+        s = topk.Search(queries, cells, 10, topk.seeded(queries, cells, {64: (ids[5::7], np.ascontiguousarray(vectors[5::7].T))}, 10))
+        for at in range(0, len(ids), 700):
+            s.add(ids[at : at + 700], np.ascontiguousarray(vectors[at : at + 700].T))
+        assert sorted(zip(*map(list, s.rows()))) == sorted((q, i, int(x)) for q in queries.tolist() for x, i in sorted((-int(vectors[q] @ vectors[i]), i) for i in range(len(ids)) if i != q)[:10] for x in [-x])
+        # most candidates fall before half of the dimensions on skewed vectors
+        half = s.tested[len(s.tested) // 2] / s.tested[0]
+        assert half < most
+
+
+def test_most_candidates_of_the_table_fall_early(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    ids = np.array([r["vec_id"] for r in rows])
+    cells = np.ascontiguousarray(np.array([[int(np.floor(1024 * float(x))) for x in r["embedding"]] for r in rows]).T)
+    asked = np.flatnonzero(ids % 100 == 0)
+    s = topk.Search(ids[asked], cells[:, asked], 10, topk.seeded(ids[asked], cells[:, asked], {len(cells): (ids, cells)}, 10))
+    s.add(ids, cells)
+    share = s.tested / s.tested[0]
+    print("share of candidates by dimension block", np.round(share, 4))
+    assert share[4] < 0.5 and share[6] < 0.05
 
 
 # --- BPE ---
@@ -185,17 +201,16 @@ def test_seeds_miss_no_match(changes, lead):
 
 
 def test_fingerprints_of_all_documents(spark):
+    """Rows with equal ids have equal texts here, so the order is given but for those, which are alike."""
     for frame in (spark.read.parquet(f"{SF}/documents.parquet"), odd(spark)):
         order = sorted(((r["doc_id"], r["text"] or "") for r in frame.collect()), key=lambda r: -(2**63) if r[0] is None else r[0], reverse=True)
         got = merkle.with_edited(frame).collect()
-        assert len(got) == len(order)
-        if len({i for i, _ in order}) == len(order):
-            want = {}
-            for k, (i, t) in enumerate(order):
-                after = order[(k + 1) % len(order)][1]
-                h = len(t) // 2
-                want[i] = (len(t), hashlib.sha256((t[: len(t) - h] + after[:h]).encode()).hexdigest())
-            assert {r["doc_id"]: (r["n_chars"], r["edited_sha256"]) for r in got} == want
+        want = []
+        for k, (i, t) in enumerate(order):
+            after = order[(k + 1) % len(order)][1]
+            h = len(t) // 2
+            want.append((i, len(t), hashlib.sha256((t[: len(t) - h] + after[:h]).encode()).hexdigest()))
+        assert by_text((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == by_text(want)
 
 
 def test_fingerprint_of_edited_text_is_that_text_s(spark):
@@ -278,6 +293,48 @@ def test_reader_of_other_zip_files(tmp_path):
         warc.ArchiveReader(local.open_input_file(str(tmp_path / "bad.zip")))
 
 
+class Hollow:
+    """A file whose given stretches have bytes and whose rest is zeros."""
+
+    def __init__(self, stretches, size):
+        self.stretches, self.length, self.at = stretches, size, 0
+
+    def size(self):
+        return self.length
+
+    def seek(self, at):
+        self.at = at
+
+    def read(self, n):
+        out = bytearray(min(n, self.length - self.at))
+        for begin, data in self.stretches.items():
+            low, high = max(begin, self.at), min(begin + len(data), self.at + len(out))
+            if low < high:
+                out[low - self.at : high - self.at] = data[low - begin : high - begin]
+        self.at += len(out)
+        return bytes(out)
+
+
+def test_offsets_beyond_4_gib():
+    """A ZIP64 archive of five GiB: the second member, the directory and a range lie beyond what 32 bits hold."""
+    import struct
+
+    big, name, other = 5 << 30, b"archive/data.warc.gz", b"indexes/index.cdxj"
+    local = lambda n: struct.pack("<4sHHHHHIIIHH", b"PK\3\4", 45, 0, 0, 0, 0, 0, 0xFFFFFFFF, 0xFFFFFFFF, len(n), 20) + n + struct.pack("<HHQQ", 1, 16, 0, 0)
+    first, second = 0, len(local(name)) + big
+    lines = b"offsets"
+    start = second + len(local(other)) + len(lines)
+    entry = lambda n, size, at: struct.pack("<4sHHHHHHIIIHHHHHII", b"PK\1\2", 45, 45, 0, 0, 0, 0, 0, 0xFFFFFFFF, 0xFFFFFFFF, len(n), 28, 0, 0, 0, 0, 0xFFFFFFFF) + n + struct.pack("<HHQQQ", 1, 24, size, size, at)
+    directory = entry(name, big, first) + entry(other, len(lines), second)
+    end64 = struct.pack("<4sQHHIIQQQQ", b"PK\6\6", 44, 45, 45, 0, 0, 2, 2, len(directory), start)
+    tail = directory + end64 + struct.pack("<4sIQI", b"PK\6\7", 0, start + len(directory), 1) + struct.pack("<4sHHHHIIH", b"PK\5\6", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0)
+    deep = len(local(name)) + (4 << 30) + 77
+    file = Hollow({first: local(name), deep: b"deep bytes", second: local(other) + lines, start: tail}, start + len(tail))
+    reader = warc.ArchiveReader(file)
+    assert reader.members["archive/data.warc.gz"] == (0, big, 0) and reader.members["indexes/index.cdxj"] == (0, len(lines), second)
+    assert reader.read("archive/data.warc.gz", (4 << 30) + 77, 10) == b"deep bytes" and reader.read("indexes/index.cdxj") == lines
+
+
 def test_damaged_records_are_noticed():
     raw = warc.record(1, "u", b"payload", hashlib.sha256(b"payload").hexdigest(), None)
     assert warc.parse_record(raw)["payload"] == b"payload"
