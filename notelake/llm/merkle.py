@@ -106,13 +106,14 @@ def _count_up_to(bounds: list[int], key: Column) -> Column:
 
 
 def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """``doc_id, text`` and, as ``next_<name>``, what the next row by descending id has; the first row follows the last.
+    """``doc_id, text``, ``carried`` and, as ``next_<name>``, what the next row by descending id has; the first row follows the last.
 
     Rows go to buckets of the id order, by quantiles of the ids; a bucket's first row also goes to the
     end of the bucket before it. So no task sorts more than a bucket, and texts are shuffled once.
     """
     least = -(2**63)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(least)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[c for c in carried if c != "text"]).withColumn("key", F.coalesce("doc_id", F.lit(least)))
+    own = [c for c in rows.columns if c != "key"]
     ids = rows.select("key")
     count = ids.count()
     wanted = min(MAX_BUCKETS, max(1, count // BUCKET_ROWS))
@@ -127,18 +128,20 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     head_of = [heads.get(k, least) for k in range(len(bounds) + 1)]
     above = {low: high for low, high in zip(filled, filled[1:] + filled[:1], strict=True)}
     above_of = [above.get(k, 0) for k in range(len(bounds) + 1)]
-    own = F.struct(F.col("bucket").alias("b"), F.lit(0).alias("guest"))
+    stay = F.struct(F.col("bucket").alias("b"), F.lit(0).alias("guest"))
     guest = F.struct(F.get(_literal(above_of), F.col("bucket")).cast("int").alias("b"), F.lit(1).alias("guest"))
-    dealt = bucketed.withColumn("to", F.explode(F.when(F.get(_literal(head_of), F.col("bucket")) == F.col("key"), F.array(own, guest)).otherwise(F.array(own))))
+    dealt = bucketed.withColumn("to", F.explode(F.when(F.get(_literal(head_of), F.col("bucket")) == F.col("key"), F.array(stay, guest)).otherwise(F.array(stay))))
     order = Window.partitionBy("b").orderBy("guest", F.desc("key"), F.xxhash64("text"), "text")
-    placed = dealt.select("doc_id", "text", "key", F.col("to.b").alias("b"), F.col("to.guest").alias("guest"))
-    return placed.select("doc_id", "text", "guest", *[F.lead(c).over(order).alias(f"next_{c}") for c in carried]).filter("guest = 0").drop("guest")
+    placed = dealt.select(*own, "key", F.col("to.b").alias("b"), F.col("to.guest").alias("guest"))
+    return placed.select(*own, "guest", *[F.lead(c).over(order).alias(f"next_{c}") for c in carried]).filter("guest = 0").drop("guest")
 
 
 def with_edited(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text, of the next document's, and of the text whose second half is replaced by that one's start."""
-    rows = with_next(docs, ["text"]).withColumn("n_chars", F.char_length("text").cast("long"))
+    # a text's own fingerprint is made before the shuffle and goes along, also to the document before it
+    first = docs.select("doc_id", "text", fingerprint(tree(F.col("text").cast("string"))).alias("fingerprint"))
+    rows = with_next(first, ["text", "fingerprint"]).withColumn("n_chars", F.char_length("text").cast("long"))
     half = (F.col("n_chars") / 2).cast("int")
     edited = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next_text"), F.lit(1), half)))
-    prints = edited.select("doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), *[tree(F.col(c)).alias(c) for c in ("text", "edited", "next_text")])
-    return prints.select("doc_id", "n_chars", "edited_sha256", *[fingerprint(F.col(c)).alias(n) for c, n in (("text", "fingerprint"), ("edited", "edited_fingerprint"), ("next_text", "next_fingerprint"))])
+    prints = edited.select("doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), "fingerprint", "next_fingerprint", tree(F.col("edited")).alias("edited"))
+    return prints.select("doc_id", "n_chars", "edited_sha256", "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")
