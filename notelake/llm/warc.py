@@ -5,7 +5,8 @@ for each record, and ``indexes/index.cdxj``, a line with offset and length for e
 archive under a name of its own and reports it; only reported archives are read, so a task that is lost
 and run again leaves nothing that counts. The reader seeks: it parses the end record, ZIP64 locator
 and central directory, checks the local headers, reads the index, and fetches ranges of records without
-unpacking the archive. Files are reached through ``pyarrow.fs``, so the folder may be on any store it knows.
+unpacking the archive. Files are reached through ``pyarrow.fs``, by the folder's
+qualified address, so it may be on any store that both Spark and pyarrow know.
 
 Of records whose payloads are equal and have at least ``MIN_REVISIT`` bytes, that with the smallest id
 is a response and the others are revisits that refer to it.
@@ -36,6 +37,8 @@ from .common import scratch_path, stash
 MIN_REVISIT = 100
 #: Bytes of compressed records after which a task begins another archive, and of a range that is read at once.
 ARCHIVE_BYTES, RANGE_BYTES = 256 << 20, 4 << 20
+#: Ranges that a task reads, about.
+TASK_RANGES = 16
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 
 _END, _END64, _LOCATOR64, _ENTRY, _LOCAL = b"PK\5\6", b"PK\6\6", b"PK\6\7", b"PK\1\2", b"PK\3\4"
@@ -197,7 +200,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
     folder = scratch_path(spark, "warc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+        store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         writer = None
 
@@ -219,7 +222,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
 
 
 def _open(folder: str, name: str):
-    store, root = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+    store, root = fs.FileSystem.from_uri(folder)
     return ArchiveReader(store.open_input_file(f"{root}/{name}"))
 
 
@@ -261,8 +264,11 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({k: pa.array([r[k] for r in rows], kind) for k, kind in kinds.items()})
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", payload binary" if with_payload else "")
-    ranges = index(archives).repartition(F.col("path"), F.col("offset"))
-    return ranges.mapInArrow(run, schema)
+    # a range is a small row that stands for megabytes: their number decides the tasks, not their size as rows
+    ranges = stash(index(archives), "ranges")
+    count = ranges.count()
+    tasks = max(-(-count // TASK_RANGES), min(count, 2 * archives.sparkSession.sparkContext.defaultParallelism), 1)
+    return ranges.repartition(tasks, "path", "offset").mapInArrow(run, schema)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, with_payload: bool = False) -> DataFrame:
