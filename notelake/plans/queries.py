@@ -386,16 +386,22 @@ on_tables("template_fill", "SELECT doc_id, '1998-06-15 08:30 Monday, 15 June 199
 on_tables("page_titles", "SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages")(
     lambda s, d: table(s, d, "pages").select("page_id", ingest.page_title(F.coalesce("html", F.lit(""))).alias("title"))
 )
-_NOW = F.lit("2024-01-31 08:05:00").cast("timestamp")
+
+
+def _now() -> F.Column:
+    """When the corpus is converted."""
+    return F.lit("2024-01-31 08:05:00").cast("timestamp")
+
+
 # the page's title as in page_titles; a url's last path part, or unnamed
 _TITLE = "trim(regexp_replace(replace(replace(replace(replace(regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g'))"
 _WEB_NAME = "translate(coalesce(nullif(trim(regexp_extract(regexp_extract(coalesce(url, ''), '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '([^/]*)$', 1)), ''), 'unnamed'), ' ', '_')"
 on_tables("page_to_note", f"""SELECT page_id, 'web/2024/Jan/web-2024-01-31-' || {_WEB_NAME} || '.md' AS filename,
     '---' || chr(10) || 'created: 2024-01-31 08:05' || chr(10) || 'type: web' || chr(10) || 'source: "' || replace(coalesce(url, ''), '"', '\\"') || '"' || chr(10)
     || 'title: "' || replace({_TITLE}, '"', '\\"') || '"' || chr(10) || '---' || chr(10) || chr(10) || chr(10) AS head FROM pages""")(
-    lambda s, d: ingest.pages_to_notes(table(s, d, "pages"), _NOW).select("page_id", "filename", F.regexp_extract("content", r"(?s)^(---\n.*?\n---\n\n\n)", 1).alias("head"))
+    lambda s, d: ingest.pages_to_notes(table(s, d, "pages"), _now()).select("page_id", "filename", F.regexp_extract("content", r"(?s)^(---\n.*?\n---\n\n\n)", 1).alias("head"))
 )
-on_tables("page_bodies")(lambda s, d: ingest.pages_to_notes(table(s, d, "pages"), _NOW).select("page_id", "content"))
+on_tables("page_bodies")(lambda s, d: ingest.pages_to_notes(table(s, d, "pages"), _now()).select("page_id", "content"))
 on_tables("text_to_note", "SELECT doc_id, trim(string_split(coalesce(text, ''), chr(10))[1]) AS title, array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10) || chr(10)) AS body FROM documents")(
     lambda s, d: ingest.texts_to_notes(table(s, d, "documents"))
 )
@@ -406,7 +412,7 @@ on_tables("frontmatter_render", """SELECT doc_id, '---' || chr(10) || 'created:
     || coalesce('title: "say \\"' || lang || '\\""' || chr(10), '') || 'from: "' || doc_id || '"' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'to:' || chr(10) || '  - "[[a]]"' || chr(10) || '  - "b"' || chr(10) ELSE '' END
     || 'mail_date: "2024-01-30T10:00:00Z"' || chr(10) || '---' || chr(10) || chr(10) AS front FROM documents""")(
     lambda s, d: table(s, d, "documents").select("doc_id", ingest.note_front(
-        F.date_format(_NOW, "yyyy-MM-dd HH:mm"), F.lit("mail"), F.col("source"), F.concat(F.lit('say "'), "lang", F.lit('"')), F.col("doc_id").cast("string"),
+        F.date_format(_now(), "yyyy-MM-dd HH:mm"), F.lit("mail"), F.col("source"), F.concat(F.lit('say "'), "lang", F.lit('"')), F.col("doc_id").cast("string"),
         F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("[[a]]"), F.lit("b"))).otherwise(F.array().cast("array<string>")), F.lit("2024-01-30T10:00:00Z"),
     ).alias("front"))
 )
@@ -414,7 +420,7 @@ on_tables("route_note_path", f"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'w
     WHEN 2 THEN 'mail/2023/Dec/mail-2023-12-0' || (1 + page_id % 9) || '-in' || page_id || '.md' ELSE 'notes/issue-2024-01-31-unnamed.md' END AS path FROM pages""")(
     lambda s, d: table(s, d, "pages").withColumn("kind", F.get(F.array(*map(F.lit, ("web", "document", "mail", "issue"))), (F.col("page_id") % 4).cast("int"))).select("page_id", ingest.note_path(
         F.col("kind"), F.when(F.col("kind") == "web", F.coalesce("url", F.lit(""))).when(F.col("kind") == "document", F.concat(F.lit("a dir/My file "), F.col("page_id").cast("string"), F.lit(".tar.gz"))).otherwise(F.concat(F.lit("/m/in"), F.col("page_id").cast("string"), F.lit(".eml"))),
-        _NOW, F.date_add(F.lit("2023-12-01").cast("date"), (F.col("page_id") % 9).cast("int")),
+        _now(), F.date_add(F.lit("2023-12-01").cast("date"), (F.col("page_id") % 9).cast("int")),
     ).alias("path"))
 )
 on_tables("email_person_link", "SELECT c_custkey, '[[' || replace(lower(c_mktsegment), '.', '_') || '_' || c_custkey || ']]' AS link FROM customer")(
@@ -435,11 +441,17 @@ on_tables("issue_comment_header", """SELECT event_id, '### [[anna u' || user_id
     lambda s, d: table(s, d, "events").select("event_id", ingest.comment_header(F.concat(F.lit("Anna U"), F.col("user_id").cast("string")), F.when(F.col("event_id") % 4 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'.123+0000'"))
         .when(F.col("event_id") % 4 == 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'.9Z'")).when(F.col("event_id") % 4 == 2, F.date_format("ts", "yyyy-MM-dd'T'HH:mm")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm"))).alias("header"))
 )
-_STYLED = F.concat(F.lit("Calibri 11\n  color: red\nfont-face\n"), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" **\r\n")), F.lit("\n@page x\n\\_done\\* \\\\ {} <b> *x* \\q** \n\n"))
+
+
+def _styled() -> F.Column:
+    """A document's text as a mail body, with what mail programs leave in it."""
+    return F.concat(F.lit("Calibri 11\n  color: red\nfont-face\n"), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" **\r\n")), F.lit("\n@page x\n\\_done\\* \\\\ {} <b> *x* \\q** \n\n"))
+
+
 on_tables("mail_body_clean", r"""WITH i AS (SELECT doc_id, 'Calibri 11' || chr(10) || '  color: red' || chr(10) || 'font-face' || chr(10) || replace(coalesce(text, ''), chr(10), ' **' || chr(13) || chr(10)) || chr(10) || '@page x' || chr(10) || '\_done\* \\ {} <b> *x* \q** ' || chr(10) AS t FROM documents),
     k AS (SELECT doc_id, list_filter(string_split(replace(t, chr(13) || chr(10), chr(10)), chr(10)), lambda x: NOT regexp_matches(x, '^[\s\p{Z}]*(Times New Roman|Arial|Calibri|font-family:|font-size:|font-style:|font-weight:|color:|background-color:|mso-|@)')) AS w FROM i)
     SELECT doc_id, array_to_string(list_transform(list_slice(w, 1, len(w) - 1), lambda x: regexp_replace(regexp_replace(replace(regexp_replace(x, '\\([*_\[\](){}#+\-.!|])', '\1', 'g'), '\\', '\'), '[\s\p{Z}]+$', ''), '[*]+$', '')), chr(10)) AS cleaned FROM k""".replace("\\", "\\"))(
-    lambda s, d: table(s, d, "documents").select("doc_id", ingest.clean_mail_body(_STYLED).alias("cleaned"))
+    lambda s, d: table(s, d, "documents").select("doc_id", ingest.clean_mail_body(_styled()).alias("cleaned"))
 )
 
 

@@ -351,3 +351,14 @@ def test_sql_functions(spark):
     T.register(spark)
     assert tuple(spark.sql("SELECT nl_norm('A_b'), nl_tag_parents('a/b'), round(nl_cosine(array(1D, 0D), array(1D, 1D)), 4)").first()) == ("a b", ["a", "a/b"], 0.7071)
     assert spark.range(1).select(F.round(T.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0))), 4)).first()[0] == 0.0
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 140 and set(e.oracle_sql()) <= set(q)"
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-2000:]
