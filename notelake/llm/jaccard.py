@@ -12,9 +12,11 @@ from two sides, and a candidate pair links only if the sets themselves have a si
 A first round holds each node against the smallest node that it shares a fingerprint's group or a key
 with, so that a large group of near copies becomes one component after one pair a node. The second round
 takes the pairs that are in different components even then. Of keys of at most ``BUCKET`` nodes these
-become rows. Larger keys are compared in tasks, which return no more links than join the components.
-Keys beyond ``PART_NODES`` are dealt into parts; linked sets share about ten keys, each dealt anew, so
-two components stay apart only if none of these keys brings any of their linked pairs together. Rows grow with the nodes, never with the square of a group.
+become rows. Larger keys are compared in tasks, which return no more links than join the components:
+they are dealt into parts of about ``PART_NODES`` nodes, and each part is compared in itself. The third round
+takes the keys of several parts that hold different components even then, and compares each part with each
+other one, so no pair that shares a key goes uncompared. Only sets of such keys are copied, once for each part
+of the key; what the tasks return never grows with the square of a group.
 
 Defined results: texts without a word (null, empty, white space) are copies of each other; fewer than
 five words are one shingle. Of each group one row stays, with all its columns: of the rows with the
@@ -43,8 +45,8 @@ LEAST = (4, 5)
 BANDS, ROWS = 24, 4
 #: Nodes of a key up to which all its pairs that are still apart become rows; those of larger keys are compared in tasks.
 BUCKET = 64
-#: Nodes and shingles of a large key that one task compares at once, and shingles it counts at once.
-PART_NODES, PART_SHINGLES, COLUMNS = 1024, 2_000_000, 4096
+#: Nodes and shingles of one part of a large key (a task holds one or two), and shingles that are counted at once.
+PART_NODES, PART_SHINGLES, COLUMNS = 512, 1_000_000, 4096
 #: Rows that a Python worker returns at once.
 SLICE = 512
 
@@ -172,29 +174,44 @@ def _roots(docs: DataFrame, prints: DataFrame) -> DataFrame:
     to_hub = members.filter((F.col("hub") < F.col("node")) & _fits("n", "hub_n")).groupBy(F.col("node").alias("u")).agg(F.min("hub").alias("v"))
     links = stash(_verified(stash(to_hub.unionByName(near).distinct(), "to-hub"), sets), "links")
     so_far = simhash.connected(links)
-    now = stash(_rooted(members, so_far, "node", "root"), "rooted")
     small = F.col("c") <= BUCKET
-    split = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    open_ = stash(now.join(split, "key", "left_semi"), "open")
+    open_ = stash(_apart(members, so_far), "open")
     other = open_.filter(small).select("key", F.col("node").alias("v"), F.col("n").alias("v_n"), F.col("root").alias("v_root"))
     inside = open_.filter(small).withColumnRenamed("node", "u").join(other, "key").filter((F.col("u") > F.col("v")) & (F.col("root") != F.col("v_root")) & _fits("n", "v_n")).select("u", "v")
     pairs = stash(inside.distinct(), "pairs")
-    last = stash(_verified(pairs, sets).unionByName(_large(open_.filter(~small), sets)).distinct(), "last")
-    found = simhash.connected(links.unionByName(last))
-    discard(nodes, members, near, sets, links, so_far, now, open_, pairs, last)
+    dealt = stash(_dealt(open_.filter(~small)), "dealt")
+    within = _compared(dealt.select("key", F.col("part").alias("lo"), F.col("part").alias("hi"), "node", "root"), sets)
+    last = stash(links.unionByName(_verified(pairs, sets)).unionByName(within).distinct(), "last")
+    joined = simhash.connected(last)
+    apart = stash(_apart(dealt.filter("parts > 1").drop("root"), joined), "apart")
+    found = joined if apart.isEmpty() else simhash.connected(last.unionByName(_compared(_two_parts(apart), sets)).distinct())
+    discard(nodes, members, near, sets, links, so_far, open_, pairs, dealt, last, apart)
     return found
 
 
-def _large(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """``u, v``: links that join the components of each large key, from comparing its nodes in the tasks.
-
-    A key is dealt into parts of about ``PART_NODES`` nodes and ``PART_SHINGLES`` shingles.
-    """
+def _dealt(members: DataFrame) -> DataFrame:
+    """``key, parts, part, node, root``: parts of about ``PART_NODES`` nodes and ``PART_SHINGLES`` shingles."""
     total = members.groupBy("key").agg(F.count("*").alias("many"), F.sum("n").alias("weight"))
     parts = total.select("key", F.ceil(F.greatest(F.col("many") / PART_NODES, F.col("weight") / PART_SHINGLES)).alias("parts"))
-    dealt = members.join(parts, "key").select("key", F.pmod(F.xxhash64("node", "key"), F.col("parts")).alias("part"), "node", "root")
-    rows = dealt.join(sets, "node").select("key", "part", "node", "root", "found")
-    return rows.groupBy("key", "part").applyInArrow(_joined, "u long, v long")
+    return members.join(parts, "key").select("key", "parts", F.pmod(F.xxhash64("node", "key"), F.col("parts")).alias("part"), "node", "root")
+
+
+def _apart(members: DataFrame, so_far: DataFrame) -> DataFrame:
+    """``members`` with their roots, of the keys that hold several roots."""
+    now = _rooted(members, so_far, "node", "root")
+    split = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    return now.join(split, "key", "left_semi")
+
+
+def _two_parts(dealt: DataFrame) -> DataFrame:
+    """``key, lo, hi, node, root``: each node once for each other part of its key."""
+    facing = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("other <> part")
+    return facing.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "node", "root")
+
+
+def _compared(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``u, v``: links that join what is linked among the nodes of each ``key, lo, hi``, compared in one task."""
+    return rows.join(sets, "node").select("key", "lo", "hi", "node", "root", "found").groupBy("key", "lo", "hi").applyInArrow(_joined, "u long, v long")
 
 
 def _joined(group: pa.Table) -> pa.Table:

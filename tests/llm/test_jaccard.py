@@ -60,6 +60,22 @@ def test_large_group_of_near_copies(spark):
     assert got == kept_by_pairs([r[:2] for r in rows]) and len(got) == 201
 
 
+def test_few_links_among_many_nodes_of_one_key(spark, monkeypatch):
+    """Texts of one template that are linked in pairs only, in keys of many parts: every pair is found."""
+    monkeypatch.setattr(jaccard, "BUCKET", 2)
+    monkeypatch.setattr(jaccard, "PART_NODES", 4)
+    words = [f"w{k}" for k in range(300)]
+
+    def text(i):
+        own = [f"{w}y{i // 2}" if k % 60 == i // 2 % 60 or k % 75 == 7 else w for k, w in enumerate(words)]
+        return " ".join(own if i % 2 == 0 else [*own[:150], f"z{i}", *own[151:]])
+
+    rows = [(i, text(i), "en", "a", 1, 1.0, "x", 1) for i in range(240)]
+    want = kept_by_pairs([r[:2] for r in rows])
+    got = {r["doc_id"] for r in jaccard.keep_one(docs(spark, rows)).select("doc_id").collect()}
+    assert got == want and len(want) == 120
+
+
 def test_odd_rows(spark):
     kept = [tuple(r)[:2] for r in jaccard.keep_one(docs(spark, ODD)).collect()]
     assert sorted((i for i, _ in kept), key=str) == [1, 3, 5, 6, None]
