@@ -4,7 +4,7 @@ A text is a sequence of words: A-Z lower-cased, ASCII characters that are no let
 words. Notices are searched in the words joined by single spaces. A notice with at most k edits is cut
 into k + 1 seeds; by the pigeonhole principle one of them stands unchanged in every match. All seeds
 are found in one pass (Aho-Corasick); around each hit, the regex library's bounded-error matching
-verifies the whole notice and counts its edits. Matches begin and end with a word. A base phrase
+verifies the whole notice and counts its edits. Matches are runs of whole words. A base phrase
 counts where it stands without an edit.
 
 Defined results: null and empty texts have no words, no labels and score 0; repeated rows are each
@@ -54,7 +54,7 @@ class Notice:
     def __init__(self, phrase: str, label: str, base: bool):
         self.phrase, self.label, self.base = phrase, label, base
         self.edits = len(phrase) // CHARS_PER_EDIT
-        self.pattern = regex.compile(f"(?b)(?<![^ ])(?:{regex.escape(phrase, special_only=True, literal_spaces=True)}){{e<={self.edits}}}(?![^ ])")
+        self.pattern = regex.compile(f"(?b)(?:{regex.escape(phrase, special_only=True, literal_spaces=True)}){{e<={self.edits}}}")
         step = len(phrase) / (self.edits + 1)
         cuts = [round(step * k) for k in range(self.edits + 2)]
         self.seeds = [(a, phrase[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
@@ -85,13 +85,22 @@ class Scanner:
                         out[n, at] = (notice, at, at + size_n, 0)
                         continue
                 if k and not any((n, s) in out for s in range(at - k, at + k + 1)):
-                    low, high = max(0, at - k), at + size_n + k
-                    if m := notice.pattern.search(joined, low, min(len(joined), high)):
-                        # pos and endpos hide what stands beyond them from the look-arounds
-                        if (m.start() == 0 or joined[m.start() - 1] == " ") and joined[m.end() : m.end() + 1] in ("", " "):
-                            out[n, m.start()] = (notice, m.start(), m.end(), sum(m.fuzzy_counts))
+                    if m := self._verified(notice, joined, at):
+                        out[n, m[1]] = m
         return sorted(out.values(), key=lambda x: (x[1], x[2], x[0].phrase))
 
+    @staticmethod
+    def _verified(notice: Notice, joined: str, at: int) -> tuple[Notice, int, int, int] | None:
+        """The match with the fewest edits of those that start at most k from ``at``, where a seed puts the notice, and end likewise.
+
+        Each run of whole words there is held against the pattern: a search could not see beyond its window.
+        """
+        k, end = notice.edits, at + len(notice.phrase)
+        starts = [s for s in range(max(0, at - k), at + k + 1) if s == 0 or joined[s - 1] == " "]
+        ends = [e for e in range(end - k, min(len(joined), end + k) + 1) if joined[e : e + 1] in ("", " ")]
+        runs = ((s, e, notice.pattern.fullmatch(joined, s, e)) for s in starts for e in ends if abs(e - s - len(notice.phrase)) <= k)
+        return min(((notice, s, e, sum(m.fuzzy_counts)) for s, e, m in runs if m), key=lambda x: (x[3], x[1], x[2]), default=None)
+
 
 @cache
 def scanner() -> Scanner:

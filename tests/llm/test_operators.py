@@ -11,7 +11,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyarrow import fs
 from pyspark.sql import functions as F
@@ -183,18 +183,63 @@ def test_license_edits(spark):
     assert licenses.spans(frame.limit(0)).count() == 0
 
 
+def least_edits(phrase, joined, most):
+    """The fewest edits, at most ``most``, of the phrase from any run of whole words: the table of edit distances from each word on."""
+    found = []
+    for start in [0, *(k + 1 for k, c in enumerate(joined) if c == " ")]:
+        run = joined[start : start + len(phrase) + most]
+        row = list(range(len(run) + 1))
+        for i, c in enumerate(phrase, 1):
+            last, row = row, [i] + [0] * len(run)
+            for j, d in enumerate(run, 1):
+                row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (c != d))
+            if min(row) > most:
+                break
+        else:
+            found += [n for e, n in enumerate(row) if e and n <= most and joined[start + e : start + e + 1] in ("", " ")]
+    return min(found, default=None)
+
+
+def scanned(joined):
+    out = {}
+    for notice, start, end, edits in licenses.scanner().found(joined):
+        assert (start == 0 or joined[start - 1] == " ") and joined[end : end + 1] in ("", " ")
+        out[notice.phrase] = min(edits, out.get(notice.phrase, edits))
+    return out
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 60), st.sampled_from("axz "), st.booleans()), max_size=3), st.integers(0, 5))
 def test_seeds_miss_no_match(changes, lead):
-    """Wherever the bounded-error pattern matches the whole text, the seeds find it."""
+    """A notice of one place is found wherever its edits are few enough, and only there."""
     phrase = "permission is hereby granted free of charge to any person obtaining a copy"
     text = phrase
     for at, c, drop in changes:
         text = text[:at] + ("" if drop else c) + text[at + 1 :]
     joined = " ".join(("w " * lead + text + " end").split())
     notice = next(n for n in licenses.scanner().notices if n.phrase == phrase)
-    if notice.pattern.search(joined):
-        assert any(m[0] is notice for m in licenses.scanner().found(joined))
+    assert scanned(joined).get(phrase) == least_edits(phrase, joined, notice.edits)
+
+
+_PIECES = st.sampled_from([
+    "mit license", "apache license", "general public license", "released under the mit license", "licensed under the apache license version 2 0", "licensed under cc by sa 4 0",
+    "gnu lesser general public license", " ", " ", "x", "0", "ab ", " the", "licens", "version 2 0",
+])
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(_PIECES, min_size=1, max_size=6), st.lists(st.tuples(st.integers(0, 200), st.sampled_from(["", "x", " ", "0"]), st.booleans()), max_size=6))
+@example(["x", "apache license"], [])
+@example(["licensed under cc by sa 4 0", "version 2 0"], [])
+@example(["ab ", "gnu lesser general public license"], [(3, "x", False), (30, " ", False)])
+def test_license_notices_equal_edit_distances(pieces, edits):
+    """All notices against the table of edit distances, with pieces glued to what stands beside them."""
+    text = "".join(pieces)
+    for at, new, delete in edits:
+        text = text[: at % (len(text) + 1)] + new + text[at % (len(text) + 1) + delete :]
+    joined = b" ".join(licenses.words(text)).decode("latin-1")
+    want = {n.phrase: least_edits(n.phrase, joined, n.edits) for n in licenses.scanner().notices}
+    assert scanned(joined) == {p: n for p, n in want.items() if n is not None}
 
 
 # --- fingerprints ---
