@@ -72,9 +72,11 @@ NORM = "lower(replace({}, '_', ' '))"
 on_tables("import_notes", "SELECT filename FROM nm UNION ALL SELECT 'doc/' || coalesce(source, 'none') || '/' || doc_id || '.md' FROM documents", True)(
     lambda s, d: files.import_notes(corpus.notes_raw(s, d, True), F.col("filename"), F.col("content"), F.col("mtime")).select("filename")
 )
-on_tables("frontmatter_split", "SELECT b.filename, b.body, CASE kind WHEN 'meeting' THEN 8 WHEN 'project' THEN 7 ELSE 5 END AS front_lines FROM b JOIN nm USING (filename) WHERE kind <> 'project'", True)(
-    lambda s, d: parse.split_front(corpus.notes_raw(s, d)).filter("not startswith(filename, 'project/')").select("filename", "body", "front_lines")
-)
+on_tables("frontmatter_split", """SELECT b.filename, b.body || CASE WHEN kind = 'project' THEN '```tasks' || chr(10) || 'not done' || chr(10) || '```' ELSE '' END AS body,
+    CASE kind WHEN 'meeting' THEN 8 WHEN 'project' THEN 7 ELSE 5 END AS front_lines FROM b JOIN nm USING (filename)
+    UNION ALL SELECT 'doc/' || coalesce(source, 'none') || '/' || doc_id || '.md', coalesce(text, ''), 0 FROM documents""", True)(
+    lambda s, d: parse.split_front(corpus.notes_raw(s, d, True)).select("filename", "body", "front_lines")
+)
 register("strip_query_blocks", "SELECT filename, body FROM b")(lambda x: x.notes.select("filename", "body"))
 register("note_attributes", "SELECT filename, key, value FROM a WHERE key <> 'city' UNION ALL SELECT filename, 'city', 'Köln' FROM c")(
     lambda x: parse.merge_attributes(x.parsed, None, False, False).select("filename", "key", "value")
@@ -174,6 +176,9 @@ on_tables("body_umlaut", """SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRST
     lambda s, d: table(s, d, "documents").select("doc_id", T.like("text", "FüR").alias("lower_case"), T.like("text", "FÜR").alias("upper_case"))
 )
 register("notes_body", "SELECT filename FROM b WHERE lower(body) LIKE '%priority: e due: 1998%'")(lambda x: search.search_notes(x, body="Priority: E due: 1998").select("filename"))
+on_tables("notes_body_documents", "SELECT filename FROM b WHERE lower(body) LIKE '%and the%' UNION ALL SELECT 'doc/' || coalesce(source, 'none') || '/' || doc_id || '.md' FROM documents WHERE lower(text) LIKE '%and the%'", True)(
+    lambda s, d: search.search_notes(build_index(corpus.notes_raw(s, d, True)), body="And THE").select("filename")
+)
 register("notes_word", "SELECT filename FROM n JOIN h USING (filename) JOIN b USING (filename) WHERE lower(title) LIKE '%furniture%' OR lower(header) LIKE '%furniture%' OR lower(body) LIKE '%furniture%'")(
     lambda x: search.search_notes(x, predicate=search.Text("furniture")).select("filename")
 )
