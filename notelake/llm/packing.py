@@ -9,7 +9,8 @@ Pieces of one length are interchangeable: each gets a rank among them, and the p
 sequence and offset that rank has.
 
 Defined results: null and empty texts have only the end token. Repeated rows are packed each.
-Null ids are packed too. An empty table gives an empty result.
+Null ids are packed too. An empty table gives an empty result. The tokenizer's own tokens (its end-of-text string)
+within a text become their ids, as the tokenizer gives them, and part the text.
 """
 
 from __future__ import annotations
@@ -48,7 +49,10 @@ def unit_table(path: str) -> UnitTable:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+            raise ValueError(f"{path} has added tokens that take more than their string")
+        tokenizer.encode_special_tokens = True  # texts come without them
 
         size = np.zeros(tokenizer.get_vocab_size(), np.int64)  # bytes of each token: a character of its name for each
         for name, k in tokenizer.get_vocab().items():
@@ -74,7 +78,7 @@ def unit_table(path: str) -> UnitTable:
             order[np.concatenate([np.flatnonzero(follows), np.flatnonzero(~follows)])] = place
             return expand(ids, order, lengths), lengths
 
-        _TABLES[path] = UnitTable(encode)
+        _TABLES[path] = UnitTable(encode, {t.content: k for k, t in added.items()})
     return _TABLES[path]
 
 

@@ -89,8 +89,9 @@ class UnitTable:
     #: Bytes of a unit that is kept at most, kept units and kept ids at most: the bounds of the table.
     LONGEST, MOST_UNITS, MOST_IDS = 48, 600_000, 4_000_000
 
-    def __init__(self, encode: Callable[[pa.StringArray], Ids]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[pa.StringArray], Ids], specials: dict[str, int] | None = None):
+        #: ``specials``: strings that are tokens of their own wherever they stand; texts end and begin anew at them.
+        self.encode, self.specials = encode, specials or {}
         self.forget()
         self.marks = [encode(pa.array([m], pa.string()))[0] for m in ",."]
 
@@ -109,6 +110,18 @@ class UnitTable:
             at = end
 
     def _together(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        if not any(pc.any(pc.match_substring(texts, s)).as_py() for s in self.specials):
+            return self._plain(texts)
+        pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")")
+        parted = [pattern.split(t) for t in texts.to_pylist()]  # texts between specials, and these
+        ids, ends = self._plain(pa.array([x for p in parted for x in p[::2]], pa.string()))
+        last = np.cumsum([len(p) // 2 + 1 for p in parted]) - 1
+        inner = np.ones(len(ends), bool)
+        inner[last] = False  # behind the others stands a special
+        found = np.array([self.specials[x] for p in parted for x in p[1::2]], ids.dtype)
+        return np.insert(ids, ends[inner], found), (ends + np.cumsum(inner))[last]
+
+    def _plain(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         flat, counts = split(texts)
         coded = flat.dictionary_encode()
         at = coded.indices.to_numpy(zero_copy_only=False)

@@ -121,9 +121,7 @@ def test_long_chain_is_one_component(spark):
 def whole_tokenizer():
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(packing.default_vocabulary())
-    whole.encode_special_tokens = True
-    return whole
+    return Tokenizer.from_file(packing.default_vocabulary())
 
 
 def ids_by_units(table, texts):
@@ -142,6 +140,18 @@ def test_units_encode_as_the_whole_texts(texts):
     assert ids_by_units(packing.unit_table(packing.default_vocabulary()), texts) == [whole_tokenizer().encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", " ", "\n", "a", "'s", "<|endoftext", "|>", "  ", "b.", "é"]), max_size=9).map("".join), min_size=1, max_size=6))
+def test_special_tokens_in_texts_are_the_tokenizers(texts):
+    assert ids_by_units(packing.unit_table(packing.default_vocabulary()), texts) == [whole_tokenizer().encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_special_token_within_a_document(spark):
+    assert whole_tokenizer().encode("a<|endoftext|>b", add_special_tokens=False).ids == [64, 50256, 65]
+    docs = spark.createDataFrame([(1, "a<|endoftext|>b"), (2, "plain")], "doc_id long, text string")
+    assert {r["doc_id"]: r["ids"] for r in packing.pieces(docs).collect()}[1] == [64, 50256, 65, 2]
+
+
 def test_unit_table_forgets_but_stays_right(monkeypatch):
     monkeypatch.setattr(UnitTable, "MOST_UNITS", 50)
     monkeypatch.setattr(UnitTable, "TOGETHER", 300)
