@@ -17,65 +17,84 @@ except ImportError:  # reading frontmatter fails then
     yaml = None
 
 
-
 def _struct(**fields: S.DataType) -> S.StructType:
     # types as objects: workers import this module without a session, which type texts would need
     return S.StructType([S.StructField(k, v) for k, v in fields.items()])
 
 
 TEXT, TEXTS = S.StringType(), S.ArrayType(S.StringType())
-ATTRIBUTES = _struct(title=TEXT, created=TEXT, updated=TEXT, changed=TEXT, modified=TEXT, labels=TEXTS, attributes=S.ArrayType(_struct(key=TEXT, ord=S.IntegerType(), value=TEXT, vtype=TEXT, is_array=S.BooleanType())))
+#: What ``front_attributes`` says about frontmatter, as JSON.
+FRONT = "title string, created string, updated string, changed string, modified string, labels array<string>, attributes array<struct<key:string,ord:int,value:string,vtype:string,is_array:boolean>>, merged array<struct<key:string,is_array:boolean,items:array<struct<value:string,vtype:string>>>>, header string"
+
+# Text of which every line can be read without a YAML reader; others have characters that mean something or nothing to it.
+_EASY = re.compile(r"[ -~\n\xa0-\u2027\u202a-\ud7ff\ue000-\ufefe\uff00-\ufffd]*")
+_PLAIN = re.compile(r"([A-Za-z_][A-Za-z0-9_.-]*):(?: +(.*?))? *$")
+_ITEM = re.compile(r"( *)- +(.*?) *$")
+#: Scalars that need a YAML reader: indicators at the start, comments, nested keys, and quotes that don't enclose one plain run.
+_HARD = re.compile(r"[\[\]{},&*!|>%@`#\"']|[-?:](?: |$)|.*(?: #|: |:$)")
+_QUOTED = re.compile(r"'[^']*'|\"[^\"\\]*\"")
+_INT = re.compile(r"[-+]?\d+")
+_KEYWORD = re.compile(r"(?:true|false|null|yes|no|on|off|y|n)", re.I)
+
 
-_PLAIN = re.compile(r"^([A-Za-z0-9_][A-Za-z0-9_.-]*):(?:\s+(.*?))?\s*$")
-_ITEM = re.compile(r"^\s*-\s+(.*?)\s*$")
-# Scalars that need a YAML reader: indicators at the start, comments, and nested keys.
-_HARD = re.compile(r"^[{&*!|>%@`]|\s#|:\s|:$|\\")
-_INT = re.compile(r"^[-+]?\d+$")
+def _int(text: str) -> tuple[str, str]:
+    """A whole number of 64 bits; a longer one stays text."""
+    return (str(int(text)), "int") if len(text) < 20 and -(2**63) <= int(text) < 2**63 else (text, "string")
 
 
-def _scalar(text: str) -> tuple[str | None, str]:
-    """Value and type of a flat scalar; reals and dates stay text."""
-    if len(text) > 1 and text[0] == text[-1] and text[0] in "\"'":
+def _scalar(text: str) -> tuple[str | None, str] | None:
+    """Value and type of a flat scalar; reals and dates stay text. None if it needs a YAML reader."""
+    if _QUOTED.fullmatch(text):
         return text[1:-1], "string"
     if text in ("", "~", "null", "Null", "NULL"):
         return None, "null"
     if text in ("true", "True", "TRUE", "false", "False", "FALSE"):
         return text.lower(), "bool"
-    if _INT.match(text):
-        return str(int(text)), "int"
-    return text, "string"
+    if _HARD.match(text):
+        return None
+    return _int(text) if _INT.fullmatch(text) else (text, "string")
 
 
 def _flat(front: str) -> list[tuple] | None:
-    """Attributes of frontmatter with one level of keys, scalars and lists; None if it has more."""
+    """Attributes of frontmatter with one level of plain keys, scalars and lists; None if it has more."""
+    if not _EASY.fullmatch(front):
+        return None
     out: list[tuple] = []
-    lists: dict[str, int] = {}
-    key = None
+    seen: set[str] = set()
+    key, n, indent = None, 0, 0
     for line in front.split("\n"):
         if not line.strip():
             continue
         if m := _PLAIN.match(line):
             key, rest = m[1], m[2] or ""
+            if key in seen or _KEYWORD.fullmatch(key):
+                return None
+            seen.add(key)
             if rest.startswith("[") and rest.endswith("]"):
-                items = [x.strip() for x in rest[1:-1].split(",")] if rest[1:-1].strip() else []
-                if any(_HARD.search(x) or "[" in x for x in items):
+                inner = rest[1:-1].strip()
+                items = [_scalar(x.strip()) for x in inner.split(",")] if inner else []
+                # a bracket, a quote or an empty place between commas isn't for this reader
+                if re.search(r"[\"'\[\]{}#:]", inner) or any(x is None or x[1] == "null" for x in items):
                     return None
-                out += [(key, n, *_scalar(x), True) for n, x in enumerate(items)] or [(key, -1, None, "array", True)]
+                out += [(key, k, *x, True) for k, x in enumerate(items)] or [(key, -1, None, "array", True)]
                 key = None
-            elif _HARD.search(rest) or rest[:1] == "[" or any(o[0] == key for o in out):
-                return None
             else:
-                out.append((key, 0, *_scalar(rest), False))
+                value = _scalar(rest)
+                if value is None:
+                    return None
+                out.append((key, 0, *value, False))
+                n = 0
+                if rest:
+                    key = None
         elif (m := _ITEM.match(line)) and key is not None:
-            if _HARD.search(m[1]) or m[1][:1] == "[" or m[1][:2] == "- ":
+            value = _scalar(m[2])
+            if value is None or n and len(m[1]) != indent:
                 return None
-            if key not in lists:
-                if out[-1][0] != key or out[-1][3] != "null":
-                    return None
+            if not n:
                 out.pop()
-                lists[key] = 0
-            out.append((key, lists[key], *_scalar(m[1]), True))
-            lists[key] += 1
+                indent = len(m[1])
+            out.append((key, n, *value, True))
+            n += 1
         else:
             return None
     return out
@@ -88,12 +107,33 @@ def _loader():
     Loader.yaml_implicit_resolvers = {k: [(tag, rx) for tag, rx in v if tag.rpartition(":")[2] in ("null", "merge")] for k, v in Loader.yaml_implicit_resolvers.items()}
     Loader.add_implicit_resolver("tag:yaml.org,2002:bool", re.compile(r"^(?:true|True|TRUE|false|False|FALSE)$"), list("tTfF"))
     Loader.add_implicit_resolver("tag:yaml.org,2002:int", re.compile(r"^[-+]?\d+$"), list("-+0123456789"))
-    Loader.add_constructor("tag:yaml.org,2002:int", lambda loader, node: int(node.value))
+    Loader.add_constructor("tag:yaml.org,2002:int", lambda loader, node: int(node.value) if _int(node.value)[1] == "int" else node.value)
     return Loader
 
 
 _LOADER: list = []
 
+#: German umlauts as two letters.
+_UMLAUTS = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "Ä": "Ae", "Ö": "Oe", "Ü": "Ue", "ß": "ss"})
+
+
+def _cell(value) -> str:
+    return json.dumps(value, ensure_ascii=False, default=str)
+
+
+def _ascii(value):
+    """A nested value with umlauts as two letters; keys stay."""
+    if isinstance(value, dict):
+        return {k: _ascii(v) for k, v in value.items()}
+    return [_ascii(v) for v in value] if isinstance(value, list) else value.translate(_UMLAUTS) if isinstance(value, str) else value
+
+
+def _texts(value):
+    """A nested value with text keys only, as JSON has it; other keys are left out."""
+    if isinstance(value, dict):
+        return {k: _texts(v) for k, v in value.items() if isinstance(k, str)}
+    return [_texts(v) for v in value] if isinstance(value, list) else value
+
 
 def _typed(value) -> tuple[str | None, str]:
     if value is None:
@@ -105,7 +145,7 @@ def _typed(value) -> tuple[str | None, str]:
     if isinstance(value, str):
         m = re.fullmatch(r"\[\[([^\]]+)\]\]", value)
         return (m[1] if m else value), "string"
-    return json.dumps(value, ensure_ascii=False, default=str), "array" if isinstance(value, list) else "object"
+    return _cell(_texts(value)), "array" if isinstance(value, list) else "object"
 
 
 def _nested(front: str) -> list[tuple]:
@@ -114,8 +154,8 @@ def _nested(front: str) -> list[tuple]:
     if not _LOADER:
         _LOADER.append(_loader())
     try:
-        found = yaml.load(front, Loader=_LOADER[0])  # noqa: S506  a subclass of the safe loader
-    except (yaml.YAMLError, ValueError, RecursionError):
+        found = next(iter(yaml.load_all(front, Loader=_LOADER[0])), None)  # noqa: S506  a subclass of the safe loader; further documents don't count
+    except (yaml.YAMLError, ValueError, RecursionError, TypeError):
         return []
     out: list[tuple] = []
     for key, value in found.items() if isinstance(found, dict) else ():
@@ -135,17 +175,68 @@ def read_front(front: str | None) -> list[tuple]:
     return flat if flat is not None else _nested(front)
 
 
-@F.pandas_udf(ATTRIBUTES)
-def front_attributes(fields: pd.Series, plain: pd.Series) -> pd.DataFrame:
-    """Attributes of ``fields`` (hash prefixes stripped), the text ones that times and links come from, and the title of ``plain`` (not stripped)."""
-    rows = []
-    for f, p in zip(fields, plain, strict=True):
-        own = read_front(f)
-        single = {k: v for k, _, v, kind, many in own if kind == "string" and not many}
-        other = own if f == p else read_front(p)
-        title = next((v for k, _, v, kind, many in other if k == "title" and kind == "string" and not many), None)
-        rows.append((title, *[single.get(k) for k in ("created", "updated", "changed", "modified")], [v.lower() for k, _, v, kind, _ in own if k == "labels" and kind == "string"], [dict(zip(("key", "ord", "value", "vtype", "is_array"), x, strict=True)) for x in own]))
-    return pd.DataFrame(rows, columns=[f.name for f in ATTRIBUTES.fields])
+def merged_rows(own: list[tuple], listed: list[tuple[str, list[str]]], mapping: dict[str, str], to_ascii: bool) -> list[tuple[str, bool, list[tuple]]]:
+    """``(key, is_array, [(value, vtype)])`` in order of keys: attributes of frontmatter and of body lists, renamed, without repeats.
+
+    Renamed ones come after the others of their new name, those of the body after those of the frontmatter. An
+    empty list is one row without a value.
+    """
+    rows: dict[str, list] = {}
+    for key, n, value, kind, many in own:
+        rows.setdefault(mapping.get(key, key), []).append(((key in mapping), 0, n, value, kind, many))
+    for key, values in listed:
+        rows.setdefault(mapping.get(key, key), []).extend(((key in mapping), 1, n, value, "string", True) for n, value in enumerate(values))
+    out = []
+    for key in sorted(rows):
+        here = sorted(rows[key], key=lambda x: x[:3])
+        real = [x for x in here if x[2] >= 0 or len(here) == 1]
+        cells = [(_ascii_cell(value, kind) if to_ascii else value, kind) for _, _, _, value, kind, _ in real]
+        out.append((key, len(here) > 1 or any(x[5] for x in here), list(dict.fromkeys(cells))))
+    return out
+
+
+def _ascii_cell(value: str | None, kind: str) -> str | None:
+    if value is None:
+        return None
+    return _cell(_ascii(json.loads(value))) if kind in ("object", "array") else value.translate(_UMLAUTS)
+
+
+def _header_value(value: str | None, kind: str):
+    """A cell as JSON has it."""
+    if kind == "string":
+        return value
+    return None if value is None else json.loads(value)
+
+
+def header_text(groups: list[tuple[str, bool, list[tuple]]]) -> str | None:
+    """The attributes as a JSON object; null without any."""
+    if not groups:
+        return None
+    fields = {key: [_header_value(*c) for c in cells if c != (None, "array")] if many else _header_value(*cells[0]) for key, many, cells in groups}
+    return json.dumps(fields, ensure_ascii=False, separators=(",", ":"))
+
+
+def front_json(fields: str | None, plain: str | None, listed: str | None, mapping: dict[str, str]) -> str | None:
+    """What ``FRONT`` lists, as JSON: attributes of ``fields`` (hash prefixes stripped), the text ones that times and links come from, the title of ``plain`` (not stripped), and attributes with those ``listed`` in the body."""
+    if not fields and not plain and not listed:
+        return None
+    own = read_front(fields)
+    single = {k: v for k, _, v, kind, many in own if kind == "string" and not many}
+    other = own if fields == plain else read_front(plain)
+    title = next((v for k, _, v, kind, many in other if k == "title" and kind == "string" and not many), None)
+    groups = merged_rows(own, [(x["key"], x["values"]) for x in json.loads(listed)] if listed else [], mapping, True)
+    found = {k: single[k] for k in ("created", "updated", "changed", "modified") if k in single}
+    return json.dumps(
+        found | {
+            "title": title, "labels": [v.lower() for k, _, v, kind, _ in own if k == "labels" and kind == "string"], "attributes": [dict(zip(("key", "ord", "value", "vtype", "is_array"), x, strict=True)) for x in own],
+            "merged": [{"key": k, "is_array": many, "items": [{"value": v, "vtype": kind} for v, kind in cells]} for k, many, cells in groups], "header": header_text(groups),
+        }, ensure_ascii=False,
+    )
+
+
+def front_attributes(mapping: dict[str, str] | None):
+    """An Arrow function of ``fields, plain, listed``; see ``front_json``."""
+    return F.pandas_udf(lambda fields, plain, listed: pd.Series([front_json(f, p, x, mapping or {}) for f, p, x in zip(fields, plain, listed, strict=True)], dtype=object), TEXT)
 
 
 def jaro_winkler_text(a: str, b: str) -> float:

@@ -16,6 +16,11 @@ MARKDOWN_LINK = r"\[([^\]]+)\]\(([^)]+)\)"
 WIKI_LINK = r"\[\[([^\]]+)\]\]"
 HEADING = r"^(#{1,6})\s+(.*)$"
 FENCE = r"^\s*```"
+#: Lines that begin a section or turn a fence; where a block of lines begins with a hash; a block whose second line is a list item.
+STATE_LINE = r"^(?:#{1,4}\s|\s*```)"
+SECTION_START = r"\r?\n(?=[\s\p{Z}&&[^\n]]*#)"
+ANY_LIST_SECTION = r"(?m)^[\s\p{Z}&&[^\n]]*#[^\n]*\n[\s\p{Z}]*[-*+] "
+LIST_SECTION = r"^[^\n]*\n[\s\p{Z}]*[-*+] "
 QUERY_BLOCKS = (r"(?s)```dataview\n.*?```", r"(?s)```tasks\n.*?```")
 BARE_DATE = r"(?U)\b(\d{4}-\d{2}-\d{2})\b(?![^\[\]]*+(?:(?:\[(?!\[)|\](?!\]))[^\[\]]*+)*+\]\])"
 WIKI_DATE = r"\[\[(\d{4}-\d{2}-\d{2})\]\]"
@@ -32,8 +37,27 @@ def lit_col(value) -> Column:
 
 
 def norm(s: Column | str) -> Column:
-    """Lower case (ASCII) with blanks for underscores: the form in which names, tags and links are compared."""
-    return ascii_lower(F.replace(_c(s), F.lit("_"), F.lit(" ")))
+    """Lower case (ASCII) with blanks for underscores: the form in which filters compare stored tags and links."""
+    return ascii_lower(spaced(s))
+
+
+def spaced(s: Column | str) -> Column:
+    return F.replace(_c(s), F.lit("_"), F.lit(" "))
+
+
+def name_norm(s: Column | str) -> Column:
+    """Lower case in any script with blanks for underscores: the form in which links and notes' names meet."""
+    return F.lower(spaced(s))
+
+
+def same_tag(tag: Column, needle: str) -> Column:
+    """A stored tag in ASCII lower case equals the needle in lower case of any script."""
+    return norm(tag) == needle.lower().replace("_", " ")
+
+
+def same_link(link: Column, needle: str) -> Column:
+    """As for tags, or both as they are."""
+    return same_tag(link, needle) | (spaced(link) == needle.replace("_", " "))
 
 
 def fold_text(s: str) -> str:

@@ -1,26 +1,28 @@
 """From note text to tables: notes, todos, segments, tags, links and attributes.
 
-Everything works on one row of a note at a time but segments and body attributes, which shuffle the lines
-by filename once. Only frontmatter goes through Python (Arrow).
+Everything works on one row of a note at a time: what needs a state over the lines (fences, headings, sections)
+folds them within the row, so no line is shuffled. Attributes of a note are one VARIANT value, its header, in which
+conditions look up paths. Only frontmatter goes through Python (Arrow). Arrays are exploded in the outer form: else
+Spark computes them once more at the source, to drop empty ones there.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.python import front_attributes
-from ..scratch import stash
+from ..functions.python import FRONT, front_attributes
 
 #: Attribute names that mean another attribute.
 MAPPING = {"participant": "people", "participants": "people"}
 MIN_ISSUE_WORDS = 20
 
-# marked so that conditions on its result don't run it once more below
-_FRONT = front_attributes.asNondeterministic()
+#: Attributes as frontmatter has them, and with those of the body, renamed and without repeats.
+ATTRIBUTES = "array<struct<key:string,ord:int,value:string,vtype:string,is_array:boolean>>"
+MERGED = "array<struct<key:string,is_array:boolean,items:array<struct<value:string,vtype:string>>>>"
 
 
 def split_front(raw: DataFrame) -> DataFrame:
@@ -48,21 +50,26 @@ def strip_hashes(front: Column) -> Column:
     return F.array_join(F.transform(F.split(front, "\n"), line), "\n")
 
 
-def parse(raw: DataFrame) -> DataFrame:
+def parse(raw: DataFrame, mapping: dict[str, str] | None = MAPPING) -> DataFrame:
     """One row for each note, with its body, title, attributes, links, tags and times."""
+    # marked so that conditions on its result don't run it once more below
+    read_front = front_attributes(mapping).asNondeterministic()
     front = split_front(raw.select("filename", "content", F.col("mtime").cast("timestamp").alias("mtime")))
     plain = F.replace(F.replace("front", F.lit("[["), F.lit("")), F.lit("]]"), F.lit(""))
     read = (
         front.withColumn("body", T.strip_query_blocks("body")).withColumn("__plain", plain).withColumn("__fields", strip_hashes(F.col("__plain")))
-        .withColumn("read", _FRONT("__fields", "__plain")).drop("__plain", "__fields")
+        .withColumn("__listed", F.when(F.col("body").rlike(T.ANY_LIST_SECTION), listed("body"))).withColumn("__listed", F.when(F.size("__listed") > 0, F.to_json("__listed")))
+        .withColumn("read", F.from_json(read_front("__fields", "__plain", "__listed"), FRONT)).drop("__plain", "__fields", "__listed")
     )
     dates = F.filter(F.array(*[T.date_part(F.col(f"read.{k}")) for k in ("created", "changed", "modified")]), lambda d: d.isNotNull())
-    own = F.coalesce(F.regexp_extract_all("front", F.lit(T.WIKI_LINK), F.lit(1)), F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    own = F.coalesce(F.regexp_extract_all("front", F.lit(T.WIKI_LINK), F.lit(1)), none)
     # tag words count in todos only; a todo's hash tags are among the body's
     words = F.flatten(F.transform(F.regexp_extract_all("body", F.lit(T.TODO_LINES), F.lit(0)), lambda line: F.regexp_extract_all(line, F.lit(T.TAG_WORD), F.lit(1))))
     with_links = read.select(
-        "filename", "mtime", "front", "front_lines", "body", F.coalesce("read.title", T.title_of("filename")).alias("title"), F.col("read.attributes").alias("attributes"),
-        F.array_distinct(F.concat(own, dates, F.col("read.labels"))).alias("front_links"),
+        "filename", "mtime", "front", "front_lines", "body", F.coalesce("read.title", T.title_of("filename")).alias("title"),
+        F.coalesce("read.attributes", F.array().cast(ATTRIBUTES)).alias("attributes"), F.coalesce("read.merged", F.array().cast(MERGED)).alias("merged"), F.col("read.header").alias("header_json"),
+        F.array_distinct(F.concat(own, dates, F.coalesce("read.labels", none))).alias("front_links"),
         T.epoch_of_field(F.col("read.created")).alias("note_created"), T.epoch_of_field(F.col("read.updated")).alias("note_updated"),
         F.regexp_count("body", F.lit(T.TODO_LINES)).alias("todo_count"),
         F.array_sort(F.array_distinct(F.concat(words, T.with_parents(T.raw_tags("body"))))).alias("tags"),
@@ -75,9 +82,10 @@ def parse(raw: DataFrame) -> DataFrame:
 
 def todos(parsed: DataFrame) -> DataFrame:
     """A row for each todo line of each body."""
-    lines = parsed.select("filename", "front_lines", "note_created", "note_updated", F.posexplode(T.lines("body")).alias("n", "line")).filter(F.col("line").rlike(T.TODO))
+    carried = [c for c in parsed.columns if c.startswith("note_")]
+    lines = parsed.select("filename", "front_lines", *carried, F.posexplode_outer(T.lines("body")).alias("n", "line")).filter(F.col("line").rlike(T.TODO))
     content = lines.select(
-        "filename", (F.col("n") + 1 + F.col("front_lines")).cast("int").alias("line_number"), "note_created", "note_updated",
+        "filename", (F.col("n") + 1 + F.col("front_lines")).cast("int").alias("line_number"), *carried,
         (F.lower(F.regexp_extract("line", T.TODO, 1)) == "x").alias("closed"), T.trim(F.regexp_extract("line", T.TODO, 2)).alias("text"),
     )
     found = lambda pattern: F.nullif(F.regexp_extract("text", pattern, 1), F.lit(""))
@@ -90,106 +98,136 @@ def todos(parsed: DataFrame) -> DataFrame:
     )
     return fields.select(
         F.concat_ws("#", "filename", F.col("line_number").cast("string")).alias("todo_id"), "filename", "closed", "priority", "due", F.to_date(F.try_to_timestamp("due", F.lit("yyyyMMdd"))).alias("due_date"),
-        "text", "tags", "links", "line_number", F.coalesce(T.epoch_of_compact(F.col("due")), "__date", "note_updated", "note_created", F.lit(0)).cast("long").alias("updated"),
+        "text", "tags", "links", "line_number", F.coalesce(T.epoch_of_compact(F.col("due")), "__date", "note_updated", "note_created", F.lit(0)).cast("long").alias("updated"), *carried,
     )
 
 
 # --- tables ----------------------------------------------------------------------------------------
 
 
-def _numbered_lines(parsed: DataFrame) -> DataFrame:
-    return parsed.select("filename", "front_lines", F.posexplode(T.lines("body")).alias("n", "line"))
+_HEAD = "struct<n:int,level:int,heading:string,above:array<string>>"
+#: What the fold over a body's lines knows: whether a fence is open, the open headings of levels 1 to 3, and all headings so far.
+_STATE = f"struct<fenced:boolean,h1:string,h2:string,h3:string,heads:array<{_HEAD}>>"
+
+
+def headings(lines: Column) -> Column:
+    """``array<struct<n, level, heading, above>>``: the headings of level 1 to 4 outside fences (``n`` from 0), with those above them."""
+
+    def step(state: Column, x: Column) -> Column:
+        line, level = x["line"], F.length(F.regexp_extract(x["line"], T.HEADING, 1))
+        fence = line.rlike(T.FENCE)
+        is_head = ~fence & ~state["fenced"] & level.between(1, 4)
+        heading = F.regexp_extract(line, T.HEADING, 2)
+        above = F.filter(F.array(state["h1"], F.when(level > 2, state["h2"]), F.when(level > 3, state["h3"])), lambda h: h.isNotNull())
+        above = F.when(level > 1, above).otherwise(F.array().cast("array<string>"))
+        head = F.struct(x["n"].alias("n"), level.alias("level"), heading.alias("heading"), above.alias("above"))
+        kept = lambda k: F.when(level == k, heading).when(level > k, state[f"h{k}"])  # noqa: E731  a heading ends those of its own and higher levels
+        entered = F.struct(F.lit(False).alias("fenced"), *[kept(k).alias(f"h{k}") for k in (1, 2, 3)], F.concat(state["heads"], F.array(head.cast(_HEAD))).alias("heads")).cast(_STATE)
+        turned = F.struct((~state["fenced"]).alias("fenced"), *[state[f"h{k}"].alias(f"h{k}") for k in (1, 2, 3)], state["heads"].alias("heads")).cast(_STATE)
+        return F.when(is_head, entered).when(fence, turned).otherwise(state)
+
+    nothing = F.lit(None).cast("string")
+    start = F.struct(F.lit(False).alias("fenced"), nothing.alias("h1"), nothing.alias("h2"), nothing.alias("h3"), F.array().cast(f"array<{_HEAD}>").alias("heads")).cast(_STATE)
+    # only such lines change the state
+    told = F.filter(F.transform(lines, lambda line, n: F.struct(n.alias("n"), line.alias("line"))), lambda x: x["line"].rlike(T.STATE_LINE))
+    return F.aggregate(told, start, step, lambda state: state["heads"])
 
 
 def segments(parsed: DataFrame, min_issue_words: int = MIN_ISSUE_WORDS) -> DataFrame:
     """Sections under headings of level 1 to 4 outside fences, with the headings above them."""
-    by_line = Window.partitionBy("filename").orderBy("n")
-    until, before = by_line.rowsBetween(Window.unboundedPreceding, 0), by_line.rowsBetween(Window.unboundedPreceding, -1)
-    marked = _numbered_lines(parsed).withColumn("fence", F.col("line").rlike(T.FENCE)).withColumn("fences", F.coalesce(F.sum(F.col("fence").cast("int")).over(before), F.lit(0)))
-    hashes = F.length(F.regexp_extract("line", T.HEADING, 1))
-    headed = marked.withColumn("level", F.when(~F.col("fence") & (F.col("fences") % 2 == 0) & hashes.between(1, 4), hashes)).withColumn("heading", F.when(F.col("level").isNotNull(), F.regexp_extract("line", T.HEADING, 2)))
-    last = [F.max(F.when(F.col("level") == k, F.struct("n", "heading"))).over(before).alias(f"h{k}") for k in (1, 2, 3)]
-    cut = headed.select("*", F.sum(F.col("level").isNotNull().cast("int")).over(until).alias("segment"), *last)
-
-    def above(k: int) -> Column:
-        """The last heading of level k, if no later one of a lower level ends its section."""
-        lower = F.greatest(F.lit(-1), F.lit(-1), *[F.coalesce(F.col(f"h{j}.n"), F.lit(-1)) for j in range(1, k)])
-        return F.when((F.col("level") > k) & (F.col(f"h{k}.n") > lower), F.col(f"h{k}.heading"))
-
-    crumbs = cut.withColumn("above", F.when(F.col("level").isNotNull(), F.filter(F.array(*[above(k) for k in (1, 2, 3)]), lambda x: x.isNotNull())))
-    grouped = crumbs.groupBy("filename", "segment").agg(
-        (F.min("n") + F.first("front_lines") + 1).cast("int").alias("start_line"),
-        (F.max("n") + F.first("front_lines") + 1).cast("int").alias("end_line"),
-        F.max("level").alias("heading_level"),
-        F.max("heading").alias("heading"),
-        F.max("above").alias("above"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("text"),
-    )
+    carried = [c for c in parsed.columns if c.startswith("note_")]
+    lined = parsed.select("filename", "front_lines", *carried, T.lines("body").alias("lines")).withColumn("heads", headings(F.col("lines")))
+    before = F.struct(F.lit(0).alias("n"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("heading"), F.array().cast("array<string>").alias("above")).cast(_HEAD)
+    starts = F.when(F.coalesce(F.get("heads", F.lit(0))["n"], F.lit(-1)) == 0, F.col("heads")).otherwise(F.concat(F.array(before), F.col("heads")))
+    each = lined.withColumn("heads", starts).select("filename", "front_lines", *carried, "lines", "heads", F.posexplode_outer("heads").alias("k", "head"))
+    end = F.coalesce(F.get("heads", F.col("k") + 1)["n"], F.size("lines"))
+    cut = each.select(
+        "filename", *carried, (F.col("head.n") + F.col("front_lines") + 1).cast("int").alias("start_line"), (end + F.col("front_lines")).cast("int").alias("end_line"),
+        F.col("head.level").alias("heading_level"), "head.heading", F.col("head.above").alias("above"), F.array_join(F.slice("lines", F.col("head.n") + 1, end - F.col("head.n")), "\n").alias("text"),
+    )
     words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
-    return grouped.filter((T.trim("text") != "") & (~F.col("filename").startswith("jira/") | (words >= min_issue_words))).select(
+    return cut.filter((T.trim("text") != "") & (~F.col("filename").startswith("jira/") | (words >= min_issue_words))).select(
         F.concat_ws("#", "filename", F.col("start_line").cast("string")).alias("segment_id"), "filename", "start_line", "end_line", "heading_level", "text",
-        F.array_join(F.concat(F.array("filename"), F.coalesce("above", F.array().cast("array<string>"))), " > ").alias("breadcrumb"),
-        F.concat(F.filter(F.array("heading"), lambda x: x.isNotNull()), F.coalesce("above", F.array().cast("array<string>"))).alias("headings"),
+        F.array_join(F.concat(F.array("filename"), "above"), " > ").alias("breadcrumb"),
+        F.concat(F.filter(F.array("heading"), lambda x: x.isNotNull()), "above").alias("headings"), *carried,
     )
 
 
+def listed(body: Column | str) -> Column:
+    """``array<struct<key, values>>``: lists that alone stand under a one-word heading; of headings with the same word the last counts."""
+    blocks = F.slice(F.split(F.concat(F.lit("\n"), F.coalesce(body if isinstance(body, Column) else F.col(body), F.lit(""))), T.SECTION_START), F.lit(2), F.lit(1 << 30))
+
+    def item(line: Column) -> Column:
+        """A list item's link or only word; null for any other line."""
+        own = T.trim(F.regexp_extract(line, r"^[-*+] (.*)$", 1))
+        link = F.regexp_extract(own, r"^\[\[([^\]]+)\]\]$", 1)
+        return F.when(link != "", link).when((own != "") & ~own.contains(" "), own)
+
+    def section(block: Column) -> Column:
+        rows = F.filter(F.transform(T.lines(block), T.trim), lambda x: x != "")
+        key = F.lower(T.trim(F.regexp_replace(F.get(rows, F.lit(0)), "^#+", "")))
+        return F.struct(key.alias("key"), F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows), F.lit(1))), item).alias("values"))
+
+    # most sections aren't lists; a pattern tells before any line is cut
+    found = F.transform(F.filter(blocks, lambda b: b.rlike(T.LIST_SECTION)), section)
+    usable = F.filter(found, lambda s: (F.size(s["values"]) > 0) & (s["key"] != "") & ~s["key"].contains(" ") & F.forall(s["values"], lambda v: v.isNotNull()))
+    return F.map_values(F.map_from_entries(F.transform(F.array_distinct(F.transform(usable, lambda s: s["key"])), lambda k: F.struct(k.alias("k"), F.element_at(F.filter(usable, lambda s: s["key"] == k), -1).alias("s")))))
+
+
 def body_attributes(parsed: DataFrame) -> DataFrame:
     """``filename, key, ord, value``: lists that alone stand under a one-word heading."""
-    until = Window.partitionBy("filename").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    trimmed = _numbered_lines(parsed).withColumn("line", T.trim("line")).filter("line <> ''")
-    cut = trimmed.withColumn("is_head", F.col("line").startswith("#")).withColumn("section", F.sum(F.col("is_head").cast("int")).over(until))
-    item = T.trim(F.regexp_extract("line", r"^[-*+] (.*)$", 1))
-    link = F.regexp_extract(item, r"^\[\[([^\]]+)\]\]$", 1)
-    word = F.when(link != "", link).when((item != "") & ~item.contains(" "), item)
-    marked = cut.filter("section > 0").withColumn("value", F.when(~F.col("is_head"), word))
-    sections = marked.groupBy("filename", "section").agg(
-        F.max(F.when(F.col("is_head"), F.lower(T.trim(F.regexp_replace("line", "^#+", ""))))).alias("key"),
-        F.bool_and(F.col("is_head") | F.col("value").isNotNull()).alias("good"),
-        F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("n", "value")))).alias("items"),
-    )
-    usable = sections.filter(F.col("good") & (F.size("items") > 0) & (F.col("key") != "") & ~F.col("key").contains(" "))
-    last = usable.groupBy("filename", "key").agg(F.max_by("items", "section").alias("items"))
-    return last.select("filename", "key", F.posexplode("items").alias("ord", "item")).select("filename", "key", "ord", F.col("item.value").alias("value"))
-
-
-def merge_attributes(parsed: DataFrame, mapping: dict[str, str] | None = None, from_body: bool = True, to_ascii: bool = True) -> DataFrame:
-    """``filename, key, ord, value, vtype, is_array`` of frontmatter and body, renamed by ``mapping``, without repeats."""
-    front = parsed.select("filename", F.explode_outer("attributes").alias("a")).filter("a is not null").select("filename", F.col("a.key").alias("key"), F.lit(0).alias("source"), F.col("a.ord").alias("ord"), F.col("a.value").alias("value"), F.col("a.vtype").alias("vtype"), F.col("a.is_array").alias("is_array"))
-    rows = front
-    if from_body:
-        rows = front.unionByName(body_attributes(parsed).select("filename", "key", F.lit(1).alias("source"), "ord", "value", F.lit("string").alias("vtype"), F.lit(True).alias("is_array")))
-    renamed = F.lit(False)
-    if mapping:
-        pairs = F.create_map(*[F.lit(x) for kv in sorted(mapping.items()) for x in kv])
-        target = pairs[F.col("key")]
-        renamed = target.isNotNull()
-        rows = rows.withColumn("__moved", renamed.cast("int")).withColumn("key", F.coalesce(target, F.col("key")))
-    else:
-        rows = rows.withColumn("__moved", F.lit(0))
-    grouped = rows.groupBy("filename", "key").agg(
-        F.array_sort(F.collect_list(F.struct("__moved", "source", "ord", "value", "vtype"))).alias("items"),
-        (F.bool_or("is_array") | (F.count("*") > 1)).alias("is_array"),
-    )
-    distinct = F.array_distinct(F.transform(F.filter("items", lambda x: (x["ord"] >= 0) | (F.size("items") == 1)), lambda x: F.struct(x["value"].alias("value"), x["vtype"].alias("vtype"))))
-    flat = grouped.select("filename", "key", "is_array", F.posexplode(distinct).alias("ord", "item"))
-    value = T.transliterate(F.col("item.value")) if to_ascii else F.col("item.value")
-    return flat.select("filename", "key", "ord", value.alias("value"), F.col("item.vtype").alias("vtype"), "is_array")
+    each = parsed.select("filename", F.explode_outer(listed("body")).alias("s"))
+    return each.select("filename", "s.key", F.posexplode_outer("s.values").alias("ord", "value")).filter("value is not null")
+
 
+def front_rows(parsed: DataFrame) -> DataFrame:
+    """``filename, key, ord, value, vtype, is_array`` of frontmatter as it stands."""
+    return parsed.select("filename", F.explode_outer("attributes").alias("a")).filter("a.key is not null").select("filename", "a.*")
 
-def header_json(attributes: DataFrame) -> DataFrame:
-    """``filename, header_json``: the attributes as one JSON object, keys in order."""
-    text = F.col("value")
-    cell = F.when(F.col("vtype") == "null", "null").when(F.col("vtype").isin("int", "bool", "object", "array"), F.coalesce(text, F.lit("[]"))).otherwise(F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r'^\{"v":(.*)\}$', 1))
-    empty = (F.col("vtype") == "array") & F.col("value").isNull()
-    cells = attributes.groupBy("filename", "key").agg(F.array_sort(F.collect_list(F.struct("ord", cell.alias("cell"), empty.alias("empty")))).alias("cells"), F.bool_or("is_array").alias("many"))
-    inner = F.array_join(F.transform(F.filter("cells", lambda c: ~c["empty"]), lambda c: c["cell"]), ",")
-    pair = F.concat(F.regexp_extract(F.to_json(F.struct(F.col("key").alias("v"))), r'^\{"v":(.*)\}$', 1), F.lit(":"), F.when(F.col("many"), F.concat(F.lit("["), inner, F.lit("]"))).otherwise(inner))
-    return cells.groupBy("filename").agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(pair)), ","), F.lit("}")).alias("header_json"))
+
+def attribute_rows(notes: DataFrame) -> DataFrame:
+    """``filename, key, ord, value, vtype, is_array`` of notes with ``merged``."""
+    each = notes.select("filename", F.explode_outer("merged").alias("g")).select("filename", "g.key", "g.is_array", F.posexplode_outer("g.items").alias("ord", "item"))
+    return each.filter("ord is not null").select("filename", "key", "ord", F.col("item.value").alias("value"), F.col("item.vtype").alias("vtype"), "is_array")
+
+
+def variant_path(key: str) -> str:
+    """The path of a dotted key with optional indexes: ``a.b[0]``."""
+    parts = []
+    for part in key.split("."):
+        name, _, rest = part.partition("[")
+        quote = "'" if '"' in name else '"'
+        parts.append(f"[{quote}{name}{quote}]" + (f"[{rest}" if rest else ""))
+    return "$" + "".join(parts)
+
+
+def _at(v: Column, key: str, kind: str) -> Column:
+    return F.try_variant_get(v, variant_path(key), kind)
+
+
+def has_attribute(v: Column, key: str, value: str | None = None) -> Column:
+    """Whether a header has something at a path: a scalar (null too), or an element or member at least; with ``value``, whether one equals it.
+
+    Letters are compared without ASCII case. Keys are compared as they are; a path that can't be one matches nothing.
+    """
+    if not key or any(p.startswith("[") or not p for p in key.split(".")):
+        return F.lit(False)
+    elements, members = _at(v, key, "array<variant>"), F.map_values(_at(v, key, "map<string,variant>"))
+    if value is None:
+        return F.coalesce((F.size(F.coalesce(elements, members)) > 0) | (elements.isNull() & members.isNull() & _at(v, key, "variant").isNotNull()), F.lit(False))
+    same = lambda s: F.coalesce(T.ascii_lower(s) == T.fold_text(value), F.lit(False))
+    inside = lambda rows: F.exists(rows, lambda x: same(x.try_cast("string")))
+    return F.coalesce(inside(elements), inside(members), same(_at(v, key, "string")))
+
+
+def text_attribute(v: Column, key: str) -> Column:
+    """A header's value at a path if it is a text, else null."""
+    return F.when(F.schema_of_variant(_at(v, key, "variant")) == "STRING", _at(v, key, "string"))
 
 
 @dataclass
 class Index:
-    """The tables of an index; all lazy."""
+    """The tables of an index; all lazy. Rows of todos and segments carry what conditions on their note need."""
 
     parsed: DataFrame
     notes: DataFrame
@@ -198,53 +236,52 @@ class Index:
     note_links: DataFrame
     todo_tags: DataFrame
     todo_links: DataFrame
-    mapping: dict[str, str] | None = None
-    merged: DataFrame | None = None
-
-    def stored(self) -> Index:
-        """The same index with notes parsed and attributes merged once, into tables that everything else reads."""
-        parsed = stash(self.parsed, "parsed")
-        merged = stash(merge_attributes(parsed, self.mapping), "attributes")
-        return index_from(parsed, self.mapping, merged)
 
     @property
     def attributes(self) -> DataFrame:
-        return self.merged if self.merged is not None else merge_attributes(self.parsed, self.mapping)
+        return attribute_rows(self.parsed)
 
     @property
     def headers(self) -> DataFrame:
-        return header_json(self.attributes)
+        """``filename, header_json``: the attributes of notes that have some, as one JSON object."""
+        return self.notes.filter("header_json is not null").select("filename", "header_json")
 
     @property
     def segments(self) -> DataFrame:
-        return segments(self.parsed)
+        return segments(_carrying(self.parsed)).withColumn("tags", T.with_parents(F.flatten(F.transform(F.concat(F.array("text"), "headings"), T.raw_tags)))).withColumn("links", F.flatten(F.transform(F.concat(F.array("text"), "headings"), T.links_of)))
 
     @property
     def segment_tags(self) -> DataFrame:
         """Own tags, those of the headings above, and the note's."""
-        own = self.segments.select("segment_id", "filename", F.explode(T.with_parents(F.flatten(F.transform(F.concat(F.array("text"), "headings"), T.raw_tags)))).alias("tag"))
-        return own.select("segment_id", "tag").unionByName(self.segments.select("segment_id", "filename").join(self.note_tags, "filename").select("segment_id", "tag")).distinct()
+        return self.segments.select("segment_id", F.explode_outer(F.array_union("tags", "note_tags")).alias("tag")).filter("tag is not null")
 
     @property
     def segment_links(self) -> DataFrame:
-        own = self.segments.select("segment_id", "filename", F.explode(F.flatten(F.transform(F.concat(F.array("text"), "headings"), T.links_of))).alias("link"))
-        return own.select("segment_id", "link").unionByName(self.segments.select("segment_id", "filename").join(self.note_links, "filename").select("segment_id", "link")).distinct()
+        return self.segments.select("segment_id", F.explode_outer(F.array_union("links", "note_links")).alias("link")).filter("link is not null")
 
     @property
     def segment_attributes(self) -> DataFrame:
         """Scalars and array elements as text; objects and nulls are left out."""
-        flat = self.attributes.filter(F.col("vtype").isin("string", "int", "bool"))
-        return self.segments.select("segment_id", "filename").join(flat, "filename").select("segment_id", "key", "value").distinct()
+        flat = F.flatten(F.transform("note_merged", lambda g: F.transform(F.filter(g["items"], lambda x: x["vtype"].isin("string", "int", "bool")), lambda x: F.struct(g["key"].alias("key"), x["value"].alias("value")))))
+        return self.segments.select("segment_id", F.explode_outer(F.array_distinct(flat)).alias("a")).filter("a.key is not null").select("segment_id", "a.key", "a.value")
+
+
+def _carrying(parsed: DataFrame) -> DataFrame:
+    """Notes with the columns that their todos and segments carry."""
+    return parsed.withColumns({
+        "note_title": F.col("title"), "note_tags": F.col("tags"), "note_links": F.col("links"), "note_header": F.col("header"), "note_header_json": F.col("header_json"), "note_merged": F.col("merged"), "note_body": F.col("body"),
+        "note_made": F.col("created"), "note_changed": F.col("updated"),
+    })
 
 
 def build_index(raw: DataFrame, mapping: dict[str, str] | None = MAPPING) -> Index:
-    return index_from(parse(raw), mapping)
+    return index_from(parse(raw, mapping))
 
 
-def index_from(parsed: DataFrame, mapping: dict[str, str] | None = MAPPING, merged: DataFrame | None = None) -> Index:
+def index_from(parsed: DataFrame) -> Index:
     """An index over notes as ``parse`` gives them."""
-    notes = parsed.select("filename", "created", "updated", "title", "todo_count", F.size("links").alias("link_count"), "links", "body", "tags")
-    rows = todos(parsed)
-    # the outer form: else Spark computes the array once more, to drop empty ones below
+    parsed = parsed.withColumn("header", F.try_parse_json("header_json"))
+    notes = parsed.select("filename", "created", "updated", "title", "todo_count", F.size("links").alias("link_count"), "links", "body", "tags", "header", "header_json", "merged")
+    rows = todos(_carrying(parsed))
     flat = lambda df, key, column, name: df.select(key, F.explode_outer(F.array_distinct(column)).alias(name)).filter(F.col(name).isNotNull())
-    return Index(parsed, notes, rows, flat(notes, "filename", "tags", "tag"), flat(notes, "filename", "links", "link"), flat(rows, "todo_id", "tags", "tag"), flat(rows, "todo_id", "links", "link"), mapping, merged)
+    return Index(parsed, notes, rows, flat(notes, "filename", "tags", "tag"), flat(notes, "filename", "links", "link"), flat(rows, "todo_id", "tags", "tag"), flat(rows, "todo_id", "links", "link"))

@@ -36,12 +36,12 @@ def values(index: Index, what: str) -> DataFrame:
 
 def _targets(notes: DataFrame) -> DataFrame:
     """``name, target``: the compared forms under which a note is linked."""
-    return notes.select(F.col("filename").alias("target"), F.explode(F.array_distinct(F.array(T.norm("filename"), T.norm(T.stem("filename"))))).alias("name"))
+    return notes.select(F.col("filename").alias("target"), F.explode(F.array_distinct(F.array(T.name_norm("filename"), T.name_norm(T.stem("filename"))))).alias("name"))
 
 
 def backlinks(index: Index, threshold: float | None = None) -> DataFrame:
     """``target, source, updated``: notes that link to each note by name or path; with a threshold, by similar names too."""
-    links = index.note_links.select(F.col("filename").alias("source"), T.norm("link").alias("name"))
+    links = index.note_links.select(F.col("filename").alias("source"), T.name_norm("link").alias("name"))
     names = _targets(index.notes)
     pairs = links.join(names, "name").select("target", "source").distinct()
     if threshold is not None:
@@ -88,8 +88,8 @@ def typed_notes(index: Index, kind: str) -> DataFrame:
 
 def _links_to(index: Index, groups: DataFrame) -> DataFrame:
     """``filename, group_file, group_name``: notes that link to a group's note, without that note itself."""
-    names = groups.select("group_file", "group_name", F.explode(F.array_distinct(F.array(T.norm("group_file"), T.norm("group_name")))).alias("name"))
-    links = index.note_links.select("filename", T.norm("link").alias("name"))
+    names = groups.select("group_file", "group_name", F.explode(F.array_distinct(F.array(T.name_norm("group_file"), T.name_norm("group_name")))).alias("name"))
+    links = index.note_links.select("filename", T.name_norm("link").alias("name"))
     return links.join(names, "name").filter("filename <> group_file").select("filename", "group_file", "group_name").distinct()
 
 
@@ -116,8 +116,8 @@ def agenda_for_note(index: Index, filename: str, kind: str = "project") -> DataF
     """The agenda of one note: of itself if it is of the type, else of those of the type that it links to."""
     groups = typed_notes(index, kind)
     own = groups.filter(F.col("group_file") == filename)
-    names = index.note_links.filter(F.col("filename") == filename).select(T.norm("link").alias("name")).distinct()
-    linked = groups.withColumn("name", T.norm("group_name")).join(names, "name", "left_semi").drop("name")
+    names = index.note_links.filter(F.col("filename") == filename).select(T.name_norm("link").alias("name")).distinct()
+    linked = groups.withColumn("name", T.name_norm("group_name")).join(names, "name", "left_semi").drop("name")
     best = linked if own.isEmpty() else own
     return _links_to(index, best).join(open_todos(index), "filename").select("group_name", "filename", "line_number", "text", "priority", "due")
 
@@ -165,7 +165,7 @@ def graph_nodes(index: Index) -> DataFrame:
 def graph_edges(index: Index) -> DataFrame:
     """Undirected edges between notes; of notes with the same name, the first path gets the links."""
     names = _targets(index.notes).groupBy("name").agg(F.min("target").alias("target"))
-    links = index.note_links.select(F.col("filename").alias("source"), T.norm("link").alias("name"))
+    links = index.note_links.select(F.col("filename").alias("source"), T.name_norm("link").alias("name"))
     return links.join(names, "name").filter("source <> target").select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).distinct()
 
 

@@ -1,8 +1,7 @@
 """Filters, boolean trees, projections and orders over the tables of an index.
 
-Junction conditions are semi-joins where they are ANDed. In trees with OR, each becomes a marker column
-(a left join with its distinct keys), so OR is plain Column logic. Conditions on a note's own
-columns stay Columns, which Spark pushes down.
+A row of notes, todos or segments has its note's tags, links and header, so every condition is a Column and a tree of
+them too: a search is one scan without a join, and what is asked for alone is computed.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .parse import Index
+from .parse import Index, has_attribute, text_attribute
 
 # --- predicates ------------------------------------------------------------------------------------
 
@@ -72,71 +71,64 @@ def on_day(column: str, value: str) -> Column:
     return F.lit(False) if day is None else (F.col(column) >= _epoch(day)) & (F.col(column) < _epoch(day) + 86400)
 
 
-def with_tag(tags: DataFrame, tag: str) -> DataFrame:
-    return tags.filter(T.norm("tag") == T.norm_text(tag)).drop("tag").distinct()
+def _has(array: str, test) -> Column:
+    return F.exists(array, test)
 
 
-def with_link(links: DataFrame, target: str) -> DataFrame:
-    return links.filter(T.norm("link") == T.norm_text(target)).drop("link").distinct()
+def _tagged(entity: str, tag: str) -> Column:
+    """Tags are those of the whole note; a segment has its own, those of the headings above and the note's, which has all of these."""
+    return _has("tags" if entity == "notes" else "note_tags", lambda x: T.same_tag(x, tag))
 
 
-def with_attribute(attributes: DataFrame, key: str, value: str | None = None) -> DataFrame:
-    """Filenames that have a value (or, without one, any element) under a key."""
-    rows = attributes.filter(F.lower("key") == key.lower())
-    rows = rows.filter((F.col("vtype") != "array") | F.col("value").isNotNull()) if value is None else rows.filter(F.lower("value") == value.lower())
-    return rows.select("filename").distinct()
+def _linked(entity: str, target: str) -> Column:
+    if entity == "notes":
+        return _has("links", lambda x: T.same_link(x, target))
+    return _has("links", lambda x: T.same_link(x, target)) | _has("note_links", lambda x: T.same_link(x, target))
 
 
-def _leaf(index: Index, entity: str, leaf, n: int) -> tuple[list[tuple[DataFrame, list[str], str]], Column]:
-    """Marker joins of a leaf, and its Column."""
-    mark = f"__m{n}"
+def _header(entity: str) -> Column:
+    return F.col("header" if entity == "notes" else "note_header")
 
-    def joined(keys: DataFrame, on: str, suffix: str = "") -> tuple[DataFrame, list[str], str]:
-        return keys.withColumn(mark + suffix, F.lit(True)), [on], mark + suffix
 
-    here = lambda suffix="": F.coalesce(F.col(mark + suffix), F.lit(False))
-    if isinstance(leaf, Tag):
-        if entity == "segments":
-            return [joined(with_tag(index.segment_tags, leaf.tag), "segment_id")], here()
-        return [joined(with_tag(index.note_tags, leaf.tag), "filename")], here()
-    if isinstance(leaf, Link):
-        if entity == "segments":
-            return [joined(with_link(index.segment_links, leaf.target), "segment_id")], here()
-        notes = joined(with_link(index.note_links, leaf.target), "filename")
-        if entity == "todos":
-            return [notes, joined(with_link(index.todo_links, leaf.target), "todo_id", "t")], here() | here("t")
-        return [notes], here()
-    if isinstance(leaf, Attribute):
-        if leaf.key in ("created", "updated") and leaf.value is not None:
-            return [], on_day("note_updated" if leaf.key == "updated" and entity != "notes" else leaf.key, leaf.value)
-        return [joined(with_attribute(index.attributes, leaf.key, leaf.value), "filename")], here()
-    if isinstance(leaf, Text):
-        if entity == "segments":
-            return [], T.like("text", leaf.word)
-        found = index.headers.filter(T.like("header_json", leaf.word)).select("filename")
-        own = T.like("text", leaf.word) if entity == "todos" else T.like("title", leaf.word) | T.like("body", leaf.word)
-        return [joined(found, "filename")], own | here()
-    raise TypeError(leaf)
+def _attribute(entity: str, key: str, value: str | None) -> Column:
+    if key in ("created", "updated") and value is not None:
+        if entity == "todos" and key == "updated":
+            return on_day("note_updated", value)
+        return on_day({"notes": key, "todos": "note_made", "segments": "note_made" if key == "created" else "note_changed"}[entity], value)
+    return has_attribute(_header(entity), key, value)
 
 
-def where(index: Index, entity: str, rows: DataFrame, predicate: Predicate) -> DataFrame:
-    """Rows of ``notes``, ``todos`` or ``segments`` that a predicate tree accepts."""
-    columns = rows.columns
-    marks: list = []
+def _says(entity: str, word: str) -> Column:
+    """A note's, todo's or segment's own text or, but for segments, the attributes of its note."""
+    if entity == "segments":
+        return T.like("text", word)
+    own = T.like("text", word) if entity == "todos" else T.like("title", word) | T.like("body", word)
+    return own | in_header(entity, word)
+
+
+def in_header(entity: str, word: str) -> Column:
+    return F.coalesce(T.like("header_json" if entity == "notes" else "note_header_json", word), F.lit(False))
 
-    def build(p) -> Column:
-        if isinstance(p, And | Or):
-            parts = [build(x) for x in p.parts]
-            return reduce(lambda a, b: a & b if isinstance(p, And) else a | b, parts) if parts else F.lit(isinstance(p, And))
-        joins, column = _leaf(index, entity, p, len(marks))
-        marks.append(None)
-        nonlocal rows
-        for keys, on, _ in joins:
-            rows = rows.join(keys, on, "left")
-        return column
 
-    condition = build(predicate)
-    return rows.filter(condition).select(columns)
+def condition(entity: str, predicate: Predicate) -> Column:
+    """A predicate tree on rows of ``notes``, ``todos`` or ``segments``."""
+    if isinstance(predicate, And | Or):
+        parts = [condition(entity, p) for p in predicate.parts]
+        return reduce(lambda a, b: a & b if isinstance(predicate, And) else a | b, parts) if parts else F.lit(isinstance(predicate, And))
+    if isinstance(predicate, Tag):
+        return _tagged(entity, predicate.tag)
+    if isinstance(predicate, Link):
+        return _linked(entity, predicate.target)
+    if isinstance(predicate, Attribute):
+        return _attribute(entity, predicate.key, predicate.value)
+    if isinstance(predicate, Text):
+        return _says(entity, predicate.word)
+    raise TypeError(predicate)
+
+
+def where(entity: str, rows: DataFrame, predicate: Predicate) -> DataFrame:
+    """Rows of ``notes``, ``todos`` or ``segments`` that a predicate tree accepts."""
+    return rows.filter(condition(entity, predicate))
 
 
 # --- date presets ----------------------------------------------------------------------------------
@@ -165,22 +157,18 @@ def preset_range(name: str, today: dt.date) -> tuple[dt.date, dt.date]:
     return ranges[key]
 
 
-def created_days(index: Index) -> DataFrame:
-    """``filename, created_day``: the first ten characters of a text attribute ``created``."""
-    return index.attributes.filter("key = 'created' and vtype = 'string' and not is_array").select("filename", T.date_part(F.col("value")).alias("created_day"))
+def created_between(entity: str, rows: DataFrame, low: str | None, high: str | None) -> DataFrame:
+    """Rows of notes whose text attribute ``created`` begins with a day in the range; a bound that is no date doesn't filter."""
+    day = T.date_part(text_attribute(_header(entity), "created"))
+    for bound, keep in ((low, lambda d: day >= d), (high, lambda d: day <= d)):
+        if bound and _day(bound):
+            rows = rows.filter(keep(bound))
+    return rows
 
 
-def created_between(index: Index, rows: DataFrame, low: str | None, high: str | None) -> DataFrame:
-    """Rows of notes whose created attribute lies in the range; a bound that is no date doesn't filter."""
-    low, high = (x if x and _day(x) else None for x in (low, high))
-    if not low and not high:
-        return rows
-    days = created_days(index)
-    if low:
-        days = days.filter(F.col("created_day") >= low)
-    if high:
-        days = days.filter(F.col("created_day") <= high)
-    return rows.join(days.select("filename").distinct(), "filename", "left_semi")
+def _preset(entity: str, rows: DataFrame, preset: str, today: str | None) -> DataFrame:
+    low, high = preset_range(preset, dt.date.fromisoformat(today) if today else dt.date.today())
+    return created_between(entity, rows, low.isoformat(), high.isoformat())
 
 
 # --- searches --------------------------------------------------------------------------------------
@@ -191,39 +179,19 @@ def search_notes(index: Index, tags: Sequence[str] = (), links: Sequence[str] =
     rows = index.notes
     if body:
         rows = rows.filter(T.ascii_lower("body").contains(T.fold_text(body)))
-    for t in tags:
-        rows = rows.join(with_tag(index.note_tags, t), "filename", "left_semi")
-    for x in links:
-        rows = rows.join(with_link(index.note_links, x), "filename", "left_semi")
-    rows = _by_attributes(index, rows, attributes, exists, types)
+    rows = _filtered("notes", rows, tags, links, attributes, exists, types)
     if text:
-        rows = where_text(index, rows, text, T.like("title", text))
+        rows = rows.filter(T.like("title", text) | in_header("notes", text))
     if preset:
-        low, high = preset_range(preset, dt.date.fromisoformat(today) if today else dt.date.today())
-        rows = created_between(index, rows, low.isoformat(), high.isoformat())
-    rows = created_between(index, rows, created_from, created_to)
-    return where(index, "notes", rows, predicate) if predicate else rows
-
-
-def where_text(index: Index, rows: DataFrame, text: str, own: Column) -> DataFrame:
-    """Rows whose own column matches or whose note's attributes do."""
-    columns = rows.columns
-    found = index.headers.filter(T.like("header_json", text)).select("filename").withColumn("__h", F.lit(True))
-    return rows.join(found, "filename", "left").filter(own | F.col("__h").isNotNull()).select(columns)
+        rows = _preset("notes", rows, preset, today)
+    rows = created_between("notes", rows, created_from, created_to)
+    return where("notes", rows, predicate) if predicate else rows
 
 
-def _by_attributes(index: Index, rows: DataFrame, attributes: dict[str, str] | None, exists: Sequence[str], types: Sequence[str]) -> DataFrame:
-    for k, v in (attributes or {}).items():
-        if k in ("created", "updated") and k in rows.columns:
-            rows = rows.filter(on_day(k, v))
-        else:
-            rows = rows.join(with_attribute(index.attributes, k, v), "filename", "left_semi")
-    for k in exists:
-        rows = rows.join(with_attribute(index.attributes, k), "filename", "left_semi")
-    if types:
-        of_type = index.attributes.filter((F.col("key") == "type") & F.lower("value").isin([t.lower() for t in types])).select("filename").distinct()
-        rows = rows.join(of_type, "filename", "left_semi")
-    return rows
+def _filtered(entity: str, rows: DataFrame, tags: Sequence[str], links: Sequence[str], attributes: dict[str, str] | None, exists: Sequence[str], types: Sequence[str]) -> DataFrame:
+    parts = [Tag(t) for t in tags] + [Link(x) for x in links] + [Attribute(k, v) for k, v in (attributes or {}).items()] + [Attribute(k) for k in exists]
+    rows = where(entity, rows, And(tuple(parts))) if parts else rows
+    return rows.filter(reduce(lambda a, b: a | b, [has_attribute(_header(entity), "type", t) for t in types])) if types else rows
 
 
 def search_todos(index: Index, tags: Sequence[str] = (), links: Sequence[str] = (), attributes: dict[str, str] | None = None, text: str | None = None, body: str | None = None, priority: str | None = None, due: str | None = None, due_from: str | None = None, due_to: str | None = None, closed: bool | None = None, preset: str | None = None, today: str | None = None, predicate: Predicate | None = None) -> DataFrame:
@@ -236,39 +204,29 @@ def search_todos(index: Index, tags: Sequence[str] = (), links: Sequence[str] =
     for value, keep in ((due, lambda d: F.col("due") == d), (due_from, lambda d: F.col("due") >= d), (due_to, lambda d: F.col("due") <= d)):
         if value:
             rows = rows.filter(keep(value.replace("-", "")))
-    for t in tags:
-        rows = rows.join(with_tag(index.note_tags, t), "filename", "left_semi")
-    for x in links:
-        rows = where(index, "todos", rows, Link(x))
-    rows = _by_attributes(index, rows, attributes, (), ())
+    rows = _filtered("todos", rows, tags, links, attributes, (), ())
     if body:
-        rows = rows.join(index.notes.filter(T.ascii_lower("body").contains(T.fold_text(body))).select("filename"), "filename", "left_semi")
+        rows = rows.filter(T.ascii_lower("note_body").contains(T.fold_text(body)))
     if text:
-        rows = where_text(index, rows, text, T.like("text", text))
+        rows = rows.filter(T.like("text", text) | in_header("todos", text))
     if preset:
-        low, high = preset_range(preset, dt.date.fromisoformat(today) if today else dt.date.today())
-        rows = created_between(index, rows, low.isoformat(), high.isoformat())
-    return where(index, "todos", rows, predicate) if predicate else rows
+        rows = _preset("todos", rows, preset, today)
+    return where("todos", rows, predicate) if predicate else rows
 
 
 def search_segments(index: Index, tags: Sequence[str] = (), links: Sequence[str] = (), attributes: dict[str, str] | None = None, text: str | None = None, predicate: Predicate | None = None) -> DataFrame:
     rows = index.segments
     if text:
         rows = rows.filter(T.like("text", text))
-    for t in tags:
-        rows = rows.join(with_tag(index.segment_tags, t), "segment_id", "left_semi")
-    for x in links:
-        rows = rows.join(with_link(index.segment_links, x), "segment_id", "left_semi")
-    rows = _by_attributes(index, rows, attributes, (), ())
-    return where(index, "segments", rows, predicate) if predicate else rows
+    rows = _filtered("segments", rows, tags, links, attributes, (), ())
+    return where("segments", rows, predicate) if predicate else rows
 
 
 # --- projections -----------------------------------------------------------------------------------
 
 
-def todo_rows(index: Index, todos: DataFrame) -> DataFrame:
-    notes = index.notes.select("filename", "title", F.col("created").alias("note_created"), F.col("updated").alias("note_updated"))
-    return todos.join(notes, "filename").select("filename", "line_number", "closed", "priority", "due", "text", "title", "note_created", "note_updated", "updated")
+def todo_rows(todos: DataFrame) -> DataFrame:
+    return todos.select("filename", "line_number", "closed", "priority", "due", "text", F.col("note_title").alias("title"), F.col("note_made").alias("note_created"), F.col("note_changed").alias("note_updated"), "updated")
 
 
 def note_rows(notes: DataFrame) -> DataFrame:
@@ -351,9 +309,7 @@ def sort_todos(index: Index, rows: DataFrame, by: str) -> DataFrame:
     if by.startswith("attr:"):
         return _attribute_key(index, rows, by[5:]).orderBy(F.asc_nulls_last("__key"), *place).select(columns)
     if by in ("modified", "created"):
-        column = "updated" if by == "modified" else "created"
-        notes = index.notes.select("filename", F.col(column).alias("__t"))
-        return rows.join(notes, "filename").orderBy(F.desc("__t"), *place).select(columns)
+        return rows.orderBy(F.desc("note_changed" if by == "modified" else "note_made"), *place)
     first = {"due": [F.asc_nulls_last("due")], "priority": [F.asc_nulls_last("priority")], "text": [F.asc("text")], "filename": []}[by]
     return rows.orderBy(*first, *place)
 
@@ -367,7 +323,7 @@ def sort_notes(index: Index, rows: DataFrame, by: str) -> DataFrame:
 
 def sort_segments(index: Index, rows: DataFrame, by: str) -> DataFrame:
     if by == "modified":
-        return rows.join(index.notes.select("filename", F.col("updated").alias("__t")), "filename").orderBy(F.desc("__t"), "filename", "start_line").select(rows.columns)
+        return rows.orderBy(F.desc("note_changed"), "filename", "start_line")
     return rows.orderBy(*({"text": ["text"], "filename": []}[by]), "filename", "start_line")
 
 

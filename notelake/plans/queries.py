@@ -22,15 +22,11 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-#: Queries that read several of an index's tables: their notes are parsed once, into written tables.
-STORED = ("query_and_or", "agenda_", "linker_", "graph_", "ego_network", "segment_tags", "segment_links", "segment_attributes", "note_info", "note_view")
-
-
 def register(name: str, select: str | None = None, plain: bool = False):
     """Adds a query over the index of the corpus, with SQL over the facts (or, if ``plain``, over the tables)."""
 
     def add(f: Callable[[Index], DataFrame]) -> Callable:
-        QUERIES[name] = (lambda spark, sf_dir: f(index_of(spark, sf_dir).stored())) if name.startswith(STORED) else (lambda spark, sf_dir: f(index_of(spark, sf_dir)))
+        QUERIES[name] = lambda spark, sf_dir: f(index_of(spark, sf_dir))
         if select:
             ORACLES[name] = select if plain else with_facts(select)
         return f
@@ -79,11 +75,11 @@ on_tables("frontmatter_split", """SELECT b.filename, b.body || CASE WHEN kind =
 )
 register("strip_query_blocks", "SELECT filename, body FROM b")(lambda x: x.notes.select("filename", "body"))
 register("note_attributes", "SELECT filename, key, value FROM a WHERE key <> 'city' UNION ALL SELECT filename, 'city', 'Köln' FROM c")(
-    lambda x: parse.merge_attributes(x.parsed, None, False, False).select("filename", "key", "value")
+    lambda x: parse.front_rows(x.parsed).select("filename", "key", "value")
 )
 register("body_attributes", "SELECT filename, 'participants' AS key, cust AS value FROM o")(lambda x: parse.body_attributes(x.parsed).select("filename", "key", "value"))
-register("merged_attributes", "SELECT filename, key, value FROM a WHERE key <> 'city' UNION ALL SELECT filename, 'city', 'Köln' FROM c UNION ALL SELECT filename, 'participants', cust FROM o")(
-    lambda x: parse.merge_attributes(x.parsed, None, True, False).select("filename", "key", "value")
+on_tables("merged_attributes", "SELECT filename, key, value FROM a UNION ALL SELECT filename, 'participants', cust FROM o", True)(
+    lambda s, d: build_index(corpus.notes_raw(s, d), None).attributes.select("filename", "key", "value")
 )
 register("mapped_attributes", "SELECT filename, key, value, is_array FROM a WHERE key = 'people'")(lambda x: x.attributes.filter("key = 'people'").select("filename", "key", "value", "is_array"))
 register("transliterated_values", "SELECT filename, value FROM a WHERE key = 'city'")(lambda x: x.attributes.filter("key = 'city'").select("filename", "value"))
@@ -136,7 +132,7 @@ def embedding_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- projections -----------------------------------------------------------------------------------
 
-register("search_todos_all", "SELECT t.filename, line_number, closed, priority, due, text, title, n.created AS note_created, n.updated AS note_updated, t.updated FROM t JOIN n USING (filename)")(lambda x: search.todo_rows(x, search.search_todos(x)))
+register("search_todos_all", "SELECT t.filename, line_number, closed, priority, due, text, title, n.created AS note_created, n.updated AS note_updated, t.updated FROM t JOIN n USING (filename)")(lambda x: search.todo_rows(search.search_todos(x)))
 register("search_notes_all", "SELECT filename, title, created, updated, todo_count, link_count, (SELECT coalesce(string_agg(tag, ',' ORDER BY tag), '') FROM g WHERE g.filename = n.filename) AS tags FROM n")(lambda x: search.note_rows(search.search_notes(x)).drop("preview"))
 register("body_preview", "SELECT filename, array_to_string(list_filter(string_split(body, chr(10)), lambda x: x <> '')[1:3], chr(10)) AS preview FROM b")(lambda x: x.notes.select("filename", T.preview("body").alias("preview")))
 register("search_segments_all", "SELECT segment_id, filename, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, CAST(heading_level AS INTEGER) AS heading_level, breadcrumb, text FROM sg")(lambda x: search.segment_rows(x.segments))
@@ -166,7 +162,7 @@ register("notes_by_links", "SELECT filename FROM l WHERE link = 'Supplier_000000
 register("todos_by_links", "SELECT filename, line_number FROM t WHERE filename IN (SELECT filename FROM l WHERE link = 'Supplier_000000004')")(lambda x: search.search_todos(x, links=["Supplier_000000004"]).select("filename", "line_number"))
 register("notes_by_attr", "SELECT filename FROM a WHERE key = 'company' AND value = 'BUILDING'")(lambda x: search.search_notes(x, attributes={"company": "building"}).select("filename"))
 register("notes_by_list_attr", "SELECT filename FROM o WHERE cust = 'Customer_000000007'")(lambda x: search.search_notes(x, attributes={"people": "customer_000000007"}).select("filename"))
-register("notes_attr_exists", "SELECT filename FROM p")(lambda x: search.search_notes(x, exists=["Labels"]).select("filename"))
+register("notes_attr_exists", "SELECT filename FROM p")(lambda x: search.search_notes(x, exists=["labels"]).select("filename"))
 register("notes_updated_on", "SELECT filename FROM n WHERE updated >= CAST(epoch(TIMESTAMP '1998-06-10') AS BIGINT) AND updated < CAST(epoch(TIMESTAMP '1998-06-11') AS BIGINT)")(lambda x: search.search_notes(x, attributes={"updated": "1998-06-10"}).select("filename"))
 register("notes_created_on", "SELECT filename FROM n WHERE created >= CAST(epoch(TIMESTAMP '1998-03-02') AS BIGINT) AND created < CAST(epoch(TIMESTAMP '1998-03-03') AS BIGINT)")(lambda x: search.search_notes(x, attributes={"created": "1998-03-02"}).select("filename"))
 register("todos_text", "SELECT filename, line_number FROM t JOIN h USING (filename) WHERE lower(text) LIKE '%red%widget%' OR lower(header) LIKE '%red%widget%'")(lambda x: search.search_todos(x, text="RED%widget").select("filename", "line_number"))
@@ -207,7 +203,7 @@ register("query_and_or", f"SELECT filename FROM n WHERE {_TREE_SQL} OR (filename
 )
 register("query_and_or_todos", f"SELECT filename, line_number FROM t WHERE {_TREE_SQL}")(lambda x: search.search_todos(x, predicate=search.Or(_TREE.parts[:2])).select("filename", "line_number"))
 register("query_and_or_segments", f"SELECT segment_id FROM sg WHERE ({_TREE_SQL}) OR (lower(text) LIKE '%deep%' AND filename IN (SELECT filename FROM n WHERE created >= CAST(epoch(TIMESTAMP '1998-01-04') AS BIGINT) AND created < CAST(epoch(TIMESTAMP '1998-01-05') AS BIGINT)))")(
-    lambda x: search.where(x, "segments", x.segments.join(x.notes.select("filename", "created", F.col("updated").alias("note_updated")), "filename"), search.Or((*_TREE.parts[:2], search.And((search.Text("deep"), search.Attribute("created", "1998-01-04")))))).select("segment_id")
+    lambda x: search.where("segments", x.segments, search.Or((*_TREE.parts[:2], search.And((search.Text("deep"), search.Attribute("created", "1998-01-04")))))).select("segment_id")
 )
 
 
@@ -232,6 +228,72 @@ on_tables("resolve_names", "SELECT 'order_' || o_orderkey || '.md' AS name, CAST
 on_tables("notes_modified_since", "SELECT filename FROM (SELECT filename, k FROM o UNION ALL SELECT filename, k FROM p UNION ALL SELECT filename, k FROM c) x WHERE k % 30 >= 7", True)(lambda s, d: search.modified_since(corpus.notes_raw(s, d), TODAY, 7).select("filename"))
 register("literal_backlinks", "SELECT filename FROM (SELECT DISTINCT filename FROM t WHERE supp = 'Supplier_000000005' ORDER BY filename LIMIT 100) x")(lambda x: search.literal_backlinks(x.notes, "[Supplier_000000005]"))
 
+# --- nested attributes -----------------------------------------------------------------------------
+
+# frontmatter of the assets as JSON; every fifth can't be read and has none
+_ASSETS = """WITH k AS (SELECT p_partkey AS k, 'asset/part_' || p_partkey || '.md' AS filename, p_partkey % 5 <> 4 AS good FROM part),
+    j AS (SELECT filename, k, '{"empty":{},"flag":true,"gone":null,"kind":"asset: \\"new\\"","long":"two lines\\n","meta":{"owner": "Ann_' || k % 7 || '", "size": ' || k || ', "Größe": "Koeln"},"none":[],"sub":{"deep": {"code": "K' || k || '", "list": ["x", "Y' || k % 3 || '"]}},'
+        || '"tags":["a","b, c","d"],"title":"It''s part ' || k || '"}' AS header FROM k WHERE good)"""
+
+
+def _assets(spark: SparkSession, sf_dir: str) -> Index:
+    return build_index(corpus.assets(spark, sf_dir))
+
+
+on_tables("nested_headers", f"{_ASSETS} SELECT filename, CAST(CAST(header AS JSON) AS VARCHAR) AS header_json FROM j".replace(": ", ":").replace(", ", ",").replace('"asset:', '"asset: ').replace('"b,c"', '"b, c"'))(
+    lambda s, d: _assets(s, d).headers.select("filename", F.replace(F.replace("header_json", F.lit('": '), F.lit('":')), F.lit(', "'), F.lit(',"')).alias("header_json"))
+)
+on_tables("nested_titles", f"{_ASSETS} SELECT filename, CASE WHEN good THEN 'It''s part ' || k ELSE replace(filename, '.md', '') END AS title FROM k")(lambda s, d: _assets(s, d).notes.select("filename", "title"))
+on_tables("quoted_attributes", f"{_ASSETS} SELECT filename, 'tags' AS key, CAST(ord - 1 AS INTEGER) AS ord, ['a', 'b, c', 'd'][ord] AS value FROM j, range(1, 4) r(ord) UNION ALL SELECT filename, 'title', 0, 'It''s part ' || k FROM j UNION ALL SELECT filename, 'kind', 0, 'asset: \"new\"' FROM j")(
+    lambda s, d: _assets(s, d).attributes.filter("key in ('tags', 'title', 'kind')").select("filename", "key", "ord", "value")
+)
+on_tables("notes_by_member", f"{_ASSETS} SELECT filename FROM j WHERE EXISTS (SELECT 1 FROM json_each(header, '$.meta') e WHERE lower(e.value ->> '$') = 'ann_3')")(
+    lambda s, d: search.search_notes(_assets(s, d), attributes={"meta": "ANN_3"}).select("filename")
+)
+on_tables("notes_by_path", f"{_ASSETS} SELECT filename FROM j WHERE EXISTS (SELECT 1 FROM json_each(header, '$.sub.deep.list') e WHERE lower(e.value ->> '$') = 'y1') AND lower(json_extract_string(header, '$.sub.deep.code')) <> 'k1'")(
+    lambda s, d: search.search_notes(_assets(s, d), attributes={"sub.deep.list": "y1"}).filter(~parse.has_attribute(F.col("header"), "sub.deep.code", "k1")).select("filename")
+)
+# json_each has no row for an empty list or object, and one for a scalar, null too
+on_tables("attributes_that_exist", f"{_ASSETS} SELECT k.filename, key, coalesce(CASE json_type(header, '$.' || key) WHEN 'OBJECT' THEN len(json_keys(header, '$.' || key)) > 0 WHEN 'ARRAY' THEN json_array_length(header, '$.' || key) > 0 ELSE json_type(header, '$.' || key) IS NOT NULL END, false) AS there FROM k LEFT JOIN j USING (filename), (SELECT unnest(['meta', 'empty', 'none', 'gone', 'flag', 'sub.deep', 'sub.none', 'tags', 'Tags']) AS key) x")(
+    lambda s, d: _assets(s, d).notes.select("filename", F.explode(F.array(*[F.struct(F.lit(key).alias("key"), F.coalesce(parse.has_attribute(F.col("header"), key), F.lit(False)).alias("there")) for key in ("meta", "empty", "none", "gone", "flag", "sub.deep", "sub.none", "tags", "Tags")])).alias("x")).select("filename", "x.*")
+)
+
+# --- letters beyond ASCII --------------------------------------------------------------------------
+
+# tags and links of the notes with umlauts; filters lower what is stored in ASCII and the needle in any script, names are lowered in any script on both sides
+_UMLAUTS = """WITH n AS (SELECT s_suppkey AS k, 'thema/KÖLN_' || s_suppkey || '.md' AS filename, 'KÖLN_' || s_suppkey AS stem FROM supplier UNION ALL SELECT s_suppkey, 'notiz/n_' || s_suppkey || '.md', 'n_' || s_suppkey FROM supplier),
+    g AS (SELECT filename, unnest(['Übung', 'Übung/ÄRGER']) AS tag FROM n WHERE filename LIKE 'thema/%' UNION ALL SELECT filename, unnest(['übung', 'TEST']) FROM n WHERE filename LIKE 'notiz/%'),
+    l AS (SELECT filename, 'Straße_Ä' AS link FROM n WHERE filename LIKE 'thema/%' UNION ALL SELECT filename, unnest(['köln ' || k, 'Ärger']) FROM n WHERE filename LIKE 'notiz/%')"""
+_STORED = "translate(replace({}, '_', ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _umlauts(spark: SparkSession, sf_dir: str) -> Index:
+    return build_index(corpus.umlauts(spark, sf_dir))
+
+
+_TAG_NEEDLES, _LINK_NEEDLES = ("ÜBUNG", "Übung", "test", "übung/ärger", "Übung/ÄRGER"), ("STRASSE_Ä", "Straße_Ä", "straße ä", "ärger", "Ärger", "KÖLN_3", "köln_3")
+on_tables("tags_umlaut", f"{_UMLAUTS} SELECT DISTINCT needle, filename FROM g, (SELECT unnest({list(_TAG_NEEDLES)}) AS needle) x WHERE {_STORED.format('tag')} = lower(replace(needle, '_', ' '))")(
+    lambda s, d: _each_needle(_TAG_NEEDLES, lambda x: search.search_notes(_umlauts(s, d), tags=[x]).select(F.lit(x).alias("needle"), "filename"))
+)
+on_tables("links_umlaut", f"{_UMLAUTS} SELECT DISTINCT needle, filename FROM l, (SELECT unnest({list(_LINK_NEEDLES)}) AS needle) x WHERE {_STORED.format('link')} = lower(replace(needle, '_', ' ')) OR replace(link, '_', ' ') = replace(needle, '_', ' ')")(
+    lambda s, d: _each_needle(_LINK_NEEDLES, lambda x: search.search_notes(_umlauts(s, d), links=[x]).select(F.lit(x).alias("needle"), "filename"))
+)
+
+
+def _each_needle(needles: tuple[str, ...], found: Callable[[str], DataFrame]) -> DataFrame:
+    out = found(needles[0])
+    for x in needles[1:]:
+        out = out.unionByName(found(x))
+    return out
+
+
+_MEET = "FROM l JOIN n ON lower(replace(l.link, '_', ' ')) IN (lower(replace(n.stem, '_', ' ')), lower(replace(n.filename, '_', ' '))) WHERE l.filename <> n.filename"
+on_tables("backlinks_umlaut", f"{_UMLAUTS} SELECT DISTINCT n.filename AS target, l.filename AS source {_MEET}")(lambda s, d: reports.backlinks(_umlauts(s, d)).select("target", "source"))
+on_tables("graph_edges_umlaut", f"{_UMLAUTS} SELECT DISTINCT least(l.filename, n.filename) AS source, greatest(l.filename, n.filename) AS target {_MEET}")(lambda s, d: reports.graph_edges(_umlauts(s, d)))
+on_tables("agenda_umlaut", f"{_UMLAUTS} SELECT DISTINCT n.stem AS group_name, l.filename, 2 AS line_number {_MEET}")(lambda s, d: reports.agenda(_umlauts(s, d), "project", TODAY).select("group_name", "filename", "line_number"))
+on_tables("agenda_due_umlaut", f"{_UMLAUTS} SELECT DISTINCT n.stem AS group_name, l.filename {_MEET}")(lambda s, d: reports.agenda_by_due(_umlauts(s, d), TODAY).select("group_name", "filename"))
+on_tables("agenda_note_umlaut", f"{_UMLAUTS} SELECT DISTINCT n.stem AS group_name, l.filename {_MEET} AND n.k = 3")(lambda s, d: reports.agenda_for_note(_umlauts(s, d), "notiz/n_3.md").select("group_name", "filename"))
+
 # --- joins and reports -----------------------------------------------------------------------------
 
 register("notes_with_todos", "SELECT n.filename, coalesce(string_agg(line_number || ':' || text, '|' ORDER BY line_number), '') AS todos FROM n LEFT JOIN t USING (filename) GROUP BY n.filename")(

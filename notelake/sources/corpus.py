@@ -78,6 +78,28 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A note for each part, with nested and quoted frontmatter; every fifth one's can't be read."""
+    key, k = F.col("p_partkey").cast("string"), F.col("p_partkey")
+    owner, which = (k % 7).cast("string"), (k % 3).cast("string")
+    good = F.concat(
+        F.lit("---\ntitle: 'It''s part "), key, F.lit("'\nkind: \"asset: \\\"new\\\"\"\nmeta: {owner: Ann_"), owner, F.lit(", size: "), key, F.lit(", Größe: Köln}\nsub:\n  deep:\n    code: K"), key,
+        F.lit("\n    list: [x, Y"), which, F.lit("]\nempty: {}\nnone: []\ntags: [a, \"b, c\", 'd']\nflag: true\nlong: >\n  two\n  lines\ngone:\n---\n# Part "), key, F.lit("\n"),
+    )
+    bad = F.concat(F.lit("---\ntitle: \"unterminated\nkind: asset\n---\n# Part "), key, F.lit("\n"))
+    return _table(spark, sf_dir, "part").select(F.concat(F.lit("asset/part_"), key, F.lit(".md")).alias("filename"), F.when(k % 5 == 4, bad).otherwise(good).alias("content"), _mtime("p_partkey").alias("mtime"))
+
+
+def umlauts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two notes for each supplier, whose names, tags and links have umlauts in both cases."""
+    key = F.col("s_suppkey").cast("string")
+    topic = F.concat(F.lit("---\ntype: project\n---\n# Thema #Übung/ÄRGER\n[[Straße_Ä]]\n"))
+    note = F.concat(F.lit("see [[köln "), key, F.lit("]] and [[Ärger]] #übung #TEST\n- [ ] tun due: 19980601\n"))
+    base = _table(spark, sf_dir, "supplier")
+    one = base.select(F.concat(F.lit("thema/KÖLN_"), key, F.lit(".md")).alias("filename"), topic.alias("content"), _mtime("s_suppkey").alias("mtime"))
+    return one.unionByName(base.select(F.concat(F.lit("notiz/n_"), key, F.lit(".md")).alias("filename"), note.alias("content"), _mtime("s_suppkey").alias("mtime")))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select(F.concat_ws("/", F.lit("doc"), F.coalesce("source", F.lit("none")), F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("filename"), F.col("text").alias("content"), _mtime("doc_id").alias("mtime"))
 

@@ -5,6 +5,8 @@ import re
 import zipfile
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from notelake.functions import python as P
@@ -78,8 +80,46 @@ def test_nested_yaml_and_bad_yaml():
     if P.yaml is None:
         pytest.skip("no YAML reader")
     assert P.read_front("a:\n  b: 1\nwhen: 12:30\nday: 2024-01-01\nl: [x, [y]]") == [("a", 0, '{"b": 1}', "object", False), ("when", 0, "12:30", "string", False), ("day", 0, "2024-01-01", "string", False), ("l", 0, "x", "string", True), ("l", 1, '["y"]', "array", True)]
-    assert P.read_front("a: [b") == [] and P.read_front(": : :") == [] or True
-    assert P.read_front("list: []") == [("list", -1, None, "array", True)]
+    assert P.read_front("a: [b") == [] and P.read_front("list: []") == [("list", -1, None, "array", True)]
+    assert P.read_front("title: 'it''s'\ntags: [a, \"b, c\"]") == [("title", 0, "it's", "string", False), ("tags", 0, "a", "string", True), ("tags", 1, "b, c", "string", True)]
+    for bad in ('title: "unterminated', 'a: "x" y', "x: - a", "a: 'b' 'c'", "ok: 1\nno: [a", "ok: 1\n\tno: 2", "a: @b", "a: `b`", "a: %b"):
+        assert P.read_front(bad) == [], bad
+
+
+VALUES = ["", "plain", "two words", "12", "-3", "+4", "1.5", "007", "99999999999999999999", "true", "No", "null", "~", "'it''s'", "'q'", '"q"', '"a, b"', '"a\\n"', '"x" y', "'", '"', "[a, b]", "[a, 'b, c']", "[]", "[a,, b]", "[[x]]", "[a: b]", "[ ]",
+    "{a: 1}", "- a", "-a", "a: b", "a:b", "a #c", "a#c", "# c", "#c", "&a", "*a", "!t", "|", ">", "%p", "@x", "`x", "? x", "?x", ": x", ":x", "2024-01-02 10:30", "http://x.y/z", "ä ö", "\u2028", "\x07", "a\tb", ", a", "]", "} x", "a ", "--- a", "..."]
+LINES = ["  - a", "- b", "  - 'c'", "   - d", "  -", "  k: v", "", " ", "# comment", "...", "---", "word", "  more text", "\tx: y", "- - a", "- a: b", "  - \"x, y\"", "key with space: 1", "true: 1", "12: x", "a.b: c", "x-y: z", "'q': 1"]
+
+
+@settings(max_examples=3000, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.one_of(st.tuples(st.sampled_from(["a", "b", "c"]), st.sampled_from(VALUES)).map(lambda x: f"{x[0]}: {x[1]}"), st.sampled_from(LINES)), min_size=1, max_size=6).map("\n".join))
+def test_plain_frontmatter_is_read_as_by_the_yaml_reader(front):
+    flat = P._flat(front)
+    assert flat is None or flat == P._nested(front)
+
+
+def test_most_frontmatter_needs_no_yaml_reader():
+    assert P._flat(NOTE.split("---\n")[1].replace("[[", "").replace("]]", "").replace("#meeting", "meeting").replace("two words: x\n", "")) is not None
+
+
+def test_conditions_on_headers(spark):
+    text = '{"meta":{"owner":"Ann","n":3,"deep":{"x":"Y"}},"empty":{},"none":[],"l":["A",2,true,null,["z"]],"x":null,"s":"Str","t":"ÄB","a b":1}'
+    rows = spark.createDataFrame([(text,), (None,)], "j string").select(F.try_parse_json("j").alias("v"))
+    cases = {
+        ("meta", "ann"): True, ("meta", "3"): True, ("meta", "y"): False, ("meta.owner", "ANN"): True, ("meta.deep", "y"): True, ("meta.deep.x", "y"): True, ("l", "a"): True, ("l", "2"): True, ("l", "TRUE"): True, ("l", "z"): False, ("l[0]", "a"): True,
+        ("s", "str"): True, ("S", "str"): False, ("t", "äb"): False, ("t", "Äb"): True, ("x", "null"): False, ("", "a"): False, ("a..b", "x"): False,
+        ("meta", None): True, ("empty", None): False, ("none", None): False, ("l", None): True, ("x", None): True, ("s", None): True, ("gone", None): False, ("meta.deep", None): True, ("meta.gone", None): False, ("l[9]", None): False,
+    }
+    got = rows.select(*[F.coalesce(parse.has_attribute(F.col("v"), *case), F.lit(False)) for case in cases]).collect()
+    assert dict(zip(cases, got[0])) == cases and not any(got[1])
+    assert rows.select(parse.text_attribute(F.col("v"), "s"), parse.text_attribute(F.col("v"), "meta.n")).first() == ("Str", None)
+
+
+def test_lines_are_not_shuffled(spark):
+    x = parse.build_index(raw(spark, ("n.md", NOTE)))
+    for table in (x.segments, x.todos, x.attributes, x.headers, search.search_todos(x, tags=["a"], links=["l"], attributes={"people": "bob"}, text="x", predicate=search.Or((search.Tag("b"), search.Attribute("gone"))))):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert not any(word in plan for word in ("Window", "Exchange", "Join")), plan
 
 
 def model_segments(body, name):
