@@ -1,26 +1,27 @@
-"""Structured Streaming over note versions and visits, and polls of a folder of notes.
+"""Structured Streaming over note versions and visits, and folders of notes as such streams.
 
 Note versions arrive as rows ``filename, content, mtime, deleted``: a changed file is a new row, a removed one a
 tombstone. Spark's file source takes each file once and sees no removal, so a folder whose files are
-rewritten is polled: its listing is joined with what was seen before (``poll``, ``watch_folder``).
+rewritten is read by a source of its own (``sources.folder``). State by file keeps late older versions out.
 """
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable
+import datetime as dt
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.maintenance import upsert
-from ..scratch import discard, stash
+from ..sources.folder import VERSION, NoteFolder
 
 #: How late a visit may come before its window is closed.
 LATE, WINDOW = "1 hour", "8 hours"
-VERSION = "filename string, content string, mtime timestamp, deleted boolean"
 
 
 def latest_versions(versions: DataFrame) -> DataFrame:
@@ -73,50 +74,51 @@ def apply_versions(table: DataFrame, last: DataFrame, rows: DataFrame) -> DataFr
     return upsert(keep, rows)
 
 
-def changed_versions(listing: DataFrame, state: DataFrame) -> DataFrame:
-    """``filename, mtime, deleted`` of what differs between a listing and what was seen (both ``filename, mtime``).
+def folder_versions(spark: SparkSession, folder: str, home: str) -> DataFrame:
+    """The stream of versions (``VERSION``) of the notes below a folder; listings are kept in ``home``."""
+    spark.dataSource.register(NoteFolder)
+    return spark.readStream.format("note_folder").option("state", f"{home}/listings").load(folder)
 
-    Any other time counts as a change, an older one too; what was seen and is gone is a tombstone.
-    """
-    seen = state.select("filename", F.col("mtime").alias("__seen"))
-    both = listing.select("filename", "mtime").join(seen, "filename", "full")
-    return both.filter(~F.col("mtime").eqNullSafe(F.col("__seen"))).select("filename", F.coalesce("mtime", "__seen").alias("mtime"), F.col("mtime").isNull().alias("deleted"))
 
+def watch_folder(spark: SparkSession, folder: str, refresh: Callable[[DataFrame, int], None], home: str, every: str = "60 seconds", once: bool = False) -> StreamingQuery:
+    """Calls ``refresh(versions, number)`` for each round in which something changed below a folder; ``home`` keeps its state.
 
-def listing_of(spark: SparkSession, folder: str) -> DataFrame:
-    """``filename, mtime, path`` of the ``.md`` files below a folder; Spark lists them and opens none."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    base = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(folder)
-    return files.select(F.substring("path", len(base) + 1, 1 << 20).alias("filename"), F.col("modificationTime").alias("mtime"), "path")
+    Every round lists the folder and opens the files that changed, whatever time they have and in whatever order
+    they came. A round that failed is done again, with the same changes.
+    """
+    return watch(folder_versions(spark, folder, home), refresh, f"{home}/checkpoint", every, once)
 
 
-def poll(spark: SparkSession, folder: str, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Versions (``VERSION``) of what changed below a folder since ``state``, and the next state, both written tables.
+def newest_versions(versions: DataFrame, keep: dt.timedelta = dt.timedelta(days=30)) -> DataFrame:
+    """A stream of versions without those that come after a newer one of their file; in update mode.
 
-    A round is a batch of its own: it is complete whatever time a file has and in whatever order files
-    come, and a round that fails is done again from the state before it.
+    The state of a file is its last version's time, so late older versions don't replace newer ones in whatever batch
+    they come. Of versions with one time, removals come last, then the greater digest counts: any split into batches
+    gives the same answer. A removed file's state goes after ``keep``, by a timer, so the state has the files that are
+    there and those removed lately; the timer's clock is the time at which batches began, so no version is late for it.
+    Times are compared to the microsecond, versions without one come first.
     """
-    listing = stash(listing_of(spark, folder), "listing")
-    changes = stash(changed_versions(listing, state), "changes")
-    paths = listing.join(changes.filter("not deleted").select("filename"), "filename", "left_semi")
-    texts = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(folder)
-    content = paths.select("filename", "path").join(texts.select("path", F.decode("content", "UTF-8").alias("content")), "path")
-    versions = changes.join(content.select("filename", "content"), "filename", "left").select("filename", "content", "mtime", "deleted")
-    # a file that went between listing and reading stays as it was seen, and is a tombstone of the next round
-    return stash(versions.filter("deleted or content is not null"), "versions"), listing.select("filename", "mtime")
-
-
-def watch_folder(spark: SparkSession, folder: str, refresh: Callable[[DataFrame, int], None], every: float = 60.0, rounds: int | None = None, state: DataFrame | None = None) -> DataFrame:
-    """Polls a folder and calls ``refresh(versions, round)`` where something changed; returns the state after the last round."""
-    state = state if state is not None else spark.createDataFrame([], "filename string, mtime timestamp")
-    number = 0
-    while rounds is None or number < rounds:
-        versions, after = poll(spark, folder, state)
-        if not versions.isEmpty():
-            refresh(versions, number)
-        discard(versions)
-        state, number = after, number + 1
-        if rounds is None or number < rounds:
-            time.sleep(every)
-    return state
+    keep_ms = max(1, int(keep.total_seconds() * 1000))
+    ranked = versions.select(
+        "filename", "content", "mtime", F.coalesce("deleted", F.lit(False)).alias("deleted"), F.coalesce(F.unix_micros("mtime"), F.lit(-(2**63))).alias("at"), F.sha2(F.coalesce("content", F.lit("")), 256).alias("digest"), F.current_timestamp().alias("arrived")
+    ).withWatermark("arrived", "0 seconds")
+
+    def newest(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best, row = (state.get if state.exists else None), None
+        for part in parts:
+            for r in part.itertuples(index=False):
+                now = (int(r.at), bool(r.deleted), r.digest)
+                if best is None or now > tuple(best):
+                    best, row = now, r
+        if row is not None:
+            state.update(best)
+            yield pd.DataFrame({"filename": [key[0]], "content": [row.content], "mtime": [row.mtime], "deleted": [bool(row.deleted)]})
+            if best[1]:
+                state.setTimeoutTimestamp(int(row.arrived.timestamp() * 1000) + keep_ms)
+        elif best is not None and best[1]:
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + keep_ms)
+
+    return ranked.groupBy("filename").applyInPandasWithState(newest, VERSION, "at long, deleted boolean, digest string", "update", GroupStateTimeout.EventTimeTimeout)

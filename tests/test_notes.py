@@ -1,5 +1,6 @@
 """Note parsing against literal notes, segments against a line-by-line model, and the other operators on small tables."""
 
+import hashlib
 import random
 import re
 import zipfile
@@ -349,33 +350,85 @@ def test_cosine_edges(spark):
 def test_watching_a_folder(spark, tmp_path):
     import os
 
-    vault = tmp_path / "vault"
+    vault, home = tmp_path / "vault", tmp_path / "home"
     vault.mkdir()
     seen = []
 
-    def refresh(versions, number):
-        seen.append(sorted((r["filename"], r["content"], r["deleted"]) for r in versions.collect()))
-
-    def run(state=None):
-        return streams.watch_folder(spark, str(vault), refresh, rounds=1, state=state)
-
-    (vault / "a.md").write_text("one")
-    os.utime(vault / "a.md", (2000, 2000))
-    state = run()
-    (vault / "sub dir").mkdir()
-    (vault / "sub dir" / "b.md").write_text("late, and older than what was read")
-    os.utime(vault / "sub dir" / "b.md", (1000, 1000))
-    (vault / "a.md").write_text("two")
-    os.utime(vault / "a.md", (1500, 1500))
-    state = run(run(state))
+    def run():
+        seen.clear()
+        streams.watch_folder(spark, str(vault), lambda rows, number: seen.extend((r["filename"], r["content"], r["deleted"]) for r in rows.collect()), str(home), once=True).awaitTermination()
+        return sorted(seen)
+
+    def put(name, text, when):
+        (vault / name).parent.mkdir(exist_ok=True)
+        (vault / name).write_text(text)
+        os.utime(vault / name, (when, when))
+
+    put("a.md", "one", 2000)
+    put("no.txt", "no", 2000)
+    for k in range(600):
+        put(f"many/n{k}.md", str(k), 3000)
+    assert len(run()) == 601 and ("a.md", "one", False) in seen
+    put("sub dir/b.md", "late, and older than what was read", 1000)
+    put("a.md", "two", 1500)
+    (vault / "many" / "n7.md").unlink()
+    # changed without a trace in the listing: opened only if files that didn't change are read
+    put("many/n8.md", "X", 3000)
+    assert run() == [("a.md", "two", False), ("many/n7.md", None, True), ("sub dir/b.md", "late, and older than what was read", False)]
+    assert run() == []
+    for k in range(4):
+        put("a.md", f"round {k}", 5000 + k)
+        assert run() == [("a.md", f"round {k}", False)]
     (vault / "a.md").unlink()
-    state = run(state)
-    assert seen == [[("a.md", "one", False)], [("a.md", "two", False), ("sub dir/b.md", "late, and older than what was read", False)], [("a.md", None, True)]]
+    (vault / "sub dir" / "b.md").unlink()
+    (vault / "sub dir").rmdir()
+    assert run() == [("a.md", None, True), ("sub dir/b.md", None, True)]
+    assert run() == []
+    # of all rounds, a listing is left and what the last one read, as it may have to be done again
+    assert len([f for f in os.listdir(home / "listings") if f.startswith("listing-")]) <= 2 and len(os.listdir(home / "listings")) <= 5
     table = spark.createDataFrame([("a.md", 1), ("sub dir/b.md", 2)], "filename string, n int")
     gone = spark.createDataFrame([("a.md", True)], "filename string, deleted boolean")
     assert [r["filename"] for r in streams.apply_versions(table, gone, table.limit(0)).collect()] == ["sub dir/b.md"]
 
 
+def test_a_round_that_failed_is_done_again(spark, tmp_path):
+    vault, home = tmp_path / "vault", tmp_path / "home"
+    vault.mkdir()
+    (vault / "a.md").write_text("one")
+
+    def fail(rows, number):
+        raise RuntimeError("not now")
+
+    with pytest.raises(Exception, match="not now"):
+        streams.watch_folder(spark, str(vault), fail, str(home), once=True).awaitTermination()
+    (vault / "b.md").write_text("two")
+    seen = []
+    for _ in range(2):
+        streams.watch_folder(spark, str(vault), lambda rows, number: seen.extend(r["filename"] for r in rows.collect()), str(home), once=True).awaitTermination()
+    assert sorted(seen) == ["a.md", "b.md"]
+
+
+def test_late_versions_in_any_split_into_batches(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(f"n{rng.randrange(12)}.md", rng.choice("abcdef"), f"2024-01-0{rng.randint(1, 5)} 00:00:00", rng.random() < 0.2) for _ in range(120)]
+    frame = spark.createDataFrame(rows, "filename string, content string, day string, deleted boolean").selectExpr("filename", "if(deleted, null, content) as content", "cast(day as timestamp) as mtime", "deleted")
+    answers = []
+    for split in (1, 4):
+        folder = tmp_path / f"in{split}"
+        parts = [frame.filter(F.pmod(F.xxhash64("filename", "content", "mtime"), F.lit(split)) == k) for k in range(split)]
+        for k, part in enumerate(parts):
+            part.coalesce(1).write.mode("append").parquet(str(folder))
+        stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+        out = streams.run_once(streams.newest_versions(stream), str(tmp_path / f"out{split}"), "update")
+        last = streams.latest_of_updates(out, "filename")
+        answers.append(sorted(tuple(r) for r in last.select("filename", "content", "mtime", "deleted").collect()))
+    want = {}
+    for r in frame.collect():
+        key = (r["mtime"], r["deleted"], hashlib.sha256((r["content"] or "").encode()).hexdigest())
+        want[r["filename"]] = max(want.get(r["filename"], (key, r)), (key, r), key=lambda x: x[0])
+    assert answers[0] == answers[1] == sorted((n, r["content"], r["mtime"], r["deleted"]) for n, (_, r) in want.items())
+
+
 def test_presets():
     import datetime as dt
 
