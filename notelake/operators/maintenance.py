@@ -1,13 +1,19 @@
 """Keeping an index up to date: changed files, keyed replacement, pruning, back-fill and summaries.
 
-Tables are immutable DataFrames: each operation gives the new state, which the caller writes.
+Operations on DataFrames give the new state, which the caller writes. A ``KeyedTable`` is a written table that can be
+replaced in part: its rows lie in folders by a hash of their key, and a change rewrites the folders of its keys only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import discard, stash
+from .parse import Index, index_from
+
 
 def changed(listing: DataFrame, state: DataFrame) -> DataFrame:
     """Files of ``listing`` (``filename, mtime``) that ``state`` doesn't have with that time."""
@@ -57,3 +63,76 @@ def clear(table: DataFrame) -> DataFrame:
 def backfill(notes: DataFrame, column: str, name: str, key: str = "filename") -> DataFrame:
     """Junction rows of a column that holds a JSON array of text."""
     return notes.select(key, F.explode(F.from_json(column, "array<string>")).alias(name)).distinct()
+
+
+# --- written tables --------------------------------------------------------------------------------
+
+#: Folders of a written table; what a change of one key rewrites is one of them.
+BUCKETS = 256
+
+
+@dataclass
+class KeyedTable:
+    """A table below ``path`` in folders by a hash of ``key``; reads of given keys and changes touch their folders only.
+
+    A change that was broken off is done again: it gives the same rows.
+    """
+
+    spark: SparkSession
+    path: str
+    key: str = "filename"
+    buckets: int = BUCKETS
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int").alias("bucket")
+
+    def write(self, rows: DataFrame) -> None:
+        rows.select("*", self._bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(self.path).drop("bucket")
+
+    def of_keys(self, keys: list[str]) -> DataFrame:
+        """The rows of some keys, from their folders."""
+        there = {r["bucket"] for r in self.spark.createDataFrame([(k,) for k in keys], f"{self.key} string").select(self._bucket()).collect()}
+        return self.spark.read.parquet(self.path).filter(F.col("bucket").isin(sorted(there)) & F.col(self.key).isin(keys)).drop("bucket")
+
+    def upsert(self, batch: DataFrame, keys: DataFrame | None = None) -> None:
+        """All rows of ``keys`` (or of the batch's keys) are replaced by those of ``batch``; keys without any are removed."""
+        asked = stash((batch if keys is None else keys).select(self.key).distinct().select("*", self._bucket()), "keys")
+        touched = sorted(r["bucket"] for r in asked.select("bucket").distinct().collect())  # at most as many as there are folders
+        if touched:
+            old = self.spark.read.parquet(self.path)
+            kept = old.filter(F.col("bucket").isin(touched)).join(asked.select(self.key), self.key, "left_anti")
+            now = stash(kept.unionByName(batch.select("*", self._bucket()).join(asked.select(self.key), self.key, "left_semi")), "bucket-rows")
+            now.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+            left = {r["bucket"] for r in now.select("bucket").distinct().collect()}
+            for bucket in touched:
+                if bucket not in left:  # no row is left in it, so nothing was written over it
+                    where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/bucket={bucket}")
+                    where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            discard(now)
+        discard(asked)
+
+    def drop(self) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class StoredIndex:
+    """An index that is kept: its parsed notes in a ``KeyedTable`` below ``folder``, from which all its tables follow without parsing a note again."""
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
+        self.table = KeyedTable(spark, f"{folder.rstrip('/')}/parsed", buckets=buckets)
+
+    def write(self, index: Index) -> None:
+        self.table.write(index.parsed.drop("header"))
+
+    def read(self) -> Index:
+        return index_from(self.table.read())
+
+    def refresh(self, fresh: Index, removed: DataFrame | None = None) -> None:
+        """Notes of ``fresh`` are replaced and those ``removed`` (``filename``) go, with their todos, tags, links, segments and attributes."""
+        rows = fresh.parsed.drop("header")
+        names = rows.select("filename")
+        self.table.upsert(rows, names if removed is None else names.unionByName(removed.select("filename")))

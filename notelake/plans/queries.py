@@ -397,9 +397,26 @@ _KEYED = "(SELECT filename, CAST(regexp_extract(filename, '(\\d+)\\.md$', 1) AS
 on_tables("incremental_changed", f"SELECT filename FROM {_KEYED} WHERE k % 5 <> 1", True)(
     lambda s, d: maintenance.changed(_listing(s, d), _listing(s, d).filter(_key() % 5 < 4).withColumn("mtime", F.when(_key() % 5 == 1, F.col("mtime")).when(_key() % 5 == 2, F.lit(None)).otherwise(F.col("mtime") - F.expr("interval 1 hour"))).filter(_key() % 5 > 0)).select("filename")
 )
-register("upsert_notes", f"SELECT filename, CASE WHEN k % 10 = 0 THEN 'new' ELSE 'old' END AS state FROM {_KEYED}")(
-    lambda x: maintenance.upsert(x.notes.select("filename", F.lit("old").alias("state")), x.notes.filter(_key() % 10 == 0).select("filename", F.lit("new").alias("state")))
-)
+
+
+@on_tables("upsert_notes", f"SELECT filename, CASE WHEN k % 10 = 0 THEN 'new' ELSE 'old' END AS state FROM {_KEYED} WHERE k % 10 <> 3", True)
+def upsert_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A written table, some keys of which are replaced and some removed."""
+    names = corpus.notes_raw(spark, sf_dir).select("filename")
+    table = maintenance.KeyedTable(spark, scratch_path(spark, "keyed"), buckets=64)
+    table.write(names.select("filename", F.lit("old").alias("state")))
+    table.upsert(names.filter(_key() % 10 == 0).select("filename", F.lit("new").alias("state")), names.filter((_key() % 10).isin(0, 3)))
+    return table.read()
+
+
+@on_tables("refreshed_index", f"SELECT filename, tag FROM g WHERE CAST(regexp_extract(filename, '(\\d+)\\.md$', 1) AS BIGINT) % 7 > 1 UNION ALL SELECT filename, 'renewed' FROM {_KEYED} WHERE k % 7 = 0", True)
+def refreshed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of a kept index after some of its notes were rewritten and some removed."""
+    kept = maintenance.StoredIndex(spark, scratch_path(spark, "index"), buckets=64)
+    raw = corpus.notes_raw(spark, sf_dir)
+    kept.write(build_index(raw))
+    kept.refresh(build_index(raw.filter(_key() % 7 == 0).withColumn("content", F.lit("now #renewed"))), raw.filter(_key() % 7 == 1))
+    return kept.read().note_tags
 register("orphans", f"SELECT filename FROM {_KEYED} WHERE k % 7 = 0")(lambda x: maintenance.orphans(x.note_tags.select("filename").unionByName(x.notes.select("filename")), x.notes.filter(_key() % 7 != 0)))
 register("pruned_tags", "SELECT filename, tag FROM g WHERE CAST(regexp_extract(filename, '(\\d+)\\.md$', 1) AS BIGINT) % 7 <> 0")(lambda x: maintenance.prune(x.note_tags, x.notes.filter(_key() % 7 != 0).select("filename")))
 on_tables("refresh_summary", f"SELECT CASE WHEN k % 3 = 0 THEN 'removed' WHEN k % 11 = 1 THEN 'error' ELSE 'updated' END AS action, count(*) AS n FROM {_KEYED} WHERE k % 2 = 0 GROUP BY 1", True)(

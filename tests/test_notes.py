@@ -246,6 +246,28 @@ def test_maintenance(spark):
     assert maintenance.clear(state).count() == 0
 
 
+def test_a_change_rewrites_only_its_folders(spark, tmp_path):
+    import os
+
+    def there():
+        return {(d, f): os.stat(os.path.join(d, f)).st_ino for d, _, files in os.walk(tmp_path / "i") for f in files if f.startswith("part-")}
+
+    kept = maintenance.StoredIndex(spark, str(tmp_path / "i"), buckets=16)
+    notes = [(f"n{k}.md", f"#a\n- [ ] t{k} [[n{k + 1}]]") for k in range(40)]
+    kept.write(parse.build_index(raw(spark, *notes)))
+    before = there()
+    kept.refresh(parse.build_index(raw(spark, ("n3.md", "#b"), ("new.md", "#c"))), spark.createDataFrame([("n5.md",)], "filename string"))
+    after = there()
+    changed = {d for d, f in set(before) ^ set(after)}
+    assert 0 < len(changed) <= 3
+    index = kept.read()
+    assert {(r["filename"], r["tag"]) for r in index.note_tags.collect()} == {(f"n{k}.md", "a") for k in range(40) if k not in (3, 5)} | {("n3.md", "b"), ("new.md", "c")}
+    assert index.todos.count() == 38 and not index.todos.filter("filename in ('n3.md', 'n5.md')").count()
+    assert [r["filename"] for r in kept.table.of_keys(["n3.md", "none.md"]).collect()] == ["n3.md"]
+    kept.refresh(parse.build_index(raw(spark, ("n3.md", "x"))), kept.read().notes.select("filename"))
+    assert [r["filename"] for r in kept.read().notes.collect()] == ["n3.md"]
+
+
 def test_vault_on_disk(spark, tmp_path):
     (tmp_path / "sub dir").mkdir()
     (tmp_path / "sub dir" / "ä+b.md").write_text("# x")
