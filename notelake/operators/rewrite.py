@@ -6,12 +6,16 @@ import datetime as dt
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..scratch import discard, stash
 
+#: Names, and their characters, up to which an automaton of all of them goes to every task.
+MOST_NAMES, MOST_CHARACTERS = 500_000, 16_000_000
 #: Words of an entity's name that it meets notes by.
 MAX_NAME_WORDS = 6
 
@@ -58,16 +62,60 @@ def link_text(text: str, names: list[str]) -> tuple[str, int]:
     return text, total
 
 
-def link_entities(notes: DataFrame, names: DataFrame) -> DataFrame:
-    """``filename, body, n_links`` of the notes that name an entity (``names``: ``name``), with links put in."""
-    found = notes.select("filename", "body").join(candidates(notes, names), "filename")
+_PLAIN = str.maketrans(T.UPPER + "_-", T.LOWER + "  ")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            new = [link_text(b.as_py() or "", n.as_py()) for b, n in zip(batch.column("body"), batch.column("names"), strict=True)]
-            yield pa.RecordBatch.from_pydict({"filename": batch.column("filename"), "body": pa.array([t for t, _ in new], pa.string()), "n_links": pa.array([n for _, n in new], pa.int64())})
 
-    return found.mapInArrow(run, "filename string, body string, n_links long").filter("n_links > 0")
+class NameFinder:
+    """The names that stand somewhere in a text, whatever the case of ASCII letters and the separators: an Aho-Corasick automaton."""
+
+    def __init__(self, names: list[str]):
+        self.automaton = ahocorasick.Automaton()
+        same: dict[str, list[str]] = {}
+        for name in names:
+            if key := " ".join(p for p in re.split(r"[ _\-]+", name) if p).translate(_PLAIN):
+                same.setdefault(key, []).append(name)
+        for key, own in same.items():
+            self.automaton.add_word(key, own)
+        if same:
+            self.automaton.make_automaton()
+        self.empty = not same
+
+    def names(self, text: str) -> set[str]:
+        return set() if self.empty else {name for _, own in self.automaton.iter(text.translate(_PLAIN)) for name in own}
+
+
+def _linked(rows: Iterator[tuple[str, str, list[str] | set[str]]]) -> pa.RecordBatch:
+    new = [(filename, *link_text(body, names)) for filename, body, names in rows]
+    return pa.RecordBatch.from_pydict({"filename": pa.array([f for f, _, _ in new], pa.string()), "body": pa.array([b for _, b, _ in new], pa.string()), "n_links": pa.array([n for _, _, n in new], pa.int64())})
+
+
+def link_entities(notes: DataFrame, names: DataFrame, most: int = MOST_NAMES) -> DataFrame:
+    """``filename, body, n_links`` of the notes that name an entity (``names``: ``name``), with links put in.
+
+    Names within a bound go to all tasks as one automaton, and notes are read where they are. Beyond it, notes and
+    names meet on runs of words.
+    """
+    distinct = stash(names.select("name").filter("name is not null").distinct(), "names")
+    size = distinct.agg(F.count("*").alias("n"), F.sum(F.length("name")).alias("characters")).first()
+    if size["n"] <= most and (size["characters"] or 0) <= MOST_CHARACTERS:
+        shared = notes.sparkSession.sparkContext.broadcast([r["name"] for r in distinct.collect()])
+        discard(distinct)
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            finder = NameFinder(shared.value)
+            for batch in batches:
+                rows = ((f, b or "") for f, b in zip(batch.column("filename").to_pylist(), batch.column("body").to_pylist(), strict=True))
+                yield _linked((f, b, found) for f, b in rows if (found := finder.names(b)))
+
+        found = notes.select("filename", "body").mapInArrow(scan, "filename string, body string, n_links long")
+    else:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield _linked(zip(batch.column("filename").to_pylist(), (b or "" for b in batch.column("body").to_pylist()), batch.column("names").to_pylist(), strict=True))
+
+        found = notes.select("filename", "body").join(candidates(notes, distinct), "filename").mapInArrow(run, "filename string, body string, n_links long")
+    return found.filter("n_links > 0")
 
 
 def complete_todos(raw: DataFrame, edits: DataFrame, day: str) -> DataFrame:
@@ -92,19 +140,28 @@ def stamp_updated(content: Column | str, stamp: str) -> Column:
 JOURNAL = "## Yournal"
 
 
-def journal_entry(text: Column, as_todo: Column, day: str) -> Column:
-    return F.when(text.startswith("#"), text).when(as_todo, F.concat(F.lit("- [ ] "), text, F.lit(f" due: {day}"))).otherwise(F.concat(F.lit("- "), text))
+def journal_entry(text: Column, as_todo: Column, day: str, at: Column | None = None) -> Column:
+    """A todo with its day, a heading as it is, or a list item; with ``at`` (a timestamp) its time in brackets comes first."""
+    stamp = F.lit("") if at is None else F.coalesce(F.concat(F.lit("["), F.date_format(at, "HH:mm"), F.lit("] ")), F.lit(""))
+    return F.when(as_todo, F.concat(F.lit("- [ ] "), stamp, text, F.lit(f" due: {day}"))).when(text.startswith("#"), F.concat(stamp, text)).otherwise(F.concat(F.lit("- "), stamp, text))
 
 
 def journal_append(notes: DataFrame, entries: DataFrame) -> DataFrame:
-    """``filename, content`` with each file's entries (``filename, ts, line``) under the journal heading, newest first; lines that are there stay single."""
+    """``filename, content`` with each file's entries (``filename, ts, line``) under the journal heading, newest first, each followed by a blank line.
+
+    A line that the text has already isn't put in again. Without the heading it is put at the end.
+    """
     single = entries.groupBy("filename", "line").agg(F.max("ts").alias("ts"))
     new = single.groupBy("filename").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "line")), asc=False), lambda x: x["line"]).alias("__new"))
-    joined = notes.join(new, "filename")
-    base = F.when(F.array_contains(F.split("content", "\n"), JOURNAL), F.col("content")).otherwise(F.concat(F.regexp_replace("content", r"\n*$", ""), F.lit(f"\n\n{JOURNAL}\n")))
-    rows = joined.select("filename", "__new", F.split(base, "\n").alias("__rows")).withColumn("__at", F.array_position("__rows", JOURNAL).cast("int"))
-    fresh = F.filter("__new", lambda x: ~F.array_contains("__rows", x))
-    return rows.select("filename", F.array_join(F.concat(F.slice("__rows", F.lit(1), F.col("__at")), fresh, F.slice("__rows", F.col("__at") + 1, F.size("__rows"))), "\n").alias("content"))
+    joined = notes.join(new, "filename").withColumn("content", F.coalesce("content", F.lit("")))
+    fresh = F.filter("__new", lambda x: ~F.array_contains(T.lines("content"), x))
+    block = F.concat(F.array_join(fresh, "\n\n"), F.lit("\n\n"))
+    at = F.instr("content", JOURNAL) + len(JOURNAL)  # behind the heading
+    rest = F.regexp_replace(F.expr(f"substring(content, instr(content, '{JOURNAL}') + {len(JOURNAL)})"), r"^\n+", "")
+    under = F.concat(F.substring(F.col("content"), F.lit(1), at - 1), F.lit("\n"), block, rest)
+    behind = F.concat(F.regexp_replace("content", r"[\s\p{Z}]+$", ""), F.lit(f"\n\n{JOURNAL}\n"), block)
+    put = F.when(F.contains(F.col("content"), F.lit(JOURNAL)), under).otherwise(behind)
+    return joined.select("filename", F.when(F.size(fresh) > 0, put).otherwise(F.col("content")).alias("content"))
 
 
 def fill_template(template: Column | str, now: dt.datetime, title: Column | str) -> Column:
@@ -112,7 +169,7 @@ def fill_template(template: Column | str, now: dt.datetime, title: Column | str)
     out = F.col(template) if isinstance(template, str) else template
     day = lambda n: (now.date() + dt.timedelta(days=n)).isoformat()
     fixed = {
-        "date": day(0), "today": day(0), "time": now.strftime("%H:%M"), "date_human": now.strftime("%A, %d %B %Y"), "tomorrow": day(1), "yesterday": day(-1),
+        "date": day(0), "today": day(0), "time": now.strftime("%H:%M"), "date_human": now.strftime("%A, %B %d, %Y"), "tomorrow": day(1), "yesterday": day(-1),
         "lastweek": day(-7), "nextweek": day(7), "month": now.strftime("%B"), "year": now.strftime("%Y"),
     }
     for name, value in fixed.items():

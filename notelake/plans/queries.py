@@ -437,6 +437,10 @@ register("linker_rewrite", f"SELECT c.filename, 'Met at [[order_' || c.k || ']]
 register("linker_totals", f"SELECT CAST(count(*) AS BIGINT) AS n_links, CAST(count(*) AS BIGINT) AS n_files {_NAMED}")(
     lambda x: rewrite.link_entities(x.notes, _entities(x)).agg(F.sum("n_links").alias("n_links"), F.count_if(F.col("n_links") > 0).alias("n_files"))
 )
+# every note's name: an order's heading names its note
+on_tables("linker_all_names", f"SELECT filename, CAST(1 AS BIGINT) AS n_links, '# [[order_' || k || ']] #order/' || word AS first_line FROM o UNION ALL SELECT c.filename, 1, 'Met at [[order_' || c.k || ']] about [[Supplier_' || c.k9 || ']] again.' {_NAMED}", True)(
+    lambda s, d: rewrite.link_entities(build_index(corpus.notes_raw(s, d)).notes, corpus.notes_raw(s, d).select(T.stem("filename").alias("name"))).select("filename", "n_links", F.substring_index("body", "\n", 1).alias("first_line"))
+)
 
 
 @on_tables("complete_todos", "SELECT o.filename, (SELECT count(*) FROM t WHERE t.filename = o.filename AND NOT closed AND line_number = 12) AS n_done FROM o", True)
@@ -451,17 +455,20 @@ on_tables("stamp_updated", "SELECT filename, CASE kind WHEN 'meeting' THEN 3 WHE
 )
 
 
-@on_tables("journal_append", """SELECT filename, CASE WHEN count(*) = 0 THEN '' ELSE '' END || string_agg(line, '|' ORDER BY ts DESC, line DESC) AS journal FROM (
-    SELECT 'u/' || user_id || '.md' AS filename, line, max(ts) AS ts FROM (SELECT user_id, ts, CASE WHEN event_type = 'error' THEN '- [ ] ' || event_type || ' due: 1998-06-15' ELSE '- ' || event_type END AS line FROM events) e GROUP BY 1, 2) x GROUP BY filename""")
+@on_tables("journal_append", """WITH e AS (SELECT 'u/' || user_id || '.md' AS filename, user_id, ts, CASE WHEN event_type = 'error' THEN '- [ ] [' || strftime(ts, '%H:%M') || '] ' || event_type || ' due: 1998-06-15' ELSE '- [' || strftime(ts, '%H:%M') || '] ' || event_type END AS line FROM events),
+    x AS (SELECT filename, user_id, line, max(ts) AS ts FROM e GROUP BY ALL)
+    SELECT filename, CASE WHEN user_id % 3 = 0 THEN '# ' || filename || chr(10) || chr(10) || '## Yournal' || chr(10) || string_agg(line, chr(10) || chr(10) ORDER BY ts DESC, line DESC) || chr(10) || chr(10)
+        ELSE '# ' || filename || chr(10) || '## Yournal' || chr(10) || coalesce(string_agg(line, chr(10) || chr(10) ORDER BY ts DESC, line DESC) FILTER (WHERE line <> '- [00:00] view') || chr(10) || chr(10), '') || '- [00:00] view' || chr(10) || chr(10) || '## Other' || chr(10) END AS content
+    FROM x GROUP BY filename, user_id""")
 def journal_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's events as a journal; an entry that was made before stays single."""
-    events = table(spark, sf_dir, "events").select(F.concat(F.lit("u/"), F.col("user_id").cast("string"), F.lit(".md")).alias("filename"), "ts", "event_type")
-    notes = events.select("filename").distinct().withColumn("content", F.concat(F.lit("# "), "filename", F.lit("\n")))
-    entries = events.select("filename", "ts", rewrite.journal_entry(F.col("event_type"), F.col("event_type") == "error", TODAY).alias("line"))
-    return rewrite.journal_append(notes, entries).select("filename", F.replace(F.trim(F.regexp_extract("content", r"(?s)## Yournal\n(.*?)\s*$", 1)), F.lit("\n"), F.lit("|")).alias("journal"))
+    """Each user's events as a journal, in a note with the heading or without; an entry that was made before stays single."""
+    events = table(spark, sf_dir, "events").select("user_id", F.concat(F.lit("u/"), F.col("user_id").cast("string"), F.lit(".md")).alias("filename"), "ts", "event_type")
+    notes = events.select("user_id", "filename").distinct().withColumn("content", F.concat(F.lit("# "), "filename", F.lit("\n"), F.when(F.col("user_id") % 3 == 0, "\n\n").otherwise("## Yournal\n\n- [00:00] view\n\n## Other\n")))
+    entries = events.select("filename", "ts", rewrite.journal_entry(F.col("event_type"), F.col("event_type") == "error", TODAY, F.col("ts")).alias("line"))
+    return rewrite.journal_append(notes, entries)
 
 
-on_tables("template_fill", "SELECT doc_id, '1998-06-15 08:30 Monday, 15 June 1998 1998-06-16 1998-06-08 doc ' || doc_id AS filled FROM documents")(
+on_tables("template_fill", "SELECT doc_id, '1998-06-15 08:30 Monday, June 15, 1998 1998-06-16 1998-06-08 doc ' || doc_id AS filled FROM documents")(
     lambda s, d: table(s, d, "documents").select("doc_id", rewrite.fill_template(F.lit("{{date}} {{time}} {{date_human}} {{tomorrow}} {{lastweek}} {{title}}"), dt.datetime(1998, 6, 15, 8, 30), F.concat(F.lit("doc "), F.col("doc_id").cast("string"))).alias("filled"))
 )
 

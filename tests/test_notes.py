@@ -200,7 +200,8 @@ def test_linker():
 def linked(spark, rows, names):
     """Notes of ``link_entities``, and of the matcher on every note with every name."""
     notes = spark.createDataFrame(rows, "filename string, body string")
-    got = {(r["filename"], r["body"], r["n_links"]) for r in rewrite.link_entities(notes, spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    got, met = ({(r["filename"], r["body"], r["n_links"]) for r in rewrite.link_entities(notes, spark.createDataFrame([(n,) for n in names], "name string"), most).collect()} for most in (100, 0))
+    assert got == met  # by the automaton and on runs of words
     return got, {(f, *rewrite.link_text(b, names)) for f, b in rows if rewrite.link_text(b, names)[1]}
 
 
@@ -226,14 +227,14 @@ def test_rewrites(spark):
     assert len(done) == 1 and "- [x] a ✅ [[2024-01-01]]\n- [x] b ✅ x\n## Yournal" in done[0]["content"]
     entries = spark.createDataFrame([("f", 1, "- new"), ("f", 2, "- newer"), ("f", 3, "- old"), ("g", 1, "- e")], "filename string, ts int, line string")
     journal = {r["filename"]: r["content"] for r in rewrite.journal_append(rows, entries).collect()}
-    assert journal["f"].endswith("## Yournal\n- newer\n- new\n- old") and journal["g"] == "no front\n\n## Yournal\n- e\n"
+    assert journal["f"].endswith("## Yournal\n- newer\n\n- new\n\n- old") and journal["g"] == "no front\n\n## Yournal\n- e\n\n"
 
 
 def test_journal_gathers_single_lines(spark, capsys):
     entries = spark.range(3000).selectExpr("'f' as filename", "id as ts", "concat('- ', id % 3) as line")
     rows = spark.createDataFrame([("f", "# f\n")], "filename string, content string")
     journal = rewrite.journal_append(rows, entries)
-    assert journal.collect()[0]["content"].endswith("## Yournal\n- 2\n- 1\n- 0\n")
+    assert journal.collect()[0]["content"].endswith("## Yournal\n- 2\n\n- 1\n\n- 0\n\n")
     journal.explain()
     assert "max(ts" in capsys.readouterr().out
 
