@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+from datetime import datetime, timezone
+from html import unescape
 from html.parser import HTMLParser
 from itertools import combinations
 
@@ -300,7 +302,7 @@ def similar_keys(threshold: float):
 _VOID = set("area base br col embed hr img input link meta source track wbr".split())
 _SKIP = {"script", "style", "noscript", "template", "head"}
 _BLOCK = set("p div section article main header footer ul ol table tr blockquote pre nav aside figure form".split())
-#: Where the main content is looked for, in this order: tag, or attribute and value.
+#: Where the main content is looked for, in this order: tag, or attribute and value. Fixed values.
 CONTENT = (("tag", "main"), ("tag", "article"), ("role", "main"), ("class", "content"), ("id", "content"), ("class", "main"), ("id", "main"), ("class", "article"), ("class", "post"), ("class", "entry"), ("tag", "body"))
 
 
@@ -404,6 +406,92 @@ def page_markdown(html: pd.Series) -> pd.Series:
     return html.map(html_to_markdown)
 
 
+_TITLE = re.compile(r"<title[^>]*>(.*?)</title>", re.I | re.S)
+
+
+@F.pandas_udf(TEXT)
+def page_title(html: pd.Series) -> pd.Series:
+    """The text of a page's first title, with its character references read and white space as single spaces; empty without one."""
+    found = (_TITLE.search(h or "") for h in html)
+    return pd.Series([" ".join(unescape(m[1]).split()) if m else "" for m in found], dtype=object)
+
+
+# --- threads ---------------------------------------------------------------------------------------
+
+
+def _moment(seconds) -> str | None:
+    if not isinstance(seconds, (int, float)) or isinstance(seconds, bool):
+        return None
+    try:
+        return datetime.fromtimestamp(int(seconds), timezone.utc).strftime("%Y-%m-%d %H:%M UTC")
+    except (ValueError, OverflowError, OSError):
+        return "Unknown"
+
+
+def _field(node, *path):
+    for name in path:
+        node = node.get(name) if isinstance(node, dict) else node[name] if isinstance(node, list) and isinstance(name, int) and name < len(node) else None
+    return node
+
+
+def thread_comments(children) -> list[dict]:
+    """Comments of nested listings, depth first; a stack, so depth has no bound. What isn't a comment isn't entered."""
+    out, stack = [], [iter(children if isinstance(children, list) else ())]
+    while stack:
+        child = next(stack[-1], None)
+        if child is None:
+            stack.pop()
+        elif _field(child, "kind") == "t1":
+            data = _field(child, "data") or {}
+            out.append(data)
+            below = _field(data, "replies", "data", "children")
+            stack.append(iter(below if isinstance(below, list) else ()))
+    return out
+
+
+def thread_note(text: str | None) -> tuple[int, str | None]:
+    """Number of comments and the note of a thread; no note for text that isn't a thread's listings. The lines' forms are fixed."""
+    try:
+        listings = json.loads(text or "")
+    except ValueError:
+        return 0, None
+    except RecursionError:
+        return 0, None
+    if not isinstance(listings, list) or not listings:
+        return 0, None
+    post, comments = _field(listings, 0, "data", "children", 0, "data"), thread_comments(_field(listings, 1, "data", "children"))
+    told = lambda name, kind=str: v if isinstance(v := _field(post, name), kind) and not isinstance(v, bool) else None
+    out = [f"# {told('title')}\n\n"] if told("title") is not None else []
+    facts = (("Author", "author", "u/"), ("Subreddit", "subreddit", "r/"))
+    out += [f"**{name}:** {prefix}{told(key)}  \n" for name, key, prefix in facts if told(key) is not None]
+    out += [f"**Score:** {told('score', int)}  \n"] if told("score", int) is not None else []
+    out += [f"**Posted:** {when}  \n"] if (when := _moment(_field(post, "created_utc"))) else []
+    out.append("\n")
+    if told("selftext") and told("selftext") != "[deleted]":
+        out.append(f"## Original Post\n\n{told('selftext')}\n\n---\n\n")
+    if told("url") is not None and told("permalink") and "reddit.com" not in told("url"):
+        out.append(f"**Link:** [{told('url')}]({told('url')})\n\n")
+    out.append("## Comments\n\n")
+    if not comments:
+        out.append("*No comments found.*\n\n")
+    for number, c in enumerate(comments, 1):
+        body, author, score = c.get("body"), c.get("author"), c.get("score")
+        if not isinstance(body, str) or body in ("", "[deleted]", "[removed]"):
+            continue
+        out.append(f"### Comment {number} (by u/{author if isinstance(author, str) else '[deleted]'})\n\n")
+        if when := _moment(c.get("created_utc")):
+            out.append(f"*Score: {score if isinstance(score, int) else 0} | Posted: {when}*\n\n")
+        out.append(f"{body}\n\n")
+    return len(comments), "".join(out)
+
+
+@F.pandas_udf(TEXT)
+def thread_markdown(text: pd.Series) -> pd.Series:
+    """``{"n": comments, "text": note}`` as JSON."""
+    found = (thread_note(t) for t in text)
+    return pd.Series([json.dumps({"n": n, "text": note}, ensure_ascii=False) for n, note in found], dtype=object)
+
+
 # --- mail and Word ---------------------------------------------------------------------------------
 
 MAIL = _struct(subject=TEXT, sender=TEXT, recipients=TEXTS, cc=TEXT, date=TEXT, created=TEXT, message_id=TEXT, body=TEXT, attachments=TEXTS)
@@ -428,10 +516,10 @@ def read_mail(raw: bytes | None) -> dict:
     except ValueError:
         when = None
     return {
-        "subject": str(m["subject"]) if m["subject"] is not None else None, "sender": ", ".join(people("from")) or None, "recipients": people("to"), "cc": str(m["cc"] or ""),
+        "subject": str(m["subject"]) if m["subject"] is not None else None, "sender": ", ".join(people("from")) or None, "recipients": people("to"), "cc": ", ".join(people("cc")),
         "date": when and (when.isoformat() if when.utcoffset() else when.strftime("%Y-%m-%dT%H:%M:%SZ")), "created": when and when.strftime("%Y-%m-%d %H:%M"),
-        "message_id": str(m["message-id"] or ""), "body": html_to_markdown(text) if html else text.strip(),
-        "attachments": [a.get_filename() or "" for a in m.iter_attachments()] if m.is_multipart() else [],
+        "message_id": str(m["message-id"] or "").strip().strip("<>"), "body": html_to_markdown(text) if html else text.strip(),
+        "attachments": [f"**{a.get_filename() or '(unnamed)'}** ({a.get_content_type()})" for a in m.iter_attachments()] if m.is_multipart() else [],
     }
 
 

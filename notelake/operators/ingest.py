@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.python import docx_paragraphs, mail_fields, page_markdown
+from ..functions.python import docx_paragraphs, mail_fields, page_markdown, page_title, thread_markdown
 from ..scratch import stash
 
 
@@ -61,27 +61,20 @@ def write_results(rows: DataFrame, folder: str) -> None:
 # --- pages -----------------------------------------------------------------------------------------
 
 
-def page_title(html: Column) -> Column:
-    text = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
-
-
 def pages_to_notes(pages: DataFrame, now: Column | None = None) -> DataFrame:
     """``page_id, title, filename, content`` of HTML pages; ``now`` is when they are converted."""
     now = F.current_timestamp() if now is None else now
     kind = F.when(F.coalesce("url", F.lit("")).rlike(r"reddit\.com|redd\.it"), "reddit").otherwise("web")
-    title = page_title(F.coalesce("html", F.lit("")))
+    title = F.col("__title")
     head = note_front(F.date_format(now, "yyyy-MM-dd HH:mm"), kind, F.col("url"), title)
-    return pages.select("page_id", title.alias("title"), note_path(kind, F.coalesce("url", F.lit("")), now).alias("filename"), F.concat(head, F.lit("\n"), page_markdown("html")).alias("content"))
+    return pages.withColumn("__title", page_title("html")).select("page_id", title.alias("title"), note_path(kind, F.coalesce("url", F.lit("")), now).alias("filename"), F.concat(head, F.lit("\n"), page_markdown("html")).alias("content"))
 
 
 def route_source(url: Column) -> Column:
-    """Which converter a source needs: reddit, github, url, eml, msg or document."""
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z]+://(?:[^/@]*@)?([^/:?#]*)", 1))
+    """Which converter a source needs: reddit, github, url, eml, msg or document. Addresses are told by their exact beginning, files by their ending."""
+    web = url.startswith("http://") | url.startswith("https://")
     return (
-        F.when(host.rlike(r"(^|\.)reddit\.com$"), "reddit").when(host.isin("github.com", "www.github.com"), "github").when(F.lower(url).rlike("^https?://"), "url")
+        F.when(web & url.rlike(r"reddit\.com|redd\.it"), "reddit").when(url.startswith("https://github.com/") | url.startswith("http://github.com/"), "github").when(web, "url")
         .when(F.lower(url).endswith(".eml"), "eml").when(F.lower(url).endswith(".msg"), "msg").otherwise("document")
     )
 
@@ -100,20 +93,19 @@ def github_raw_url(url: Column) -> Column:
 
 
 def texts_to_notes(docs: DataFrame) -> DataFrame:
-    """``doc_id, title, body``: the first line is the title, every line that isn't blank a paragraph."""
-    rows = F.filter(F.transform(T.lines(F.coalesce("text", F.lit(""))), T.trim), lambda x: x != "")
-    return docs.select("doc_id", F.coalesce(T.trim(F.get(T.lines(F.coalesce("text", F.lit(""))), F.lit(0))), F.lit("")).alias("title"), F.array_join(rows, "\n\n").alias("body"))
+    """``doc_id, title, body``: the first line is the title, every line a paragraph, and a blank one a line break more."""
+    rows = F.transform(T.lines(F.coalesce("text", F.lit(""))), T.trim)
+    body = F.array_join(F.transform(rows, lambda x: F.when(x == "", "\n").otherwise(F.concat(x, F.lit("\n\n")))), "")
+    return docs.select("doc_id", F.coalesce(F.get(rows, F.lit(0)), F.lit("")).alias("title"), body.alias("body"))
 
 
-def threads_to_notes(turns: DataFrame) -> DataFrame:
-    """``conv_id, n_comments, content``: a thread's first turn, then its numbered comments; empty and deleted ones keep their number but aren't shown."""
-    shown = ~T.trim(F.coalesce("text", F.lit(""))).isin("", "[deleted]", "[removed]")
-    line = F.when(F.col("turn") == 0, F.concat(F.lit("# Conversation "), F.col("conv_id").cast("string"), F.lit("\n\n"), F.col("text"))).otherwise(F.concat(F.lit("## Comment "), F.col("turn").cast("string"), F.lit(" by "), F.coalesce("role", F.lit("")), F.lit("\n\n"), F.col("text")))
-    rows = turns.select("conv_id", "turn", F.when(shown, line).alias("line"))
-    return rows.groupBy("conv_id").agg(
-        F.count(F.when(F.col("turn") > 0, F.col("line"))).alias("n_comments"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("turn", "line")))), lambda x: x["line"]), "\n\n").alias("content"),
-    )
+def threads_to_notes(threads: DataFrame) -> DataFrame:
+    """``thread, n_comments, content`` of threads (``thread, json``: the listing of the post and that of its nested comments).
+
+    Comments are numbered depth first; empty, deleted and removed ones keep their number but aren't shown.
+    """
+    read = threads.select("thread", thread_markdown("json").alias("t"))
+    return read.select("thread", F.get_json_object("t", "$.n").cast("long").alias("n_comments"), F.get_json_object("t", "$.text").alias("content"))
 
 
 def flatten_thread(posts: DataFrame) -> DataFrame:
@@ -194,9 +186,12 @@ def mails_to_notes(files: DataFrame, now: Column | None = None) -> DataFrame:
     m = lambda name: F.col(f"m.{name}")
     subject = F.coalesce(m("subject"), F.lit("(No Subject)"))
     head = note_front(F.coalesce(m("created"), F.date_format(now, "yyyy-MM-dd HH:mm")), F.lit("mail"), F.col("path"), subject, m("sender"), m("recipients"), m("date"))
-    attached = F.when(F.size("m.attachments") > 0, F.concat(F.lit("\n\n## Attachments\n\n- "), F.array_join("m.attachments", "\n- "))).otherwise("")
+    # the lines of a mail's head: fixed values
+    line = lambda name, v: F.coalesce(F.when(v != "", F.concat(F.lit(f"**{name}:** "), v, F.lit("\n\n"))), F.lit(""))
+    block = F.concat(line("From", m("sender")), line("To", F.array_join(m("recipients"), ", ")), line("Cc", m("cc")), line("Date", m("date")), line("Message-ID", m("message_id")), F.lit("---\n\n"))
+    attached = F.when(F.size("m.attachments") > 0, F.concat(F.lit("\n\n---\n\n## Attachments\n\n"), F.array_join(F.transform("m.attachments", lambda a: F.concat(F.lit("- "), a, F.lit("\n"))), ""))).otherwise("")
     path = note_path(F.lit("mail"), F.col("path"), now, F.to_date(F.substring(m("created"), 1, 10)))
-    return read.select("path", subject.alias("subject"), path.alias("filename"), F.concat(head, F.lit("\n# "), subject, F.lit("\n\n"), clean_mail_body(m("body")), attached, F.lit("\n")).alias("content"))
+    return read.select("path", subject.alias("subject"), path.alias("filename"), F.concat(head, F.lit("\n# "), subject, F.lit("\n\n"), block, m("body"), attached).alias("content"))
 
 
 def heading_level(style: Column) -> Column:
@@ -214,14 +209,19 @@ def docx_to_notes(files: DataFrame) -> DataFrame:
 
 
 def reconvert(notes: DataFrame, fresh: DataFrame) -> DataFrame:
-    """``filename, status, content``: notes (``filename, front, body, source``) against fresh bodies (``source, new_body``, null if that failed)."""
-    base = lambda c: F.regexp_extract(c, r"([^/]*)$", 1)
-    mine = notes.withColumn("__base", base(F.col("source")))
-    # of sources that share a name, the first by its whole path
-    theirs = fresh.groupBy(base(F.col("source")).alias("__base")).agg(F.min_by(F.struct("new_body"), "source").alias("__new")).select("__base", "__new.new_body", F.lit(True).alias("__there"))
-    joined = mine.join(theirs, "__base", "left")
-    status = F.when(F.col("source").isNull() | F.col("__there").isNull(), "skipped").when(F.col("new_body").isNull(), "failed").when(F.col("new_body") == F.col("body"), "unchanged").otherwise("reconverted")
-    return joined.select("filename", status.alias("status"), F.concat(F.lit("---\n"), "front", F.lit("\n---\n"), F.when(status == "reconverted", F.col("new_body")).otherwise(F.col("body"))).alias("content"))
+    """``filename, status, content``: notes (``filename, front, body, source``) against fresh bodies (``source, new_body``, null if that failed).
+
+    A source is looked up beside its note first, by its name, then at its own path.
+    """
+    base = lambda c: F.regexp_extract(c, r"([^/]*)/*$", 1)
+    beside = F.concat(F.regexp_extract("filename", r"^(.*/)?[^/]*$", 1), base(F.col("source")))
+    places = F.array(F.struct(F.lit(0).alias("rank"), beside.alias("source")), F.struct(F.lit(1).alias("rank"), F.col("source")))
+    asked = notes.filter("source is not null").select("filename", F.explode(places).alias("p")).select("filename", "p.rank", "p.source")
+    there = fresh.groupBy("source").agg(F.max(F.struct(F.col("new_body"))).alias("new"))
+    found = asked.join(there, "source").groupBy("filename").agg(F.min_by("new", "rank").alias("__new"))
+    joined = notes.join(found, "filename", "left").withColumn("new_body", F.col("__new.new_body"))
+    status = F.when(F.col("__new").isNull(), "skipped").when(F.col("new_body").isNull(), "failed").when(F.col("new_body").eqNullSafe(F.col("body")), "unchanged").otherwise("reconverted")
+    return joined.select("filename", status.alias("status"), F.concat(F.lit("---\n"), "front", F.lit("\n---\n"), F.when(status == "reconverted", F.col("new_body")).otherwise(F.coalesce("body", F.lit("")))).alias("content"))
 
 
 # --- browser history -------------------------------------------------------------------------------
@@ -251,6 +251,10 @@ def since_marks(visits: DataFrame, marks: DataFrame, default: int) -> DataFrame:
     return visits.join(marks.select("browser", "high_water"), "browser", "left").filter(F.col("ts") > F.coalesce("high_water", F.lit(default))).drop("high_water")
 
 
+#: Browsers in the order in which they are counted.
+BROWSERS = ("Safari", "Vivaldi", "Firefox")
+
+
 def history_lines(visits: DataFrame) -> DataFrame:
     """``day, ts, line`` of visits."""
     when = F.timestamp_seconds("ts")
@@ -258,9 +262,17 @@ def history_lines(visits: DataFrame) -> DataFrame:
     return visits.select(F.to_date(when).alias("day"), "ts", F.concat(F.lit("- ["), title, F.lit("]("), F.col("url"), F.lit(") ["), F.col("browser"), F.lit(" - "), F.date_format(when, "HH:mm"), F.lit("] [["), F.date_format(when, "yyyy-MM-dd"), F.lit("]]")).alias("line"))
 
 
-def history_notes(visits: DataFrame) -> DataFrame:
-    """``day, content``: total, visits by browser, and a line for each, the latest first."""
-    lines = history_lines(visits).groupBy("day").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ts", "line")), asc=False), lambda x: x["line"]), "\n").alias("lines"))
-    counts = visits.groupBy(F.to_date(F.timestamp_seconds("ts")).alias("day"), "browser").agg(F.count("*").alias("n"))
-    each = counts.groupBy("day").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- "), "browser", F.lit(": "), F.col("n").cast("string")))), "\n").alias("counts"))
-    return lines.join(each, "day").select("day", F.concat(F.lit("# Visits "), F.date_format("day", "yyyy-MM-dd"), F.lit("\n\nTotal: "), F.col("n").cast("string"), F.lit("\n"), F.col("counts"), F.lit("\n\n"), F.col("lines"), F.lit("\n")).alias("content"))
+def history_notes(visits: DataFrame, clock: str = "00:00") -> DataFrame:
+    """``day, filename, content``: a note for each day with the last visit of each address, the latest first, and counts by browser."""
+    day = F.to_date(F.timestamp_seconds("ts"))
+    last = visits.groupBy(day.alias("day"), "url").agg(F.max(F.struct("ts", "browser", "title")).alias("v")).select("day", "url", "v.ts", "v.browser", "v.title").withColumn("browser", F.initcap("browser"))
+    lines = history_lines(last).groupBy("day").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ts", "line")), asc=False), lambda x: F.concat(x["line"], F.lit("\n"))), "").alias("lines"))
+    count = lambda b: F.count_if(F.col("browser") == b).alias(b)
+    counts = last.groupBy("day").agg(*map(count, BROWSERS))
+    each = F.array_join(F.filter(F.array(*[F.when(F.col(b) > 0, F.concat(F.lit(f"- {b}: "), F.col(b).cast("string"), F.lit(" URLs\n"))) for b in BROWSERS]), lambda x: x.isNotNull()), "")
+    date = F.date_format("day", "yyyy-MM-dd")
+    # the note's fixed lines
+    front = F.concat(F.lit('---\ntitle: "Browser History"\ndate: '), date, F.lit("\ntype: note\ntags: [browser-history, daily]\n---\n\n# Browser History\n\nCreated on [["), date, F.lit("]]\n\n"))
+    content = F.concat(front, F.lit("## Summary\n\nTotal unique URLs visited: "), F.col("n").cast("string"), F.lit("\n\n"), each, F.lit("\n## History Entries\n\n"), F.col("lines"))
+    path = F.concat(F.lit("web/"), F.date_format("day", "yyyy/MMM"), F.lit("/browser-"), date, F.lit(f"-{clock}.md"))
+    return lines.join(counts, "day").select("day", path.alias("filename"), content.alias("content"))

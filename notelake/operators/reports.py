@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.python import jaro_winkler, similar_keys
+from ..scratch import discard, stash
 from .parse import Index
 
 # --- values ----------------------------------------------------------------------------------------
@@ -141,17 +142,34 @@ def agenda_summary(rows: DataFrame, today: str, days: int = 7) -> DataFrame:
     return rows.filter(F.col("due") <= until).withColumn("line", F.concat(agenda_line(), F.lit(" - Project: "), F.col("group_name")))
 
 
-HEADINGS = {"project": "Projects", "department": "Departments", "person": "Persons", "company": "Companies"}
-
-
-def agenda_document(rows: DataFrame, kind: str, today: str) -> DataFrame:
-    """``section, ord, line``: header, a block for each group, and unmatched todos."""
-    named = rows.withColumn("section", F.coalesce("group_name", F.lit("~Unmatched")))
-    ordered = named.withColumn("ord", F.row_number().over(Window.partitionBy("section").orderBy(F.asc_nulls_last("due"), F.asc_nulls_last("priority"), "filename", "line_number")))
-    todos = ordered.select("section", F.col("ord").cast("int").alias("ord"), agenda_line().alias("line"))
-    heads = named.select("section").distinct().select("section", F.lit(0).alias("ord"), F.when(F.col("section") == "~Unmatched", "## Unmatched").otherwise(F.concat(F.lit("### [["), "section", F.lit("]]"))).alias("line"))
-    top = rows.sparkSession.createDataFrame([("", 0, f"# Agenda {today}"), ("", 1, f"## {HEADINGS.get(kind, kind.title())}")], "section string, ord int, line string")
-    return top.unionByName(heads).unionByName(todos)
+# Headings and sentences of the agenda: fixed values.
+HEADINGS = {"department": "Departments", "person": "Persons", "company": "Companies"}
+NOTHING = "No open todos found matching the criteria."
+UNMATCHED = "The following todos match the due date filter but don't link to any project:"
+
+
+def agenda_document(rows: DataFrame, kind: str, today: str, due_to: str, root: str = "", with_summary: bool = True) -> DataFrame:
+    """``part, section, ord, line``: the agenda's lines in order of part, section and ord: header, summary, groups, and todos of no group.
+
+    ``rows`` are those of ``agenda_by_due``. Parts: 0 header, 1 summary, 2 heading of the groups, 3 groups, 4 todos of no group.
+    """
+    title = HEADINGS.get(kind, "Projects")
+    order = Window.partitionBy("part", "section").orderBy(F.asc_nulls_last("due"), F.asc_nulls_last("priority"), "filename", "line_number")
+    placed = rows.select("*", F.when(F.col("group_name").isNull(), 4).otherwise(3).alias("part"), F.coalesce("group_name", F.lit("")).alias("section"))
+    todos = placed.select("part", "section", (F.row_number().over(order) + 9).cast("int").alias("ord"), agenda_line(root).alias("line"))
+    # a row for each group: its heading before its todos, and a blank line behind them
+    sized = placed.groupBy("part", "section").agg(F.count("*").cast("int").alias("n"))
+    heading = F.when(F.col("part") == 4, F.array(F.lit("## Unmatched Todos"), F.lit(""), F.lit(UNMATCHED), F.lit(""))).otherwise(F.array(F.concat(F.lit("### [["), "section", F.lit("]]")), F.lit("")))
+    around = sized.select("part", "section", F.explode(F.concat(F.transform(heading, lambda x, n: F.struct(n.alias("ord"), x.alias("line"))), F.array(F.struct((F.col("n") + 10).alias("ord"), F.lit("").alias("line"))))).alias("x")).select("part", "section", "x.ord", "x.line")
+    # one row, also of no todos
+    counts = placed.agg(F.count("*").alias("n"), F.count_if(F.col("part") == 3).alias("grouped"))
+    found = F.when(F.col("n") == 0, NOTHING).otherwise(F.concat(F.lit("Found "), F.col("n").cast("string"), F.lit(f" open todo(s) due on or before {due_to}.")))
+    line = lambda part, n, text: F.struct(F.lit(part).alias("part"), F.lit("").alias("section"), F.lit(n).alias("ord"), (text if isinstance(text, Column) else F.lit(text)).alias("line"))
+    top = [line(0, 0, f"# Agenda {today}"), line(0, 1, "")]
+    top += [line(1, 0, "## Summary"), line(1, 1, ""), line(1, 2, found), line(1, 3, "")] if with_summary else []
+    top += [line(2, 0, f"## {title}"), line(2, 1, ""), line(2, 2, F.when(F.col("grouped") == 0, f"No {title.lower()} with matching todos found.")), line(2, 3, F.when(F.col("grouped") == 0, ""))]
+    head = counts.select(F.explode(F.array(*top)).alias("x")).select("x.*").filter("line is not null")
+    return head.unionByName(around).unionByName(todos)
 
 
 # --- graph -----------------------------------------------------------------------------------------
@@ -170,12 +188,20 @@ def graph_edges(index: Index) -> DataFrame:
 
 
 def ego_network(edges: DataFrame, start: str, hops: int = 1) -> DataFrame:
-    """``id, hops``: a note and what lies within some hops."""
-    both = edges.unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target")))
-    known = edges.sparkSession.createDataFrame([(start, 0)], "id string, hops int")
+    """``id, hops``: a note and what lies within some hops. Each hop is a written table of what is new, so plans don't grow; ends where nothing is."""
+    both = stash(edges.unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))), "edges")
+    known = stash(edges.sparkSession.createDataFrame([(start, 0)], "id string, hops int"), "hops")
+    frontier, old = known, []
     for k in range(1, hops + 1):
-        new = known.filter(F.col("hops") == k - 1).join(both, F.col("id") == F.col("source")).select(F.col("target").alias("id"), F.lit(k).alias("hops")).distinct()
-        known = known.unionByName(new).groupBy("id").agg(F.min("hops").alias("hops"))
+        reached = both.join(frontier.select(F.col("id").alias("source")), "source").select(F.col("target").alias("id")).distinct()
+        frontier = stash(reached.join(known.select("id"), "id", "left_anti").select("id", F.lit(k).alias("hops")), "frontier")
+        if frontier.isEmpty():
+            discard(frontier)
+            break
+        old.append(known)
+        known = stash(known.unionByName(frontier), "hops")
+        old.append(frontier)
+    discard(both, *[t for t in old if t is not frontier])
     return known
 
 
@@ -198,9 +224,13 @@ def similarity_line() -> Column:
 
 
 def reuse_embeddings(segments: DataFrame, previous: DataFrame, embed) -> DataFrame:
-    """``segments`` with ``embedding`` and ``reused``: kept for text that is known in that file, else from ``embed(text)``; null if that fails."""
-    known = previous.filter("embedding is not null").groupBy("filename", "text").agg(F.first("embedding").alias("embedding"))
-    joined = segments.join(known, ["filename", "text"], "left")
+    """``segments`` with ``embedding`` and ``reused``: kept for text that is known in that file, else from ``embed(text)``; null if that fails.
+
+    Texts meet by a 128-bit hash of their content, so no text is shuffled as a key.
+    """
+    mark = F.md5("text").alias("__text")
+    known = previous.filter("embedding is not null").groupBy("filename", mark).agg(F.first("embedding").alias("embedding"))
+    joined = segments.withColumn("__text", F.md5("text")).join(known, ["filename", "__text"], "left").drop("__text")
     old = joined.filter("embedding is not null").withColumn("reused", F.lit(True))
     new = joined.filter("embedding is null").withColumn("embedding", embed(F.col("text"))).withColumn("reused", F.lit(False))
     return old.unionByName(new)

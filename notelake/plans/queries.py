@@ -336,10 +336,18 @@ register("agenda_summary", f"SELECT group_name, t.filename, line_number, {_SUMMA
 register("agenda_summary_count", "SELECT group_name, count(*) AS n FROM ag JOIN t USING (filename) WHERE NOT closed AND due <= '19980622' GROUP BY group_name")(
     lambda x: reports.agenda_summary(reports.agenda(x, "project"), TODAY).groupBy("group_name").agg(F.count("*").alias("n"))
 )
-register("agenda_document", f"""SELECT '' AS section, 0 AS ord, '# Agenda 1998-06-15' AS line UNION ALL SELECT '', 1, '## Projects'
-    UNION ALL SELECT DISTINCT coalesce(group_name, '~Unmatched'), 0, CASE WHEN group_name IS NULL THEN '## Unmatched' ELSE '### [[' || group_name || ']]' END FROM t LEFT JOIN {_FIRST} f USING (filename) WHERE NOT closed AND due <= '19980615'
-    UNION ALL SELECT coalesce(group_name, '~Unmatched'), CAST(row_number() OVER (PARTITION BY group_name ORDER BY due, priority, t.filename, line_number) AS INTEGER), {_SUMMARY}
-    FROM t LEFT JOIN {_FIRST} f USING (filename) WHERE NOT closed AND due <= '19980615'""")(lambda x: reports.agenda_document(reports.agenda_by_due(x, TODAY), "project", TODAY))
+_DUE = f"(SELECT coalesce(group_name, '') AS section, CASE WHEN group_name IS NULL THEN 4 ELSE 3 END AS part, t.*, {_SUMMARY} AS row_line FROM t LEFT JOIN {_FIRST} f USING (filename) WHERE NOT closed AND due <= '19980615')"
+register("agenda_document", f"""SELECT 0 AS part, '' AS section, 0 AS ord, '# Agenda 1998-06-15' AS line UNION ALL SELECT 0, '', 1, '' UNION ALL SELECT 1, '', 0, '## Summary' UNION ALL SELECT 1, '', 1, ''
+    UNION ALL SELECT 1, '', 2, CASE WHEN count(*) = 0 THEN 'No open todos found matching the criteria.' ELSE 'Found ' || count(*) || ' open todo(s) due on or before 1998-06-15.' END FROM {_DUE} d UNION ALL SELECT 1, '', 3, ''
+    UNION ALL SELECT 2, '', 0, '## Projects' UNION ALL SELECT 2, '', 1, '' UNION ALL SELECT 2, '', unnest([2, 3]), unnest(['No projects with matching todos found.', '']) WHERE NOT EXISTS (SELECT 1 FROM {_DUE} d WHERE part = 3)
+    UNION ALL SELECT DISTINCT 3, section, unnest([0, 1]), unnest(['### [[' || section || ']]', '']) FROM {_DUE} d WHERE part = 3
+    UNION ALL SELECT DISTINCT 4, '', unnest([0, 1, 2, 3]), unnest(['## Unmatched Todos', '', 'The following todos match the due date filter but don''t link to any project:', '']) FROM {_DUE} d WHERE part = 4
+    UNION ALL SELECT part, section, CAST(9 + row_number() OVER (PARTITION BY part, section ORDER BY due, priority, filename, line_number) AS INTEGER), row_line FROM {_DUE} d
+    UNION ALL SELECT part, section, CAST(10 + count(*) AS INTEGER), '' FROM {_DUE} d GROUP BY part, section""")(lambda x: reports.agenda_document(reports.agenda_by_due(x, TODAY), "project", TODAY, TODAY))
+register("agenda_document_empty", """SELECT * FROM (VALUES (0, '', 0, '# Agenda 1998-06-15'), (0, '', 1, ''), (1, '', 0, '## Summary'), (1, '', 1, ''), (1, '', 2, 'No open todos found matching the criteria.'), (1, '', 3, ''),
+    (2, '', 0, '## Companies'), (2, '', 1, ''), (2, '', 2, 'No companies with matching todos found.'), (2, '', 3, '')) v(part, section, ord, line)""")(lambda x: reports.agenda_document(reports.agenda_by_due(x, "1890-01-01", "company"), "company", TODAY, "1890-01-01"))
+register("absolute_paths", "SELECT DISTINCT filename, '/v/' || filename AS path FROM t WHERE NOT closed")(lambda x: reports.open_todos(x).select("filename", search.absolute("/v/").alias("path")).distinct())
+register("backlink_lines", "SELECT target, '[' || source || '](' || source || ')' AS line FROM back")(lambda x: reports.backlinks(x).select("target", reports.backlink_line().alias("line")))
 
 for _what, _sql in {
     "priority": "SELECT DISTINCT priority AS value FROM t", "due": "SELECT DISTINCT due AS value FROM t", "tag": "SELECT DISTINCT tag AS value FROM g", "link": "SELECT DISTINCT link AS value FROM l",
@@ -369,6 +377,10 @@ on_tables("similar_topk_batch", f"SELECT query_id, CAST(rank AS INTEGER) AS rank
     lambda s, d: vectors.similar(table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), table(s, d, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))).select("query_id", "rank", "id")
 )
 
+on_tables("similarity_lines", f"SELECT vec_id, printf('%.4f', {_COSINE.format('embedding', str(_VECTOR))}) || '  vec ' || vec_id AS line FROM embeddings WHERE embedding IS NOT NULL")(
+    lambda s, d: table(s, d, "embeddings").filter("embedding is not null").select("vec_id", F.round(T.cosine(F.col("embedding"), F.array(*[F.lit(float(v)) for v in _VECTOR])), 9).alias("score"), F.concat(F.lit("vec "), F.col("vec_id").cast("string")).alias("line")).select("vec_id", reports.similarity_line().alias("line"))
+)
+
 # --- graph -----------------------------------------------------------------------------------------
 
 _EDGES = "(SELECT DISTINCT least(source, target) AS source, greatest(source, target) AS target FROM back)"
@@ -475,7 +487,7 @@ on_tables("template_fill", "SELECT doc_id, '1998-06-15 08:30 Monday, June 15, 19
 # --- ingest ----------------------------------------------------------------------------------------
 
 on_tables("page_titles", "SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages")(
-    lambda s, d: table(s, d, "pages").select("page_id", ingest.page_title(F.coalesce("html", F.lit(""))).alias("title"))
+    lambda s, d: table(s, d, "pages").select("page_id", ingest.page_title("html").alias("title"))
 )
 
 
@@ -493,12 +505,35 @@ on_tables("page_to_note", f"""SELECT page_id, 'web/2024/Jan/web-2024-01-31-' ||
     lambda s, d: ingest.pages_to_notes(table(s, d, "pages"), _now()).select("page_id", "filename", F.regexp_extract("content", r"(?s)^(---\n.*?\n---\n\n\n)", 1).alias("head"))
 )
 on_tables("page_bodies")(lambda s, d: ingest.pages_to_notes(table(s, d, "pages"), _now()).select("page_id", "content"))
-on_tables("text_to_note", "SELECT doc_id, trim(string_split(coalesce(text, ''), chr(10))[1]) AS title, array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10) || chr(10)) AS body FROM documents")(
-    lambda s, d: ingest.texts_to_notes(table(s, d, "documents"))
-)
-on_tables("thread_to_note", """SELECT conv_id, count(CASE WHEN turn > 0 AND trim(coalesce(text, '')) <> '' THEN 1 END) AS n_comments,
-    string_agg(CASE WHEN turn = 0 THEN '# Conversation ' || conv_id ELSE '## Comment ' || turn || ' by ' || coalesce(role, '') END || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS content
-    FROM conversations WHERE trim(coalesce(text, '')) NOT IN ('', '[deleted]', '[removed]') GROUP BY conv_id""")(lambda s, d: ingest.threads_to_notes(table(s, d, "conversations")))
+on_tables("text_to_note", """WITH r AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)) AS w, coalesce(text, '') AS t FROM documents),
+    k AS (SELECT doc_id, CASE WHEN t = '' OR t LIKE '%' || chr(10) THEN list_slice(w, 1, len(w) - 1) ELSE w END AS w FROM r)
+    SELECT doc_id, coalesce(w[1], '') AS title, array_to_string(list_transform(w, lambda x: CASE WHEN x = '' THEN chr(10) ELSE x || chr(10) || chr(10) END), '') AS body FROM k""")(lambda s, d: ingest.texts_to_notes(table(s, d, "documents")))
+
+
+@on_tables("thread_to_note", """WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, strftime(make_timestamp((1700000000 + 60 * CAST(turn AS BIGINT)) * 1000000), '%Y-%m-%d %H:%M UTC') AS moment FROM conversations)
+    SELECT conv_id AS thread, count(*) FILTER (WHERE k > 0) AS n_comments,
+        '# Conversation ' || conv_id || chr(10) || chr(10) || coalesce(max('**Author:** u/' || role || '  ' || chr(10)) FILTER (WHERE k = 0), '') || '**Subreddit:** r/talk  ' || chr(10) || '**Score:** ' || conv_id % 7 || '  ' || chr(10) || max('**Posted:** ' || moment || '  ' || chr(10)) FILTER (WHERE k = 0) || chr(10)
+        || coalesce(max('## Original Post' || chr(10) || chr(10) || text || chr(10) || chr(10) || '---' || chr(10) || chr(10)) FILTER (WHERE k = 0 AND text NOT IN ('', '[deleted]')), '') || '**Link:** [https://example.com/](https://example.com/)' || chr(10) || chr(10) || '## Comments' || chr(10) || chr(10)
+        || CASE WHEN count(*) = 1 THEN '*No comments found.*' || chr(10) || chr(10) ELSE '' END
+        || coalesce(string_agg('### Comment ' || k || ' (by u/' || coalesce(role, '[deleted]') || ')' || chr(10) || chr(10) || '*Score: ' || turn || ' | Posted: ' || moment || '*' || chr(10) || chr(10) || text || chr(10) || chr(10), '' ORDER BY k) FILTER (WHERE k > 0 AND text NOT IN ('', '[deleted]', '[removed]')), '') AS content
+    FROM c GROUP BY conv_id""")
+def thread_to_note(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as nested threads, through JSON: each turn is a reply to the one before."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    when = lambda t: t["turn"].cast("long") * 60 + 1700000000
+    data = lambda t: F.to_json(F.struct(t["role"].alias("author"), t["text"].alias("body"), t["turn"].alias("score"), when(t).alias("created_utc")))
+    listing = lambda inner: F.concat(F.lit('{"data":{"children":['), inner, F.lit("]}}"))
+    reply = lambda acc, t: F.concat(F.lit('{"kind":"t1","data":'), F.regexp_replace(data(t), r"\}$", ""), F.lit(',"replies":'), F.when(acc == "", '""').otherwise(listing(acc)), F.lit("}}"))
+    nested = F.aggregate(F.reverse(F.slice("t", F.lit(2), F.greatest(F.size("t"), F.lit(1)))), F.lit(""), reply)
+    first = F.get("t", F.lit(0))
+    post = F.to_json(F.struct(
+        F.concat(F.lit("Conversation "), F.col("conv_id").cast("string")).alias("title"), first["role"].alias("author"), F.lit("talk").alias("subreddit"), (F.col("conv_id") % 7).alias("score"), when(first).alias("created_utc"),
+        first["text"].alias("selftext"), F.lit("https://example.com/").alias("url"), F.lit("/r/talk").alias("permalink"),
+    ))
+    threads = turns.select(F.col("conv_id").alias("thread"), F.concat(F.lit("["), listing(F.concat(F.lit('{"kind":"t3","data":'), post, F.lit("}"))), F.lit(","), listing(nested), F.lit("]")).alias("json"))
+    return ingest.threads_to_notes(threads)
+
+
 on_tables("frontmatter_render", """SELECT doc_id, '---' || chr(10) || 'created: 2024-01-31 08:05' || chr(10) || 'type: mail' || chr(10) || 'source: "' || coalesce(source, '') || '"' || chr(10)
     || coalesce('title: "say \\"' || lang || '\\""' || chr(10), '') || 'from: "' || doc_id || '"' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'to:' || chr(10) || '  - "[[a]]"' || chr(10) || '  - "b"' || chr(10) ELSE '' END
     || 'mail_date: "2024-01-30T10:00:00Z"' || chr(10) || '---' || chr(10) || chr(10) AS front FROM documents""")(
@@ -517,12 +552,11 @@ on_tables("route_note_path", f"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'w
 on_tables("email_person_link", "SELECT c_custkey, '[[' || replace(lower(c_mktsegment), '.', '_') || '_' || c_custkey || ']]' AS link FROM customer")(
     lambda s, d: table(s, d, "customer").select("c_custkey", ingest.person_link(F.concat(F.lower("c_mktsegment"), F.lit("."), F.col("c_custkey").cast("string"), F.lit("@example.com"))).alias("link"))
 )
-on_tables("route_sources", "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'reddit' WHEN 1 THEN 'github' WHEN 2 THEN 'eml' WHEN 3 THEN 'document' ELSE 'url' END AS route FROM pages")(
-    lambda s, d: table(s, d, "pages").select("page_id", ingest.route_source(
-        F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("https://www.reddit.com/r/"), F.col("page_id").cast("string"))).when(F.col("page_id") % 5 == 1, "https://github.com/a/b")
-        .when(F.col("page_id") % 5 == 2, "mail/x.EML").when(F.col("page_id") % 5 == 3, "files/x.docx").otherwise(F.col("url"))
-    ).alias("route"))
-)
+_ROUTED = "CASE page_id % 9 WHEN 0 THEN 'https://www.reddit.com/r/' || page_id WHEN 1 THEN 'https://github.com/a/' || page_id WHEN 2 THEN 'mail/x' || page_id || '.EML' WHEN 3 THEN 'files/x.docx' WHEN 4 THEN 'https://redd.it/' || page_id WHEN 5 THEN 'https://www.github.com/a' WHEN 6 THEN 'HTTPS://example.com/' || page_id WHEN 7 THEN 'x.msg' ELSE coalesce(url, '') END"
+on_tables("route_sources", f"""SELECT page_id, CASE WHEN u LIKE 'http://%' OR u LIKE 'https://%' THEN CASE WHEN contains(u, 'reddit.com') OR contains(u, 'redd.it') THEN 'reddit' WHEN starts_with(u, 'https://github.com/') OR starts_with(u, 'http://github.com/') THEN 'github' ELSE 'url' END
+    WHEN lower(u) LIKE '%.eml' THEN 'eml' WHEN lower(u) LIKE '%.msg' THEN 'msg' ELSE 'document' END AS route FROM (SELECT page_id, {_ROUTED} AS u FROM pages) x""")(
+    lambda s, d: table(s, d, "pages").select("page_id", ingest.route_source(F.expr(_ROUTED)).alias("route"))
+)
 on_tables("github_raw_url", "SELECT page_id, 'https://raw.githubusercontent.com/own/r' || page_id || CASE page_id % 4 WHEN 0 THEN '/main/docs/a.md' WHEN 1 THEN '/main/docs/README.md' WHEN 2 THEN '/dev/src/README.md' ELSE '/HEAD/README.md' END AS raw FROM pages")(
     lambda s, d: table(s, d, "pages").select("page_id", ingest.github_raw_url(F.concat(F.lit("https://github.com/own/r"), F.col("page_id").cast("string"), F.get(F.array(*map(F.lit, ("/blob/main/docs/a.md", "/blob/main/docs", "/tree/dev/src/", ""))), (F.col("page_id") % 4).cast("int")))).alias("raw"))
 )
@@ -571,13 +605,17 @@ def issues_to_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.issues_to_notes(o.select(F.from_json(record, ingest.ISSUE).alias("i")).select("i.*"))
 
 
-@on_tables("reconvert_status", "SELECT status, count(*) AS n FROM (SELECT CASE doc_id % 4 WHEN 0 THEN 'skipped' WHEN 1 THEN 'failed' WHEN 2 THEN 'unchanged' ELSE 'reconverted' END AS status FROM documents WHERE text IS NOT NULL) x GROUP BY status")
+@on_tables("reconvert_status", "SELECT CASE doc_id % 6 WHEN 0 THEN 'skipped' WHEN 1 THEN 'failed' WHEN 2 THEN CASE WHEN text IS NULL THEN 'failed' ELSE 'unchanged' END WHEN 5 THEN 'skipped' ELSE 'reconverted' END AS status, CASE doc_id % 6 WHEN 3 THEN 'new' WHEN 4 THEN 'beside' ELSE coalesce(text, '') END AS body, count(*) AS n FROM documents GROUP BY ALL")
 def reconvert_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("text is not null").withColumn("k", F.col("doc_id") % 4)
-    source = F.concat(F.lit("files/"), F.col("doc_id").cast("string"), F.lit(".docx"))
-    notes = docs.select(F.col("doc_id").cast("string").alias("filename"), F.lit("type: document").alias("front"), F.col("text").alias("body"), F.when(F.col("k") > 0, source).alias("source"))
-    fresh = docs.select(source.alias("source"), F.when(F.col("k") == 2, F.col("text")).when(F.col("k") == 3, F.concat("text", F.lit(" new"))).alias("new_body"))
-    return ingest.reconvert(notes, fresh).groupBy("status").agg(F.count("*").alias("n"))
+    """Documents without a source, with one that failed, is unchanged, is new, lies beside the note too, or is nowhere."""
+    docs = table(spark, sf_dir, "documents").withColumn("k", F.col("doc_id") % 6)
+    key = F.col("doc_id").cast("string")
+    source, beside = F.concat(F.lit("files/"), key, F.lit(".docx")), F.concat(F.lit("notes/"), key, F.lit(".docx"))
+    notes = docs.select(F.concat(F.lit("notes/"), key, F.lit(".md")).alias("filename"), F.lit("type: document").alias("front"), F.col("text").alias("body"), F.when(F.col("k") > 0, source).alias("source"))
+    fresh = docs.filter("k in (1, 2, 3, 4)").select(source.alias("source"), F.when(F.col("k") == 2, F.col("text")).when(F.col("k") > 2, "new").alias("new_body"))
+    fresh = fresh.unionByName(docs.filter("k = 4").select(beside.alias("source"), F.lit("beside").alias("new_body")))
+    done = ingest.reconvert(notes, fresh)
+    return done.groupBy("status", F.regexp_replace("content", r"^---\ntype: document\n---\n", "").alias("body")).agg(F.count("*").alias("n"))
 
 
 def _visits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -600,8 +638,14 @@ on_tables("history_note", """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, co
     max('- [' || coalesce(nullif(title, ''), url) || '](' || url || ') [' || browser || ' - ' || strftime(make_timestamp(vts * 1000000), '%H:%M') || '] [[' || strftime(make_timestamp(vts * 1000000), '%Y-%m-%d') || ']]') AS last_line FROM v GROUP BY 1""", True)(
     lambda s, d: ingest.history_lines(_visits(s, d)).groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n_lines"), F.max("line").alias("last_line"))
 )
-on_tables("history_notes", """SELECT strftime(make_timestamp(vts * 1000000), '%Y-%m-%d') AS day, '# Visits ' || strftime(make_timestamp(vts * 1000000), '%Y-%m-%d') || chr(10) || chr(10) || 'Total: ' || count(*) AS head FROM v GROUP BY 1, strftime(make_timestamp(vts * 1000000), '%Y-%m-%d')""", True)(
-    lambda s, d: ingest.history_notes(_visits(s, d)).select(F.col("day").cast("string").alias("day"), F.regexp_extract("content", r"(?s)^(.*?\n\nTotal: \d+)", 1).alias("head"))
+on_tables("history_notes", """, w AS (SELECT url, strftime(ts, '%Y-%m-%d') AS day, max({'ts': vts, 'browser': browser, 'title': title}) AS m FROM v GROUP BY ALL),
+    e AS (SELECT day, url, m.ts AS vts, upper(m.browser[1]) || m.browser[2:] AS browser, '- [' || coalesce(nullif(m.title, ''), url) || '](' || url || ') [' || upper(m.browser[1]) || m.browser[2:] || ' - ' || strftime(make_timestamp(m.ts * 1000000), '%H:%M') || '] [[' || day || ']]' || chr(10) AS line FROM w)
+    SELECT day, 'web/' || strftime(CAST(day AS DATE), '%Y/%b') || '/browser-' || day || '-00:00.md' AS filename,
+        '---' || chr(10) || 'title: "Browser History"' || chr(10) || 'date: ' || day || chr(10) || 'type: note' || chr(10) || 'tags: [browser-history, daily]' || chr(10) || '---' || chr(10) || chr(10) || '# Browser History' || chr(10) || chr(10) || 'Created on [[' || day || ']]' || chr(10) || chr(10)
+        || '## Summary' || chr(10) || chr(10) || 'Total unique URLs visited: ' || count(*) || chr(10) || chr(10) || CASE WHEN count(*) FILTER (WHERE browser = 'Safari') > 0 THEN '- Safari: ' || count(*) FILTER (WHERE browser = 'Safari') || ' URLs' || chr(10) ELSE '' END
+        || CASE WHEN count(*) FILTER (WHERE browser = 'Vivaldi') > 0 THEN '- Vivaldi: ' || count(*) FILTER (WHERE browser = 'Vivaldi') || ' URLs' || chr(10) ELSE '' END || CASE WHEN count(*) FILTER (WHERE browser = 'Firefox') > 0 THEN '- Firefox: ' || count(*) FILTER (WHERE browser = 'Firefox') || ' URLs' || chr(10) ELSE '' END
+        || chr(10) || '## History Entries' || chr(10) || chr(10) || string_agg(line, '' ORDER BY vts DESC, line DESC) AS content FROM e GROUP BY day""", True)(
+    lambda s, d: ingest.history_notes(_visits(s, d)).withColumn("day", F.col("day").cast("string"))
 )
 
 # --- streams ---------------------------------------------------------------------------------------

@@ -285,13 +285,16 @@ def test_html_mail_and_word(spark, tmp_path):
     assert P.html_to_markdown(None) == "" and P.html_to_markdown("plain") == "plain"
     deep = "<div>" * 3000 + "<script>no</script><b>x</b> y" + "</div>" * 3000
     assert P.html_to_markdown(deep) == "**x** y"
-    mail = b"From: A <a@b.c>\r\nTo: ann.lee@x.y, Bo <b@x.y>\r\nSubject: Hi \"x\"\r\nDate: Mon, 15 Jan 2024 10:30:00 +0100\r\nMessage-ID: <1>\r\n\r\nbody\\_text **\r\n"
+    mail = b"From: A <a@b.c>\r\nTo: ann.lee@x.y, Bo <b@x.y>\r\nSubject: Hi \"x\"\r\nDate: Mon, 15 Jan 2024 10:30:00 +0100\r\nMessage-ID: <1@x>\r\nCc: Cy <c@y.z>, d.e@y.z\r\n\r\nbody\\_text **\r\n"
     bare = b"From: c.d@b.c\r\n\r\nx\r\n"
     rows = spark.createDataFrame([("in/a b.eml", bytearray(mail)), ("in/bare.eml", bytearray(bare))], "path string, content binary")
     note, plain = ingest.mails_to_notes(rows, F.lit("2024-02-01 08:00:00").cast("timestamp")).orderBy("path").collect()
     assert note["filename"] == "mail/2024/Jan/mail-2024-01-15-a_b.md" and note["subject"] == 'Hi "x"'
     head = ["created: 2024-01-15 10:30", "type: mail", 'source: "in/a b.eml"', 'title: "Hi \\"x\\""', 'from: "A"', "to:", '  - "[[ann_lee]]"', '  - "Bo"', 'mail_date: "2024-01-15T10:30:00+01:00"']
-    assert note["content"].startswith("---\n" + "\n".join(head) + '\n---\n\n\n# Hi "x"\n\nbody_text \n')
+    block = ["**From:** A", "**To:** [[ann_lee]], Bo", "**Cc:** Cy, [[d_e]]", "**Date:** 2024-01-15T10:30:00+01:00", "**Message-ID:** 1@x", "---"]
+    assert note["content"] == "---\n" + "\n".join(head) + '\n---\n\n\n# Hi "x"\n\n' + "\n\n".join(block) + "\n\nbody\\_text **"
+    many = b"From: a@b.c\r\nMIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary=x\r\n\r\n--x\r\nContent-Type: text/plain\r\n\r\nhi\r\n--x\r\nContent-Type: application/pdf\r\nContent-Disposition: attachment; filename=a.pdf\r\n\r\nx\r\n--x--\r\n"
+    assert ingest.mails_to_notes(spark.createDataFrame([("m.eml", bytearray(many))], "path string, content binary")).first()["content"].endswith("hi\n\n---\n\n## Attachments\n\n- **a.pdf** (application/pdf)\n")
     assert plain["filename"] == "mail/2024/Feb/mail-2024-02-01-bare.md" and plain["content"].startswith('---\ncreated: 2024-02-01 08:00\ntype: mail\nsource: "in/bare.eml"\ntitle: "(No Subject)"\nfrom: "[[c_d]]"\n---\n')
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
@@ -362,6 +365,40 @@ def test_threads(spark):
     assert [(r["number"], r["text"]) for r in got] == [(1, "one"), (3, "three"), (4, "four")]
 
 
+def test_nested_threads(spark):
+    import json
+
+    node = lambda k, replies: {"kind": "t1", "data": {"author": "a", "body": f"c{k}", "score": k, "created_utc": 0, "replies": replies}}
+    listing = lambda children: {"data": {"children": children}}
+    deep = ""
+    for k in range(40, 0, -1):
+        deep = listing([node(k, deep)])
+    note = P.thread_note(json.dumps([listing([{"data": {"title": "T"}}]), deep]))
+    assert note[0] == 40 and note[1].startswith("# T\n\n\n## Comments\n\n### Comment 1 (by u/a)\n\n*Score: 1 | Posted: 1970-01-01 00:00 UTC*\n\nc1\n\n") and note[1].endswith("c40\n\n")
+    wide = [node(1, listing([node(2, ""), {"kind": "more", "data": {"replies": listing([node(9, "")])}}])), {"kind": "t1", "data": {"body": "[deleted]", "replies": listing([{"kind": "t1", "data": {"body": "kept"}}])}}]
+    note = P.thread_note(json.dumps([listing([]), listing(wide)]))
+    assert note == (4, "\n## Comments\n\n### Comment 1 (by u/a)\n\n*Score: 1 | Posted: 1970-01-01 00:00 UTC*\n\nc1\n\n### Comment 2 (by u/a)\n\n*Score: 2 | Posted: 1970-01-01 00:00 UTC*\n\nc2\n\n### Comment 4 (by u/[deleted])\n\nkept\n\n")
+    rows = spark.createDataFrame([(1, "[]"), (2, "no"), (3, None), (4, json.dumps([listing([{"data": {"title": "ä", "score": 3, "selftext": "s", "url": "u", "permalink": "p"}}])]))], "thread int, json string")
+    got = {r["thread"]: (r["n_comments"], r["content"]) for r in ingest.threads_to_notes(rows).collect()}
+    assert got[1] == got[2] == got[3] == (0, None) and got[4] == (0, "# ä\n\n**Score:** 3  \n\n## Original Post\n\ns\n\n---\n\n**Link:** [u](u)\n\n## Comments\n\n*No comments found.*\n\n")
+
+
+def test_ego_network_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(f"n{k:02}", f"n{k + 1:02}") for k in range(14)], "source string, target string")
+    got = reports.ego_network(edges, "n00", 10)
+    assert {tuple(r) for r in got.collect()} == {(f"n{k:02}", k) for k in range(11)}
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert reports.ego_network(edges, "n13", 99).count() == 15 and reports.ego_network(edges, "gone", 3).collect() == [("gone", 0)]
+
+
+def test_embeddings_of_failed_batches_are_null(spark):
+    rows = spark.createDataFrame([("f", "old"), ("f", "new"), ("g", "old"), ("g", "bad")], "filename string, text string")
+    known = spark.createDataFrame([("f", "old", [1.0]), ("g", "bad", None)], "filename string, text string, embedding array<double>")
+    embed = lambda text: F.when(text != "bad", F.array(F.length(text).cast("double")))
+    got = {(r["filename"], r["text"]): (r["embedding"], r["reused"]) for r in reports.reuse_embeddings(rows, known, embed).collect()}
+    assert got == {("f", "old"): ([1.0], True), ("f", "new"): ([3.0], False), ("g", "old"): ([3.0], False), ("g", "bad"): (None, False)}
+
+
 def test_cosine_edges(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0]), (5, [2.0, 2.0])], "id long, embedding array<float>")
     got = [(r["id"], round(r["score"], 4)) for r in reports.similar_to(rows, [1.0, 0.0], 10).collect()]
