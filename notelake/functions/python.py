@@ -218,10 +218,25 @@ def header_text(groups: list[tuple[str, bool, list[tuple]]]) -> str | None:
     return json.dumps(fields, ensure_ascii=False, separators=(",", ":"))
 
 
-def front_json(fields: str | None, plain: str | None, listed: str | None, mapping: dict[str, str]) -> str | None:
-    """What ``FRONT`` lists, as JSON: attributes of ``fields`` (hash prefixes stripped), the text ones that times and links come from, the title of ``plain`` (not stripped), and attributes with those ``listed`` in the body."""
-    if not fields and not plain and not listed:
+def strip_hashes(front: str) -> str:
+    """In ``key: value`` lines, each word of the value loses one leading ``#`` and runs of blanks become one."""
+
+    def line(text: str) -> str:
+        key, colon, value = text.partition(":")
+        if not colon:
+            return text
+        words = value.split()
+        gap = value[: len(value) - len(value.lstrip())]
+        return f"{key}:{gap}" + " ".join(w.removeprefix("#") for w in words)
+
+    return "\n".join(map(line, front.split("\n")))
+
+
+def front_json(plain: str | None, listed: str | None, mapping: dict[str, str]) -> str | None:
+    """What ``FRONT`` lists, as JSON: attributes (hash prefixes stripped), the text ones that times and links come from, the title (not stripped), and attributes with those ``listed`` in the body."""
+    if not plain and not listed:
         return None
+    fields = strip_hashes(plain or "")
     own = read_front(fields)
     single = {k: v for k, _, v, kind, many in own if kind == "string" and not many}
     other = own if fields == plain else read_front(plain)
@@ -237,8 +252,8 @@ def front_json(fields: str | None, plain: str | None, listed: str | None, mappin
 
 
 def front_attributes(mapping: dict[str, str] | None):
-    """An Arrow function of ``fields, plain, listed``; see ``front_json``."""
-    return F.pandas_udf(lambda fields, plain, listed: pd.Series([front_json(f, p, x, mapping or {}) for f, p, x in zip(fields, plain, listed, strict=True)], dtype=object), TEXT)
+    """An Arrow function of ``plain, listed``; see ``front_json``."""
+    return F.pandas_udf(lambda plain, listed: pd.Series([front_json(p, x, mapping or {}) for p, x in zip(plain, listed, strict=True)], dtype=object), TEXT)
 
 
 def jaro_winkler_text(a: str, b: str) -> float:

@@ -21,6 +21,8 @@ STATE_LINE = r"^(?:#{1,4}\s|\s*```)"
 SECTION_START = r"\r?\n(?=[\s\p{Z}&&[^\n]]*#)"
 ANY_LIST_SECTION = r"(?m)^[\s\p{Z}&&[^\n]]*#[^\n]*\n[\s\p{Z}]*[-*+] "
 LIST_SECTION = r"^[^\n]*\n[\s\p{Z}]*[-*+] "
+#: Frontmatter at the start of a text: its lines, and what comes behind the closing one.
+FRONT = r"\A[\s\p{Z}&&[^\n]]*---[\s\p{Z}&&[^\n]]*\n(?s:(.*?))(?<=\n)[\s\p{Z}&&[^\n]]*---[\s\p{Z}&&[^\n]]*(?:\n|\z)(?s:(.*))\z"
 QUERY_BLOCKS = (r"(?s)```dataview\n.*?```", r"(?s)```tasks\n.*?```")
 BARE_DATE = r"(?U)\b(\d{4}-\d{2}-\d{2})\b(?![^\[\]]*+(?:(?:\[(?!\[)|\](?!\]))[^\[\]]*+)*+\]\])"
 WIKI_DATE = r"\[\[(\d{4}-\d{2}-\d{2})\]\]"

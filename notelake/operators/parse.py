@@ -26,28 +26,13 @@ MERGED = "array<struct<key:string,is_array:boolean,items:array<struct<value:stri
 
 
 def split_front(raw: DataFrame) -> DataFrame:
-    """Adds ``front`` (null without frontmatter), ``body`` and ``front_lines``."""
-    all_lines = raw.withColumn("__lines", T.lines(F.coalesce("content", F.lit(""))))
-    rest = F.transform(F.slice("__lines", F.lit(2), F.greatest(F.size("__lines"), F.lit(1))), T.trim)
-    marked = all_lines.withColumn("__end", F.when(T.trim(F.get("__lines", F.lit(0))) == "---", F.array_position(rest, "---").cast("int")).otherwise(F.lit(0)))
-    has = F.coalesce(F.col("__end") > 0, F.lit(False))
-    return marked.select(
-        *raw.columns,
-        F.when(has, F.array_join(F.slice("__lines", F.lit(2), F.col("__end") - 1), "\n")).alias("front"),
-        F.when(has, F.array_join(F.slice("__lines", F.col("__end") + 2, F.greatest(F.size("__lines"), F.lit(1))), "\n")).otherwise(F.coalesce("content", F.lit(""))).alias("body"),
-        F.when(has, F.col("__end") + 1).otherwise(F.lit(0)).alias("front_lines"),
-    )
-
-
-def strip_hashes(front: Column) -> Column:
-    """In ``key: value`` lines, each word of the value loses one leading ``#`` and runs of blanks become one."""
-
-    def line(x: Column) -> Column:
-        head, value = F.regexp_extract(x, r"^([^:]*:\s*)", 1), F.regexp_replace(x, r"^[^:]*:\s*", "")
-        words = F.filter(F.split(value, r"\s+"), lambda w: w != "")
-        return F.when(F.instr(x, ":") > 0, F.concat(head, F.array_join(F.transform(words, lambda w: F.regexp_replace(w, "^#", "")), " "))).otherwise(x)
-
-    return F.array_join(F.transform(F.split(front, "\n"), line), "\n")
+    """Adds ``front`` (null without frontmatter), ``body`` and ``front_lines``; line ends in both are single."""
+    content = F.coalesce("content", F.lit(""))
+    part = lambda k: F.regexp_extract(content, T.FRONT, k)
+    even = lambda s: F.regexp_replace(s, r"\r?\n\z|\r(?=\n)", "")
+    has = content.rlike(T.FRONT)
+    lines = F.length(part(1)) - F.length(F.replace(part(1), F.lit("\n"), F.lit("")))
+    return raw.select(*raw.columns, F.when(has, even(part(1))).alias("front"), F.when(has, even(part(2))).otherwise(content).alias("body"), F.when(has, (lines + 2).cast("int")).otherwise(F.lit(0)).alias("front_lines"))
 
 
 def parse(raw: DataFrame, mapping: dict[str, str] | None = MAPPING) -> DataFrame:
@@ -57,9 +42,9 @@ def parse(raw: DataFrame, mapping: dict[str, str] | None = MAPPING) -> DataFrame
     front = split_front(raw.select("filename", "content", F.col("mtime").cast("timestamp").alias("mtime")))
     plain = F.replace(F.replace("front", F.lit("[["), F.lit("")), F.lit("]]"), F.lit(""))
     read = (
-        front.withColumn("body", T.strip_query_blocks("body")).withColumn("__plain", plain).withColumn("__fields", strip_hashes(F.col("__plain")))
+        front.withColumn("body", T.strip_query_blocks("body")).withColumn("__plain", plain)
         .withColumn("__listed", F.when(F.col("body").rlike(T.ANY_LIST_SECTION), listed("body"))).withColumn("__listed", F.when(F.size("__listed") > 0, F.to_json("__listed")))
-        .withColumn("read", F.from_json(read_front("__fields", "__plain", "__listed"), FRONT)).drop("__plain", "__fields", "__listed")
+        .withColumn("read", F.from_json(read_front("__plain", "__listed"), FRONT)).drop("__plain", "__listed")
     )
     dates = F.filter(F.array(*[T.date_part(F.col(f"read.{k}")) for k in ("created", "changed", "modified")]), lambda d: d.isNotNull())
     none = F.array().cast("array<string>")

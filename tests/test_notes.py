@@ -99,6 +99,17 @@ def test_plain_frontmatter_is_read_as_by_the_yaml_reader(front):
     assert flat is None or flat == P._nested(front)
 
 
+def test_hash_prefixes_of_words():
+    assert P.strip_hashes("type: #meeting  ##x a#b\n- #item\nkey:#v\nurl: http://x.y/#z") == "type: meeting #x a#b\n- #item\nkey:v\nurl: http://x.y/#z"
+
+
+def test_frontmatter_of_long_texts(spark):
+    rows = raw(spark, ("open", "---\n" + "a: 1\n" * 60_000), ("late", "---\n" + "a: 1\n" * 30_000 + "---\nbody\r\nmore\r\n"), ("body", "---\n---\n" + "x\n" * 60_000), ("dashes", " --- \n-- -\n ---x\n\u00a0---\u2003\nend\n\n"))
+    got = {r["filename"]: r for r in parse.split_front(rows).collect()}
+    assert got["open"]["front"] is None and got["late"]["front_lines"] == 30_002 and got["late"]["body"] == "body\nmore"
+    assert len(got["body"]["body"]) == 119_999 and (got["dashes"]["front"], got["dashes"]["body"], got["dashes"]["front_lines"]) == ("-- -\n ---x", "end\n", 4)
+
+
 def test_most_frontmatter_needs_no_yaml_reader():
     assert P._flat(NOTE.split("---\n")[1].replace("[[", "").replace("]]", "").replace("#meeting", "meeting").replace("two words: x\n", "")) is not None
 
