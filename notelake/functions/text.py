@@ -92,8 +92,12 @@ def title_of(filename: Column | str) -> Column:
 
 def lines(text: Column | str) -> Column:
     """Lines without their ends; a final line end begins no further line."""
-    parts = F.split(_c(text), r"\r?\n")
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return F.when(_c(text) == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(_c(text), r"\r?\n\z", ""), r"\r?\n"))
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def trim(s: Column | str) -> Column:

@@ -149,14 +149,17 @@ def listed(body: Column | str) -> Column:
         return F.when(link != "", link).when((own != "") & ~own.contains(" "), own)
 
     def section(block: Column) -> Column:
-        rows = F.filter(F.transform(T.lines(block), T.trim), lambda x: x != "")
-        key = F.lower(T.trim(F.regexp_replace(F.get(rows, F.lit(0)), "^#+", "")))
-        return F.struct(key.alias("key"), F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows), F.lit(1))), item).alias("values"))
+        rows = F.filter(F.transform(F.split(block, r"\r?\n"), T.trim), lambda x: x != "")
+        key = lambda r: F.lower(T.trim(F.regexp_replace(F.get(r, F.lit(0)), "^#+", "")))
+        return T.bound(rows, lambda r: F.struct(key(r).alias("key"), F.transform(F.slice(r, F.lit(2), F.greatest(F.size(r), F.lit(1))), item).alias("values")))
+
+    def last_of_each(found: Column) -> Column:
+        return F.filter(found, lambda s, k: ~F.exists(F.slice(found, k + 2, F.size(found) + 1), lambda later: later["key"] == s["key"]))
 
     # most sections aren't lists; a pattern tells before any line is cut
     found = F.transform(F.filter(blocks, lambda b: b.rlike(T.LIST_SECTION)), section)
     usable = F.filter(found, lambda s: (F.size(s["values"]) > 0) & (s["key"] != "") & ~s["key"].contains(" ") & F.forall(s["values"], lambda v: v.isNotNull()))
-    return F.map_values(F.map_from_entries(F.transform(F.array_distinct(F.transform(usable, lambda s: s["key"])), lambda k: F.struct(k.alias("k"), F.element_at(F.filter(usable, lambda s: s["key"] == k), -1).alias("s")))))
+    return T.bound(usable, last_of_each)
 
 
 def body_attributes(parsed: DataFrame) -> DataFrame:
