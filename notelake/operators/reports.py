@@ -40,16 +40,22 @@ def _targets(notes: DataFrame) -> DataFrame:
     return notes.select(F.col("filename").alias("target"), F.explode(F.array_distinct(F.array(T.name_norm("filename"), T.name_norm(T.stem("filename"))))).alias("name"))
 
 
+def _named_links(index: Index) -> DataFrame:
+    """``filename, updated, name``: the compared forms of each note's links, from one pass over the notes."""
+    names = F.array_distinct(F.transform("links", T.name_norm))
+    return index.notes.select("filename", "updated", F.explode_outer(names).alias("name")).filter("name is not null")
+
+
 def backlinks(index: Index, threshold: float | None = None) -> DataFrame:
     """``target, source, updated``: notes that link to each note by name or path; with a threshold, by similar names too."""
-    links = index.note_links.select(F.col("filename").alias("source"), T.name_norm("link").alias("name"))
+    links = _named_links(index).withColumnRenamed("filename", "source")
     names = _targets(index.notes)
-    pairs = links.join(names, "name").select("target", "source").distinct()
+    pairs = links.join(names, "name").filter("target <> source").select("target", "source", "updated").distinct()
     if threshold is not None:
         near = similar_names(links.select("name").distinct(), names.select("name").distinct(), threshold)
-        fuzzy = links.join(near, "name").join(names.withColumnRenamed("name", "near"), "near").select("target", "source")
+        fuzzy = links.join(near, "name").join(names.withColumnRenamed("name", "near"), "near").filter("target <> source").select("target", "source", "updated")
         pairs = pairs.unionByName(fuzzy).distinct()
-    return pairs.filter("target <> source").join(index.notes.select(F.col("filename").alias("source"), "updated"), "source").select("target", "source", "updated")
+    return pairs
 
 
 def similar_names(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -74,6 +80,36 @@ def note_view(index: Index, filenames: list[str]) -> DataFrame:
     return some.join(back, "filename", "left").withColumn("backlinks", F.coalesce("backlinks", F.lit("")))
 
 
+def backlink_pages(index: Index, size: int = 1000) -> DataFrame:
+    """``target, page, n, sources``: the notes that link to each note, in order, in pages (from 0) of ``size`` and a last one of the rest.
+
+    Links are placed by ranges of target and source, so those of a note that most others link to are spread over many
+    tasks, and no row or group holds more than a page. Only the first target of a range can have begun before it: the
+    places of these, one for each range, are all that is broadcast.
+    """
+    return paged(backlinks(index).select("target", "source"), size)
+
+
+def paged(pairs: DataFrame, size: int) -> DataFrame:
+    """``target, page, n, sources`` of distinct ``target, source`` pairs; see ``backlink_pages``."""
+    ranges = stash(pairs.repartitionByRange("target", "source").select("target", "source", F.spark_partition_id().alias("part")), "pairs")
+    counts = ranges.groupBy("part", "target").agg(F.count("*").alias("n"))
+    # of each range its first target, and what earlier ranges hold of it
+    first = ranges.groupBy("part").agg(F.min("target").alias("target"))
+    before = counts.join(F.broadcast(first.select(F.col("part").alias("later"), "target")), "target").filter("part < later").groupBy(F.col("later").alias("part"), "target").agg(F.sum("n").alias("before"))
+    within = Window.partitionBy("part", "target").orderBy("source")
+    place = F.row_number().over(within) - 1 + F.coalesce("before", F.lit(0))
+    placed = ranges.join(F.broadcast(before), ["part", "target"], "left").withColumn("page", F.floor(place / size).cast("long"))
+    return placed.groupBy("target", "page").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("source")).alias("sources"))
+
+
+def note_info_pages(index: Index, size: int = 1000) -> DataFrame:
+    """``note_info`` with a row for each page of backlinks, and one for a note without any."""
+    pages = backlink_pages(index, size).select(F.col("target").alias("filename"), "page", F.array_join("sources", ",").alias("backlinks"))
+    notes = index.notes.select("filename", "title", "created", "updated", F.array_join(F.array_sort("links"), ",").alias("links"))
+    return notes.join(pages, "filename", "left").withColumns({"page": F.coalesce("page", F.lit(0).cast("long")), "backlinks": F.coalesce("backlinks", F.lit(""))})
+
+
 def backlink_line() -> Column:
     return F.format_string("[%s](%s)", "source", "source")
 
@@ -83,15 +119,14 @@ def backlink_line() -> Column:
 
 def typed_notes(index: Index, kind: str) -> DataFrame:
     """``group_file, group_name`` of notes of a type."""
-    of = index.attributes.filter((F.col("key") == "type") & (F.lower("value") == kind.lower())).select("filename").distinct()
-    return of.select(F.col("filename").alias("group_file"), T.stem("filename").alias("group_name"))
+    is_kind = F.exists("merged", lambda g: (g["key"] == "type") & F.exists(g["items"], lambda x: F.coalesce(F.lower(x["value"]) == kind.lower(), F.lit(False))))
+    return index.notes.filter(is_kind).select(F.col("filename").alias("group_file"), T.stem("filename").alias("group_name"))
 
 
 def _links_to(index: Index, groups: DataFrame) -> DataFrame:
     """``filename, group_file, group_name``: notes that link to a group's note, without that note itself."""
     names = groups.select("group_file", "group_name", F.explode(F.array_distinct(F.array(T.name_norm("group_file"), T.name_norm("group_name")))).alias("name"))
-    links = index.note_links.select("filename", T.name_norm("link").alias("name"))
-    return links.join(names, "name").filter("filename <> group_file").select("filename", "group_file", "group_name").distinct()
+    return _named_links(index).join(names, "name").filter("filename <> group_file").select("filename", "group_file", "group_name").distinct()
 
 
 def open_todos(index: Index, closed: bool = False) -> DataFrame:
@@ -183,7 +218,7 @@ def graph_nodes(index: Index) -> DataFrame:
 def graph_edges(index: Index) -> DataFrame:
     """Undirected edges between notes; of notes with the same name, the first path gets the links."""
     names = _targets(index.notes).groupBy("name").agg(F.min("target").alias("target"))
-    links = index.note_links.select(F.col("filename").alias("source"), T.name_norm("link").alias("name"))
+    links = _named_links(index).withColumnRenamed("filename", "source")
     return links.join(names, "name").filter("source <> target").select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).distinct()
 
 

@@ -313,6 +313,11 @@ def backlinks_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("note_info", "SELECT n.filename, title, created, updated, (SELECT coalesce(string_agg(link, ',' ORDER BY link), '') FROM l WHERE l.filename = n.filename) AS links, (SELECT coalesce(string_agg(source, ',' ORDER BY source), '') FROM back WHERE target = n.filename) AS backlinks FROM n")(
     lambda x: reports.note_info(x)
 )
+_PAGES = "SELECT target, (r - 1) // 4 AS page, count(*) AS n, string_agg(source, ',' ORDER BY source) AS backlinks FROM (SELECT target, source, row_number() OVER (PARTITION BY target ORDER BY source) AS r FROM (SELECT DISTINCT target, source FROM back) u) v GROUP BY 1, 2"
+register("backlink_pages", _PAGES)(lambda x: reports.backlink_pages(x, 4).select("target", "page", "n", F.array_join("sources", ",").alias("backlinks")))
+register("note_info_pages", f"SELECT n.filename, title, created, updated, (SELECT coalesce(string_agg(link, ',' ORDER BY link), '') FROM l WHERE l.filename = n.filename) AS links, coalesce(page, 0) AS page, coalesce(backlinks, '') AS backlinks FROM n LEFT JOIN ({_PAGES}) p ON target = n.filename")(
+    lambda x: reports.note_info_pages(x, 4)
+)
 _VIEWED = ["project/Supplier_000000002.md", "person/Customer_000000003.md"]
 register("note_view", f"SELECT n.filename, title, body, (SELECT coalesce(string_agg(source, ',' ORDER BY source), '') FROM back WHERE target = n.filename) AS backlinks FROM n JOIN b USING (filename) WHERE n.filename IN ('{_VIEWED[0]}', '{_VIEWED[1]}')")(
     lambda x: reports.note_view(x, _VIEWED)

@@ -526,3 +526,17 @@ def test_entry_imports_without_a_session():
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 140 and set(e.oracle_sql()) <= set(q)"
     done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_pages_of_a_note_that_most_others_link_to(spark):
+    hot = spark.range(100_000).select(F.lit("hot.md").alias("target"), F.format_string("s%06d", F.col("id").cast("int")).alias("source"))
+    rest = spark.range(60_000).select(F.format_string("t%d.md", (F.col("id") % 20_000).cast("int")).alias("target"), F.format_string("s%06d", F.col("id").cast("int")).alias("source"))
+    pages = reports.paged(hot.unionByName(rest).repartition(7), 1000).cache()
+    assert pages.agg(F.max("n")).first()[0] == 1000 and pages.filter("target = 'hot.md'").count() == 100
+    firsts = [(r["page"], r["sources"][0], r["sources"][-1], len(r["sources"])) for r in pages.filter("target = 'hot.md'").orderBy("page").collect()]
+    assert firsts == [(k, f"s{k * 1000:06d}", f"s{k * 1000 + 999:06d}", 1000) for k in range(100)]
+    assert pages.filter("target <> 'hot.md'").agg(F.sum("n"), F.max("page"), F.count("*")).first() == (60_000, 0, 20_000)
+    # a page is never filled from the wrong place, however many ranges a target is spread over
+    spread = reports.paged(hot.limit(0).unionByName(rest), 2)
+    assert spread.filter("page = 0 and n <> 2 or page = 1 and n <> 1 or page > 1").isEmpty() and spread.count() == 40_000
+    assert reports.paged(hot.limit(0), 5).isEmpty()
