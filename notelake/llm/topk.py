@@ -4,10 +4,13 @@ Candidates lie in blocks of columns (a row for each dimension). A query adds up
 by dimension block, its heaviest dimensions first, and after each block compacts the candidates to those
 that could still reach its k-th best so far if what is left of both vectors pointed the same way
 (Cauchy-Schwarz on the remaining mass). What survives all blocks has its exact score. The k-th best
-starts from a bounded sample of all vectors that each query is scored against, and only rises.
+starts from a bounded sample of all vectors that each query is scored against once, and only rises.
 
 Candidates and queries meet in a grid: a cell of it has one lane of candidates and one group of queries,
-both of bounded size; the numbers of lanes and groups grow with the rows.
+both of bounded size; the numbers of lanes and groups grow with the rows. Blocks hold vectors of like
+length, and groups hold queries of like need: the length that a candidate must have to reach the k-th best
+so far. A block goes to the groups whose least need its longest vector meets, and within a cell the longest
+blocks come first. (Vectors of one length, as normalised ones are, all go everywhere.)
 
 Components are floor(scale * x), x as double. Scores are added in double precision where every sum
 is below 2^53, and in 64-bit integers otherwise (they must fit).
@@ -24,9 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import stash
+
 #: Vectors in a block of candidates, of queries; dimensions that are added up between two tests.
 CANDIDATES, QUERIES, DIMENSIONS = 2048, 512, 8
 #: Candidates of a lane and queries of a group, as dealt; lanes that are made at least if there are blocks enough.
@@ -43,28 +49,41 @@ def _cells(rows: list, dim: int) -> tuple[np.ndarray, bool]:
 
 
 def blocks(vectors: DataFrame, size: int) -> DataFrame:
-    """``dim, n, ids, narrow, cells``: up to ``size`` vectors of a partition with one length, dimension by dimension."""
+    """``part, dim, n, ids, narrow, cells, longest, least``: up to ``size`` vectors with one length and ``part``, as they follow each other, dimension by dimension."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: dict[int, tuple[list, list]] = {}
+        open_: dict[int, tuple[list, list, list]] = {}
+        part = 0
 
         def close(dim: int) -> pa.RecordBatch:
-            ids, rows = open_.pop(dim)
+            ids, rows, least = open_.pop(dim)
             cells, narrow = _cells(rows, dim)
-            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "n": pa.array([len(ids)], pa.int32()), "ids": pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), "narrow": pa.array([narrow]), "cells": pa.array([cells.tobytes()], pa.binary())})
+            of = {"part": ([part], pa.int64()), "dim": ([dim], pa.int32()), "n": ([len(ids)], pa.int32()), "ids": ([np.array(ids, np.int64).tobytes()], pa.binary()), "narrow": ([narrow], pa.bool_()), "cells": ([cells.tobytes()], pa.binary())}
+            of |= {"longest": ([float(_lengths(cells).max(initial=0))], pa.float64()), "least": ([np.array(least, float).tobytes()], pa.binary())}
+            return pa.RecordBatch.from_pydict({name: pa.array(x, kind) for name, (x, kind) in of.items()})
 
         for batch in batches:
-            for vec_id, v in zip(batch.column("vec_id").to_pylist(), batch.column("v"), strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("part", "vec_id", "least")]
+            for at, vec_id, reached, v in zip(*columns, batch.column("v"), strict=True):
+                if at != part:
+                    yield from [close(dim) for dim in list(open_)]
+                    part = at
                 values = v.values.to_numpy(zero_copy_only=False)
-                ids, rows = open_.setdefault(len(values), ([], []))
+                ids, rows, least = open_.setdefault(len(values), ([], [], []))
                 ids.append(vec_id)
                 rows.append(values)
+                least.append(reached)
                 if len(ids) == size:
                     yield close(len(values))
         for dim in list(open_):
             yield close(dim)
 
-    return vectors.select("vec_id", "v").mapInArrow(run, "dim int, n int, ids binary, narrow boolean, cells binary")
+    return vectors.select("part", "vec_id", "v", "least").mapInArrow(run, "part long, dim int, n int, ids binary, narrow boolean, cells binary, longest double, least binary")
+
+
+def _lengths(cells: np.ndarray) -> np.ndarray:
+    real = cells.astype(float)
+    return np.sqrt(np.einsum("ij,ij->j", real, real))
 
 
 def unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -93,6 +112,7 @@ class Search:
         self.order = np.argsort(-np.abs(cells), axis=0, kind="stable")
         ordered = np.take_along_axis(cells, self.order, axis=0).astype(float) ** 2
         self.ends = list(range(DIMENSIONS, len(cells), DIMENSIONS)) + [len(cells)]
+        self.length = _lengths(cells)
         #: Length of what is left of each query behind each end.
         self.left = np.array([np.sqrt(ordered[e:].sum(axis=0)) for e in self.ends]).reshape(len(self.ends), len(ids))
         self.tested = np.zeros(len(self.ends), np.int64)
@@ -106,9 +126,15 @@ class Search:
         ours, theirs = self.cells.astype(kind), cells.astype(kind)
         real = cells.astype(float)
         mass = np.einsum("ij,ij->j", real, real)
+        lengths = np.sqrt(mass) * (1 + 1e-9)
+        shortest, longest = lengths.min(initial=np.inf), lengths.max(initial=0)
         for k in range(len(self.ids)):
-            order, least = self.order[:, k], self.least[k]
+            order, least, own = self.order[:, k], self.least[k], self.length[k]
+            if longest * own + 1 < least:
+                continue
             alive = np.flatnonzero(ids != self.ids[k])
+            if shortest * own + 1 < least:
+                alive = alive[lengths[alive] * own + 1 >= least]
             whole = len(alive) == len(ids)
             total, rest, all_mass = np.zeros(len(alive), kind), mass[alive], mass[alive]
             begin = 0
@@ -155,6 +181,23 @@ def seeded(ids: np.ndarray, cells: np.ndarray, seeds: dict[int, tuple[np.ndarray
     return least
 
 
+def with_need(asked: DataFrame, seeds: Broadcast, k: int) -> DataFrame:
+    """Queries with ``least``, what the k-th best score reaches at least by the sample, and ``need``, the length that a candidate must have to reach it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, rows = batch.column("vec_id").to_numpy(), [v.values.to_numpy(zero_copy_only=False) for v in batch.column("v")]
+            dims, least, need = np.array([len(r) for r in rows]), np.full(len(rows), -np.inf), np.zeros(len(rows))
+            for dim in np.unique(dims):
+                for at in np.array_split(np.flatnonzero(dims == dim), -(-np.count_nonzero(dims == dim) // QUERIES)):
+                    cells, _ = _cells([rows[n] for n in at], dim)
+                    least[at] = seeded(ids[at], cells.astype(np.int64), seeds.value, k)
+                    need[at] = np.divide(least[at], _lengths(cells), out=np.zeros(len(at)), where=least[at] > 0)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(least), pa.array(need)], ["vec_id", "v", "least", "need"])
+
+    return asked.select("vec_id", "v").mapInArrow(run, "vec_id long, v array<bigint>, least double, need double")
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024.0) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` candidates with the highest inner products for each query."""
     spark = vectors.sparkSession
@@ -172,22 +215,40 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 102
         ids.append(r["vec_id"])
         rows.append(r["v"])
     seeds = spark.sparkContext.broadcast({dim: (np.array(ids, np.int64), _cells(rows, dim)[0]) for dim, (ids, rows) in sample.items()})
+    asked = stash(with_need(whole.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v")), seeds, k), "queries")
+    # a number for each group: its members need at least that length
+    share = [n / groups for n in range(1, groups)]
+    cuts = sorted(asked.agg(F.percentile_approx("need", share, 100 * groups).alias("cuts")).first()["cuts"] or []) if share else []
+    needs = spark.sparkContext.broadcast(np.array([0.0, *cuts]))
 
-    def numbers(n: int) -> Column:
-        return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+    def group_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            need, mark = batch.column("need").to_numpy(), batch.column("mark").to_numpy()
+            low, high = (np.searchsorted(needs.value[1:], need, side) for side in ("left", "right"))
+            # queries of one need may be so many that several groups begin with it
+            yield batch.set_column(batch.schema.get_field_index("part"), "part", pa.array(low + mark % (high - low + 1), pa.int64()))
+
+    def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.searchsorted(needs.value, batch.column("longest").to_numpy() * (1 + 1e-9), "right")
+            yield batch.set_column(batch.schema.get_field_index("part"), "part", pa.array(n, pa.int64()))
 
-    asked = whole.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    theirs = blocks(whole, CANDIDATES).select("dim", "n", "ids", "narrow", "cells", F.pmod(F.xxhash64("ids", "cells"), F.lit(lanes)).alias("lane"), F.explode(numbers(groups)).alias("group"))
-    ours = blocks(asked, QUERIES).select("dim", "n", "ids", "narrow", "cells", F.pmod(F.xxhash64("ids"), F.lit(groups)).alias("group"), F.explode(numbers(lanes)).alias("lane"))
+    long = "part long, vec_id long, v array<bigint>, least double, need double, mark long"
+    marked = asked.select(F.lit(0).cast("long").alias("part"), "vec_id", "v", "least", "need", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)).alias("mark"))
+    ours = blocks(marked.mapInArrow(group_of, long).repartition("part").sortWithinPartitions("part"), QUERIES)
+    ours = ours.select("dim", "n", "ids", "narrow", "cells", "least", F.col("part").alias("group"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))).alias("lane"))
+    by_length = whole.select(F.lit(0).cast("long").alias("part"), "vec_id", "v", F.lit(0.0).alias("least")).sortWithinPartitions(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")).desc())
+    theirs = blocks(by_length, CANDIDATES)
+    theirs = theirs.mapInArrow(copies, theirs.schema).filter("part > 0").select("dim", "n", "ids", "narrow", "cells", "longest", F.pmod(F.xxhash64("ids", "cells"), F.lit(lanes)).alias("lane"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("part") - 1)).alias("group"))
 
     def cell(candidates: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        longest_first = np.argsort(-candidates.column("longest").to_numpy(), kind="stable")
         for query in queries.to_pylist():
             ids, cells = unpack(query)
-            now = Search(ids, cells, k, seeded(ids, cells, seeds.value, k))
-            for batch in candidates.to_batches():
-                for n in range(batch.num_rows):
-                    now.add(*unpack(batch.slice(n, 1).to_pylist()[0]))
+            now = Search(ids, cells, k, np.frombuffer(query["least"], float))
+            for n in longest_first:
+                now.add(*unpack(candidates.slice(n, 1).to_pylist()[0]))
             out.append(now.rows())
         columns = [np.concatenate([x[j] for x in out]) if out else np.zeros(0, np.int64) for j in range(3)]
         return pa.table({name: pa.array(x, pa.int64()) for name, x in zip(("query_id", "vec_id", "score"), columns, strict=True)})

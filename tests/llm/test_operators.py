@@ -87,6 +87,48 @@ def test_branch_and_bound_in_many_blocks():
         assert half < most
 
 
+def test_blocks_that_are_too_short_are_skipped():
+    rng = np.random.default_rng(3)
+    vectors = np.floor(1024 * rng.normal(0, 1, (8000, 32)) * np.geomspace(1, 0.01, 8000)[:, None]).astype(np.int64)
+    ids = np.arange(len(vectors))
+    asked = ids[::100]
+    for share in (0.01, 0.05):
+        seeds = rng.permutation(len(vectors))[: int(share * len(vectors))]
+        cells = np.ascontiguousarray(vectors[asked].T)
+        s = topk.Search(asked, cells, 10, topk.seeded(asked, cells, {32: (seeds, np.ascontiguousarray(vectors[seeds].T))}, 10))
+        for at in range(0, len(ids), 500):
+            s.add(ids[at : at + 500], np.ascontiguousarray(vectors[at : at + 500].T))
+        assert sorted(zip(*map(list, s.rows()))) == sorted((q, i, int(-x)) for q in asked.tolist() for x, i in sorted((-int(vectors[q] @ vectors[i]), i) for i in range(len(ids)) if i != q)[:10])
+        assert s.tested[0] < 0.3 * len(asked) * len(ids)
+
+
+def test_topk_of_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(topk, "GROUP", 7)
+    monkeypatch.setattr(topk, "CANDIDATES", 64)
+    monkeypatch.setattr(topk, "SEEDS", 60)
+    rng = np.random.default_rng(5)
+    rows = [(k, [float(x) for x in rng.normal(0, 1, 8) * (0.01 if k % 3 else 2.0)]) for k in range(3000)]
+    rows += [(k, [0.0] * 8) for k in range(3000, 5000)]  # queries of one need, enough for several groups
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert sorted(map(tuple, topk.search(frame, F.col("vec_id") % 100 == 0).collect())) == best_by_sorting(rows)
+
+
+def test_share_of_candidates_with_few_seeds():
+    """What is left after a block, on vectors whose mass lies in few dimensions, with seeds far below the table."""
+    rng = np.random.default_rng(7)
+    vectors = np.floor(1024 * rng.normal(0, 1, (20_000, 64)) * np.geomspace(1, 0.02, 64)).astype(np.int64)
+    ids = np.arange(len(vectors))
+    cells = np.ascontiguousarray(vectors[::200].T)
+    for share, most in ((0.01, 0.25), (0.05, 0.15)):
+        seeds = rng.permutation(len(vectors))[: int(share * len(vectors))]
+        s = topk.Search(ids[::200], cells, 10, topk.seeded(ids[::200], cells, {64: (seeds, np.ascontiguousarray(vectors[seeds].T))}, 10))
+        for at in range(0, len(ids), 2048):
+            s.add(ids[at : at + 2048], np.ascontiguousarray(vectors[at : at + 2048].T))
+        left = s.tested / (len(cells[0]) * len(ids))
+        print("share of candidates by dimension block", share, np.round(left, 4))
+        assert left[3] < most
+
+
 def test_most_candidates_of_the_table_fall_early(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
     ids = np.array([r["vec_id"] for r in rows])
