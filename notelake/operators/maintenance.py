@@ -6,11 +6,14 @@ replaced in part: its rows lie in folders by a hash of their key, and a change r
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..scratch import discard, stash
 from .parse import Index, index_from
 
@@ -82,12 +85,17 @@ class KeyedTable:
     path: str
     key: str = "filename"
     buckets: int = BUCKETS
+    #: Order of rows in a file, by which reads skip parts of it.
+    order: str = "filename"
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int").alias("bucket")
 
     def write(self, rows: DataFrame) -> None:
-        rows.select("*", self._bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(self.path)
+        self._sorted(rows.select("*", self._bucket())).write.mode("overwrite").partitionBy("bucket").parquet(self.path)
+
+    def _sorted(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition("bucket").sortWithinPartitions("bucket", self.order if self.order in rows.columns else self.key)
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(self.path).drop("bucket")
@@ -97,6 +105,14 @@ class KeyedTable:
         there = {r["bucket"] for r in self.spark.createDataFrame([(k,) for k in keys], f"{self.key} string").select(self._bucket()).collect()}
         return self.spark.read.parquet(self.path).filter(F.col("bucket").isin(sorted(there)) & F.col(self.key).isin(keys)).drop("bucket")
 
+    def among(self, keys: DataFrame, few: int = 1000) -> DataFrame:
+        """The rows of given keys: up to ``few`` are looked up in the files, more are joined within the folders that have some."""
+        first = [r[0] for r in keys.select(self.key).distinct().limit(few + 1).collect()]
+        if len(first) <= few:
+            return self.of_keys(first)
+        there = sorted(r["bucket"] for r in keys.select(self._bucket()).distinct().collect())  # at most as many as there are folders
+        return self.spark.read.parquet(self.path).filter(F.col("bucket").isin(there)).join(keys.select(self.key), self.key, "left_semi").drop("bucket")
+
     def upsert(self, batch: DataFrame, keys: DataFrame | None = None) -> None:
         """All rows of ``keys`` (or of the batch's keys) are replaced by those of ``batch``; keys without any are removed."""
         asked = stash((batch if keys is None else keys).select(self.key).distinct().select("*", self._bucket()), "keys")
@@ -105,7 +121,7 @@ class KeyedTable:
             old = self.spark.read.parquet(self.path)
             kept = old.filter(F.col("bucket").isin(touched)).join(asked.select(self.key), self.key, "left_anti")
             now = stash(kept.unionByName(batch.select("*", self._bucket()).join(asked.select(self.key), self.key, "left_semi")), "bucket-rows")
-            now.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+            self._sorted(now).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
             left = {r["bucket"] for r in now.select("bucket").distinct().collect()}
             for bucket in touched:
                 if bucket not in left:  # no row is left in it, so nothing was written over it
@@ -119,20 +135,60 @@ class KeyedTable:
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def trigrams(text: Column | str) -> Column:
+    """Every three characters that follow each other in a text, letters A-Z in lower case, once each."""
+    return F.array_distinct(F.regexp_extract_all(T.ascii_lower(text), F.lit(r"(?s)(?=(...))"), F.lit(1)))
+
+
+def needle_trigrams(needle: str, like: bool = True) -> list[str]:
+    """The trigrams of every text that holds a needle; in a pattern those of its parts between wildcards and escapes."""
+    parts = re.split(r"[%_\\]", T.fold_text(needle)) if like else [T.fold_text(needle)]
+    return sorted({part[k : k + 3] for part in parts for k in range(len(part) - 2)})
+
+
+def postings(parsed: DataFrame) -> DataFrame:
+    """``filename, gram``: the trigrams of each note's title, body and attributes; line ends in bodies also as single ones, as sections have them."""
+    body = F.when(F.col("body").contains("\r\n"), F.concat("body", F.lit("\n"), F.regexp_replace("body", r"\r?\n", "\n"))).otherwise(F.col("body"))
+    grams = reduce(F.array_union, [F.coalesce(trigrams(c), F.array().cast("array<string>")) for c in (body, F.col("title"), F.col("header_json"))])
+    return parsed.select("filename", F.explode_outer(grams).alias("gram")).filter("gram is not null")
+
+
 class StoredIndex:
-    """An index that is kept: its parsed notes in a ``KeyedTable`` below ``folder``, from which all its tables follow without parsing a note again."""
+    """An index that is kept: its parsed notes in a ``KeyedTable`` below ``folder``, from which all its tables follow without parsing a note again.
+
+    With ``texts`` the trigrams of its notes are kept too, by which ``holding`` reads only the notes that can hold a needle.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS, texts: bool = False):
         self.table = KeyedTable(spark, f"{folder.rstrip('/')}/parsed", buckets=buckets)
+        self.grams = KeyedTable(spark, f"{folder.rstrip('/')}/grams", buckets=buckets, order="gram") if texts else None
 
     def write(self, index: Index) -> None:
         self.table.write(index.parsed.drop("header"))
+        if self.grams:
+            self.grams.write(postings(self.table.read()))
 
     def read(self) -> Index:
         return index_from(self.table.read())
 
+    def candidates(self, needles: list[str], like: bool = True) -> DataFrame | None:
+        """``filename`` of the notes that have every trigram of the needles; None if these have none, so that any note may match."""
+        asked = sorted({g for needle in needles for g in needle_trigrams(needle, like)})
+        if not asked or self.grams is None:
+            return None
+        found = self.grams.read().filter(F.col("gram").isin(asked))
+        return found.groupBy("filename").agg(F.count_distinct("gram").alias("n")).filter(F.col("n") == len(asked)).select("filename")
+
+    def holding(self, *needles: str, like: bool = True) -> Index:
+        """An index of the notes that can hold all needles (patterns with ``%`` and ``_``, or plain texts): searches that ask for these find in it what they find in all notes."""
+        found = self.candidates(list(needles), like)
+        return self.read() if found is None else index_from(self.table.among(found))
+
     def refresh(self, fresh: Index, removed: DataFrame | None = None) -> None:
         """Notes of ``fresh`` are replaced and those ``removed`` (``filename``) go, with their todos, tags, links, segments and attributes."""
         rows = fresh.parsed.drop("header")
-        names = rows.select("filename")
-        self.table.upsert(rows, names if removed is None else names.unionByName(removed.select("filename")))
+        names = stash(rows.select("filename") if removed is None else rows.select("filename").unionByName(removed.select("filename")), "names")
+        self.table.upsert(rows, names)
+        if self.grams:
+            self.grams.upsert(postings(self.table.among(names)), names)
+        discard(names)

@@ -434,6 +434,19 @@ def refreshed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept.write(build_index(raw))
     kept.refresh(build_index(raw.filter(_key() % 7 == 0).withColumn("content", F.lit("now #renewed"))), raw.filter(_key() % 7 == 1))
     return kept.read().note_tags
+def _with_texts(spark: SparkSession, sf_dir: str) -> maintenance.StoredIndex:
+    kept = maintenance.StoredIndex(spark, scratch_path(spark, "index"), buckets=64, texts=True)
+    kept.write(index_of(spark, sf_dir))
+    return kept
+
+
+on_tables("stored_notes_text", "SELECT filename FROM n JOIN h USING (filename) WHERE lower(title) LIKE '%nation_7%' OR lower(header) LIKE '%nation_7%' OR filename = 'meeting/order_1.md'", True)(
+    lambda s, d: (lambda kept: search.search_notes(kept.holding("Nation_7"), text="Nation_7").select("filename").unionByName(search.search_notes(kept.holding("# Order 1 #"), body="# Order 1 #").select("filename")))(_with_texts(s, d))
+)
+on_tables("stored_segments_text", "SELECT segment_id FROM sg WHERE lower(text) LIKE '%not a heading%'", True)(lambda s, d: search.search_segments(_with_texts(s, d).holding("Not a heading"), text="Not a heading").select("segment_id"))
+on_tables("stored_todos_text", "SELECT filename, line_number FROM t JOIN h USING (filename) WHERE lower(text) LIKE '%red%widget%' OR lower(header) LIKE '%red%widget%'", True)(
+    lambda s, d: search.search_todos(_with_texts(s, d).holding("RED%widget"), text="RED%widget").select("filename", "line_number")
+)
 register("orphans", f"SELECT filename FROM {_KEYED} WHERE k % 7 = 0")(lambda x: maintenance.orphans(x.note_tags.select("filename").unionByName(x.notes.select("filename")), x.notes.filter(_key() % 7 != 0)))
 register("pruned_tags", "SELECT filename, tag FROM g WHERE CAST(regexp_extract(filename, '(\\d+)\\.md$', 1) AS BIGINT) % 7 <> 0")(lambda x: maintenance.prune(x.note_tags, x.notes.filter(_key() % 7 != 0).select("filename")))
 on_tables("refresh_summary", f"SELECT CASE WHEN k % 3 = 0 THEN 'removed' WHEN k % 11 = 1 THEN 'error' ELSE 'updated' END AS action, count(*) AS n FROM {_KEYED} WHERE k % 2 = 0 GROUP BY 1", True)(

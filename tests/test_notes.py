@@ -540,3 +540,28 @@ def test_pages_of_a_note_that_most_others_link_to(spark):
     spread = reports.paged(hot.limit(0).unionByName(rest), 2)
     assert spread.filter("page = 0 and n <> 2 or page = 1 and n <> 1 or page > 1").isEmpty() and spread.count() == 40_000
     assert reports.paged(hot.limit(0), 5).isEmpty()
+
+
+def test_texts_of_a_kept_index_are_found_by_trigrams(spark, tmp_path):
+    rng = random.Random(4)
+    words = ["Alpha", "beta", "GAMMA", "delta", "äpfel", "\U0001f600x", "a_b", "100%", "ab", "\n", "\r\n", "- [ ] call "]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 12))) for _ in range(120)] + [None, "", "ab", "---\ntitle: Ganz Neu\nplace: {at: Köln}\n---\n# X\r\nlast line\r\n# Y\nend"]
+    raw = spark.createDataFrame([(f"n{k}.md", t, None) for k, t in enumerate(texts)], "filename string, content string, mtime timestamp")
+    kept = maintenance.StoredIndex(spark, str(tmp_path / "i"), buckets=8, texts=True)
+    kept.write(parse.build_index(raw))
+    whole = kept.read()
+    for needle in ("ALPHA be", "äpfel", "\U0001f600x", "ganz", "koeln", "Köln", "a%delta", "ab", "x_y", "last line", "line%# y", "absent word", "100\\%", "%"):
+        part = kept.holding(needle)
+        for search_one, key in ((search.search_notes, "filename"), (search.search_todos, "todo_id"), (search.search_segments, "segment_id")):
+            found = lambda x: sorted(r[0] for r in search_one(x, text=needle).select(key).collect())  # noqa: B023, E731
+            assert found(part) == found(whole), (needle, key)
+    assert kept.candidates(["ab"]) is None and kept.candidates(["absent word"]).count() == 0
+    assert kept.holding("last line").notes.count() == 1
+    assert sorted(r[0] for r in search.search_notes(kept.holding("100%", like=False), body="100%").select("filename").collect()) == sorted(r[0] for r in search.search_notes(whole, body="100%").select("filename").collect())
+    # few and many candidates are read in two ways
+    some = whole.notes.select("filename").filter("filename like '%1%'")
+    assert sorted(r["filename"] for r in kept.table.among(some, 3).collect()) == sorted(r["filename"] for r in kept.table.among(some).collect()) == sorted(r[0] for r in some.collect())
+    # a refresh changes both tables
+    kept.refresh(parse.build_index(raw.filter("filename = 'n0.md'").withColumn("content", F.lit("wholly new"))), raw.filter("filename = 'n123.md'").select("filename"))
+    assert [r["filename"] for r in kept.holding("wholly new").notes.collect()] == ["n0.md"] and kept.candidates(["last line"]).count() == 0
+    assert kept.grams.read().filter("filename = 'n0.md'").count() == 8
