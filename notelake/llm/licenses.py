@@ -103,24 +103,34 @@ class Scanner:
 
 
 @cache
-def scanner() -> Scanner:
-    return Scanner()
+def scanner(notices: tuple = tuple(NOTICES.items())) -> Scanner:
+    """One for each table of notices in a Python worker."""
+    return Scanner(notices=dict(notices))
+
+
+def _words_of(notices: dict[str, str]) -> tuple:
+    """Notices as they are matched: words in lower case with a blank between; those without a word are an error."""
+    out = {b" ".join(words(phrase)).decode("latin-1"): label for phrase, label in notices.items()}
+    if "" in out:
+        raise ValueError("a notice needs a word")
+    return tuple(out.items())
 
 
 def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """A row for each match: ``doc_id, label, notice, base, first_word, n_words, edits, matched``."""
+def spans(docs: DataFrame, notices: dict[str, str] = NOTICES) -> DataFrame:
+    """A row for each match: ``doc_id, label, notice, base, first_word, n_words, edits, matched``; ``notices`` are phrases with their labels."""
+    asked = _words_of(notices)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
                 joined = b" ".join(words(text.as_py())).decode("latin-1")
-                for notice, start, end, edits in scanner().found(joined):
-                    rows.append((doc_id.as_py(), notice.label, notice.phrase, notice.base, joined.count(" ", 0, start), joined.count(" ", start, end) + 1, edits, joined[start:end].encode("latin-1").decode("utf-8", "replace")))
+                for notice, start, end, edits in scanner(asked).found(joined):
+                    rows.append((doc_id.as_py(), notice.label, notice.phrase.encode("latin-1").decode("utf-8", "replace"), notice.base, joined.count(" ", 0, start), joined.count(" ", start, end) + 1, edits, joined[start:end].encode("latin-1").decode("utf-8", "replace")))
             kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.string())
             names = ("doc_id", "label", "notice", "base", "first_word", "n_words", "edits", "matched")
             yield pa.RecordBatch.from_pydict({n: pa.array([r[k] for r in rows], kind) for k, (n, kind) in enumerate(zip(names, kinds, strict=True))})
@@ -128,8 +138,9 @@ def spans(docs: DataFrame) -> DataFrame:
     return _source(docs).mapInArrow(run, "doc_id long, label string, notice string, base boolean, first_word long, n_words long, edits int, matched string")
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """A row for each document with its base places, all labels and a score."""
+def scan(docs: DataFrame, notices: dict[str, str] = NOTICES) -> DataFrame:
+    """A row for each document with its base places, all labels and a score; ``notices`` are phrases with their labels. An empty table gives no row."""
+    asked = _words_of(notices)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,7 +148,7 @@ def scan(docs: DataFrame) -> DataFrame:
             for text in batch.column("text"):
                 own = words(text.as_py())
                 joined = b" ".join(own).decode("latin-1")
-                found = scanner().found(joined)
+                found = scanner(asked).found(joined)
                 exact = [m for m in found if m[0].base and m[3] == 0]
                 rows.append((
                     len(own), len(exact),

@@ -206,6 +206,17 @@ LICENSED = [
 ]
 
 
+def test_license_scan_with_notices_of_ones_own(spark):
+    docs = spark.createDataFrame([(1, "Nur für den INTERNEN Gebrauch, bitte"), (2, "nur für den internem gebrauch"), (3, "MIT License, released under the mit license"), (4, None)], "doc_id long, text string")
+    own = {"Nur für den internen Gebrauch": "intern"}
+    assert {r["doc_id"]: (r["n_base"], r["labels"]) for r in licenses.scan(docs, own).collect()} == {1: (0, "intern"), 2: (0, "intern"), 3: (2, "mit"), 4: (0, "")}
+    found = {(r["doc_id"], r["notice"], r["edits"]) for r in licenses.spans(docs, own).filter("not base").collect()}
+    assert found == {(1, "nur für den internen gebrauch", 0), (2, "nur für den internen gebrauch", 1)}
+    assert licenses.scan(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="a notice needs a word"):
+        licenses.scan(docs, {"--": "none"})
+
+
 def test_licenses_of_all_documents(spark):
     for frame, got in ((spark.read.parquet(f"{SF}/documents.parquet"), QUERIES["op3_licenses"](spark, SF)), *((f, licenses.scan(f)) for f in (odd(spark), spark.createDataFrame(LICENSED, "doc_id long, text string, labels string")))):
         want = [(r["doc_id"], *places(r["text"])) for r in frame.collect()]
