@@ -125,11 +125,12 @@ def spans(docs: DataFrame, notices: dict[str, str] = NOTICES) -> DataFrame:
     asked = _words_of(notices)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan_words = scanner(asked).found
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
                 joined = b" ".join(words(text.as_py())).decode("latin-1")
-                for notice, start, end, edits in scanner(asked).found(joined):
+                for notice, start, end, edits in scan_words(joined):
                     rows.append((doc_id.as_py(), notice.label, notice.phrase.encode("latin-1").decode("utf-8", "replace"), notice.base, joined.count(" ", 0, start), joined.count(" ", start, end) + 1, edits, joined[start:end].encode("latin-1").decode("utf-8", "replace")))
             kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.string())
             names = ("doc_id", "label", "notice", "base", "first_word", "n_words", "edits", "matched")
@@ -143,12 +144,13 @@ def scan(docs: DataFrame, notices: dict[str, str] = NOTICES) -> DataFrame:
     asked = _words_of(notices)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan_words = scanner(asked).found
         for batch in batches:
             rows = []
             for text in batch.column("text"):
                 own = words(text.as_py())
                 joined = b" ".join(own).decode("latin-1")
-                found = scanner(asked).found(joined)
+                found = scan_words(joined)
                 exact = [m for m in found if m[0].base and m[3] == 0]
                 rows.append((
                     len(own), len(exact),
