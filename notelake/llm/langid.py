@@ -24,6 +24,8 @@ from .common import discard, id_split, keep_rows, stash
 
 #: Documents that the model is fitted on, over all languages, and of each language at least, if there are so many.
 SAMPLE_DOCS, LEAST_OF_EACH = 4096, 64
+#: Rows of the sample's marks up to which they go to all tasks.
+MOST_MARKS = 200_000
 BUCKETS = 1 << 13
 DIM = 16
 UNKNOWN = "und"
@@ -154,7 +156,8 @@ def fit(docs: DataFrame, learn=None) -> LangModel:
     """Fits on about ``SAMPLE_DOCS`` documents with a ``lang``, as many of each; ``learn`` is a condition on usable rows.
 
     Every language is learned. The sample is found in one pass over ids and hashes, by rank within the
-    language, and a second pass fetches its texts; rows that repeat an id and a text count once.
+    language, and a second pass fetches its texts; rows that repeat an id and a text count once. The driver
+    has a row for each language, as the model has; the sample's marks are broadcast up to ``MOST_MARKS`` rows.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if learn is not None:
@@ -168,9 +171,10 @@ def fit(docs: DataFrame, learn=None) -> LangModel:
     quota = max(LEAST_OF_EACH, SAMPLE_DOCS // len(langs))
     least = [(lang, min(2**63 - 1, int(2**64 * min(1.0, 2 * quota / max(1, many))) - 2**63)) for lang, many in there.items()]
     below = docs.sparkSession.createDataFrame(least, "lang string, below long")
-    few = rows.select("lang", "mark", F.xxhash64("mark", F.lit("sample")).alias("h")).join(F.broadcast(below), "lang").filter(F.col("h") <= F.col("below")).select("lang", "h", "mark").distinct()
+    few = rows.select("lang", "mark", F.xxhash64("mark", F.lit("sample")).alias("h")).join(F.broadcast(below) if len(langs) <= MOST_MARKS else below, "lang").filter(F.col("h") <= F.col("below")).select("lang", "h", "mark").distinct()
     marks = stash(few.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h", "mark"))).filter(F.col("place") <= quota), "marks")
-    sample = rows.join(F.broadcast(marks.select("lang", "mark", "place")), ["lang", "mark"])
+    chosen = marks.select("lang", "mark", "place")
+    sample = rows.join(F.broadcast(chosen) if len(langs) * quota <= MOST_MARKS else chosen, ["lang", "mark"])
     one = sample.groupBy("lang", "place").agg(F.first("text").alias("text"))  # equal marks: equal texts
     got = one.repartition(16).mapInArrow(_features, "lang string, place int, buckets binary, shares binary").toArrow()
     discard(marks)

@@ -109,7 +109,9 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     """``doc_id, text``, ``carried`` and, as ``next_<name>``, what the next row by descending id has; the first row follows the last.
 
     Rows go to buckets of the id order, by quantiles of the ids; a bucket's first row also goes to the
-    end of the bucket before it. So no task sorts more than a bucket, and texts are shuffled once.
+    end of the bucket before it. So no task sorts more than a bucket, and texts are shuffled once. Rows of one
+    id (or without one) stay in one bucket: ids are meant to be keys, and a table in which one id has a third of the rows
+    has them sorted in one task, on disk where they don't fit into memory.
     """
     least = -(2**63)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[c for c in carried if c != "text"]).withColumn("key", F.coalesce("doc_id", F.lit(least)))

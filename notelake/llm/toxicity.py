@@ -2,9 +2,9 @@
 
 Folding maps look-alike letters (Cyrillic, Greek, full width, accented) and digit substitutions to
 plain Latin letters, character by character, so spans stay those of the text (without zero-width
-characters). Terms match at the start of a word. A hit inside an exception phrase doesn't count.
-Terms and their weights (log odds) are learned in Spark from a bounded sample of labelled documents:
-word starts that are significantly commoner in toxic ones. The score is a logistic function, fitted
+characters). Terms match at the start of a word, those of fewer than four characters whole words only (they end
+in a blank). A hit inside an exception phrase doesn't count. Terms and their weights (log odds) are learned in
+Spark from a bounded sample of labelled documents: word starts and short words that are significantly commoner in toxic ones. The score is a logistic function, fitted
 on the same sample, of the weight found and of the weight per 1000 words.
 
 Defined results: null and empty texts have no hit and the lowest score. Repeated rows are each
@@ -28,6 +28,7 @@ from .common import discard, id_split, keep_rows, labelled_texts, sample_ids, st
 
 #: Most labelled documents of each class that lexicon and score are fitted on.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
+#: Fewest and most characters of a word start; shorter words are terms as a whole.
 MIN_STEM, MAX_STEM = 4, 14
 #: Toxic documents of the sample that a term occurs in at least, and how many times commoner it is there.
 LEAST_TOXIC, TIMES = 4, 20
@@ -106,13 +107,14 @@ class ToxicModel:
         """``(start, end, weight)`` of the hits that no exception phrase covers; one for each word."""
         found: dict[int, tuple[int, float]] = {}
         spared: list[tuple[int, int]] = []
-        for end, (size, weight) in self.automaton().iter(" " + folded):
+        for end, (size, weight) in self.automaton().iter(f" {folded} "):
             start = end - size  # one space stands before the text
+            end = min(end, len(folded))  # and one after it
             if weight == 0.0:
                 if end >= len(folded) or folded[end] == " ":
                     spared.append((start, end))
             elif weight > found.get(start, (0, 0.0))[1]:
-                found[start] = (end, weight)
+                found[start] = (end - folded[start:end].endswith(" "), weight)
         return [(s, e, w) for s, (e, w) in sorted(found.items()) if not any(a <= s and e <= b for a, b in spared)]
 
     def features(self, text: str | None) -> tuple[float, float]:
@@ -137,7 +139,7 @@ def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, toxic in zip(batch.column("text"), batch.column("toxic"), strict=True):
             starts = set()
             for w in set(fold(text.as_py()).split()):
-                starts.update(w[:k] for k in range(MIN_STEM, min(len(w), MAX_STEM) + 1))
+                starts.update([w[:k] for k in range(MIN_STEM, min(len(w), MAX_STEM) + 1)] or [w + " "])
             seen[toxic.as_py()].update(starts)
         if len(seen[0]) + len(seen[1]) > 1_000_000:
             yield _counted(seen)

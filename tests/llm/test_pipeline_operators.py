@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from notelake.llm import langid, packing, simhash, toxicity
+from notelake.llm import jaccard, langid, packing, simhash, toxicity
 from notelake.llm.queries import QUERIES
 from notelake.llm.units import UnitTable, split
 
@@ -290,6 +290,16 @@ def test_toxicity_folds_and_spares():
     assert model.score("clown clown fish") > 0.3
 
 
+def test_toxicity_learns_short_words_as_a_whole(spark):
+    model = toxicity.ToxicModel({"zog ": 5.0, "clown": 4.0}, (-3.0, 2.0, 0.5))
+    assert model.spans("zog a zogs zog") == [(0, 3, 5.0), (11, 14, 5.0)]
+    assert model.spans("the clown zog") == [(4, 9, 4.0), (10, 13, 5.0)]
+    texts = [(k, f"he is a z\u043eg and item number {k % 7} of the zone" if k % 2 else f"she has item number {k % 7} of the zone") for k in range(400)]
+    known = toxicity.fit(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k, _ in texts], "doc_id long, toxic int"))
+    assert "zog " in known.terms and not any(t.startswith("zone") for t in known.terms)
+    assert known.score("what a zog") > 0.3 > known.score("zogs in the zone")
+
+
 def test_toxicity_odd_rows(spark):
     labels = spark.createDataFrame([(3, 0, 1), (4, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     model = toxicity.fit(docs(spark, ODD), labels)
@@ -348,10 +358,27 @@ def test_pipeline_odd_tables(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
     for table in (frame, frame.limit(0)):
         kept = table
-        for _, stage in p.STAGES[:-1]:
+        for name, stage in p.STAGES[:-1]:
             before = kept.collect()
             kept = spark.createDataFrame(stage(spark, kept, SF).collect(), frame.schema)
-            assert not Counter(kept.collect()) - Counter(before)
+            after = kept.collect()
+            assert not Counter(after) - Counter(before)
+            if name == "language":
+                assert all(any(c.isalpha() for c in r["text"] or "") for r in after)
+                assert len({r["doc_id"] for r in after} & {i for i, _, _ in known}) >= 0.9 * len(known) or not before
+            elif name == "toxicity":
+                labels = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").filter("toxic = 1").collect()}
+                gone = Counter(before) - Counter(after)
+                assert all(r["doc_id"] in labels for r in gone)
+            else:
+                sets = lambda rows: [frozenset(jaccard.shingles(r["text"]).tolist()) for r in rows]
+                near = lambda a, b: len(a & b) * 5 >= len(a | b) * 4
+                stay = sets(after)
+                assert len(set(stay)) == len(stay)  # no copies
+                alike = sets(before)
+                # a group that has one text only stays, and what goes has a near one that was there
+                assert all(x in stay for x in alike if not any(near(x, y) for y in alike if y != x))
+                assert all(x in stay or any(near(x, y) for y in alike if y != x) for x in alike)
         packed = p.STAGES[-1][1](spark, kept, SF).collect()
         check_packing(packed, [(r["doc_id"], r["text"]) for r in kept.collect()])
     assert not packed
