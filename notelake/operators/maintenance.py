@@ -78,7 +78,7 @@ BUCKETS = 256
 class KeyedTable:
     """A table below ``path`` in folders by a hash of ``key``; reads of given keys and changes touch their folders only.
 
-    A change that was broken off is done again: it gives the same rows.
+    A change that was broken off is done again: it gives the same rows. A table may be, or become, empty.
     """
 
     spark: SparkSession
@@ -93,6 +93,8 @@ class KeyedTable:
 
     def write(self, rows: DataFrame) -> None:
         self._sorted(rows.select("*", self._bucket())).write.mode("overwrite").partitionBy("bucket").parquet(self.path)
+        # a file without rows, so that the table can be read when it has none
+        rows.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/bucket=-1")
 
     def _sorted(self, rows: DataFrame) -> DataFrame:
         return rows.repartition("bucket").sortWithinPartitions("bucket", self.order if self.order in rows.columns else self.key)

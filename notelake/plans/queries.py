@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import ingest, maintenance, parse, reports, rewrite, search, vectors
 from ..operators.parse import Index, build_index
-from ..scratch import scratch_path
+from ..scratch import remove, scratch_path
 from ..sources import corpus, files
 from ..sources.corpus import TODAY
 from ..streaming import streams
@@ -77,6 +77,12 @@ register("strip_query_blocks", "SELECT filename, body FROM b")(lambda x: x.notes
 register("note_attributes", "SELECT filename, key, value FROM a WHERE key <> 'city' UNION ALL SELECT filename, 'city', 'Köln' FROM c")(
     lambda x: parse.front_rows(x.parsed).select("filename", "key", "value")
 )
+on_tables("hash_prefixes", "SELECT 'd/' || doc_id || '.md' AS filename, 'topic' AS key, '#doc ' || doc_id || ' ' || coalesce(lang, 'none') || ' a#b #' || doc_id AS value FROM documents")(
+    lambda s, d: build_index(table(s, d, "documents").select(
+        F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("filename"), F.lit(None).cast("timestamp").alias("mtime"),
+        F.concat(F.lit("---\ntopic: \"#doc  #"), F.col("doc_id").cast("string"), F.lit("   #"), F.coalesce("lang", F.lit("none")), F.lit(" a#b ##"), F.col("doc_id").cast("string"), F.lit("\"\n---\n"), F.coalesce("text", F.lit(""))).alias("content"),
+    )).attributes.filter("key = 'topic'").select("filename", "key", "value")
+)
 register("body_attributes", "SELECT filename, 'participants' AS key, cust AS value FROM o")(lambda x: parse.body_attributes(x.parsed).select("filename", "key", "value"))
 on_tables("merged_attributes", "SELECT filename, key, value FROM a UNION ALL SELECT filename, 'participants', cust FROM o", True)(
     lambda s, d: build_index(corpus.notes_raw(s, d), None).attributes.select("filename", "key", "value")
@@ -447,6 +453,7 @@ on_tables("stored_segments_text", "SELECT segment_id FROM sg WHERE lower(text) L
 on_tables("stored_todos_text", "SELECT filename, line_number FROM t JOIN h USING (filename) WHERE lower(text) LIKE '%red%widget%' OR lower(header) LIKE '%red%widget%'", True)(
     lambda s, d: search.search_todos(_with_texts(s, d).holding("RED%widget"), text="RED%widget").select("filename", "line_number")
 )
+register("cleared_tags", "SELECT filename, tag FROM g WHERE CAST(regexp_extract(filename, '(\\d+)\\.md$', 1) AS BIGINT) % 4 = 0", False)(lambda x: maintenance.upsert(maintenance.clear(x.note_tags), x.note_tags.filter(_key() % 4 == 0)))
 register("orphans", f"SELECT filename FROM {_KEYED} WHERE k % 7 = 0")(lambda x: maintenance.orphans(x.note_tags.select("filename").unionByName(x.notes.select("filename")), x.notes.filter(_key() % 7 != 0)))
 register("pruned_tags", "SELECT filename, tag FROM g WHERE CAST(regexp_extract(filename, '(\\d+)\\.md$', 1) AS BIGINT) % 7 <> 0")(lambda x: maintenance.prune(x.note_tags, x.notes.filter(_key() % 7 != 0).select("filename")))
 on_tables("refresh_summary", f"SELECT CASE WHEN k % 3 = 0 THEN 'removed' WHEN k % 11 = 1 THEN 'error' ELSE 'updated' END AS action, count(*) AS n FROM {_KEYED} WHERE k % 2 = 0 GROUP BY 1", True)(
@@ -454,6 +461,47 @@ on_tables("refresh_summary", f"SELECT CASE WHEN k % 3 = 0 THEN 'removed' WHEN k
 )
 register("backfill_note_tags", "SELECT filename, tag FROM g")(lambda x: maintenance.backfill(x.notes.select("filename", F.to_json("tags").alias("tags_json")), "tags_json", "tag"))
 
+
+
+# --- folders of files ------------------------------------------------------------------------------
+
+
+@on_tables("vault_files", "SELECT filename, '---' || chr(10) || 'type: person' || chr(10) || 'company: ' || company || chr(10) || 'city: Köln' || chr(10) || '---' || chr(10) || 'Met at [[order_' || k || ']] about supplier ' || k9 || ' again.' || chr(10) AS content FROM c", True)
+def vault_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' notes as files, read again."""
+    folder = scratch_path(spark, "vault")
+    files.write_vault(corpus.persons(spark, sf_dir), folder)
+    return files.read_vault(spark, folder)[0].select("filename", "content")
+
+
+@on_tables("watched_folder", "SELECT filename, CASE k % 3 WHEN 0 THEN 'new ' || k ELSE 'old ' || k END AS content FROM (SELECT 'kept/' || s_suppkey || '.md' AS filename, s_suppkey AS k FROM supplier WHERE s_suppkey % 3 <> 1)")
+def watched_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that follows a folder: a third of the files are written anew after a first round, a third are removed."""
+    home, key = scratch_path(spark, "watched"), F.col("s_suppkey")
+    folder, follow = f"{home}/vault", maintenance.KeyedTable(spark, f"{home}/table", buckets=4)
+    notes = lambda how: table(spark, sf_dir, "supplier").select(key, F.concat(F.when(key % 3 == 1, "gone/").otherwise("kept/"), key.cast("string"), F.lit(".md")).alias("filename"), F.concat_ws(" ", F.lit(how), key.cast("string")).alias("content"))
+
+    def refresh(versions: DataFrame, number: int) -> None:
+        rows = versions.filter("not deleted").select("filename", "content")
+        follow.upsert(rows, versions.select("filename"))
+
+    follow.write(notes("").select("filename", "content").limit(0))
+    files.write_vault(notes("old"), folder)
+    streams.watch_folder(spark, folder, refresh, f"{home}/state", once=True).awaitTermination()
+    files.write_vault(notes("new").filter(key % 3 == 0), folder)
+    remove(spark, f"{folder}/gone")
+    streams.watch_folder(spark, folder, refresh, f"{home}/state", once=True).awaitTermination()
+    return follow.read().select("filename", "content")
+
+
+@on_tables("json_results", "SELECT filename, line_number, text, priority FROM t", True)
+def json_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Todos as lines of JSON, read again."""
+    folder = scratch_path(spark, "results")
+    ingest.write_results(index_of(spark, sf_dir).todos.select("filename", "line_number", "text", "priority"), folder)
+    return spark.read.schema("filename string, line_number int, text string, priority string").json(folder)
+
+
 # --- rewriting -------------------------------------------------------------------------------------
 
 
@@ -552,6 +600,14 @@ def thread_to_note(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.threads_to_notes(threads)
 
 
+on_tables("mail_to_note", """SELECT 'in/m' || doc_id || '.eml' AS path, '---' || chr(10) || 'created: 2024-01-30 10:00' || chr(10) || 'type: mail' || chr(10) || 'source: "in/m' || doc_id || '.eml"' || chr(10) || 'title: "Document ' || doc_id || '"' || chr(10)
+    || 'from: "Ann Example"' || chr(10) || 'to:' || chr(10) || '  - "[[bob_k]]"' || chr(10) || '  - "Cy"' || chr(10) || 'mail_date: "2024-01-30T10:00:00Z"' || chr(10) || '---' || chr(10) || chr(10) || chr(10) || '# Document ' || doc_id || chr(10) || chr(10)
+    || '**From:** Ann Example' || chr(10) || chr(10) || '**To:** [[bob_k]], Cy' || chr(10) || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '**Cc:** [[dee_l]]' || chr(10) || chr(10) ELSE '' END
+    || '**Date:** 2024-01-30T10:00:00Z' || chr(10) || chr(10) || '**Message-ID:** m' || doc_id || '@example.com' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS content FROM documents""")(
+    lambda s, d: ingest.mails_to_notes(corpus.mails(s, d), _now()).select("path", "content")
+)
+on_tables("word_to_note", """SELECT 'in/d' || doc_id || '.docx' AS path, 'Document ' || doc_id AS title, array_to_string(list_concat(['# Document ' || doc_id, '## About ' || doc_id],
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '')), chr(10) || chr(10)) AS body FROM documents""")(lambda s, d: ingest.docx_to_notes(corpus.word_files(s, d)))
 on_tables("frontmatter_render", """SELECT doc_id, '---' || chr(10) || 'created: 2024-01-31 08:05' || chr(10) || 'type: mail' || chr(10) || 'source: "' || coalesce(source, '') || '"' || chr(10)
     || coalesce('title: "say \\"' || lang || '\\""' || chr(10), '') || 'from: "' || doc_id || '"' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'to:' || chr(10) || '  - "[[a]]"' || chr(10) || '  - "b"' || chr(10) ELSE '' END
     || 'mail_date: "2024-01-30T10:00:00Z"' || chr(10) || '---' || chr(10) || chr(10) AS front FROM documents""")(
@@ -684,6 +740,14 @@ def stream_latest_note(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.latest_of_updates(done, "filename").filter("not deleted").select("filename", F.col("content").cast("long").alias("version"))
 
 
+@on_tables("stream_newest_version", "SELECT 'u/' || user_id || '.md' AS filename, event_id AS version FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type = 'error' DESC, sha256(CAST(event_id AS VARCHAR)) DESC) AS r FROM events) x WHERE r = 1 AND event_type <> 'error'")
+def stream_newest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as versions of a note in any order, by state that keeps older ones out; an error removes the note."""
+    versions = _event_stream(spark, sf_dir).select(F.concat(F.lit("u/"), F.col("user_id").cast("string"), F.lit(".md")).alias("filename"), F.col("event_id").cast("string").alias("content"), F.col("ts").alias("mtime"), (F.col("event_type") == "error").alias("deleted"))
+    done = streams.run_once(streams.newest_versions(versions), scratch_path(spark, "newest"), "update")
+    return streams.latest_of_updates(done, "filename").filter("not deleted").select("filename", F.col("content").cast("long").alias("version"))
+
+
 @on_tables("history_windows", "SELECT strftime(time_bucket(INTERVAL 8 HOUR, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M') AS window_start, browser, count(*) AS n_visits FROM v GROUP BY 1, 2", True)
 def history_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     visits = _event_stream(spark, sf_dir).select("ts", F.get(F.array(*map(F.lit, ("safari", "vivaldi", "firefox"))), (F.col("event_id") % 3).cast("int")).alias("browser"))

@@ -7,6 +7,12 @@ Families: ``meeting/order_<k>.md`` for each order, with a todo for each of its l
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+from xml.sax.saxutils import escape
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,3 +114,39 @@ def notes_raw(spark: SparkSession, sf_dir: str, with_documents: bool = False) ->
     """``filename, content, mtime`` of the generated notes."""
     out = meetings(spark, sf_dir).unionByName(projects(spark, sf_dir)).unionByName(persons(spark, sf_dir))
     return out.unionByName(documents(spark, sf_dir)) if with_documents else out
+
+
+# --- documents in other forms ----------------------------------------------------------------------
+
+
+def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path, content``: each document as a message; every second one has a copy's receiver."""
+    key = F.col("doc_id").cast("string")
+    content = F.concat(
+        F.lit("From: Ann Example <ann@example.com>\nTo: bob.k@example.com, Cy <cy@example.com>\n"), F.when(F.col("doc_id") % 2 == 0, "Cc: dee.l@example.com\n").otherwise(""), F.lit("Subject: Document "), key,
+        F.lit("\nDate: Tue, 30 Jan 2024 10:00:00 +0000\nMessage-ID: <m"), key, F.lit("@example.com>\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), F.coalesce("text", F.lit("")),
+    )
+    return _table(spark, sf_dir, "documents").select(F.concat(F.lit("in/m"), key, F.lit(".eml")).alias("path"), F.encode(content, "UTF-8").alias("content"))
+
+
+def _word_file(paragraphs: list[tuple[str, str]]) -> bytes:
+    """A Word file of ``(style, text)``."""
+    style = lambda s: f'<w:pPr><w:pStyle w:val="{s}"/></w:pPr>' if s else ""
+    text = "".join(f'<w:p>{style(s)}<w:r><w:t xml:space="preserve">{escape(t, {chr(13): "&#13;"})}</w:t></w:r></w:p>' for s, t in paragraphs)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{text}</w:body></w:document>')
+    return out.getvalue()
+
+
+def word_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path, content``: each document as a Word file, with a title, a heading and a paragraph for each line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [_word_file([("Title", f"Document {i}"), ("Heading2", f"About {i}"), *(("", line) for line in t.split("\n"))]) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"path": pa.array([f"in/d{i}.docx" for i in batch.column("doc_id").to_pylist()], pa.string()), "content": pa.array(made, pa.binary())})
+
+    # XML can't have other control characters
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, "path string, content binary")

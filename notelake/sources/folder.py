@@ -41,15 +41,18 @@ class NoteFolder(DataSource):
         return FolderReader(self.options["path"], self.options["state"], self.options.get("suffix", ".md"))
 
 
+def store_of(path: str):
+    """The file system of a path, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 class FolderReader(DataSourceStreamReader):
     def __init__(self, path: str, state: str, suffix: str):
         self.path, self.state, self.suffix = path.rstrip("/"), state.rstrip("/"), suffix
 
-    @staticmethod
-    def _store(path: str):
-        from pyarrow import fs
-
-        return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    _store = staticmethod(store_of)
 
     def initialOffset(self) -> dict:
         return {"round": 0}

@@ -565,3 +565,34 @@ def test_texts_of_a_kept_index_are_found_by_trigrams(spark, tmp_path):
     kept.refresh(parse.build_index(raw.filter("filename = 'n0.md'").withColumn("content", F.lit("wholly new"))), raw.filter("filename = 'n123.md'").select("filename"))
     assert [r["filename"] for r in kept.holding("wholly new").notes.collect()] == ["n0.md"] and kept.candidates(["last line"]).count() == 0
     assert kept.grams.read().filter("filename = 'n0.md'").count() == 8
+
+
+def test_keyed_table_may_be_empty(spark, tmp_path):
+    none = spark.createDataFrame([], "filename string, content string")
+    kept = maintenance.KeyedTable(spark, str(tmp_path / "table"), buckets=4)
+    kept.write(none)
+    assert kept.read().columns == ["filename", "content"] and kept.read().count() == 0
+    rows = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z")], none.schema)
+    kept.upsert(rows)
+    assert sorted(map(tuple, kept.read().collect())) == [("a", "x"), ("a", "y"), ("b", "z")]
+    kept.upsert(none, rows)
+    assert kept.read().count() == 0 and kept.of_keys(["a"]).count() == 0
+    kept.upsert(rows.limit(1))
+    assert kept.read().count() == 1
+
+
+def test_write_vault(spark, tmp_path):
+    """Odd names and contents, repeated names, a second run over the same files, and names that lead elsewhere."""
+    rows = spark.createDataFrame([("a.md", "1"), ("a.md", "2"), ("b c/ü+%20.md", "Köln\n"), ("d/100% x.md", "y"), ("e.md", None), ("f.md", ""), (None, "x")], "filename string, content string")
+    for _ in range(2):
+        assert files.write_vault(rows, f"file://{tmp_path}/vault") == 5
+        got = {r["filename"]: r["content"] for r in files.read_vault(spark, f"file://{tmp_path}/vault")[0].collect()}
+        assert got == {"a.md": "2", "b c/ü+%20.md": "Köln\n", "d/100% x.md": "y"}  # Spark leaves out files of no bytes
+    seen = []
+    home = tmp_path / "home"
+    streams.watch_folder(spark, str(tmp_path / "vault"), lambda v, number: seen.extend(v.select("filename", "content").collect()), str(home), once=True).awaitTermination()
+    assert {tuple(r) for r in seen} == {*got.items(), ("e.md", ""), ("f.md", "")}
+    assert files.write_vault(rows.limit(0), f"file://{tmp_path}/none") == 0
+    for name in ("../x.md", "/x.md", "a/./b.md", "a//b.md", "a/", ""):
+        with pytest.raises(Exception, match="not a name below a folder"):
+            files.write_vault(spark.createDataFrame([(name, "")], rows.schema), f"file://{tmp_path}/vault")
