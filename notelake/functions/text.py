@@ -16,8 +16,9 @@ MARKDOWN_LINK = r"\[([^\]]+)\]\(([^)]+)\)"
 WIKI_LINK = r"\[\[([^\]]+)\]\]"
 HEADING = r"^(#{1,6})\s+(.*)$"
 FENCE = r"^\s*```"
-#: Lines that begin a section or turn a fence; where a block of lines begins with a hash; a block whose second line is a list item.
+#: Lines that begin a section or turn a fence; texts that aren't blank; where a block of lines begins with a hash; a block whose second line is a list item.
 STATE_LINE = r"^(?:#{1,4}\s|\s*```)"
+SAYS = r"[^\s\p{Z}]"
 SECTION_START = r"\r?\n(?=[\s\p{Z}&&[^\n]]*#)"
 ANY_LIST_SECTION = r"(?m)^[\s\p{Z}&&[^\n]]*#[^\n]*\n[\s\p{Z}]*[-*+] "
 LIST_SECTION = r"^[^\n]*\n[\s\p{Z}]*[-*+] "

@@ -59,7 +59,7 @@ def parse(raw: DataFrame, mapping: dict[str, str] | None = MAPPING) -> DataFrame
         F.array_sort(F.array_distinct(F.concat(words, T.with_parents(T.raw_tags("body"))))).alias("tags"),
     )
     return with_links.select(
-        "*", F.array_distinct(F.concat(T.links_of(T.link_dates("body")), F.col("front_links"))).alias("links"),
+        "*", F.array_distinct(F.concat(T.bound(T.link_dates("body"), T.links_of), F.col("front_links"))).alias("links"),
         F.coalesce("note_created", F.unix_seconds("mtime"), "note_updated").alias("created"), F.coalesce("note_updated", F.unix_seconds("mtime"), F.lit(0)).alias("updated"),
     )
 
@@ -67,7 +67,12 @@ def parse(raw: DataFrame, mapping: dict[str, str] | None = MAPPING) -> DataFrame
 def todos(parsed: DataFrame) -> DataFrame:
     """A row for each todo line of each body."""
     carried = [c for c in parsed.columns if c.startswith("note_")]
-    lines = parsed.select("filename", "front_lines", *carried, F.posexplode_outer(T.lines("body")).alias("n", "line")).filter(F.col("line").rlike(T.TODO))
+    return todo_fields(parsed.select("filename", "front_lines", *carried, F.posexplode_outer(T.lines("body")).alias("n", "line")).filter(F.col("line").rlike(T.TODO)))
+
+
+def todo_fields(lines: DataFrame) -> DataFrame:
+    """Todos of ``filename, front_lines, n, line``, the lines that are one (``n`` from 0), and of what they carry of their notes."""
+    carried = [c for c in lines.columns if c.startswith("note_")]
     content = lines.select(
         "filename", (F.col("n") + 1 + F.col("front_lines")).cast("int").alias("line_number"), *carried,
         (F.lower(F.regexp_extract("line", T.TODO, 1)) == "x").alias("closed"), T.trim(F.regexp_extract("line", T.TODO, 2)).alias("text"),
@@ -98,10 +103,8 @@ def headings(lines: Column) -> Column:
     """``array<struct<n, level, heading, above>>``: the headings of level 1 to 4 outside fences (``n`` from 0), with those above them."""
 
     def step(state: Column, x: Column) -> Column:
-        line, level = x["line"], F.length(F.regexp_extract(x["line"], T.HEADING, 1))
-        fence = line.rlike(T.FENCE)
+        fence, level, heading = x["fence"], x["level"], x["heading"]
         is_head = ~fence & ~state["fenced"] & level.between(1, 4)
-        heading = F.regexp_extract(line, T.HEADING, 2)
         above = F.filter(F.array(state["h1"], F.when(level > 2, state["h2"]), F.when(level > 3, state["h3"])), lambda h: h.isNotNull())
         above = F.when(level > 1, above).otherwise(F.array().cast("array<string>"))
         head = F.struct(x["n"].alias("n"), level.alias("level"), heading.alias("heading"), above.alias("above"))
@@ -112,8 +115,9 @@ def headings(lines: Column) -> Column:
 
     nothing = F.lit(None).cast("string")
     start = F.struct(F.lit(False).alias("fenced"), nothing.alias("h1"), nothing.alias("h2"), nothing.alias("h3"), F.array().cast(f"array<{_HEAD}>").alias("heads")).cast(_STATE)
-    # only such lines change the state
-    told = F.filter(F.transform(lines, lambda line, n: F.struct(n.alias("n"), line.alias("line"))), lambda x: x["line"].rlike(T.STATE_LINE))
+    # only such lines change the state; what each says is read once
+    found = F.filter(F.transform(lines, lambda line, n: F.when(line.rlike(T.STATE_LINE), F.struct(n.alias("n"), line.alias("line")))), lambda x: x.isNotNull())
+    told = F.transform(found, lambda x: F.struct(x["n"].alias("n"), x["line"].rlike(T.FENCE).alias("fence"), F.length(F.regexp_extract(x["line"], T.HEADING, 1)).alias("level"), F.regexp_extract(x["line"], T.HEADING, 2).alias("heading")))
     return F.aggregate(told, start, step, lambda state: state["heads"])
 
 
@@ -130,7 +134,7 @@ def segments(parsed: DataFrame, min_issue_words: int = MIN_ISSUE_WORDS) -> DataF
         F.col("head.level").alias("heading_level"), "head.heading", F.col("head.above").alias("above"), F.array_join(F.slice("lines", F.col("head.n") + 1, end - F.col("head.n")), "\n").alias("text"),
     )
     words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
-    return cut.filter((T.trim("text") != "") & (~F.col("filename").startswith("jira/") | (words >= min_issue_words))).select(
+    return cut.filter(F.col("text").rlike(T.SAYS) & (~F.col("filename").startswith("jira/") | (words >= min_issue_words))).select(
         F.concat_ws("#", "filename", F.col("start_line").cast("string")).alias("segment_id"), "filename", "start_line", "end_line", "heading_level", "text",
         F.array_join(F.concat(F.array("filename"), "above"), " > ").alias("breadcrumb"),
         F.concat(F.filter(F.array("heading"), lambda x: x.isNotNull()), "above").alias("headings"), *carried,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.python import jaro_winkler, similar_keys
 from ..scratch import discard, stash
+from . import parse
 from .parse import Index
 
 # --- values ----------------------------------------------------------------------------------------
@@ -117,45 +118,71 @@ def backlink_line() -> Column:
 # --- agenda ----------------------------------------------------------------------------------------
 
 
-def typed_notes(index: Index, kind: str) -> DataFrame:
+def agenda_notes(index: Index) -> DataFrame:
+    """What agendas need of each note, written once: ``filename, stem, names`` (its links), ``kinds`` (its types) and ``lines``, its todos.
+
+    An agenda asks for links, types and todos. From this table it has them all by one pass over the notes.
+    """
+    kinds = F.transform(F.flatten(F.transform(F.filter("merged", lambda g: g["key"] == "type"), lambda g: g["items"])), lambda x: F.lower(x["value"]))
+    todo_lines = F.filter(F.transform(F.split("body", "\n"), lambda line, n: F.when(line.startswith("- ["), F.struct(n.alias("n"), F.regexp_replace(line, r"\r\z", "").alias("line")))), lambda x: x["line"].rlike(T.TODO))
+    rows = index.parsed.select("filename", T.stem("filename").alias("stem"), F.array_distinct(F.transform("links", T.name_norm)).alias("names"), kinds.alias("kinds"), "front_lines", todo_lines.alias("lines"))
+    return stash(rows, "agenda")
+
+
+def _groups(kept: DataFrame, kind: str) -> DataFrame:
     """``group_file, group_name`` of notes of a type."""
-    is_kind = F.exists("merged", lambda g: (g["key"] == "type") & F.exists(g["items"], lambda x: F.coalesce(F.lower(x["value"]) == kind.lower(), F.lit(False))))
-    return index.notes.filter(is_kind).select(F.col("filename").alias("group_file"), T.stem("filename").alias("group_name"))
+    return kept.filter(F.array_contains("kinds", kind.lower())).select(F.col("filename").alias("group_file"), F.col("stem").alias("group_name"))
 
 
-def _links_to(index: Index, groups: DataFrame) -> DataFrame:
+def _links_to(kept: DataFrame, groups: DataFrame) -> DataFrame:
     """``filename, group_file, group_name``: notes that link to a group's note, without that note itself."""
     names = groups.select("group_file", "group_name", F.explode(F.array_distinct(F.array(T.name_norm("group_file"), T.name_norm("group_name")))).alias("name"))
-    return _named_links(index).join(names, "name").filter("filename <> group_file").select("filename", "group_file", "group_name").distinct()
+    links = kept.select("filename", F.explode("names").alias("name"))
+    return links.join(names, "name").filter("filename <> group_file").select("filename", "group_file", "group_name").distinct()
 
 
 def open_todos(index: Index, closed: bool = False) -> DataFrame:
     return index.todos.filter(F.col("closed") == closed)
 
 
+def _kept_todos(kept: DataFrame, closed: bool = False) -> DataFrame:
+    lines = kept.select("filename", "front_lines", F.explode("lines").alias("x")).select("filename", "front_lines", F.col("x.n").alias("n"), F.col("x.line").alias("line"))
+    rows = lines.withColumns({"note_created": F.lit(None).cast("long"), "note_updated": F.lit(None).cast("long")})
+    return parse.todo_fields(rows).filter(F.col("closed") == closed).select("filename", "line_number", "text", "priority", "due")
+
+
 def agenda(index: Index, kind: str = "project", due_to: str | None = None, closed: bool = False) -> DataFrame:
     """Todos of the notes that link to each note of a type; with a date, those due by then."""
-    todos = open_todos(index, closed)
+    kept = agenda_notes(index)
+    todos = _kept_todos(kept, closed)
     if due_to:
         todos = todos.filter(F.col("due") <= due_to.replace("-", ""))
-    return _links_to(index, typed_notes(index, kind)).join(todos, "filename").select("group_name", "filename", "line_number", "text", "priority", "due")
+    return _links_to(kept, _groups(kept, kind)).join(todos, "filename").select("group_name", "filename", "line_number", "text", "priority", "due")
 
 
-def agenda_by_due(index: Index, due_to: str, kind: str = "project") -> DataFrame:
+def agenda_by_due(index: Index, due_to: str, kind: str = "project", kept: DataFrame | None = None) -> DataFrame:
     """Open todos due by a date, or without one, each under the first project its note links to; ``group_name`` is null without any."""
-    todos = open_todos(index).filter(F.col("due").isNull() | (F.col("due") <= due_to.replace("-", "")))
-    first = _links_to(index, typed_notes(index, kind)).groupBy("filename").agg(F.min(F.struct("group_file", "group_name")).alias("g")).select("filename", F.col("g.group_name").alias("group_name"))
+    kept = agenda_notes(index) if kept is None else kept
+    todos = _kept_todos(kept).filter(F.col("due").isNull() | (F.col("due") <= due_to.replace("-", "")))
+    first = _links_to(kept, _groups(kept, kind)).groupBy("filename").agg(F.min(F.struct("group_file", "group_name")).alias("g")).select("filename", F.col("g.group_name").alias("group_name"))
     return todos.join(first, "filename", "left").select("group_name", "filename", "line_number", "text", "priority", "due")
 
 
+def agenda_unmatched(index: Index, due_to: str, kind: str, other: str) -> DataFrame:
+    """``agenda_by_due``'s todos of no group of a type, whose notes link to none of another type either."""
+    kept = agenda_notes(index)
+    return agenda_by_due(index, due_to, kind, kept).filter("group_name is null").join(_links_to(kept, _groups(kept, other)), "filename", "left_anti")
+
+
 def agenda_for_note(index: Index, filename: str, kind: str = "project") -> DataFrame:
     """The agenda of one note: of itself if it is of the type, else of those of the type that it links to."""
-    groups = typed_notes(index, kind)
+    kept = agenda_notes(index)
+    groups = _groups(kept, kind)
     own = groups.filter(F.col("group_file") == filename)
-    names = index.note_links.filter(F.col("filename") == filename).select(T.name_norm("link").alias("name")).distinct()
+    names = kept.filter(F.col("filename") == filename).select(F.explode("names").alias("name")).distinct()
     linked = groups.withColumn("name", T.name_norm("group_name")).join(names, "name", "left_semi").drop("name")
     best = linked if own.isEmpty() else own
-    return _links_to(index, best).join(open_todos(index), "filename").select("group_name", "filename", "line_number", "text", "priority", "due")
+    return _links_to(kept, best).join(_kept_todos(kept), "filename").select("group_name", "filename", "line_number", "text", "priority", "due")
 
 
 def agenda_order(rows: DataFrame) -> DataFrame:
@@ -189,9 +216,15 @@ def agenda_document(rows: DataFrame, kind: str, today: str, due_to: str, root: s
     ``rows`` are those of ``agenda_by_due``. Parts: 0 header, 1 summary, 2 heading of the groups, 3 groups, 4 todos of no group.
     """
     title = HEADINGS.get(kind, "Projects")
-    order = Window.partitionBy("part", "section").orderBy(F.asc_nulls_last("due"), F.asc_nulls_last("priority"), "filename", "line_number")
-    placed = rows.select("*", F.when(F.col("group_name").isNull(), 4).otherwise(3).alias("part"), F.coalesce("group_name", F.lit("")).alias("section"))
-    todos = placed.select("part", "section", (F.row_number().over(order) + 9).cast("int").alias("ord"), agenda_line(root).alias("line"))
+    order = [F.asc_nulls_last("due"), F.asc_nulls_last("priority"), F.asc("filename"), F.asc("line_number")]
+    grouped = rows.select("*", F.when(F.col("group_name").isNull(), 4).otherwise(3).alias("part"), F.coalesce("group_name", F.lit("")).alias("section"))
+    # todos are placed by ranges, so those of one group, or of none, are spread over tasks; written once for all that is asked below
+    placed = stash(grouped.repartitionByRange("part", "section", *order).withColumn("__range", F.spark_partition_id()), "agenda-rows")
+    counts = placed.groupBy("__range", "part", "section").agg(F.count("*").alias("n"))
+    first = placed.groupBy("__range").agg(F.min(F.struct("part", "section")).alias("g")).select(F.col("__range").alias("later"), "g.part", "g.section")
+    before = counts.join(F.broadcast(first), ["part", "section"]).filter("__range < later").groupBy(F.col("later").alias("__range"), "part", "section").agg(F.sum("n").alias("before"))
+    within = F.row_number().over(Window.partitionBy("__range", "part", "section").orderBy(*order))
+    todos = placed.join(F.broadcast(before), ["__range", "part", "section"], "left").select("part", "section", (within + F.coalesce("before", F.lit(0)) + 9).cast("int").alias("ord"), agenda_line(root).alias("line"))
     # a row for each group: its heading before its todos, and a blank line behind them
     sized = placed.groupBy("part", "section").agg(F.count("*").cast("int").alias("n"))
     heading = F.when(F.col("part") == 4, F.array(F.lit("## Unmatched Todos"), F.lit(""), F.lit(UNMATCHED), F.lit(""))).otherwise(F.array(F.concat(F.lit("### [["), "section", F.lit("]]")), F.lit("")))

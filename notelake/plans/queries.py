@@ -332,7 +332,7 @@ register("agenda_projects", "SELECT group_name, ag.filename, line_number, text,
 _FIRST = "(SELECT filename, min(group_name) AS group_name FROM ag GROUP BY filename)"
 register("agenda_due", f"SELECT group_name, t.filename, line_number, text, priority, due FROM t LEFT JOIN {_FIRST} f USING (filename) WHERE NOT closed AND due <= '19980615'")(lambda x: reports.agenda_by_due(x, TODAY))
 register("agenda_unmatched", f"SELECT t.filename, line_number FROM t LEFT JOIN {_FIRST} f USING (filename) WHERE NOT closed AND due <= '19980615' AND group_name IS NULL")(
-    lambda x: reports.agenda_by_due(x, TODAY, "department").filter("group_name is null").join(reports._links_to(x, reports.typed_notes(x, "project")), "filename", "left_anti").select("filename", "line_number")
+    lambda x: reports.agenda_unmatched(x, TODAY, "department", "project").select("filename", "line_number")
 )
 register("agenda_for_note", "SELECT group_name, t.filename, line_number, text, priority, due FROM ag JOIN t USING (filename) WHERE NOT closed AND group_name IN (SELECT link FROM l WHERE filename = 'meeting/order_1.md')")(
     lambda x: reports.agenda_for_note(x, "meeting/order_1.md")
