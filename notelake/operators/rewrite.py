@@ -30,6 +30,7 @@ _EDGE = frozenset(T.UPPER + T.LOWER + "0123456789_-")
 _PLAIN = str.maketrans(T.UPPER + "_-", T.LOWER + "  ")
 #: ASCII words, and each other character by itself but for separators: the matcher allows an edge beside those.
 _WORDS = re.compile(r"[0-9a-z]+|[^0-9a-z ]")
+_BRACKETS = frozenset("[]()")
 
 
 def _plain_name(name: str) -> str:
@@ -38,8 +39,9 @@ def _plain_name(name: str) -> str:
 
 
 def name_run(name: str) -> tuple[str, int]:
-    """A name's first ``MAX_NAME_WORDS`` words, and how many these are."""
+    """A name's first ``MAX_NAME_WORDS`` words, and how many these are; those before a bracket, as links that are put in bring such."""
     words = _WORDS.findall(name.translate(_PLAIN))[:MAX_NAME_WORDS]
+    words = words[: max(next((k for k, word in enumerate(words) if word in _BRACKETS), len(words)), 1)]
     return " ".join(words), len(words)
 
 
@@ -57,7 +59,7 @@ def _bitmap(places: DataFrame, bits: int) -> bytes:
         return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())})
 
     out = bytearray((1 << bits) // 8)
-    for row in places.select("place", F.expr(f"place div {size}").alias("part")).groupBy("part").applyInArrow(part, "part long, bits binary").toLocalIterator():
+    for row in places.select("place", F.expr(f"place div {size}").alias("part")).groupBy("part").applyInArrow(part, "part long, bits binary").collect():
         out[row["part"] * size // 8 : (row["part"] + 1) * size // 8] = row["bits"]
     return bytes(out)
 
@@ -76,8 +78,8 @@ def _asked(names: DataFrame) -> DataFrame:
 class RunFilter:
     """The runs of words in a text that may be those of a name: by the names' first words (or bits of them), then by bits of their runs."""
 
-    def __init__(self, first: bytes | frozenset[str], whole: bytes, lengths: list[int]):
-        self.first, self.whole, self.lengths = first, whole, lengths
+    def __init__(self, first: bytes | frozenset[str], whole: bytes, lengths: list[int], brackets: bool = True):
+        self.first, self.whole, self.lengths, self.brackets = first, whole, lengths, brackets
         self.exact = isinstance(first, frozenset)
         self.first_bits, self.bits = (len(x).bit_length() + 2 for x in (first, whole))
 
@@ -88,7 +90,8 @@ class RunFilter:
         return bool(self.first[at >> 3] >> (at & 7) & 1)
 
     def runs(self, text: str) -> list[str]:
-        words = _WORDS.findall(text.translate(_PLAIN))
+        # what is linked already stays so, if no name has a bracket; a NUL keeps runs from going over it
+        words = _WORDS.findall((text if self.brackets else _LINKED.sub("\0", text)).translate(_PLAIN))
         begins = {word for word in set(words) if self._may_begin(word)}
         out = []
         for k, word in enumerate(words) if begins else ():
@@ -107,6 +110,7 @@ def _met(notes: DataFrame, asked: DataFrame) -> DataFrame:
     lengths = sorted(r["n"] for r in asked.select("n").distinct().collect())  # at most MAX_NAME_WORDS
     bits = min(max((asked.count() * 32).bit_length(), LEAST_BITS), MOST_BITS)
     first_bits = min(bits, 22)
+    brackets = not asked.filter(F.col("name").rlike(r"[\[\]()]")).isEmpty()
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,7 +122,7 @@ def _met(notes: DataFrame, asked: DataFrame) -> DataFrame:
 
     few = [r["word"] for r in asked.select(F.substring_index("run", " ", 1).alias("word")).distinct().limit(FEW_FIRST + 1).collect()]
     first = frozenset(few) if len(few) <= FEW_FIRST else _bitmap(asked.select("run").mapInArrow(first_places, "place long").distinct(), first_bits)
-    shared = notes.sparkSession.sparkContext.broadcast((first, _bitmap(asked.select("run").mapInArrow(places, "place long").distinct(), bits), lengths))
+    shared = notes.sparkSession.sparkContext.broadcast((first, _bitmap(asked.select("run").mapInArrow(places, "place long").distinct(), bits), lengths, brackets))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = RunFilter(*shared.value)
