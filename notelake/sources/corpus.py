@@ -26,6 +26,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(spark: SparkSession, sf_dir: str, name: str, key: str, *columns: str) -> DataFrame:
+    """Columns of a table whose few bytes a row give long notes: dealt by key to as many tasks as a shuffle has, as its file alone would be one task."""
+    return _table(spark, sf_dir, name).select(key, *columns).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _key(column: str) -> F.Column:
     return F.lpad(F.col(column).cast("string"), 9, "0")
 
@@ -64,7 +69,7 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     key = _key("s_suppkey")
     word = F.lower(F.replace("r_name", F.lit(" "), F.lit("_")))
-    return _table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
+    return _spread(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select(
         *_note(
             "s_suppkey", F.concat(F.lit("project/Supplier_"), key, F.lit(".md")),
             "---\ntitle: Supplier ", key, "\ntype: project\nlabels: [", F.col("n_name"), "]\ntags: [supply]\ncreated: ", F.date_format(F.date_add(F.lit("1998-01-01").cast("date"), (F.col("s_suppkey") % 200).cast("int")), "yyyy-MM-dd"), "\n---\n",
@@ -75,7 +80,7 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "customer").select(
+    return _spread(spark, sf_dir, "customer", "c_custkey", "c_mktsegment").select(
         *_note(
             "c_custkey", F.concat(F.lit("person/Customer_"), _key("c_custkey"), F.lit(".md")),
             "---\ntype: person\ncompany: ", F.col("c_mktsegment"), "\ncity: Köln\n---\n",
@@ -93,7 +98,7 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("\n    list: [x, Y"), which, F.lit("]\nempty: {}\nnone: []\ntags: [a, \"b, c\", 'd']\nflag: true\nlong: >\n  two\n  lines\ngone:\n---\n# Part "), key, F.lit("\n"),
     )
     bad = F.concat(F.lit("---\ntitle: \"unterminated\nkind: asset\n---\n# Part "), key, F.lit("\n"))
-    return _table(spark, sf_dir, "part").select(F.concat(F.lit("asset/part_"), key, F.lit(".md")).alias("filename"), F.when(k % 5 == 4, bad).otherwise(good).alias("content"), _mtime("p_partkey").alias("mtime"))
+    return _spread(spark, sf_dir, "part", "p_partkey").select(F.concat(F.lit("asset/part_"), key, F.lit(".md")).alias("filename"), F.when(k % 5 == 4, bad).otherwise(good).alias("content"), _mtime("p_partkey").alias("mtime"))
 
 
 def umlauts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +106,7 @@ def umlauts(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("s_suppkey").cast("string")
     topic = F.concat(F.lit("---\ntype: project\n---\n# Thema #Übung/ÄRGER\n[[Straße_Ä]]\n"))
     note = F.concat(F.lit("see [[köln "), key, F.lit("]] and [[Ärger]] #übung #TEST\n- [ ] tun due: 19980601\n"))
-    base = _table(spark, sf_dir, "supplier")
+    base = _spread(spark, sf_dir, "supplier", "s_suppkey")
     one = base.select(F.concat(F.lit("thema/KÖLN_"), key, F.lit(".md")).alias("filename"), topic.alias("content"), _mtime("s_suppkey").alias("mtime"))
     return one.unionByName(base.select(F.concat(F.lit("notiz/n_"), key, F.lit(".md")).alias("filename"), note.alias("content"), _mtime("s_suppkey").alias("mtime")))
 
