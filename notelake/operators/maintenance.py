@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.python import signature_holds, trigram_signature
 from ..scratch import discard, stash
 from .parse import Index, index_from
 
@@ -155,42 +156,66 @@ def postings(parsed: DataFrame) -> DataFrame:
     return parsed.select("filename", F.explode_outer(grams).alias("gram")).filter("gram is not null")
 
 
+def signed(parsed: DataFrame) -> DataFrame:
+    """Adds ``signature``: some bits for the trigrams of each note's title, body and attributes, about as many as these have characters; see ``postings``."""
+    body = F.when(F.col("body").contains("\r\n"), F.concat("body", F.lit("\n"), F.regexp_replace("body", r"\r?\n", "\n"))).otherwise(F.col("body"))
+    # what lies over a seam between texts adds bits, and takes none
+    return parsed.withColumn("signature", trigram_signature()(T.ascii_lower(F.concat_ws("\n", body, "title", "header_json"))))
+
+
+@dataclass
+class Grams:
+    """The trigrams of kept notes, a row for each, as they follow from the notes. They aren't written: there are more of them than characters in the texts."""
+
+    table: KeyedTable
+
+    def read(self) -> DataFrame:
+        return postings(self.table.read())
+
+
 class StoredIndex:
     """An index that is kept: its parsed notes in a ``KeyedTable`` below ``folder``, from which all its tables follow without parsing a note again.
 
-    With ``texts`` the trigrams of its notes are kept too, by which ``holding`` reads only the notes that can hold a needle.
+    With ``texts`` each note has a signature of its trigrams beside it, by which ``holding`` leaves out notes that can't hold a needle.
     """
 
     def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS, texts: bool = False):
         self.table = KeyedTable(spark, f"{folder.rstrip('/')}/parsed", buckets=buckets)
-        self.grams = KeyedTable(spark, f"{folder.rstrip('/')}/grams", buckets=buckets, order="gram") if texts else None
+        self.grams = Grams(self.table) if texts else None
 
     def write(self, index: Index) -> None:
-        self.table.write(index.parsed.drop("header"))
-        if self.grams:
-            self.grams.write(postings(self.table.read()))
+        rows = index.parsed.drop("header")
+        self.table.write(signed(rows) if self.grams else rows)
 
     def read(self) -> Index:
-        return index_from(self.table.read())
+        return index_from(self.table.read().drop("signature"))
 
-    def candidates(self, needles: list[str], like: bool = True) -> DataFrame | None:
-        """``filename`` of the notes that have every trigram of the needles; None if these have none, so that any note may match."""
+    def _possible(self, needles: list[str], like: bool) -> DataFrame | None:
+        """The kept notes whose signatures have every trigram of the needles; None if these have none."""
         asked = sorted({g for needle in needles for g in needle_trigrams(needle, like)})
         if not asked or self.grams is None:
             return None
-        found = self.grams.read().filter(F.col("gram").isin(asked))
-        return found.groupBy("filename").agg(F.count_distinct("gram").alias("n")).filter(F.col("n") == len(asked)).select("filename")
+        return self.table.read().filter(signature_holds(asked)("signature"))
+
+    def candidates(self, needles: list[str], like: bool = True) -> DataFrame | None:
+        """``filename`` of the notes that have every trigram of the needles, and of few others; None if these have none, so that any note may match."""
+        found = self._possible(needles, like)
+        return None if found is None else found.select("filename")
+
+    def holding(self, *needles: str, like: bool = True, few: int = 1000) -> Index:
+        """An index of the notes that can hold all needles (patterns with ``%`` and ``_``, or plain texts): searches that ask for these find in it what they find in all notes.
 
-    def holding(self, *needles: str, like: bool = True) -> Index:
-        """An index of the notes that can hold all needles (patterns with ``%`` and ``_``, or plain texts): searches that ask for these find in it what they find in all notes."""
-        found = self.candidates(list(needles), like)
-        return self.read() if found is None else index_from(self.table.among(found))
+        Up to ``few`` notes are looked up by their paths; more are told by their signatures as the table is read, so that no text is shuffled.
+        """
+        found = self._possible(list(needles), like)
+        if found is None:
+            return self.read()
+        first = [r[0] for r in found.select("filename").limit(few + 1).collect()]
+        return index_from((self.table.of_keys(first) if len(first) <= few else found).drop("signature"))
 
     def refresh(self, fresh: Index, removed: DataFrame | None = None) -> None:
         """Notes of ``fresh`` are replaced and those ``removed`` (``filename``) go, with their todos, tags, links, segments and attributes."""
         rows = fresh.parsed.drop("header")
         names = stash(rows.select("filename") if removed is None else rows.select("filename").unionByName(removed.select("filename")), "names")
-        self.table.upsert(rows, names)
-        if self.grams:
-            self.grams.upsert(postings(self.table.among(names)), names)
+        self.table.upsert(signed(rows) if "signature" in self.table.read().columns else rows, names)
         discard(names)
