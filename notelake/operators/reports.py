@@ -244,8 +244,9 @@ def agenda_document(rows: DataFrame, kind: str, today: str, due_to: str, root: s
 
 
 def graph_nodes(index: Index) -> DataFrame:
-    kind = index.attributes.filter("key = 'type' and vtype = 'string' and not is_array").select("filename", F.col("value").alias("kind"))
-    return index.notes.join(kind, "filename", "left").select(F.col("filename").alias("id"), F.coalesce("title", "filename").alias("title"), "kind")
+    single = F.filter("merged", lambda g: (g["key"] == "type") & ~g["is_array"])
+    item = F.get(F.get(single, F.lit(0))["items"], F.lit(0))
+    return index.notes.select(F.col("filename").alias("id"), F.coalesce("title", "filename").alias("title"), F.when(item["vtype"] == "string", item["value"]).alias("kind"))
 
 
 def graph_edges(index: Index) -> DataFrame:
