@@ -251,6 +251,15 @@ def attribute_texts(index: Index, key: str) -> DataFrame:
     return rows.groupBy("filename").agg(F.when(F.bool_or("is_array"), F.concat(F.lit("["), elements, F.lit("]"))).otherwise(F.max(F.coalesce("value", F.lit("null")))).alias("attr_text"))
 
 
+def attribute_text(merged: Column | str, key: str) -> Column:
+    """``attribute_texts`` of one note, from its merged attributes; null without any."""
+    groups = F.filter(merged, lambda g: (F.lower(g["key"]) == key.lower()) & (F.size(g["items"]) > 0))
+    items = F.flatten(F.transform(groups, lambda g: F.transform(g["items"], lambda x, n: F.struct(n.alias("ord"), x["value"].alias("value"), x["vtype"].alias("vtype")))))
+    elements = F.transform(F.filter(items, lambda x: x["vtype"] == "string"), lambda x: F.struct(x["ord"], x["value"]))
+    listed = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(elements), lambda x: x["value"]), ", "), F.lit("]"))
+    return F.when(F.exists(groups, lambda g: g["is_array"]), listed).otherwise(F.array_max(F.transform(items, lambda x: F.coalesce(x["value"], F.lit("null")))))
+
+
 def formatted(index: Index, rows: DataFrame, template: str, names: dict[str, Column]) -> DataFrame:
     """Adds ``line``: ``{name}`` expands to a column, ``{attr:key}`` to an attribute; other braces stay as they are."""
     columns, parts, at = rows.columns, [], 0
@@ -258,8 +267,12 @@ def formatted(index: Index, rows: DataFrame, template: str, names: dict[str, Col
         name = template[start + 1 : end]
         parts.append(F.lit(template[at:start]))
         if name.lower().startswith("attr:"):
+            carried = next((c for c in ("merged", "note_merged") if c in columns), None)
             own = f"__a{len(parts)}"
-            rows = rows.join(attribute_texts(index, name[5:]).withColumnRenamed("attr_text", own), "filename", "left")
+            if carried:  # rows have their note's attributes, so nothing is joined
+                rows = rows.withColumn(own, attribute_text(carried, name[5:]))
+            else:
+                rows = rows.join(attribute_texts(index, name[5:]).withColumnRenamed("attr_text", own), "filename", "left")
             parts.append(F.coalesce(F.col(own), F.lit("")))
         elif name.lower() in names:
             parts.append(F.coalesce(names[name.lower()].cast("string"), F.lit("")))
