@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,8 +107,10 @@ def paged(pairs: DataFrame, size: int) -> DataFrame:
 
 def note_info_pages(index: Index, size: int = 1000) -> DataFrame:
     """``note_info`` with a row for each page of backlinks, and one for a note without any."""
-    pages = backlink_pages(index, size).select(F.col("target").alias("filename"), "page", F.array_join("sources", ",").alias("backlinks"))
-    notes = index.notes.select("filename", "title", "created", "updated", F.array_join(F.array_sort("links"), ",").alias("links"))
+    # names, links and the rest are wanted in three places: the notes are parsed once, into a narrow table
+    kept = replace(index, notes=stash(index.notes.select("filename", "title", "created", "updated", "links"), "linked"))
+    pages = backlink_pages(kept, size).select(F.col("target").alias("filename"), "page", F.array_join("sources", ",").alias("backlinks"))
+    notes = kept.notes.select("filename", "title", "created", "updated", F.array_join(F.array_sort("links"), ",").alias("links"))
     return notes.join(pages, "filename", "left").withColumns({"page": F.coalesce("page", F.lit(0).cast("long")), "backlinks": F.coalesce("backlinks", F.lit(""))})
 
 
