@@ -10,7 +10,7 @@ TODO = r"^- \[([ xX])\] (.*)$"
 TODO_LINES = r"(?dm)^- \[[ xX]\] .*$"
 PRIORITY = r"priority:\s*([A-Z])"
 DUE = r"due:\s*(\d{4}-\d{2}-\d{2}|\d{8})"
-TAG = r"(?U)(?:^|\s)#([A-Za-zäöüÄÖÜß][A-Za-zäöüÄÖÜß/_]*)"
+TAG = r"(?U)#(?<=(?:^|\s)#)([A-Za-zäöüÄÖÜß][A-Za-zäöüÄÖÜß/_]*)"
 TAG_WORD = r"tag:\s*([a-zA-Z0-9_]+)"
 MARKDOWN_LINK = r"\[([^\]]+)\]\(([^)]+)\)"
 WIKI_LINK = r"\[\[([^\]]+)\]\]"
@@ -28,7 +28,7 @@ OPENED = r"\A[\s\p{Z}&&[^\n]]*---"
 #: Frontmatter at the start of a text, with its closing line: its lines.
 FRONT = r"\A[\s\p{Z}&&[^\n]]*---[\s\p{Z}&&[^\n]]*\n((?:(?![\s\p{Z}&&[^\n]]*+---[\s\p{Z}&&[^\n]]*+(?:\n|\z))[^\n]*+\n)*+)[\s\p{Z}&&[^\n]]*---[\s\p{Z}&&[^\n]]*(?:\n|\z)"
 QUERY_BLOCKS = {"```dataview\n": r"(?s)```dataview\n.*?```", "```tasks\n": r"(?s)```tasks\n.*?```"}
-BARE_DATE = r"(?U)\b(\d{4}-\d{2}-\d{2})\b(?![^\[\]]*+(?:(?:\[(?!\[)|\](?!\]))[^\[\]]*+)*+\]\])"
+BARE_DATE = r"(?U)(?=\d{4}-)\b(\d{4}-\d{2}-\d{2})\b(?![^\[\]]*+(?:(?:\[(?!\[)|\](?!\]))[^\[\]]*+)*+\]\])"
 WIKI_DATE = r"\[\[(\d{4}-\d{2}-\d{2})\]\]"
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -96,7 +96,10 @@ def title_of(filename: Column | str) -> Column:
 
 def lines(text: Column | str) -> Column:
     """Lines without their ends; a final line end begins no further line."""
-    return F.when(_c(text) == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(_c(text), r"\r?\n\z", ""), r"\r?\n"))
+    text = _c(text)
+    ended = F.when(text.endswith("\n"), F.substring(text, F.lit(1), F.char_length(text) - 1)).otherwise(text)
+    cut = F.when(text.contains("\r"), F.split(F.regexp_replace(text, r"\r?\n\z", ""), r"\r?\n")).otherwise(F.split(ended, "\n"))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(cut)
 
 
 def bound(value: Column, use) -> Column:
@@ -140,6 +143,11 @@ def strip_query_blocks(body: Column | str) -> Column:
     return out
 
 
+def all_matches(text: Column | str, mark: str, pattern: str, group: int = 1) -> Column:
+    """A group of all matches of a pattern; texts without ``mark``, which each match has, aren't searched."""
+    return F.when(~_c(text).contains(mark), F.array().cast("array<string>")).otherwise(F.regexp_extract_all(_c(text), F.lit(pattern), F.lit(group)))
+
+
 def link_dates(text: Column | str) -> Column:
     """Bare dates outside wiki links become wiki links."""
     return F.regexp_replace(_c(text), BARE_DATE, "[[$1]]")
@@ -147,11 +155,11 @@ def link_dates(text: Column | str) -> Column:
 
 def links_of(text: Column | str) -> Column:
     """Targets of Markdown links, then of wiki links, each in order."""
-    return F.concat(F.regexp_extract_all(_c(text), F.lit(MARKDOWN_LINK), F.lit(2)), F.regexp_extract_all(_c(text), F.lit(WIKI_LINK), F.lit(1)))
+    return F.concat(all_matches(text, "](", MARKDOWN_LINK, 2), all_matches(text, "[[", WIKI_LINK))
 
 
 def raw_tags(text: Column | str) -> Column:
-    return F.regexp_extract_all(_c(text), F.lit(TAG), F.lit(1))
+    return all_matches(text, "#", TAG)
 
 
 def with_parents(tags: Column) -> Column:

@@ -8,7 +8,7 @@ Spark computes them once more at the source, to drop empty ones there.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +47,7 @@ def parse(raw: DataFrame, mapping: dict[str, str] | None = MAPPING) -> DataFrame
     )
     dates = F.filter(F.array(*[T.date_part(F.col(f"read.{k}")) for k in ("created", "changed", "modified")]), lambda d: d.isNotNull())
     none = F.array().cast("array<string>")
-    own = F.coalesce(F.regexp_extract_all("front", F.lit(T.WIKI_LINK), F.lit(1)), none)
+    own = F.coalesce(T.all_matches("front", "[[", T.WIKI_LINK), none)
     # tag words count in todos only; a todo's hash tags are among the body's
     words = F.flatten(F.transform(F.regexp_extract_all("body", F.lit(T.TODO_LINES), F.lit(0)), lambda line: F.regexp_extract_all(line, F.lit(T.TAG_WORD), F.lit(1))))
     with_links = read.select(
@@ -116,7 +116,7 @@ def headings(lines: Column) -> Column:
     nothing = F.lit(None).cast("string")
     start = F.struct(F.lit(False).alias("fenced"), nothing.alias("h1"), nothing.alias("h2"), nothing.alias("h3"), F.array().cast(f"array<{_HEAD}>").alias("heads")).cast(_STATE)
     # only such lines change the state; what each says is read once
-    found = F.filter(F.transform(lines, lambda line, n: F.when(line.rlike(T.STATE_LINE), F.struct(n.alias("n"), line.alias("line")))), lambda x: x.isNotNull())
+    found = F.filter(F.transform(lines, lambda line, n: F.when((line.startswith("#") | line.contains("```")) & line.rlike(T.STATE_LINE), F.struct(n.alias("n"), line.alias("line")))), lambda x: x.isNotNull())
     told = F.transform(found, lambda x: F.struct(x["n"].alias("n"), x["line"].rlike(T.FENCE).alias("fence"), F.length(F.regexp_extract(x["line"], T.HEADING, 1)).alias("level"), F.regexp_extract(x["line"], T.HEADING, 2).alias("heading")))
     return F.aggregate(told, start, step, lambda state: state["heads"])
 
@@ -226,6 +226,8 @@ class Index:
     note_links: DataFrame
     todo_tags: DataFrame
     todo_links: DataFrame
+    #: The notes' texts and the mapping that the index was built from; None if it was read from a table.
+    source: tuple[DataFrame, dict[str, str]] | None = None
 
     @property
     def attributes(self) -> DataFrame:
@@ -265,7 +267,7 @@ def _carrying(parsed: DataFrame) -> DataFrame:
 
 
 def build_index(raw: DataFrame, mapping: dict[str, str] | None = MAPPING) -> Index:
-    return index_from(parse(raw, mapping))
+    return replace(index_from(parse(raw, mapping)), source=(raw, mapping or {}))
 
 
 def index_from(parsed: DataFrame) -> Index:

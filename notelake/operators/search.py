@@ -7,6 +7,7 @@ them too: a search is one scan without a join, and what is asked for alone is co
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..scratch import stash
-from .parse import Index, has_attribute, text_attribute
+from .parse import Index, build_index, has_attribute, text_attribute
 
 # --- predicates ------------------------------------------------------------------------------------
 
@@ -132,6 +133,65 @@ def where(entity: str, rows: DataFrame, predicate: Predicate) -> DataFrame:
     return rows.filter(condition(entity, predicate))
 
 
+# --- what a note's text must hold -------------------------------------------------------------------
+
+
+def _holds(content: Column, words: Sequence[str]) -> Column:
+    """Each word (ASCII) is somewhere in a text, in any case; blanks stand for underscores too."""
+    lower = F.lower(content)
+    return reduce(lambda a, b: a & b, [(T.spaced(lower) if " " in w else lower).contains(w) for w in words])
+
+
+def hint(entity: str, predicate: Predicate, content: Column, mapping: dict[str, str]) -> Column | None:
+    """What a note's raw text must hold for a predicate tree to accept the note or a row of it; None if nothing can be told.
+
+    Tags, and links without brackets, are parts of the text as it stands, but for dates and labels of frontmatter. Keys
+    are so too, unless brackets are left out within them or they are escaped.
+    """
+    if isinstance(predicate, And | Or):
+        parts = [hint(entity, p, content, mapping) for p in predicate.parts]
+        told = [p for p in parts if p is not None]
+        if isinstance(predicate, And):
+            return reduce(lambda a, b: a & b, told) if told else None
+        return reduce(lambda a, b: a | b, told) if told and len(told) == len(parts) else None
+    altered = content.contains("\\") | content.rlike(r"[\w-][\[\]]+[\w-]")
+    if isinstance(predicate, Tag):
+        return _holds(content, [T.norm_text(predicate.tag)]) if predicate.tag.isascii() else None
+    if isinstance(predicate, Link):
+        word = T.norm_text(predicate.target)
+        if not word.isascii() or set("[]") & set(word) or re.fullmatch(r"(?s).{4}-.{2}-.{2}", word):
+            return None
+        return _holds(content, [word]) | content.contains("labels") | altered
+    if isinstance(predicate, Attribute):
+        key = predicate.key.split(".")[0].partition("[")[0]
+        if not re.fullmatch(r"[A-Za-z0-9_-]+", key) or predicate.key in ("created", "updated"):
+            return None
+        names = [key] + [old for old, new in mapping.items() if new == key]
+        return reduce(lambda a, b: a | b, [F.lower(content).contains(n.lower()) for n in names]) | altered if all(re.fullmatch(r"[A-Za-z0-9_-]+", n) for n in names) else None
+    if isinstance(predicate, Text) and entity == "segments" and predicate.word.isascii() and not set("_\\") & set(predicate.word):
+        return reduce(lambda a, b: a & b, [F.lower(content).contains(w.lower()) for w in predicate.word.split("%")])
+    return None
+
+
+def cut_apart(content: Column) -> Column:
+    """Whether something is cut from a text before its tags and links are read: query blocks, or the first of two line end characters."""
+    return content.contains("\r") | (content.contains("```") & reduce(lambda a, b: a | b, [content.contains(mark) for mark in T.QUERY_BLOCKS]))
+
+
+def narrowed(entity: str, index: Index, predicates: Sequence[Predicate]) -> Index:
+    """An index of the notes whose raw texts hold what the predicates need, so that only these are parsed; a search on it finds the same rows.
+
+    Texts from which something is cut are all kept.
+    """
+    if index.source is None or not predicates:
+        return index
+    raw, mapping = index.source
+    wanted = And(tuple(predicates))
+    if hint(entity, wanted, F.col("content"), mapping) is None:
+        return index
+    return build_index(raw.filter(T.bound(F.coalesce("content", F.lit("")), lambda content: hint(entity, wanted, content, mapping) | cut_apart(content))), mapping)
+
+
 # --- date presets ----------------------------------------------------------------------------------
 
 
@@ -177,7 +237,7 @@ def _preset(entity: str, rows: DataFrame, preset: str, today: str | None) -> Dat
 
 def search_notes(index: Index, tags: Sequence[str] = (), links: Sequence[str] = (), attributes: dict[str, str] | None = None, exists: Sequence[str] = (), text: str | None = None, body: str | None = None, types: Sequence[str] = (), preset: str | None = None, today: str | None = None, created_from: str | None = None, created_to: str | None = None, predicate: Predicate | None = None) -> DataFrame:
     """Notes that pass every given filter."""
-    rows = index.notes
+    rows = narrowed("notes", index, _asked(tags, links, attributes, exists, predicate)).notes
     if body:
         rows = rows.filter(T.ascii_lower("body").contains(T.fold_text(body)))
     rows = _filtered("notes", rows, tags, links, attributes, exists, types)
@@ -189,15 +249,20 @@ def search_notes(index: Index, tags: Sequence[str] = (), links: Sequence[str] =
     return where("notes", rows, predicate) if predicate else rows
 
 
-def _filtered(entity: str, rows: DataFrame, tags: Sequence[str], links: Sequence[str], attributes: dict[str, str] | None, exists: Sequence[str], types: Sequence[str]) -> DataFrame:
+def _asked(tags: Sequence[str], links: Sequence[str], attributes: dict[str, str] | None, exists: Sequence[str] = (), predicate: Predicate | None = None) -> list[Predicate]:
     parts = [Tag(t) for t in tags] + [Link(x) for x in links] + [Attribute(k, v) for k, v in (attributes or {}).items()] + [Attribute(k) for k in exists]
+    return parts + [predicate] if predicate else parts
+
+
+def _filtered(entity: str, rows: DataFrame, tags: Sequence[str], links: Sequence[str], attributes: dict[str, str] | None, exists: Sequence[str], types: Sequence[str]) -> DataFrame:
+    parts = _asked(tags, links, attributes, exists)
     rows = where(entity, rows, And(tuple(parts))) if parts else rows
     return rows.filter(reduce(lambda a, b: a | b, [has_attribute(_header(entity), "type", t) for t in types])) if types else rows
 
 
 def search_todos(index: Index, tags: Sequence[str] = (), links: Sequence[str] = (), attributes: dict[str, str] | None = None, text: str | None = None, body: str | None = None, priority: str | None = None, due: str | None = None, due_from: str | None = None, due_to: str | None = None, closed: bool | None = None, preset: str | None = None, today: str | None = None, predicate: Predicate | None = None) -> DataFrame:
     """Todos that pass every given filter; tags, attributes, body and dates are those of the todo's note."""
-    rows = index.todos
+    rows = narrowed("todos", index, _asked(tags, links, attributes, (), predicate)).todos
     if closed is not None:
         rows = rows.filter(F.col("closed") == closed)
     if priority:
@@ -216,7 +281,7 @@ def search_todos(index: Index, tags: Sequence[str] = (), links: Sequence[str] =
 
 
 def search_segments(index: Index, tags: Sequence[str] = (), links: Sequence[str] = (), attributes: dict[str, str] | None = None, text: str | None = None, predicate: Predicate | None = None) -> DataFrame:
-    rows = index.segments
+    rows = narrowed("segments", index, _asked(tags, links, attributes, (), predicate)).segments
     if text:
         rows = rows.filter(T.like("text", text))
     rows = _filtered("segments", rows, tags, links, attributes, (), ())

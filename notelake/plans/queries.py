@@ -209,7 +209,7 @@ register("query_and_or", f"SELECT filename FROM n WHERE {_TREE_SQL} OR (filename
 )
 register("query_and_or_todos", f"SELECT filename, line_number FROM t WHERE {_TREE_SQL}")(lambda x: search.search_todos(x, predicate=search.Or(_TREE.parts[:2])).select("filename", "line_number"))
 register("query_and_or_segments", f"SELECT segment_id FROM sg WHERE ({_TREE_SQL}) OR (lower(text) LIKE '%deep%' AND filename IN (SELECT filename FROM n WHERE created >= CAST(epoch(TIMESTAMP '1998-01-04') AS BIGINT) AND created < CAST(epoch(TIMESTAMP '1998-01-05') AS BIGINT)))")(
-    lambda x: search.where("segments", x.segments, search.Or((*_TREE.parts[:2], search.And((search.Text("deep"), search.Attribute("created", "1998-01-04")))))).select("segment_id")
+    lambda x: search.search_segments(x, predicate=search.Or((*_TREE.parts[:2], search.And((search.Text("deep"), search.Attribute("created", "1998-01-04")))))).select("segment_id")
 )
 
 
