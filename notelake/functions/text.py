@@ -107,6 +107,11 @@ def bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def held(value: Column) -> Column:
+    """The value, computed where it stands: a condition on it isn't moved below, where the value would take the place of its name, each time it is named."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def trim(s: Column | str) -> Column:
     return F.regexp_replace(_c(s), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
 

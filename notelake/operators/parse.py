@@ -41,7 +41,7 @@ def parse(raw: DataFrame, mapping: dict[str, str] | None = MAPPING) -> DataFrame
     front = split_front(raw.select("filename", "content", F.col("mtime").cast("timestamp").alias("mtime")))
     plain = F.replace(F.replace("front", F.lit("[["), F.lit("")), F.lit("]]"), F.lit(""))
     read = (
-        front.withColumn("body", T.strip_query_blocks("body")).withColumn("__plain", plain)
+        front.withColumn("body", T.held(T.strip_query_blocks("body"))).withColumn("__plain", plain)
         .withColumn("__listed", F.when(F.col("body").rlike(T.ANY_LIST_SECTION), listed("body"))).withColumn("__listed", F.when(F.size("__listed") > 0, F.to_json("__listed")))
         .withColumns({"read": fields("__plain"), "attributes": own_rows("__plain"), "merged": merged("__plain", "__listed"), "header_json": header("__plain", "__listed")}).drop("__plain", "__listed")
     )
