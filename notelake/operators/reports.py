@@ -61,12 +61,18 @@ def backlinks(index: Index, threshold: float | None = None) -> DataFrame:
 
 
 def similar_names(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """``name, near``: different names with a Jaro-Winkler similarity of at least ``threshold`` (over 0.9); names meet on keys."""
-    keys = similar_keys(threshold)
-    mine = left.select("name", F.explode(keys("name")).alias("key"))
-    theirs = right.select(F.col("name").alias("near"), F.explode(keys("name")).alias("key"))
-    pairs = mine.join(theirs, "key").filter("name <> near").select("name", "near").distinct()
-    return pairs.filter(jaro_winkler("name", "near") >= threshold)
+    """``name, near``: different names with a Jaro-Winkler similarity of at least ``threshold`` (over 0.9); names meet on keys.
+
+    Keys are made for the lengths that the other names have. There are many for a name, so they are never broadcast; what
+    meets is compared where it meets, and only similar names are shuffled again.
+    """
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = (stash(x.select("name").filter("name is not null").distinct(), "names") for x in (left, right))
+    lengths = lambda x: frozenset(r[0] for r in x.select(F.char_length("name")).distinct().collect())  # noqa: E731  a row for each length
+    keyed = lambda x, others: x.repartition(tasks, "name").select("name", F.explode(similar_keys(threshold, others)("name")).alias("key")).repartition(tasks, "key")
+    mine, theirs = keyed(left, lengths(right)), keyed(right, lengths(left)).withColumnRenamed("name", "near")
+    pairs = mine.hint("merge").join(theirs, "key").filter("name <> near").select("name", "near")
+    return pairs.filter(jaro_winkler("name", "near") >= threshold).distinct()
 
 
 def note_info(index: Index) -> DataFrame:
