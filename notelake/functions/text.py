@@ -97,7 +97,7 @@ def title_of(filename: Column | str) -> Column:
 def lines(text: Column | str) -> Column:
     """Lines without their ends; a final line end begins no further line."""
     text = _c(text)
-    ended = F.when(text.endswith("\n"), F.substring(text, F.lit(1), F.char_length(text) - 1)).otherwise(text)
+    ended = F.when(text.endswith("\n"), bytes_of(text, F.lit(1), F.octet_length(text) - 1)).otherwise(text)
     cut = F.when(text.contains("\r"), F.split(F.regexp_replace(text, r"\r?\n\z", ""), r"\r?\n")).otherwise(F.split(ended, "\n"))
     return F.when(text == "", F.array().cast("array<string>")).otherwise(cut)
 
@@ -112,6 +112,11 @@ def held(value: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, value)
 
 
+def bytes_of(text: Column, start: Column, n: Column) -> Column:
+    """Bytes of a text from a place (from 1), where characters begin and end; unlike characters they needn't be counted."""
+    return F.substring(text.cast("binary"), start, n).cast("string")
+
+
 def trim(s: Column | str) -> Column:
     return F.regexp_replace(_c(s), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
 

@@ -27,10 +27,11 @@ def split_front(raw: DataFrame) -> DataFrame:
     cut = raw.withColumn("__head", F.when(content.rlike(T.OPENED), F.regexp_extract(content, T.FRONT, 0)))
     has = F.col("__head") != ""
     front = F.regexp_extract("__head", T.FRONT, 1)
-    behind = F.substring(content, F.char_length("__head") + 1, F.char_length(content))
+    # texts are cut by bytes: to count characters is most of the work otherwise
+    behind = T.bytes_of(content, F.octet_length("__head") + 1, F.octet_length(content))
     cut = cut.withColumns({"__front": F.when(has, front), "__body": F.when(has, behind)})
-    plain = lambda s: F.when(s.contains("\r"), F.regexp_replace(s, r"\r?\n\z|\r(?=\n)", "")).when(s.endswith("\n"), F.substring(s, F.lit(1), F.char_length(s) - 1)).otherwise(s)
-    lines = F.char_length("__front") - F.char_length(F.replace("__front", F.lit("\n"), F.lit("")))
+    plain = lambda s: F.when(s.contains("\r"), F.regexp_replace(s, r"\r?\n\z|\r(?=\n)", "")).when(s.endswith("\n"), T.bytes_of(s, F.lit(1), F.octet_length(s) - 1)).otherwise(s)
+    lines = F.octet_length("__front") - F.octet_length(F.replace("__front", F.lit("\n"), F.lit("")))
     return cut.select(*raw.columns, plain(F.col("__front")).alias("front"), F.when(has, plain(F.col("__body"))).otherwise(content).alias("body"), F.when(has, (lines + 2).cast("int")).otherwise(F.lit(0)).alias("front_lines"))
 
 
